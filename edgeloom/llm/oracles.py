@@ -38,3 +38,28 @@ j as (select b.*, t.source_size, t.target, t.src_no from b join t using (src)),
 p as (select *, len(list_filter([{copies}], lambda x: x is not null)) n from j)
 select doc_id, size, source_size, target, (n * size)::bigint taken,
   case when n > 0 then round(case {place} end, 9) end "position" from p"""
+
+
+def op3_sql() -> str:
+    from .quality_rules import BASE_RULES, RULES, mask_of
+
+    failed = " | ".join(f"(case when {rule} then {1 << i} else 0 end)" for i, (_, rule) in enumerate(RULES))
+    points = r"[^\x00-\x{BF}]"
+    return rf"""
+with d as (select row_number() over () rid, doc_id, coalesce(text, '') t from documents),
+w as (select rid, unnest(ws) w, generate_subscripts(ws, 1) i from (select rid, regexp_extract_all(t, '[^\x20\x09-\x0D]+') ws from d)),
+x as (select rid, i, w, lead(w, 1) over o w1, lead(w, 2) over o w2 from w window o as (partition by rid order by i)),
+g as (select rid, i, count(*) over (partition by rid, w, w1, w2) c from x where w2 is not null),
+r as (select rid, count(distinct i + k)::bigint n from g, (values (0), (1), (2)) o(k) where c > 1 group by rid),
+a as (select rid, count(*)::bigint n_words, sum(length(w))::bigint word_chars, max(strlen(w)) max_word_chars from w group by rid),
+l as (select rid, unnest(string_split(t, chr(10))) x from d),
+b as (select rid, count(*)::bigint n_lines, (count(*) - count(distinct x))::bigint n_dup_lines from l where regexp_matches(x, '[^\x20\x09-\x0D]') group by rid),
+m as (select d.doc_id, coalesce(a.n_words, 0) n_words, coalesce(a.word_chars, 0) word_chars,
+  len(regexp_extract_all(t, '[#*$%&|<>]'))::bigint n_symbols, coalesce(b.n_lines, 0) n_lines,
+  coalesce(b.n_dup_lines, 0) n_dup_lines, coalesce(r.n, 0) n_repeat_words,
+  len(regexp_extract_all(t, '[A-Za-z]|{points}')) n_letters, len(regexp_extract_all(t, '[A-Z]')) n_capitals,
+  len(regexp_extract_all(t, '!')) n_exclaims, coalesce(a.max_word_chars, 0) max_word_chars
+  from d left join a using (rid) left join b using (rid) left join r using (rid)),
+f as (select *, ({failed})::bigint failed from m)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+  failed & {mask_of(BASE_RULES)} <> 0 base_failed, failed = 0 kept, failed, 'v2' "policy" from f"""

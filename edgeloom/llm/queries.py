@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from . import oracles
 from .mixing import op9_curriculum_mix
+from .quality_rules import op3_rule_ledger
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op9_curriculum_mix,)}
+    return {f.__name__: f for f in (op3_rule_ledger, op9_curriculum_mix)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_curriculum_mix": oracles.op9_sql()}
+    return {"op3_rule_ledger": oracles.op3_sql(), "op9_curriculum_mix": oracles.op9_sql()}
