@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from . import oracles
+from .packing import op4_grouping_ga_packing
 from .mixing import op9_curriculum_mix
 from .quality_rules import op3_rule_ledger
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_rule_ledger, op9_curriculum_mix)}
+    return {f.__name__: f for f in (op3_rule_ledger, op4_grouping_ga_packing, op9_curriculum_mix)}
 
 
 def oracle_sql() -> dict[str, str]:
