@@ -5,12 +5,13 @@ from __future__ import annotations
 from . import oracles
 from .ann import op1_inverted_multi_index
 from .packing import op4_grouping_ga_packing
+from .language_id import op7_kneser_ney_langid
 from .mixing import op9_curriculum_mix
 from .quality_rules import op3_rule_ledger
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_inverted_multi_index, op3_rule_ledger, op4_grouping_ga_packing, op9_curriculum_mix)}
+    return {f.__name__: f for f in (op1_inverted_multi_index, op3_rule_ledger, op4_grouping_ga_packing, op7_kneser_ney_langid, op9_curriculum_mix)}
 
 
 def oracle_sql() -> dict[str, str]:
