@@ -14,6 +14,7 @@ import math
 import unicodedata
 import zlib
 from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pandas as pd
@@ -28,7 +29,7 @@ CAPACITY = 2048
 BLOCK = 4096
 ISLANDS, POPULATION, GENERATIONS, EPOCHS = 3, 4, 5, 2
 TEXT_CHARS = 4_000_000  #: characters tokenised at a time
-CACHE_WORDS = 400_000  #: words whose tokens a task remembers; then it starts anew
+CACHE_WORDS = 800_000  #: words whose tokens a task remembers; then it starts anew
 
 PIECE = [T.StructField("piece", T.IntegerType()), *[T.StructField(n, T.LongType()) for n in ("start", "length", "ids_crc32")]]
 
@@ -56,10 +57,11 @@ class Encoder:
         self._clear()
 
     def _clear(self) -> None:
-        self.words: dict[bytes, int] = {}
-        self.parts: dict[str, list[int]] = {}
+        self.words: dict[bytes, int] = {}  # -> place in ``pairs``
+        self.pairs = np.empty((0, 2), np.int64)  # letters and punctuation of a word, as parts
+        self.parts: dict[str, int] = {"": 0}  # -> place in ``starts`` and ``lens``
         self.pool = np.empty(0, np.uint32)
-        self.starts, self.lens = np.empty(0, np.int64), np.empty(0, np.int64)
+        self.starts, self.lens = np.zeros(1, np.int64), np.zeros(1, np.int64)
 
     @staticmethod
     def _split(word: bytes) -> tuple[str, str]:
@@ -72,32 +74,36 @@ class Encoder:
 
     def _learn(self, new: list[bytes]) -> None:
         split = [self._split(w) for w in new]
-        need = list({p for pair in split for p in pair if p and p not in self.parts})
+        need = list({p for pair in split for p in pair if p not in self.parts})
         for i in range(0, len(need), 20_000):
             part = need[i : i + 20_000]
-            self.parts.update(zip(part, (e.ids for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False))))
-        ids = [self.parts[a] + self.parts[b] if b else self.parts[a] for a, b in split]
-        lens = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter((x for one in ids for x in one), np.uint32, int(lens.sum()))
-        self.starts = np.append(self.starts, len(self.pool) + np.cumsum(lens) - lens)
-        self.lens, self.pool = np.append(self.lens, lens), np.append(self.pool, flat)
+            ids = [e.ids for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
+            lens = np.fromiter(map(len, ids), np.int64, len(ids))
+            self.parts.update(zip(part, range(len(self.lens), len(self.lens) + len(part))))
+            self.starts = np.append(self.starts, len(self.pool) + np.cumsum(lens) - lens)
+            self.lens = np.append(self.lens, lens)
+            self.pool = np.append(self.pool, np.fromiter(chain.from_iterable(ids), np.uint32, int(lens.sum())))
+        places = np.fromiter(map(self.parts.__getitem__, chain.from_iterable(split)), np.int64, 2 * len(split))
         self.words.update(zip(new, range(len(self.words), len(self.words) + len(new))))
+        self.pairs = np.concatenate([self.pairs, places.reshape(-1, 2)])
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.words) > CACHE_WORDS:
             self._clear()
         words = [t.encode("utf-8", "replace").split() for t in texts]
-        new = {w for ws in words for w in ws if w not in self.words}
-        if new:
-            self._learn(sorted(new))
-        known = self.words
-        index = np.fromiter((known[w] for ws in words for w in ws), np.int64, sum(map(len, words)))
-        lens, starts = self.lens[index], self.starts[index]
+        flat = list(chain.from_iterable(words))
+        index = np.fromiter(map(self.words.get, flat, repeat(-1)), np.int64, len(flat))
+        missing = np.flatnonzero(index < 0)
+        if len(missing):
+            self._learn(list({flat[i] for i in missing.tolist()}))
+            index[missing] = [self.words[flat[i]] for i in missing.tolist()]
+        parts = self.pairs[index].ravel()
+        lens, starts = self.lens[parts], self.starts[parts]
         ends = np.cumsum(lens)
-        flat = self.pool[np.repeat(starts - (ends - lens), lens) + np.arange(int(lens.sum()))]
-        per_doc = np.concatenate([[0], np.cumsum([len(w) for w in words])])
+        ids = self.pool[np.repeat(starts - (ends - lens), lens) + np.arange(int(lens.sum()))]
+        per_doc = 2 * np.concatenate([[0], np.cumsum([len(w) for w in words])])
         bounds = np.concatenate([[0], ends])[per_doc]
-        return [flat[a:b] for a, b in zip(bounds[:-1], bounds[1:])]
+        return [ids[a:b] for a, b in zip(bounds[:-1], bounds[1:])]
 
 
 def _runs(texts: list[str]) -> Iterator[slice]:
