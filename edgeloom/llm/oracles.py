@@ -63,3 +63,17 @@ m as (select d.doc_id, coalesce(a.n_words, 0) n_words, coalesce(a.word_chars, 0)
 f as (select *, ({failed})::bigint failed from m)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
   failed & {mask_of(BASE_RULES)} <> 0 base_failed, failed = 0 kept, failed, 'v2' "policy" from f"""
+
+
+def op5_sql() -> str:
+    from .line_dedup import MIN_SITES
+
+    blanks = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+    return f"""
+with l as (select doc_id, coalesce('s' || source, 'n') site, unnest(xs) raw, generate_subscripts(xs, 1) - 1 pos
+  from (select doc_id, source, string_split(text, chr(10)) xs from documents)),
+k as (select *, trim(raw, {blanks}) line from l),
+b as (select line, min(struct_pack(a := doc_id, b := pos)) "first" from k where line <> '' group by line having count(distinct site) >= {MIN_SITES}),
+m as (select k.*, b.line is not null and struct_pack(a := doc_id, b := pos) <> b."first" gone from k left join b using (line))
+select doc_id, count(*)::bigint n_lines, count(*) filter (where gone)::bigint n_removed,
+  coalesce(string_agg(raw, chr(10) order by pos) filter (where not coalesce(gone, false)), '') "text" from m group by doc_id"""

@@ -4,15 +4,17 @@ from __future__ import annotations
 
 from . import oracles
 from .ann import op1_inverted_multi_index
+from .near_dedup import op2_probminhash_dedup
 from .packing import op4_grouping_ga_packing
 from .language_id import op7_kneser_ney_langid
+from .line_dedup import op5_line_spread
 from .mixing import op9_curriculum_mix
 from .quality_rules import op3_rule_ledger
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_inverted_multi_index, op3_rule_ledger, op4_grouping_ga_packing, op7_kneser_ney_langid, op9_curriculum_mix)}
+    return {f.__name__: f for f in (op1_inverted_multi_index, op2_probminhash_dedup, op3_rule_ledger, op4_grouping_ga_packing, op5_line_spread, op7_kneser_ney_langid, op9_curriculum_mix)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_rule_ledger": oracles.op3_sql(), "op9_curriculum_mix": oracles.op9_sql()}
+    return {"op5_line_spread": oracles.op5_sql(), "op3_rule_ledger": oracles.op3_sql(), "op9_curriculum_mix": oracles.op9_sql()}
