@@ -1,13 +1,65 @@
-"""Corpus pipeline (stages follow)."""
+"""Corpus pipeline: five of the operators in a row, each on all that the one before kept.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which ``run`` writes as
+Parquet and reads again.  All but the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
-ORACLE_SQL = None
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from edgeloom.llm import common, language_id, line_dedup, mixing, near_dedup, packing
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is recognised, with that language; the others go.
+
+    Null texts and texts without letters have no language and go.  Nothing is learned from
+    a table without languages, so nothing of it stays.
+    """
+    found = language_id.identify(docs).filter("accepted")
+    return found.select(*[F.col("lang_pred").alias(c) if c == "lang" else F.col("row").getField(c).alias(c) for c in docs.columns])
+
+
+def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without repeated cross-site lines, and with their new length.
+
+    Documents that consist of such lines alone go; null and empty texts stay.
+    """
+    out = line_dedup.without_boilerplate(docs)
+    return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class: the one with the least id.  Texts without words all stay."""
+    return near_dedup.keep_one(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for each time the mix takes a document, in training order.  Documents that it
+    does not take, among them those without words, go."""
+    return mixing.mixed_documents(docs)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents with their sequence and place in it.  A null text is empty."""
+    return packing.pack_documents(docs)
+
+
+STAGES = [
+    ("language ID", identify_language),
+    ("line dedup", drop_boilerplate),
+    ("MinHash near-dedup", drop_near_duplicates),
+    ("mixing sources to target weights", mix_sources),
+    ("best-fit packing", pack_sequences),
+]
+
+ORACLE_SQL = None  # language models, sketches and the packing have no SQL; tests compare with brute force
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = common.materialize(stage(spark, docs, sf_dir), name.split()[0].lower())
     return docs
