@@ -77,3 +77,23 @@ b as (select line, min(struct_pack(a := doc_id, b := pos)) "first" from k where
 m as (select k.*, b.line is not null and struct_pack(a := doc_id, b := pos) <> b."first" gone from k left join b using (line))
 select doc_id, count(*)::bigint n_lines, count(*) filter (where gone)::bigint n_removed,
   coalesce(string_agg(raw, chr(10) order by pos) filter (where not coalesce(gone, false)), '') "text" from m group by doc_id"""
+
+
+def op10_sql() -> str:
+    norm = r"trim(regexp_replace(lower({}), '[\x20\x09-\x0D]+', ' ', 'g'))".format
+    return rf"""
+with recursive l as (select rid, conv_id, turn, role, text is null nul, unnest(xs) x, generate_subscripts(xs, 1) pos
+  from (select row_number() over () rid, *, string_split(coalesce(text, ''), chr(10)) xs from conversations)),
+p as (select *, len(replace(replace(regexp_extract(x, '^(?:[ \t]*>)+'), ' ', ''), chr(9), '')) lv, regexp_replace(x, '^(?:[ \t]*>)+[ \t]?', '') c from l),
+m as (select rid, any_value(conv_id) conv_id, any_value(turn) turn, any_value(role) role,
+  case when not any_value(nul) then trim(coalesce(string_agg(c, chr(10) order by pos) filter (where lv = 0), ''), chr(10)) end txt, count(*) filter (where lv > 0) nq from p group by rid),
+s as (select conv_id, turn, {norm('c')} u from p where lv = 0 union select conv_id, turn, {norm('txt')} from m),
+o as (select conv_id, u, min(turn) origin from s where u <> '' group by all),
+q as (select conv_id, turn, lv, {norm('c')} u from p where lv > 0
+  union select conv_id, turn, lv, {norm("string_agg(c, ' ' order by pos)")} from p where lv > 0 group by rid, conv_id, turn, lv),
+h as (select q.conv_id, turn, origin, min(lv) lv, sum(length(u)) n from q join o using (conv_id, u) where u <> '' and origin < turn group by all),
+k as (select conv_id, turn, arg_max(origin, struct_pack(a := -lv, b := n, c := origin)) par from h group by all),
+r as (select conv_id, turn, par anc, 1 d from k union all select r.conv_id, r.turn, k.par, d + 1 from r join k on k.conv_id = r.conv_id and k.turn = r.anc),
+t as (select conv_id, turn, arg_max(anc, d) thread, max(d) d from r group by all)
+select m.conv_id, m.turn::bigint turn, m.role, m.txt "text", m.nq::bigint n_quoted, k.par::bigint parent_turn, coalesce(t.thread, m.turn)::bigint thread, coalesce(t.d, 0)::bigint "depth"
+from m left join k on k.conv_id = m.conv_id and k.turn = m.turn left join t on t.conv_id = m.conv_id and t.turn = m.turn"""
