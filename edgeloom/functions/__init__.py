@@ -1 +1,5 @@
+"""Column functions."""
 
+from .scalar import char_code, log2_weight, pad_code, parse_epoch, sigmoid, softmax
+
+__all__ = ["char_code", "log2_weight", "pad_code", "parse_epoch", "sigmoid", "softmax"]

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from . import graph_queries, history_queries, ranking_queries, stream_queries
+from .registry import ORACLES, QUERIES
+
+__all__ = ["graph_queries", "history_queries", "oracle_sql", "queries", "ranking_queries", "stream_queries"]
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
