@@ -1 +1,299 @@
-"""."""
+"""Histories, slots, negatives and memory scorers."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from ..functions import log2_weight, pad_code
+from ..operators import graph as G
+from ..operators import history as H
+from ..operators import memory as M
+from ..operators import negatives as N
+from ..operators import splits as S
+from ..sources import edges as E
+from .graph_queries import CORE, SPLIT
+from .registry import ADJ, DEG, INTER, SNAP, query, with_
+
+
+def _text(values):
+    return F.array_join(F.transform(values, lambda x: x.cast("string")), ",")
+
+
+LAST = "h as (select node, nbr, seq, t, list(nbr) over w nb, list(t) over w ts, list(seq) over w sq from it window w as (partition by node order by seq rows between {k} preceding and 1 preceding))"
+
+
+def _list(x: str) -> str:
+    return f"coalesce(array_to_string({x}, ','), '')"
+
+
+@query(with_("bip", INTER, LAST.format(k=10)) + f"select node, seq, {_list('nb')} nbrs, {_list('sq')} seqs from h")
+def hist_last_k(spark, sf_dir: str) -> DataFrame:
+    h = H.last_k(E.bip(spark, sf_dir), 10)
+    return h.select("node", "seq", _text(F.col("hist.nbr")).alias("nbrs"), _text(F.col("hist.seq")).alias("seqs"))
+
+
+@query(with_("uni_purchase", INTER, LAST.format(k="unbounded")) + "select node, seq, coalesce(len(nb), 0)::bigint n, coalesce(list_sum(nb), 0)::bigint total, nb[1] oldest from h")
+def hist_all(spark, sf_dir: str) -> DataFrame:
+    h = H.last_k(E.uni_purchase(spark, sf_dir), None)
+    return h.select("node", "seq", F.size("hist").cast("long").alias("n"), F.aggregate("hist.nbr", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"), F.get("hist.nbr", F.lit(0)).alias("oldest"))
+
+
+@query(with_("bip", INTER, LAST.format(k=3)) + """, one as (select node, seq, unnest(nb) n1, unnest(sq) s1 from h where seq % 10 = 0),
+two as (select one.node, one.seq, n1, s1, h.nb n2 from one join h on h.node = one.n1 and h.seq = one.s1)
+select node, seq, n1, s1, coalesce(array_to_string(n2, ','), '') n2 from two""")
+def hist_multihop(spark, sf_dir: str) -> DataFrame:
+    """The last three neighbours, and each one's last three before that interaction."""
+    h = H.last_k(E.bip(spark, sf_dir), 3)
+    one = h.filter("seq % 10 = 0").select("node", "seq", F.explode("hist").alias("x")).select("node", "seq", F.col("x.nbr").alias("n1"), F.col("x.seq").alias("s1"))
+    two = h.select(F.col("node").alias("n1"), F.col("seq").alias("s1"), _text(F.col("hist.nbr")).alias("n2"))
+    return one.join(two, ["n1", "s1"]).select("node", "seq", "n1", "s1", "n2")
+
+
+@query(with_("bip", INTER, LAST.format(k=7)) + """, p as (select node, seq, list_concat([node], coalesce(nb, [])) a from h)
+select node, seq, array_to_string(list_concat(a, list_transform(range((-len(a)) % 4 + case when len(a) % 4 = 0 then 0 else 4 end), lambda i: 0)), ',') padded from p""")
+def hist_padded(spark, sf_dir: str) -> DataFrame:
+    h = H.last_k(E.bip(spark, sf_dir), 7)
+    return h.select("node", "seq", _text(H.pad_sequence(F.col("node"), F.col("hist.nbr"), 8, 4)).alias("padded"))
+
+
+COOC = LAST.format(k=10) + ", s as (select e.seq, a.nb x, b.nb y from e join h a on a.node = u and a.seq = e.seq join h b on b.node = v and b.seq = e.seq where u <> v)"
+
+
+def _two_sides(edges: DataFrame, k: int) -> DataFrame:
+    """(seq, x, y): both ends' neighbour histories at each interaction."""
+    h = H.last_k(edges.filter("u <> v"), k)
+    own = h.select("seq", "node", F.col("hist.nbr").alias("nb"))
+    e = edges.filter("u <> v").select("seq", "u", "v")
+    return e.join(own.withColumnsRenamed({"node": "u", "nb": "x"}), ["seq", "u"]).join(own.withColumnsRenamed({"node": "v", "nb": "y"}), ["seq", "v"])
+
+
+@query(with_("uni_purchase", INTER.replace("from e", "from e where u <> v"), COOC) + """select seq, coalesce(array_to_string(list_transform(x, lambda i: case when i = 0 then 0 else len(list_filter(x, lambda j: j = i)) end), ','), '') own,
+coalesce(array_to_string(list_transform(x, lambda i: case when i = 0 then 0 else len(list_filter(coalesce(y, []), lambda j: j = i)) end), ','), '') peer from s""")
+def cooccurrence(spark, sf_dir: str) -> DataFrame:
+    s = _two_sides(E.uni_purchase(spark, sf_dir), 10)
+    return s.select("seq", _text(H.counts_in(F.col("x"), F.col("x"))).alias("own"), _text(H.counts_in(F.col("x"), F.col("y"))).alias("peer")).select("seq", "own", "peer")
+
+
+@query(with_("bip", INTER, LAST.format(k=5)) + f"select node, seq, {_list('list_transform(ts, lambda x: t - x)')} deltas from h")
+def time_delta(spark, sf_dir: str) -> DataFrame:
+    h = H.last_k(E.bip(spark, sf_dir), 5)
+    return h.select("node", "seq", _text(F.transform("hist.t", lambda x: F.col("t") - x)).alias("deltas"))
+
+
+@query(with_("bip") + """, g as (select 'src' side, (t - coalesce(lag(t) over (partition by u order by seq), 0)) / 1000000.0 gap from e union all
+select 'dst', (t - coalesce(lag(t) over (partition by v order by seq), 0)) / 1000000.0 from e) select side, round(avg(gap), 2) mean, round(stddev_pop(gap), 2) std from g group by side""")
+def time_shift_stats(spark, sf_dir: str) -> DataFrame:
+    e = E.bip(spark, sf_dir)
+    gap = lambda c: ((F.col("t") - F.coalesce(F.lag("t").over(W.partitionBy(c).orderBy("seq")), F.lit(0))) / 1_000_000.0).alias("gap")
+    both = e.select(F.lit("src").alias("side"), gap("u")).union(e.select(F.lit("dst").alias("side"), gap("v")))
+    return both.groupBy("side").agg(F.round(F.avg("gap"), 2).alias("mean"), F.round(F.stddev_pop("gap"), 2).alias("std"))
+
+
+@query(with_("bip") + ", m as (select seq, (t - min(t) over ()) / 1000000.0 s from e) select seq, " + ", ".join(f"round(cos(s * pow(10.0, -9.0 * {i} / 3)), 6) c{i}" for i in range(4)) + " from m")
+def time_encoding(spark, sf_dir: str) -> DataFrame:
+    e = E.bip(spark, sf_dir)
+    e = e.join(F.broadcast(e.agg(F.min("t").alias("t0")))).withColumn("enc", H.time_encoding((F.col("t") - F.col("t0")) / 1_000_000.0, 4))
+    return e.select("seq", *[F.round(F.get("enc", F.lit(i)), 6).alias(f"c{i}") for i in range(4)])
+
+
+@query(with_("bip", INTER, LAST.format(k="unbounded")) + "select node, seq, array_to_string(list_transform(range(5), lambda j: nb[((seq * 7919 + j * 104729) % len(nb))::int + 1]), ',') drawn from h where nb is not null and seq % 5 = 0")
+def hist_uniform(spark, sf_dir: str) -> DataFrame:
+    """Five draws with replacement from the whole history, by arithmetic on the position."""
+    h = H.last_k(E.bip(spark, sf_dir), None).filter("seq % 5 = 0 and size(hist) > 0")
+    drawn = F.transform(F.sequence(F.lit(0), F.lit(4)), lambda j: F.get(F.col("hist.nbr"), ((F.col("seq") * 7919 + j * 104729) % F.size("hist")).cast("int")))
+    return h.select("node", "seq", _text(drawn).alias("drawn"))
+
+
+@query(with_("uni_purchase", INTER) + ", m as (select *, exp(1e-12::double * (t - max(t) over ())) x from it) select node, nbr, seq, round(x / sum(x) over (partition by node order by seq rows between unbounded preceding and current row), 6) p from m where nbr <> node")
+def hist_time_aware_weights(spark, sf_dir: str) -> DataFrame:
+    """Unnormalised sampling weight of each interaction: its decay over that of the prefix."""
+    it = H.interactions(E.uni_purchase(spark, sf_dir)).filter("nbr <> node")
+    top = H.interactions(E.uni_purchase(spark, sf_dir)).agg(F.max("t").alias("top"))
+    x = F.exp(F.lit(1e-12) * (F.col("t") - F.col("top")))
+    it = it.join(F.broadcast(top)).withColumn("x", x)
+    run = F.sum("x").over(W.partitionBy("node").orderBy("seq").rowsBetween(W.unboundedPreceding, W.currentRow))
+    return it.select("node", "nbr", "seq", F.round(F.col("x") / run, 6).alias("p"))
+
+
+@query(with_("uni_purchase", INTER.replace("from e", "from e where u <> v"), COOC) + """, o as (select seq, unnest(x) node, 'u' side, len(x) n from s union all select seq, unnest(y), 'v', len(y) from s)
+select seq, node, round(sum(case when side = 'u' then 1.0::double / n else 0 end), 6) p_u, round(sum(case when side = 'v' then 1.0::double / n else 0 end), 6) p_v from o group by seq, node""")
+def walk_landing(spark, sf_dir: str) -> DataFrame:
+    """Chance of landing on each first-hop node from either end of an interaction."""
+    s = _two_sides(E.uni_purchase(spark, sf_dir), 10)
+    side = lambda c, name: s.select("seq", F.explode(c).alias("node"), F.lit(name).alias("side"), (F.lit(1.0) / F.size(c)).alias("p"))
+    both = side("x", "u").union(side("y", "v"))
+    part = lambda name: F.round(F.sum(F.when(F.col("side") == name, F.col("p")).otherwise(0.0)), 6)
+    return both.groupBy("seq", "node").agg(part("u").alias("p_u"), part("v").alias("p_v"))
+
+
+# -- slots ------------------------------------------------------------------------------
+
+SLOTS = f"{SNAP}, {ADJ}, {DEG}, {CORE}, {INTER}, {LAST.format(k=5)}, sl as (select e.seq, v peer, unnest(nb) n, generate_subscripts(nb, 1) slot from e join h on h.node = u and h.seq = e.seq where e.seq % 20 = 0)"
+
+
+@query(with_("uni_purchase", SLOTS, recursive=True) + """, pr as (select distinct peer, n from sl),
+c as (select peer, pr.n, count(*) cn, sum(core) cs from pr join adj a on a.n = peer join adj b on b.n = pr.n and b.m = a.m join core on core.node = a.m group by peer, pr.n)
+select seq, slot::int slot, round(ln(1 + coalesce(cn, 0)), 6) cn, round(ln(1 + coalesce(cs, 0)), 6) cn_core, (exists (select 1 from adj where adj.n = sl.peer and adj.m = sl.n))::int direct,
+round(ln(1 + coalesce(d, 0)), 6) deg, round(ln(1 + coalesce(core, 0)), 6) core from sl left join c using (peer, n) left join deg on deg.node = sl.n left join core on core.node = sl.n""")
+def slot_fast(spark, sf_dir: str) -> DataFrame:
+    """Five cheap features of every history slot against the interaction's peer."""
+    e = E.uni_purchase(spark, sf_dir)
+    ab = G.pairs(e)
+    core, deg = G.k_core(ab), G.degree(ab)
+    h = H.last_k(e, 5).select(F.col("node").alias("u"), "seq", F.col("hist.nbr").alias("nb")).distinct()
+    slots = e.filter("seq % 20 = 0").select("seq", "u", F.col("v").alias("peer")).join(h, ["u", "seq"]).select("seq", "peer", F.posexplode("nb").alias("slot", "n"))
+    asked = slots.select(F.col("peer").alias("u"), F.col("n").alias("v")).distinct()
+    cn = G.common_neighbors(asked, ab).join(core.withColumnRenamed("node", "w"), "w").groupBy(F.col("u").alias("peer"), F.col("v").alias("n")).agg(F.count("*").alias("cn"), F.sum("core").alias("cs"))
+    direct = G.adjacency(ab).select(F.col("n").alias("peer"), F.col("m").alias("n"), F.lit(1).alias("direct"))
+    out = slots.join(cn, ["peer", "n"], "left").join(direct, ["peer", "n"], "left").join(deg.withColumnRenamed("node", "n"), "n", "left").join(core.withColumnRenamed("node", "n"), "n", "left")
+    log = lambda c: F.round(F.log1p(F.coalesce(c, F.lit(0)).cast("double")), 6)
+    return out.select("seq", (F.col("slot") + 1).alias("slot"), log("cn").alias("cn"), log("cs").alias("cn_core"), F.coalesce("direct", F.lit(0)).alias("direct"), log("degree").alias("deg"), log("core").alias("core"))
+
+
+# -- negatives --------------------------------------------------------------------------
+
+POOL = "pool as (select v neg, row_number() over (order by v) - 1 place from (select distinct v from e))"
+
+
+@query(with_("bip", SPLIT, POOL) + "select seq, j::int j, neg from sp, range(5) r(j) join pool on place = (seq * 7919 + j * 104729) % (select count(*) from pool) where split = 'train'")
+def neg_train(spark, sf_dir: str) -> DataFrame:
+    e = S.quantile_split(E.bip(spark, sf_dir))
+    values = N.pool(e.select(F.col("v").alias("value")))
+    return N.draw(e.filter("split = 'train'").select("seq"), values, F.col("seq"), 5).select("seq", "j", "neg")
+
+
+@query(with_("bip") + "select distinct u, v from e where seq < 8000 and not exists (select 1 from e x where x.u = e.u and x.v = e.v and x.seq between 8000 and 8200)")
+def neg_historical_pool(spark, sf_dir: str) -> DataFrame:
+    return N.historical_pool(E.bip(spark, sf_dir), 8000, 8200)
+
+
+@query(with_("bip") + "select distinct u, v from e where seq < 8000 and not exists (select 1 from e x where x.u = e.u and x.v = e.v and (x.seq between 8000 and 8200 or x.seq <= 7000))")
+def neg_inductive_pool(spark, sf_dir: str) -> DataFrame:
+    return N.inductive_pool(E.bip(spark, sf_dir), 8000, 8200, 7000)
+
+
+@query(with_("bip", SPLIT, POOL) + """, c as (select sp.seq, neg, row_number() over (partition by sp.seq order by (neg * 7919 + sp.seq * 104729) % 1000003, neg) r from sp, pool
+where split = 'test' and not exists (select 1 from e x where x.t = sp.t and x.u = sp.u and x.v = neg)) select seq, neg from c where r <= 20""")
+def neg_rnd(spark, sf_dir: str) -> DataFrame:
+    """Up to 20 destinations per test edge, none of them true at the same time and source.
+
+    The pool of destinations is replicated per query row, which is what the full ranking asks for.
+    """
+    e = S.quantile_split(E.bip(spark, sf_dir))
+    asked = e.filter("split = 'test'").select("seq", "t", "u", F.col("seq").alias("salt"))
+    pool = N.pool(e.select(F.col("v").alias("value"))).select(F.col("value").alias("neg"))
+    every = asked.join(F.broadcast(pool.agg(F.collect_list("neg").alias("all")))).select("seq", "t", "u", "salt", F.explode("all").alias("neg"))
+    free = every.join(e.select("t", "u", F.col("v").alias("neg")), ["t", "u", "neg"], "left_anti")
+    return N.ranked_pool(free, ["seq"], 20).select("seq", "neg")
+
+
+@query(with_("bip", SPLIT) + """, th as (select distinct u, v neg from sp where split = 'train'),
+c as (select sp.seq, neg, row_number() over (partition by sp.seq order by (neg * 7919 + sp.seq * 104729) % 1000003, neg) r from sp join th using (u)
+where split = 'test' and not exists (select 1 from e x where x.t = sp.t and x.u = sp.u and x.v = neg)) select seq, neg from c where r <= 10""")
+def neg_hist_rnd(spark, sf_dir: str) -> DataFrame:
+    """Up to ten of the source's training destinations per test edge."""
+    e = S.quantile_split(E.bip(spark, sf_dir))
+    past = e.filter("split = 'train'").select("u", F.col("v").alias("neg")).distinct()
+    found = e.filter("split = 'test'").select("seq", "t", "u", F.col("seq").alias("salt")).join(past, "u")
+    free = found.join(e.select("t", "u", F.col("v").alias("neg")), ["t", "u", "neg"], "left_anti")
+    return N.ranked_pool(free, ["seq"], 10).select("seq", "neg")
+
+
+# -- memory scorers ---------------------------------------------------------------------
+
+BANK = with_("bip", SPLIT)
+
+
+def _bank(spark, sf_dir: str):
+    e = S.quantile_split(E.bip(spark, sf_dir))
+    return e.filter("split = 'train'"), e.filter("split = 'test'").select("seq", "u", "v")
+
+
+def _bank_sql(memory: str) -> str:
+    return f"{BANK}, tr as (select * from sp where split = 'train'){memory} select seq, u, v, (exists (select 1 from mem where mem.u = sp.u and mem.v = sp.v))::int score from sp where split = 'test'"
+
+
+@query(_bank_sql(", mem as (select u, v from tr)"))
+def edgebank_unlimited(spark, sf_dir: str) -> DataFrame:
+    train, asked = _bank(spark, sf_dir)
+    return M.seen_flag(asked, train, ["u", "v"]).select("seq", "u", "v", "score")
+
+
+@query(_bank_sql(", mem as (select u, v from tr where t >= (select quantile_cont(t::double, 0.85) from tr))"))
+def edgebank_window(spark, sf_dir: str) -> DataFrame:
+    train, asked = _bank(spark, sf_dir)
+    return M.seen_flag(asked, M.recent_window(train, 0.15), ["u", "v"]).select("seq", "u", "v", "score")
+
+
+@query(_bank_sql(", gp as (select u, v, t - lag(t) over (partition by u, v order by seq) g from tr), ga as (select u, v, avg(g) g from gp group by u, v), mem as (select u, v from tr where t >= (select max(t) from tr) - (select coalesce(sum(g), 0) / count(*) from ga))"))
+def edgebank_repeat_interval(spark, sf_dir: str) -> DataFrame:
+    train, asked = _bank(spark, sf_dir)
+    top = train.agg(F.max("t").alias("top"))
+    recent = train.join(F.broadcast(M.repeat_interval(train))).join(F.broadcast(top)).filter(F.col("t") >= F.col("top") - F.col("width"))
+    return M.seen_flag(asked, recent, ["u", "v"]).select("seq", "u", "v", "score")
+
+
+@query(_bank_sql(", fq as (select u, v, count(*) n from tr group by u, v), mem as (select u, v from fq where n >= (select avg(n) from fq))"))
+def edgebank_threshold(spark, sf_dir: str) -> DataFrame:
+    train, asked = _bank(spark, sf_dir)
+    return M.seen_flag(asked, M.frequent(train), ["u", "v"]).select("seq", "u", "v", "score")
+
+
+@query(with_("bip") + """, b as (select *, (seq - 1) // 200 batch from e), z as (select batch + 1 batch, max(t) upto from b group by 1), wd as (select (max(t) - min(t)) * 0.15::double span from e),
+l as (select x.seq, max(y.t) last from b x join b y on y.u = x.u and y.v = x.v and y.batch < x.batch group by x.seq)
+select b.seq, u, v, coalesce((last >= upto - span)::int, 0) score from b left join l using (seq) left join z using (batch), wd""")
+def edgebank_sliding(spark, sf_dir: str) -> DataFrame:
+    return M.sliding_bank(E.bip(spark, sf_dir), 200, 0.15)
+
+
+@query(f"{BANK}, m as (select u x from sp where split = 'train' union select v from sp where split = 'train') select seq, (u in (select x from m))::int src_seen, (v in (select x from m))::int dst_seen from sp where split = 'test'")
+def nodebank(spark, sf_dir: str) -> DataFrame:
+    train, asked = _bank(spark, sf_dir)
+    nodes = train.select(F.explode(F.array("u", "v")).alias("x"))
+    out = M.seen_flag(asked, nodes.withColumnRenamed("x", "u"), ["u"], "src_seen")
+    return M.seen_flag(out, nodes.withColumnRenamed("x", "v"), ["v"], "dst_seen").select("seq", "src_seen", "dst_seen")
+
+
+LABELS = "lab as (select u node, t // 86400000000 slot, sum(w) x from e group by all)"
+
+
+def _labels(spark, sf_dir: str) -> DataFrame:
+    day = F.floor(F.col("t") / F.lit(86_400_000_000))
+    return E.uni_purchase(spark, sf_dir).groupBy(F.col("u").alias("node"), day.alias("slot")).agg(F.sum("w").alias("x"))
+
+
+@query(with_("uni_purchase", LABELS) + "select node, slot, round(coalesce(lag(x) over (partition by node order by slot), 0), 5) forecast from lab")
+def persistent_forecast(spark, sf_dir: str) -> DataFrame:
+    last = F.lag("x").over(W.partitionBy("node").orderBy("slot"))
+    return _labels(spark, sf_dir).select("node", "slot", F.round(F.coalesce(last, F.lit(0.0)), 5).alias("forecast"))
+
+
+@query(with_("uni_purchase", LABELS, recursive=True) + """, o as (select *, row_number() over (partition by node order by slot) i from lab),
+m as (select node, slot, i, x m from o where i = 1 union all select o.node, o.slot, o.i, (m * 6 + o.x) / 7 from m join o on o.node = m.node and o.i = m.i + 1)
+select node, slot, round(m, 5) average from m""")
+def moving_average(spark, sf_dir: str) -> DataFrame:
+    """(m * (w - 1) + x) / w over seven: the decayed fold with decay 6 / 7."""
+    from ..operators.rolling import rolling
+
+    ticks = _labels(spark, sf_dir).select("node", F.col("slot").alias("n"), F.col("x").alias("value"))
+    return rolling(ticks, decay=6 / 7).select("node", F.col("n").alias("slot"), F.round("ema", 5).alias("average"))
+
+
+# -- parsing ----------------------------------------------------------------------------
+
+
+@query("""with p as (select p_partkey, rpad(case when length(p_brand) > 8 then '!!!!!!!!' else p_brand end, 8, '!') s from part)
+select p_partkey, """ + ", ".join(f"case when substr(s, {i}, 1) between '0' and '9' then substr(s, {i}, 1)::int when substr(s, {i}, 1) = '!' then -1 else ascii(upper(substr(s, {i}, 1))) - 35 end c{i}" for i in range(1, 9)).replace("substr(s, 1, 1)::int", "try_cast(substr(s, 1, 1) as int)") + " from p")
+def parse_flight_features(spark, sf_dir: str) -> DataFrame:
+    codes = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", pad_code(F.col("p_brand")).alias("c"))
+    return codes.select("p_partkey", *[F.get("c", F.lit(i)).cast("int").alias(f"c{i + 1}") for i in range(8)])
+
+
+@query("select event_id, round(log2(case when w = 0 then 1 else w end), 6) weight from (select event_id, floor(value) w from events)")
+def log2_weights(spark, sf_dir: str) -> DataFrame:
+    w = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", F.floor("value").cast("double").alias("w"))
+    return w.select("event_id", F.round(log2_weight(F.col("w")), 6).alias("weight"))
+
+
