@@ -138,7 +138,7 @@ def best_per_key(spark, sf_dir: str) -> DataFrame:
 @query("select o_orderstatus status, " + ", ".join(f"(count(*) filter (where o_orderpriority like '{i}-%'))::bigint p{i}" for i in range(1, 6)) + " from orders group by 1")
 def pivot_grid(spark, sf_dir: str) -> DataFrame:
     o = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderstatus").alias("status"), F.substring("o_orderpriority", 1, 1).alias("p"))
-    grid = o.groupBy("status").pivot("p", ["1", "2", "3", "4", "5"]).agg(F.count("*")).na.fill(0)
+    grid = o.groupBy("status").pivot("p", ["1", "2", "3", "4", "5"]).agg(F.count(F.lit(1))).na.fill(0)
     return grid.select("status", *[F.col(str(i)).alias(f"p{i}") for i in range(1, 6)])
 
 
@@ -156,8 +156,8 @@ def degree_per_ts(spark, sf_dir: str) -> DataFrame:
     return T.degree_per_stamp(E.trade(spark, sf_dir)).select(F.round("degree_per_stamp", 6).alias("degree_per_stamp"))
 
 
-@query(with_("bip", SPLIT) + """, p as (select distinct u, v from sp where split <> 'test'), q as (select distinct u, v from sp where split = 'test')
-select round((select count(*) from (from q except from p))::double / (select count(*) from sp where split = 'test'), 6) surprise, round((select count(*) from (from q intersect from p))::double / (select count(*) from sp where split <> 'test'), 6) reoccurrence""")
+@query(with_("bip", SPLIT) + """, p as (select distinct u, v from sp where split <> 'test'), te as (select distinct u, v from sp where split = 'test')
+select round((select count(*) from (from te except from p))::double / (select count(*) from sp where split = 'test'), 6) surprise, round((select count(*) from (from te intersect from p))::double / (select count(*) from sp where split <> 'test'), 6) reoccurrence""")
 def surprise_reoccurrence(spark, sf_dir: str) -> DataFrame:
     return T.surprise(S.quantile_split(E.bip(spark, sf_dir))).select(F.round("surprise", 6).alias("surprise"), F.round("reoccurrence", 6).alias("reoccurrence"))
 
