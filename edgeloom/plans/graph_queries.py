@@ -227,6 +227,14 @@ def roll_current_delta(spark, sf_dir: str) -> DataFrame:
     return R.plain(_activity(spark, sf_dir)).withColumn("recency", F.round("recency", 6))
 
 
+@query(with_("uni_purchase", ACT) + """, d as (select *, x - lag(x) over (partition by node order by i) dl from act),
+c as (select *, max(case when i = 1 or dl <> 0 then i end) over (partition by node order by i) l from d)
+select node, n, round(ln(1 + (i - l)::double), 6) recency from c""")
+def roll_recency(spark, sf_dir: str) -> DataFrame:
+    """Recency out of the fold, against windows in SQL."""
+    return R.rolling(_activity(spark, sf_dir)).select("node", "n", F.round("recency", 6).alias("recency"))
+
+
 @query(with_("uni_purchase", FOLD, recursive=True) + "select node, n, ema, sqrt(greatest(sq - ema * ema, 0)) std from f")
 def roll_ema_std(spark, sf_dir: str) -> DataFrame:
     return R.rolling(_activity(spark, sf_dir)).select("node", "n", "ema", "std")

@@ -10,6 +10,7 @@ from ..functions import log2_weight, pad_code
 from ..operators import graph as G
 from ..operators import history as H
 from ..operators import memory as M
+from ..operators import pairwise as P
 from ..operators import negatives as N
 from ..operators import splits as S
 from ..sources import edges as E
@@ -152,6 +153,23 @@ def slot_fast(spark, sf_dir: str) -> DataFrame:
     return out.select("seq", (F.col("slot") + 1).alias("slot"), log("cn").alias("cn"), log("cs").alias("cn_core"), F.coalesce("direct", F.lit(0)).alias("direct"), log("degree").alias("deg"), log("core").alias("core"))
 
 
+@query(with_("uni_purchase", SLOTS, recursive=True) + """, pr as (select distinct peer, n from sl),
+c as (select peer, pr.n, count(*) cn, sum(1 / d::double) ra from pr join adj a on a.n = peer join adj b on b.n = pr.n and b.m = a.m join deg on deg.node = a.m group by peer, pr.n)
+select seq, slot::int slot, round(ln(1 + coalesce(cn, 0)), 6) cn, round(coalesce(ra, 0), 6) ra,
+round(ln(1 + (coalesce(x.d, 0) * coalesce(y.d, 0))::double), 6) pa, round(coalesce(cn / nullif(x.d + y.d - cn, 0)::double, 0), 6) jaccard
+from sl left join c using (peer, n) left join deg x on x.node = sl.peer left join deg y on y.node = sl.n""")
+def slot_full(spark, sf_dir: str) -> DataFrame:
+    """Pair features of every history slot with the interaction's peer as the source."""
+    e = E.uni_purchase(spark, sf_dir)
+    ab = G.pairs(e)
+    h = H.last_k(e, 5).select(F.col("node").alias("u"), "seq", F.col("hist.nbr").alias("nb")).distinct()
+    slots = e.filter("seq % 20 = 0").select("seq", "u", F.col("v").alias("peer")).join(h, ["u", "seq"]).select("seq", "peer", F.posexplode("nb").alias("slot", "n"))
+    asked = slots.select(F.col("peer").alias("u"), F.col("n").alias("v")).distinct()
+    feats = P.pair_features(asked, ab, G.degree(ab).select("node", F.col("degree").alias("x"))).withColumnsRenamed({"u": "peer", "v": "n"})
+    out = slots.join(feats, ["peer", "n"], "left")
+    return out.select("seq", (F.col("slot") + 1).alias("slot"), *[F.round(F.coalesce(c, F.lit(0.0)), 6).alias(c) for c in ("cn", "ra", "pa", "jaccard")])
+
+
 # -- negatives --------------------------------------------------------------------------
 
 POOL = "pool as (select v neg, row_number() over (order by v) - 1 place from (select distinct v from e))"

@@ -1 +1,37 @@
-"""."""
+"""Structured Streaming jobs, run over the whole event table, and the learned link predictor."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..operators import predictor
+from ..sources import edges as E
+from ..streaming import jobs as J
+from .registry import EVENTS, query
+
+
+@query(f"""with {EVENTS}, g as (select u node, count(*) n, list(w order by t, eid) xs from ev group by u)
+select node, n, round(list_reduce(xs, lambda a, x: 0.95::double * a + (1 - 0.95::double) * x), 6) ema from g""")
+def stream_rolling(spark, sf_dir: str) -> DataFrame:
+    """Decayed mean of each user's event values after the whole stream."""
+    found = J.drain(J.rolling_state(J.read_events(spark, sf_dir)), ["node"])
+    return found.select("node", "n", F.round("ema", 6).alias("ema"))
+
+
+@query(f"with {EVENTS} select u, k, count(*) n, max(t) last_t from ev group by u, k")
+def stream_edgebank(spark, sf_dir: str) -> DataFrame:
+    """The edge memory after the whole stream."""
+    return J.drain(J.edge_memory(J.read_events(spark, sf_dir)), ["u", "k"])
+
+
+@query(f"with {EVENTS} select (t // 86400000000) * 86400000000 \"start\", u, count(*) n from ev group by 1, 2")
+def stream_daily_counts(spark, sf_dir: str) -> DataFrame:
+    """Events of each user per day, with a watermark of ten years so that none of the table is late."""
+    return J.drain(J.windowed_counts(J.read_events(spark, sf_dir), late="3650 days"), ["start", "u"])
+
+
+@query()
+def link_predictor(spark, sf_dir: str) -> DataFrame:
+    """Probabilities of test edges and of as many drawn ones, from features of the training graph."""
+    return predictor.link_scores(E.bip(spark, sf_dir))
