@@ -106,6 +106,17 @@ class Encoder:
         return [ids[a:b] for a, b in zip(bounds[:-1], bounds[1:])]
 
 
+def worker_encoder(path: str | None) -> Encoder:
+    """The encoder of this Python worker: tasks that run in it one after another share what it has learned."""
+    import sys
+    import types
+
+    held = sys.modules.setdefault("_worker_encoders", types.ModuleType("_worker_encoders")).__dict__
+    if path not in held:
+        held[path] = Encoder(path)
+    return held[path]
+
+
 def _runs(texts: list[str]) -> Iterator[slice]:
     first, held = 0, 0
     for i, t in enumerate(texts):
@@ -125,7 +136,7 @@ def tokenize_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
 
     def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = Encoder(tokenizer)
+        encoder = worker_encoder(tokenizer)
         for pdf in batches:
             keys, texts = pdf["id"].tolist(), [t or "" for t in pdf["text"]]
             for run in _runs(texts):
