@@ -14,10 +14,12 @@ import math
 import unicodedata
 import zlib
 from collections.abc import Iterator
-from itertools import chain, repeat
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -30,6 +32,7 @@ BLOCK = 4096
 ISLANDS, POPULATION, GENERATIONS, EPOCHS = 3, 4, 5, 2
 TEXT_CHARS = 4_000_000  #: characters tokenised at a time
 CACHE_WORDS = 800_000  #: words whose tokens a task remembers; then it starts anew
+JOINED = 200  #: words encoded as one text
 
 PIECE = [T.StructField("piece", T.IntegerType()), *[T.StructField(n, T.LongType()) for n in ("start", "length", "ids_crc32")]]
 
@@ -54,55 +57,68 @@ class Encoder:
             path = public_tokenizers.path("word_bpe_49k.json")
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.ends_word = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        if suffix:
+            self.ends_word[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith(suffix)]] = True
         self._clear()
 
     def _clear(self) -> None:
-        self.words: dict[bytes, int] = {}  # -> place in ``pairs``
-        self.pairs = np.empty((0, 2), np.int64)  # letters and punctuation of a word, as parts
-        self.parts: dict[str, int] = {"": 0}  # -> place in ``starts`` and ``lens``
-        self.pool = np.empty(0, np.uint32)
-        self.starts, self.lens = np.zeros(1, np.int64), np.zeros(1, np.int64)
+        self.words: dict[str, int] = {}  # -> place in ``pool``
+        self.parts: dict[str, bytes] = {"": b""}  # letters or punctuation of a word -> its ids
+        self.pool = pa.array([], pa.large_binary())
 
     @staticmethod
-    def _split(word: bytes) -> tuple[str, str]:
+    def _split(text: str) -> tuple[str, str]:
         """Letters and trailing punctuation, or the word and nothing where that isn't safe."""
-        text = word.decode("utf-8")
         letters = text.rstrip(".,!?;:")
         if letters.isalpha() and "Σ" not in letters and unicodedata.is_normalized("NFC", letters):
             return letters.lower(), text[len(letters) :]
         return text, ""
 
-    def _learn(self, new: list[bytes]) -> None:
-        split = [self._split(w) for w in new]
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn_parts(self, parts: list[str]) -> None:
+        """Words of letters have one end each, so many are encoded as one text and cut at the ends."""
+        letters, other = [p for p in parts if p.isalpha()], [p for p in parts if not p.isalpha()]
+        lines = [letters[i : i + JOINED] for i in range(0, len(letters), JOINED)]
+        for line, ids in zip(lines, self._ids([" ".join(line) for line in lines])):
+            ends = np.flatnonzero(self.ends_word[ids]) + 1
+            if len(ends) != len(line):
+                other += line
+                continue
+            held, cuts = ids.tobytes(), (4 * np.concatenate([[0], ends])).tolist()
+            self.parts.update((p, held[i:j]) for p, i, j in zip(line, cuts, cuts[1:]))
+        self.parts.update((p, ids.tobytes()) for p, ids in zip(other, self._ids(other)))
+
+    def _learn(self, new: pa.Array) -> None:
+        letters = pc.utf8_rtrim(new, ".,!?;:")
+        plain = pc.and_(pc.ascii_is_alpha(letters), pc.string_is_ascii(letters)).to_pylist()
+        words = new.to_pylist()
+        split = [(low, w[len(low) :]) if ok else self._split(w) for w, low, ok in zip(words, pc.ascii_lower(letters).to_pylist(), plain)]
         need = list({p for pair in split for p in pair if p not in self.parts})
         for i in range(0, len(need), 20_000):
-            part = need[i : i + 20_000]
-            ids = [e.ids for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
-            lens = np.fromiter(map(len, ids), np.int64, len(ids))
-            self.parts.update(zip(part, range(len(self.lens), len(self.lens) + len(part))))
-            self.starts = np.append(self.starts, len(self.pool) + np.cumsum(lens) - lens)
-            self.lens = np.append(self.lens, lens)
-            self.pool = np.append(self.pool, np.fromiter(chain.from_iterable(ids), np.uint32, int(lens.sum())))
-        places = np.fromiter(map(self.parts.__getitem__, chain.from_iterable(split)), np.int64, 2 * len(split))
-        self.words.update(zip(new, range(len(self.words), len(self.words) + len(new))))
-        self.pairs = np.concatenate([self.pairs, places.reshape(-1, 2)])
+            self._learn_parts(need[i : i + 20_000])
+        ids = pa.array([self.parts[x] + self.parts[y] for x, y in split], pa.large_binary())
+        self.words.update(zip(words, range(len(self.words), len(self.words) + len(words))))
+        self.pool = pa.concat_arrays([self.pool, ids])
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.words) > CACHE_WORDS:
             self._clear()
-        words = [t.encode("utf-8", "replace").split() for t in texts]
-        flat = list(chain.from_iterable(words))
-        index = np.fromiter(map(self.words.get, flat, repeat(-1)), np.int64, len(flat))
-        missing = np.flatnonzero(index < 0)
+        words = pc.ascii_split_whitespace(pa.array(texts, pa.large_string()))
+        coded = words.values.dictionary_encode()
+        different = coded.dictionary
+        place = np.fromiter(map(self.words.get, different.to_pylist(), repeat(-1)), np.int64, len(different))
+        missing = np.flatnonzero(place < 0)
         if len(missing):
-            self._learn(list({flat[i] for i in missing.tolist()}))
-            index[missing] = [self.words[flat[i]] for i in missing.tolist()]
-        parts = self.pairs[index].ravel()
-        lens, starts = self.lens[parts], self.starts[parts]
-        ends = np.cumsum(lens)
-        ids = self.pool[np.repeat(starts - (ends - lens), lens) + np.arange(int(lens.sum()))]
-        per_doc = 2 * np.concatenate([[0], np.cumsum([len(w) for w in words])])
-        bounds = np.concatenate([[0], ends])[per_doc]
+            place[missing] = len(self.words) + np.arange(len(missing))
+            self._learn(different.take(pa.array(missing)))
+        found = self.pool.take(pa.array(place[coded.indices.to_numpy()]))
+        _, ends, data = found.buffers()
+        ids = np.frombuffer(data, "<u4") if data else np.zeros(0, "<u4")
+        bounds = np.frombuffer(ends, np.int64)[words.offsets.to_numpy()] // 4
         return [ids[a:b] for a, b in zip(bounds[:-1], bounds[1:])]
 
 
