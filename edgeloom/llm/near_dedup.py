@@ -13,10 +13,9 @@ probability J_P.
 2. Contents whose registers agree in a band meet in a bucket.  Members of a small bucket
    are all compared.  In a large one each member is compared with the most central member
    (the one with most companions over all bands).  Where that leaves several components,
-   its members are compared with their neighbours in the order of further registers, which
-   are those most like them, if these belong to another component; rounds with other
-   registers follow until one finds nothing.  So a group costs its size in each
-   round, not its square.
+   members of blocks of the bucket are compared, and then all members outside the bucket's
+   largest component with all others, block by block.  Only pairs that are of one component
+   by then are passed over, so no link is missed; a group that hangs together costs its size.
 3. Pairs whose sketches agree well below the threshold (``MARGIN``) are left out, the others
    are verified with exact similarities of the whole texts.
 4. Classes are the connected components of verified pairs.
@@ -29,7 +28,6 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import materialize, table
@@ -38,10 +36,10 @@ from .graphs import components
 SHINGLE = 5
 THRESHOLD = 0.8
 REGISTERS, ROWS = 128, 4  #: 32 bands of 4: a pair at 0.8 meets with probability 1 - 5e-8
-MARGIN = 0.14  #: four standard deviations of the sketch's estimate at the threshold
+MARGIN = 0.2  #: five to six standard deviations of the sketch's estimate at the threshold
 BYTES = 2  #: of a register that a sketch keeps
-NEIGHBOURS, ORDERS, FURTHER = 6, 3, 16  #: next members compared in a large bucket, orders of it, and registers that give one
-SALTED = 4096  #: a larger bucket is ordered in parts, others in each round
+BLOCK = 1024  #: about so many members of a bucket, or so many characters, are compared in one task
+BLOCK_CHARS = 4_000_000
 TEXT_CHARS = 4_000_000
 SMALL = 8  #: all members of so small a bucket are leaders at once
 ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)]
@@ -184,45 +182,114 @@ def link(members: DataFrame, sketches: DataFrame, texts: DataFrame, threshold: f
     star = members.join(lead, "bucket").select(F.col("leader").alias("a"), F.col("node").alias("b"))
     small = members.filter(F.col("size") <= SMALL).select("bucket", "node")
     inside = small.alias("x").join(small.alias("y"), "bucket").filter("x.node < y.node").select(F.col("x.node"), F.col("y.node"))
-    done = ordered(star.union(inside))
-    edges = materialize(verify(done, sketches, texts, threshold), "links")
-    labels, linked = components(edges), True
-    large = members.filter(F.col("size") > SMALL).groupBy("node").agg(F.collect_list(F.struct("bucket", "band", "size")).alias("places"))  # at most one a band
-    large = materialize(large.join(sketches, "node"), "large")
-    turn = 0
-    while linked:
-        rows = large.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        rows = rows.select("node", "component", "sig", F.explode("places").alias("at")).select("node", "component", "sig", "at.*")
-        # Neighbours in several orders of further registers, other ones in each round.
-        salt = F.pmod(F.xxhash64("node", F.lit(turn)), F.ceil(F.col("size") / SALTED))
-        rows = rows.select("bucket", salt.alias("salt"), "node", "component", *[further(turn * ORDERS + i).alias(f"f{i}") for i in range(ORDERS)])
-        orders = [W.partitionBy("bucket", "salt").orderBy(f"f{i}", "node") for i in range(ORDERS)]
-        near = F.array(*[F.lag(F.struct("node", "component"), i + 1).over(order) for order in orders for i in range(NEIGHBOURS)])
-        near = F.filter(near, lambda x: x["component"] != F.col("component")).getField("node")
-        # A node's neighbours of all bands (at most REGISTERS / ROWS * ORDERS * NEIGHBOURS) meet at the node.
-        near = rows.select("node", near.alias("near")).groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
-        pairs = near.select(F.explode("near").alias("a"), F.col("node").alias("b"))
-        pairs = ordered(pairs, done)
-        done = done.union(pairs)
-        found = materialize(verify(pairs, sketches, texts, threshold), "links")
-        linked = found.limit(1).count() > 0
-        if linked:
+    edges = materialize(verify(ordered(star.union(inside)), sketches, texts, threshold), "links")
+    labels = components(edges)
+    lengths = texts.select("node", F.length("text").alias("chars"))
+    large = materialize(members.filter(F.col("size") > SMALL).join(lengths, "node"), "large")
+    for whole in (False, True):
+        pairs = blocked(large, labels, whole).join(sketches.select("node", "sig"), "node").join(texts, "node")
+        found = materialize(pairs.groupBy("bucket", "p", "q").applyInPandas(_across(threshold), "a long, b long"), "links")
+        if found.limit(1).count() > 0:
             edges = edges.union(found)
             labels = components(edges)
-        turn += 1
     return labels
 
 
-def further(turn: int) -> Column:
-    """The registers that follow a band's own, taken in other steps at each turn."""
-    at = [f"substring(sig, {BYTES} * ((band * {ROWS} + {ROWS} + {j * (2 * turn + 1)}) % {REGISTERS}) + 1, {BYTES})" for j in range(FURTHER)]
-    return F.expr(f"concat({', '.join(at)})")
+def blocked(large: DataFrame, labels: DataFrame, whole: bool) -> DataFrame:
+    """(bucket, band, node, component, block, p, q): members of block p are to be compared with those of block q.
 
+    Only buckets of several components are cut into blocks.  First each block is its own
+    partner (p = q); with ``whole`` a bucket of more than one block is cut anew, the largest
+    component apart, and each block outside of it meets all blocks.
+    """
+    rows = large.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    kinds = rows.groupBy("bucket", "component").agg(F.count("*").alias("n"), F.sum("chars").alias("chars"))
+    most = kinds.groupBy("bucket").agg(F.count("*").alias("kinds"), F.sum("n").alias("all_n"), F.sum("chars").alias("all_chars"), F.max(F.struct("n", "chars", "component")).alias("top"))
+    rows = rows.join(most.filter("kinds > 1"), "bucket")
+    number = lambda n, chars: F.ceil(F.greatest(n / F.lit(BLOCK), chars / F.lit(BLOCK_CHARS)))
+    hashed = F.xxhash64("node", "bucket")
+    blocks = number(F.col("all_n"), F.col("all_chars"))
+    if not whole:
+        rows = rows.withColumn("block", F.pmod(hashed, blocks))
+        return rows.select("bucket", "band", "node", "component", "block", F.col("block").alias("p"), F.col("block").alias("q"))
+    rows = rows.filter(blocks > 1).withColumn("inside", F.col("component") == F.col("top.component"))
+    rows = rows.withColumn("outer", number(F.col("all_n") - F.col("top.n"), F.col("all_chars") - F.col("top.chars"))).withColumn("inner", number(F.col("top.n"), F.col("top.chars")))
+    rows = rows.withColumn("block", F.when(F.col("inside"), F.col("outer") + F.pmod(hashed, "inner")).otherwise(F.pmod(hashed, "outer")))
+    partners = F.sequence(F.lit(0).cast("long"), F.col("outer") + F.when(F.col("inside"), 0).otherwise(F.col("inner")) - 1)
+    rows = rows.select("bucket", "band", "node", "component", "block", F.explode(partners).alias("partner"))
+    return rows.select("bucket", "band", "node", "component", "block", F.least("block", "partner").alias("p"), F.greatest("block", "partner").alias("q"))
+
+
+def _across(threshold: float):
+    """Links between the components of two blocks, enough to connect all that belong together."""
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        nodes, block, band = pdf["node"].to_numpy(), pdf["block"].to_numpy(), int(pdf["band"].iat[0])
+        component = pd.factorize(pdf["component"])[0]
+        found: list[tuple[int, int]] = []
+        if component.max() > 0:
+            sigs = np.frombuffer(b"".join(pdf["sig"]), "<u2").reshape(len(pdf), REGISTERS)
+            earlier = np.ascontiguousarray(sigs[:, : band * ROWS]).reshape(len(pdf), band, ROWS)
+            sets = Sets(pdf["text"].tolist())
+            right = np.flatnonzero(block == key[2])
+            for i, x in enumerate(np.flatnonzero(block == key[1])):
+                ys = right[i + 1 :] if key[1] == key[2] else right
+                ys = ys[component[ys] != component[x]]
+                ys = ys[(sigs[ys] == sigs[x]).sum(1) >= (threshold - MARGIN) * REGISTERS]
+                # A pair that meets in an earlier band too is compared there.
+                ys = ys[~(earlier[ys] == earlier[x]).all(2).any(1)]
+                if not len(ys):
+                    continue
+                low, high = sets.bounds(x, ys)
+                for sure, y in sorted(zip(low < threshold + 1e-9, ys)):
+                    if component[y] == component[x] or high[ys == y][0] < threshold - 1e-9:
+                        continue
+                    if not sure or probability_jaccard(sets.of(x), sets.of(y)) >= threshold - 1e-12:
+                        component[component == component[y]] = component[x]
+                        found.append((min(nodes[x], nodes[y]), max(nodes[x], nodes[y])))
+        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+
+    return run
+
+
+class Sets:
+    """Shingles of many texts, and bounds of one's similarity to others.
+
+    With weights x and y of sum 1, the sum over j of max(x_j / x_i, y_j / y_i) is at least
+    1 / min(x_i, y_i) and at most sum(max(x, y)) / min(x_i, y_i).  So J_P lies between
+    s / (2 - s) and s, the sum of min(x, y); without repeated shingles it is the plain Jaccard.
+    """
 
-def ordered(pairs: DataFrame, done: DataFrame | None = None) -> DataFrame:
-    """The different pairs (a, b) with a < b that are not in ``done``, written down."""
-    pairs = pairs.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    return materialize(pairs if done is None else pairs.join(done, ["a", "b"], "left_anti"), "pairs")
+    def __init__(self, texts: list[str]):
+        owner, self.items, self.counts = shingles(texts)
+        self.codes, different = pd.factorize(self.items)
+        self.starts = np.searchsorted(owner, np.arange(len(texts) + 1))
+        self.sizes = np.diff(self.starts)
+        self.sums = np.bincount(owner, weights=self.counts, minlength=len(texts))
+        self.own = np.zeros(len(different))
+
+    def of(self, x: int) -> tuple[np.ndarray, np.ndarray]:
+        at = slice(self.starts[x], self.starts[x + 1])
+        return self.items[at], self.counts[at]
+
+    def bounds(self, x: int, ys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        mine = slice(self.starts[x], self.starts[x + 1])
+        self.own[self.codes[mine]] = self.counts[mine]
+        sizes = self.sizes[ys]
+        owner = np.repeat(np.arange(len(ys)), sizes)
+        at = np.arange(len(owner)) + np.repeat(self.starts[ys] - np.cumsum(sizes) + sizes, sizes)
+        shared = self.own[self.codes[at]]
+        self.own[self.codes[mine]] = 0
+        s = np.bincount(owner, weights=np.minimum(shared / self.sums[x], self.counts[at] / self.sums[ys][owner]), minlength=len(ys))
+        both = np.bincount(owner, weights=shared > 0, minlength=len(ys))
+        plain = (self.sums[x] == self.sizes[x]) & (self.sums[ys] == sizes)
+        jaccard = both / (self.sizes[x] + sizes - both)
+        return np.where(plain, jaccard, s / (2 - s)), np.where(plain, jaccard, s)
+
+
+def ordered(pairs: DataFrame) -> DataFrame:
+    """The different pairs (a, b) with a < b, written down."""
+    return materialize(pairs.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:

@@ -79,6 +79,43 @@ def test_near_duplicates_are_those_of_brute_force(spark, sf_dir):
     assert got == {i: top(i) for i, _ in docs}
 
 
+def test_links_far_apart_in_a_large_bucket_are_found(spark):
+    """Two similar members that register 4, the first to order by, puts at the ends of a bucket of 61."""
+    rng = np.random.default_rng(5)
+    sig = rng.integers(0, 1 << 16, (61, near_dedup.REGISTERS))
+    sig[59] = sig[0]
+    sig[:, :4], sig[:, 4] = 7, [*range(60), 30]
+    words = [[f"w{i}x{k}" for k in range(60)] for i in range(61)]
+    words[59] = [*words[0][:-1], "other"]
+    members = spark.createDataFrame([(9, 0, i, 61) for i in range(61)], "bucket long, band int, node long, size long")
+    sketches = spark.createDataFrame([(i, bytearray(x.astype("<u2").tobytes())) for i, x in enumerate(sig)], "node long, sig binary")
+    texts = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(words)], "node long, text string")
+    assert {r.node: r.component for r in near_dedup.link(members, sketches, texts, 0.8).collect()} == {0: 0, 59: 0}
+
+
+@pytest.mark.parametrize("block", [16, 1024])
+def test_classes_of_a_large_group_around_the_threshold(spark, monkeypatch, block):
+    """Versions of one text, some with repeated words, about as many pairs above the threshold as below."""
+    monkeypatch.setattr(near_dedup, "BLOCK", block)
+    rng = random.Random(7)
+    base = [f"w{i}" for i in range(150)]
+    docs = []
+    for i in range(160):
+        words = list(base)
+        for _ in range(rng.randint(1, 4)):
+            words[rng.randrange(150)] = f"v{rng.randrange(10**9)}"
+        docs.append((i, " ".join(words + (base[:30] if i % 3 == 0 else []))))
+    sets = [near_dedup.shingles([t])[1:] for _, t in docs]
+    top = list(range(len(docs)))
+    for j in range(len(docs)):
+        for i in range(j):
+            if near_dedup.probability_jaccard(sets[i], sets[j]) >= 0.8 - 1e-12 and top[i] != top[j]:
+                low, high = sorted((top[i], top[j]))
+                top = [low if t == high else t for t in top]
+    got = {r.id: r.class_id for r in near_dedup.classes(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == dict(enumerate(top)) and len(set(top)) > 1
+
+
 def test_keep_one_and_odd_rows(spark, odd):
     kept = near_dedup.keep_one(odd)
     assert kept.columns == odd.columns
