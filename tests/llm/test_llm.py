@@ -133,6 +133,42 @@ def test_sketch_estimates_probability_jaccard():
     assert (s[0] == s[1]).mean() == pytest.approx(exact, abs=0.04)
 
 
+def test_language_model_keeps_rare_grams_of_a_large_alphabet(spark):
+    """More than 300,000 n-grams of a language, against plain Kneser-Ney."""
+    rng = random.Random(11)
+    word = lambda: "".join(chr(0x4E00 + rng.randrange(20_000)) for _ in range(5))
+    words = [word() for _ in range(60_000)]
+    words += words[:3_000] + words[:500]
+    docs = [(i, " ".join(words[i::40]), "zh") for i in range(40)] + [(40, "ein kurzer satz", "de")]
+    model = language_id.learn(spark.createDataFrame(docs, "doc_id long, text string, lang string"), F.lit(True), "doc_id", "text", "lang")
+    levels, level = {}, {}
+    for w in words:
+        w = "\x02\x02\x02" + w + "\x03"
+        for i in range(len(w) - 3):
+            level[w[i : i + 4]] = level.get(w[i : i + 4], 0) + 1
+    for m in (4, 3, 2, 1):
+        of, total, kinds, levels[m] = list(level.values()), {}, {}, level
+        for g, n in level.items():
+            total[g[:-1]], kinds[g[:-1]] = total.get(g[:-1], 0) + n, kinds.get(g[:-1], 0) + 1
+        levels[m] = level, of.count(1) / (of.count(1) + 2 * of.count(2)) if of.count(1) and of.count(2) else 0.5, total, kinds
+        below = {}
+        for g in level:
+            below[g[1:]] = below.get(g[1:], 0) + 1
+        level = below
+
+    def p(g):
+        if not g:
+            return np.exp(model.unseen)
+        level, d, total, kinds = levels[len(g)]
+        h = g[:-1]
+        return (max(level.get(g, 0) - d, 0) + d * kinds[h] * p(g[1:])) / total[h] if h in total else p(g[1:])
+
+    assert len(levels[4][0]) > 300_000
+    grams = rng.sample(sorted(levels[4][0]), 300) + [word()[:4] for _ in range(50)]
+    points = np.array([[ord(c) for c in g] for g in grams], np.uint32)
+    assert model.score(points)[:, model.langs.index("zh")] == pytest.approx([np.log(p(g)) for g in grams], abs=1e-9)
+
+
 def test_rules_on_odd_rows(spark, odd):
     ledger = quality_rules.build_ledger(odd)
     assert ledger.count() == odd.count()
