@@ -99,11 +99,11 @@ def _h_index(rows: DataFrame, key: list[str], value: str) -> DataFrame:
     return level.withColumn("least", F.least(F.col(value), upto)).groupBy(*key).agg(F.max("least").alias("h"))
 
 
-def k_core(ab: DataFrame, max_rounds: int = 500) -> DataFrame:
+def k_core(ab: DataFrame) -> DataFrame:
     """(node, core): iterated h-index of the neighbours' values, from the degrees to the fixpoint."""
     adj = cut(adjacency(ab))
     now = cut(adj.groupBy("n").agg(F.count("*").alias("core")))
-    for _ in range(max_rounds):
+    while True:
         seen = adj.join(now.select(F.col("n").alias("m"), "core"), "m")
         new = _h_index(seen.select("n", "core"), ["n"], "core")
         step = cut(now.join(new, "n").select("n", F.least("core", "h").cast("long").alias("next"), "core"))
@@ -113,14 +113,14 @@ def k_core(ab: DataFrame, max_rounds: int = 500) -> DataFrame:
     return now.withColumnRenamed("n", "node")
 
 
-def k_truss(ab: DataFrame, max_rounds: int = 500) -> DataFrame:
+def k_truss(ab: DataFrame) -> DataFrame:
     """(a, b, truss): h-index over an edge's triangles of the lesser of their other two edges, plus 2."""
     t = triangles(ab)
     sides = [("x", "y", "x", "z", "y", "z"), ("x", "z", "x", "y", "y", "z"), ("y", "z", "x", "y", "x", "z")]
     parts = [t.select(*[F.col(c).alias(n) for c, n in zip(s, ("a", "b", "a1", "b1", "a2", "b2"))]) for s in sides]
     wings = cut(parts[0].union(parts[1]).union(parts[2]))
     now = cut(wings.groupBy("a", "b").agg(F.count("*").alias("s")))
-    for _ in range(max_rounds):
+    while True:
         one, two = now.select(F.col("a").alias("a1"), F.col("b").alias("b1"), F.col("s").alias("s1")), now.select(F.col("a").alias("a2"), F.col("b").alias("b2"), F.col("s").alias("s2"))
         low = wings.join(one, ["a1", "b1"]).join(two, ["a2", "b2"]).select("a", "b", F.least("s1", "s2").alias("low"))
         new = _h_index(low.filter("low > 0"), ["a", "b"], "low")

@@ -68,6 +68,16 @@ def test_core_of_a_random_graph(spark):
     assert as_dict(G.k_core(G.pairs(edges(spark, sorted(pairs))))) == peel(pairs)
 
 
+def test_core_and_truss_end_only_at_the_fixpoint(spark, monkeypatch):
+    """Values fall from the ends of a path or strip inwards, one hop a round; a limit of rounds, here lowered to 5, would leave the middle."""
+    for f in (G.k_core, G.k_truss):
+        monkeypatch.setattr(f, "__defaults__", (5,))
+    path = [(i, i + 1) for i in range(40)]
+    assert set(as_dict(G.k_core(G.pairs(edges(spark, path)))).values()) == {1}
+    strip = G.pairs(edges(spark, path + [(i, i + 2) for i in range(39)]))
+    assert {r.truss for r in G.k_truss(strip).collect()} == {3}
+
+
 def test_rolling_fold(spark):
     trace = spark.createDataFrame([(1, 1, 2.0), (1, 2, 4.0), (1, 3, 4.0), (2, 1, 7.0)], "node long, n long, value double")
     got = {(r.node, r.n): r for r in R.rolling(trace, decay=0.5).collect()}
