@@ -13,8 +13,7 @@ from __future__ import annotations
 import math
 import unicodedata
 import zlib
-from collections.abc import Iterator
-from itertools import repeat
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -31,18 +30,46 @@ CAPACITY = 2048
 BLOCK = 4096
 ISLANDS, POPULATION, GENERATIONS, EPOCHS = 3, 4, 5, 2
 TEXT_CHARS = 4_000_000  #: characters tokenised at a time
-CACHE_WORDS = 800_000  #: words whose tokens a task remembers; then it starts anew
+CACHE_BYTES = 96 << 20  #: of words and their tokens that a task remembers; then it starts anew
 JOINED = 200  #: words encoded as one text
 
 PIECE = [T.StructField("piece", T.IntegerType()), *[T.StructField(n, T.LongType()) for n in ("start", "length", "ids_crc32")]]
 
 
+class Memo:
+    """Texts and their token ids (as bytes) in Arrow arrays, so that an entry costs no Python object."""
+
+    def __init__(self):
+        self.texts, self.ids = pa.array([], pa.large_string()), pa.array([], pa.large_binary())
+
+    @property
+    def nbytes(self) -> int:
+        return self.texts.nbytes + self.ids.nbytes
+
+    def places(self, texts: pa.Array, learn: Callable[[pa.Array], pa.Array]) -> np.ndarray:
+        """Place of each of the different ``texts`` in ``ids``; the ids of new ones are learned."""
+        at = pc.index_in(texts, value_set=self.texts).fill_null(-1).to_numpy().astype(np.int64)
+        missing = np.flatnonzero(at < 0)
+        if len(missing):
+            at[missing] = len(self.texts) + np.arange(len(missing))
+            new = texts.take(pa.array(missing))
+            self.ids = pa.concat_arrays([self.ids, learn(new)])
+            self.texts = pa.concat_arrays([self.texts, new])
+        return at
+
+    def of(self, texts: pa.Array, learn: Callable[[pa.Array], pa.Array]) -> pa.Array:
+        coded = texts.dictionary_encode()
+        at = self.places(coded.dictionary, learn)
+        return self.ids.take(pa.array(at[coded.indices.to_numpy()]))
+
+
 class Encoder:
     """Token ids of whole texts, word by word.
 
     The tokenizer splits at white space and treats the parts apart, so a text's ids are
     those of its words in a row; each distinct word is encoded once.  A word of letters
-    with trailing punctuation is looked up by its letters.
+    with trailing punctuation is looked up by its letters.  What is remembered is bounded by
+    ``CACHE_BYTES`` and goes with the task.
     """
 
     def __init__(self, path: str | None):
@@ -56,83 +83,75 @@ class Encoder:
 
             path = public_tokenizers.path("word_bpe_49k.json")
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.ends_word = np.zeros(self.tokenizer.get_vocab_size(), bool)
         suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
         if suffix:
             self.ends_word[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith(suffix)]] = True
+        self.lowers: dict[str, bool] = {}  # letter -> is it one letter in lower case for the tokenizer too?
         self._clear()
 
     def _clear(self) -> None:
-        self.words: dict[str, int] = {}  # -> place in ``pool``
-        self.parts: dict[str, bytes] = {"": b""}  # letters or punctuation of a word -> its ids
-        self.pool = pa.array([], pa.large_binary())
+        self.words, self.parts = Memo(), Memo()
+
+    def _is_plain(self, letter: str) -> bool:
+        """Does the tokenizer make one letter of it, and part it from punctuation?"""
+        if letter not in self.lowers:
+            low = self.tokenizer.normalizer.normalize_str(letter) if self.tokenizer.normalizer else letter
+            cut = self.tokenizer.pre_tokenizer.pre_tokenize_str(f"{low}.") if self.tokenizer.pre_tokenizer else []
+            self.lowers[letter] = letter != "Σ" and len(low) == 1 and low == letter.lower() and [end - start for _, (start, end) in cut] == [1, 1]
+        return self.lowers[letter]
 
-    @staticmethod
-    def _split(text: str) -> tuple[str, str]:
+    def _split(self, text: str) -> tuple[str, str]:
         """Letters and trailing punctuation, or the word and nothing where that isn't safe."""
         letters = text.rstrip(".,!?;:")
-        if letters.isalpha() and "Σ" not in letters and unicodedata.is_normalized("NFC", letters):
+        if letters.isalpha() and unicodedata.is_normalized("NFC", letters) and all(map(self._is_plain, letters)):
             return letters.lower(), text[len(letters) :]
         return text, ""
 
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn_parts(self, parts: list[str]) -> None:
+    def _learn_parts(self, new: pa.Array) -> pa.Array:
         """Words of letters have one end each, so many are encoded as one text and cut at the ends."""
-        letters, other = [p for p in parts if p.isalpha()], [p for p in parts if not p.isalpha()]
+        parts = new.to_pylist()
+        out: list[bytes] = [b""] * len(parts)
+        letters = [i for i, p in enumerate(parts) if p.isalpha()]
+        other = [i for i, p in enumerate(parts) if p and not p.isalpha()]
         lines = [letters[i : i + JOINED] for i in range(0, len(letters), JOINED)]
-        for line, ids in zip(lines, self._ids([" ".join(line) for line in lines])):
-            ends = np.flatnonzero(self.ends_word[ids]) + 1
-            if len(ends) != len(line):
-                other += line
-                continue
-            held, cuts = ids.tobytes(), (4 * np.concatenate([[0], ends])).tolist()
-            self.parts.update((p, held[i:j]) for p, i, j in zip(line, cuts, cuts[1:]))
-        self.parts.update((p, ids.tobytes()) for p, ids in zip(other, self._ids(other)))
-
-    def _learn(self, new: pa.Array) -> None:
+        for first in range(0, len(lines), 100):
+            some = lines[first : first + 100]
+            for line, ids in zip(some, self._ids([" ".join(parts[i] for i in line) for line in some])):
+                ends = np.flatnonzero(self.ends_word[ids]) + 1
+                if len(ends) != len(line):
+                    other += line
+                    continue
+                held, cuts = ids.tobytes(), (4 * np.concatenate([[0], ends])).tolist()
+                for i, a, b in zip(line, cuts, cuts[1:]):
+                    out[i] = held[a:b]
+        for first in range(0, len(other), 20_000):
+            some = other[first : first + 20_000]
+            for i, ids in zip(some, self._ids([parts[i] for i in some])):
+                out[i] = ids.tobytes()
+        return pa.array(out, pa.large_binary())
+
+    def _learn(self, new: pa.Array) -> pa.Array:
         letters = pc.utf8_rtrim(new, ".,!?;:")
         plain = pc.and_(pc.ascii_is_alpha(letters), pc.string_is_ascii(letters)).to_pylist()
-        words = new.to_pylist()
-        split = [(low, w[len(low) :]) if ok else self._split(w) for w, low, ok in zip(words, pc.ascii_lower(letters).to_pylist(), plain)]
-        need = list({p for pair in split for p in pair if p not in self.parts})
-        for i in range(0, len(need), 20_000):
-            self._learn_parts(need[i : i + 20_000])
-        ids = pa.array([self.parts[x] + self.parts[y] for x, y in split], pa.large_binary())
-        self.words.update(zip(words, range(len(self.words), len(self.words) + len(words))))
-        self.pool = pa.concat_arrays([self.pool, ids])
+        split = [(low, w[len(low) :]) if ok else self._split(w) for w, low, ok in zip(new.to_pylist(), pc.ascii_lower(letters).to_pylist(), plain)]
+        both = [self.parts.of(pa.array(side, pa.large_string()), self._learn_parts) for side in zip(*split)]
+        return pc.binary_join_element_wise(*both, pa.scalar(b"", pa.large_binary()))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.words) > CACHE_WORDS:
+        if self.words.nbytes + self.parts.nbytes > CACHE_BYTES:
             self._clear()
         words = pc.ascii_split_whitespace(pa.array(texts, pa.large_string()))
-        coded = words.values.dictionary_encode()
-        different = coded.dictionary
-        place = np.fromiter(map(self.words.get, different.to_pylist(), repeat(-1)), np.int64, len(different))
-        missing = np.flatnonzero(place < 0)
-        if len(missing):
-            place[missing] = len(self.words) + np.arange(len(missing))
-            self._learn(different.take(pa.array(missing)))
-        found = self.pool.take(pa.array(place[coded.indices.to_numpy()]))
+        found = self.words.of(words.values, self._learn)
         _, ends, data = found.buffers()
         ids = np.frombuffer(data, "<u4") if data else np.zeros(0, "<u4")
         bounds = np.frombuffer(ends, np.int64)[words.offsets.to_numpy()] // 4
         return [ids[a:b] for a, b in zip(bounds[:-1], bounds[1:])]
 
 
-def worker_encoder(path: str | None) -> Encoder:
-    """The encoder of this Python worker: tasks that run in it one after another share what it has learned."""
-    import sys
-    import types
-
-    held = sys.modules.setdefault("_worker_encoders", types.ModuleType("_worker_encoders")).__dict__
-    if path not in held:
-        held[path] = Encoder(path)
-    return held[path]
-
-
 def _runs(texts: list[str]) -> Iterator[slice]:
     first, held = 0, 0
     for i, t in enumerate(texts):
@@ -152,7 +171,7 @@ def tokenize_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
 
     def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = worker_encoder(tokenizer)
+        encoder = Encoder(tokenizer)
         for pdf in batches:
             keys, texts = pdf["id"].tolist(), [t or "" for t in pdf["text"]]
             for run in _runs(texts):
