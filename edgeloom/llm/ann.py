@@ -6,6 +6,8 @@ cells seen hold enough entries; these entries are then scored exactly.
 
 The inner product is turned into a distance by one more coordinate in the second half,
 ``sqrt(M^2 - |x|^2)`` for entries and 0 for queries, so vectors need not be normalised.
+The index works on vectors divided by the largest norm, so that M is 1 and nothing
+overflows; scores are of the vectors as they are.
 
 The codebooks are fitted on at most ``SAMPLE`` rows.  On the same rows the share of the
 table that a query has to visit for a recall of ``TARGET`` is measured; in a sample the
@@ -21,14 +23,16 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import materialize, table
 
-CELLS = 64  #: centroids per half
+CELLS = 64  #: centroids per half at least; there are more for tables of more than CELLS ** 2 * PER_CELL rows
+MOST_CELLS = 1_024  #: centroids per half at most
+PER_CELL = 12  #: entries of a cell aimed at
 SAMPLE = 16_384  #: most rows that codebooks and the visited share are fitted on
 PROBES = 256  #: sample rows that serve as queries there
 TARGET = 0.95  #: recall aimed at
@@ -103,12 +107,13 @@ def measured_share(books: Codebooks, sample: np.ndarray, k: int, target: float,
     cells = books.cell(sample)
     sizes = np.bincount(cells, minlength=books.k**2)
     a, b = books.distances(q, query=True)
-    order = np.argsort((a[:, :, None] + b[:, None, :]).reshape(len(q), -1), axis=1, kind="stable")
-    place = np.empty_like(order)
-    np.put_along_axis(place, order, np.broadcast_to(np.arange(order.shape[1]), order.shape), axis=1)
-    seen = np.cumsum(sizes[order], axis=1)
-    need = np.take_along_axis(seen, np.take_along_axis(place, cells[best], axis=1), axis=1)
-    return min(1.0, float(np.quantile(need, target)) / n)
+    need = []
+    for i in range(len(q)):
+        order = np.argsort((a[i][:, None] + b[i][None, :]).ravel(), kind="stable")
+        seen = np.empty(len(order), np.int64)
+        seen[order] = np.cumsum(sizes[order])
+        need.append(seen[cells[best[i]]])
+    return min(1.0, float(np.quantile(np.concatenate(need), target)) / n)
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -124,22 +129,29 @@ def usable(vectors: DataFrame, vec_col: str) -> DataFrame:
     return vectors.filter(F.col(vec_col).isNotNull() & ~bad).filter(some)
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", cells: int = CELLS, target: float = TARGET) -> DataFrame:
+def norm(v: Column) -> Column:
+    """Length of a vector; no square of a large component overflows."""
+    top = F.array_max(F.transform(v, F.abs))
+    return top * F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + (x / top) * (x / top)))
+
+
+def search(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", cells: int | None = None, target: float = TARGET) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's ``k`` nearest found by inner product.
 
     ``queries`` has the columns of ``vectors``; a row with the query's id is not its own
     neighbour.  Unusable vectors, null ids and vectors of another width than most take no
-    part; ties go to the smaller id; identical rows count once; of several queries with one
-    id the smallest vector asks; fewer candidates than ``k``
-    give fewer rows, and an empty table none.  Other columns are ignored.
+    part; ties go to the smaller id; identical rows count once, different vectors of one id
+    each; of several queries with one id the smallest vector asks; fewer candidates than ``k``
+    give fewer rows, and an empty table none.  A product that overflows to both infinities
+    is NaN and comes last.  Other columns are ignored.
     """
     spark = vectors.sparkSession
     pick = [F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v")]
-    rows = usable(vectors.select(*pick).filter("id is not null"), "v")
+    rows = usable(vectors.select(*pick).filter("id is not null"), "v").distinct()
     asked = usable(queries.select(*pick).filter("id is not null"), "v")
     result = T.StructType([T.StructField("query_id", T.LongType()), T.StructField("rank", T.IntegerType()), T.StructField("vec_id", T.LongType()), T.StructField("score", T.DoubleType())])
-    about = rows.agg(F.count("*"), F.mode(F.size("v")), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))).first()
-    n, width, square = about
+    rows = materialize(rows, "ann-rows")
+    n, width, longest = rows.agg(F.count("*"), F.mode(F.size("v")), F.max(norm(F.col("v")))).first()
     if not n or not width:
         return spark.createDataFrame([], result)
     rows, asked = rows.filter(F.size("v") == width), asked.filter(F.size("v") == width)
@@ -148,9 +160,10 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "v
     share = min(1.0, 1.5 * SAMPLE / n)
     near = rows if share >= 1 else rows.filter(F.pmod(hashed, F.lit(1_000_000)) < int(share * 1_000_000))
     sample = np.array([r[0] for r in near.orderBy(hashed, "id").limit(SAMPLE).select("v").collect()], np.float64)
-    if width < 2:
-        sample = sample.reshape(len(sample), -1)
-    books = Codebooks(sample, math.sqrt(square), min(cells, max(1, len(sample) // 4)))
+    scale = min(longest, 1e308)
+    sample = sample.reshape(len(sample), -1) / scale
+    cells = cells or min(MOST_CELLS, max(CELLS, math.isqrt(n // PER_CELL)))
+    books = Codebooks(sample, 1.0, min(cells, max(1, len(sample) // 4)))
     enough = max(LEAST, math.ceil(measured_share(books, sample, k, target) * n))
     n_cells = books.k**2
 
@@ -159,7 +172,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "v
         for b in batches:
             if b.num_rows:
                 x = _matrix(b.column("v"))
-                yield pa.RecordBatch.from_arrays([b.column("id"), b.column("v"), pa.array(books.cell(x).astype(np.int32)), pa.array(np.arange(turn, turn + len(x), dtype=np.int64))], ["id", "v", "cell", "turn"])
+                yield pa.RecordBatch.from_arrays([b.column("id"), b.column("v"), pa.array(books.cell(x / scale).astype(np.int32)), pa.array(np.arange(turn, turn + len(x), dtype=np.int64))], ["id", "v", "cell", "turn"])
                 turn += len(x)
 
     entries = materialize(rows.mapInArrow(assign, "id long, v array<double>, cell int, turn long"), "ann-entries")
@@ -177,31 +190,29 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "v
             if held + size > SHARD_ROWS:
                 shard, held = shard + 1, 0
             shard_of[cell], held = shard, held + size
-    blocks = max(1, math.ceil(asked.count() / QUERY_ROWS))
 
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             cell = b.column("cell").to_numpy()
             to = shard_of[cell] + b.column("turn").to_numpy() % parts[cell]
-            for block in range(blocks):
-                yield pa.RecordBatch.from_arrays([pa.array(to.astype(np.int32)), pa.array(np.full(len(cell), block, np.int32)), b.column("id"), b.column("v"), b.column("cell")], ["shard", "block", "id", "v", "cell"])
+            yield pa.RecordBatch.from_arrays([pa.array(to.astype(np.int32)), b.column("id"), b.column("v"), b.column("cell")], ["shard", "id", "v", "cell"])
 
-    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
+    def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             if not len(pdf):
                 continue
             x = np.array(pdf["v"].tolist(), np.float64).reshape(len(pdf), -1)
-            a, b = books.distances(x, query=True)
+            a, b = books.distances(x / scale, query=True)
             out = []
-            for i, (key, block) in enumerate(zip(pdf["id"], pdf["block"])):
+            for i, key in enumerate(pdf["id"]):
                 seen = walk(a[i], b[i], sizes, enough)
                 split = seen[parts[seen] > 1]
                 for s in np.unique(shard_of[seen]):
-                    out.append((int(s), block, key, pdf["v"].iat[i], seen[shard_of[seen] == s]))
+                    out.append((int(s), key, pdf["v"].iat[i], seen[shard_of[seen] == s]))
                 for cell in split:
                     for p in range(1, int(parts[cell])):
-                        out.append((int(shard_of[cell]) + p, block, key, pdf["v"].iat[i], np.array([cell], np.int32)))
-            yield pd.DataFrame(out, columns=["shard", "block", "id", "v", "cells"])
+                        out.append((int(shard_of[cell]) + p, key, pdf["v"].iat[i], np.array([cell], np.int32)))
+            yield pd.DataFrame(out, columns=["shard", "id", "v", "cells"])
 
     def score(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         empty = pd.DataFrame({"query_id": pd.Series(dtype="int64"), "ids": pd.Series(dtype=object), "scores": pd.Series(dtype=object)})
@@ -210,6 +221,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "v
         left = left.sort_values("cell", kind="stable")
         x, ids, cell = np.array(left["v"].tolist(), np.float64), left["id"].to_numpy(), left["cell"].to_numpy()
         q, keys = np.array(right["v"].tolist(), np.float64), right["id"].to_numpy()
+        xs, qs = x / scale, q / scale
+        blur = 4 * q.shape[1] * np.finfo(float).eps * np.sqrt((qs * qs).sum(1))  # of a product in another order of summing
         here = np.unique(cell)
         begin, end = np.searchsorted(cell, here), np.searchsorted(cell, here, side="right")
         visits = np.zeros((len(q), len(here)), bool)
@@ -221,25 +234,29 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "v
             for c in range(len(here)):
                 on = np.flatnonzero(visits[lo : lo + 256, c])
                 if len(on):
-                    s[on, begin[c] : end[c]] = q[lo + on] @ x[begin[c] : end[c]].T
+                    s[on, begin[c] : end[c]] = qs[lo + on] @ xs[begin[c] : end[c]].T
             s[ids[None, :] == keys[lo : lo + 256, None]] = -np.inf
             for i in range(len(s)):
                 line = s[i]
                 least = np.partition(line, len(line) - k)[len(line) - k] if len(line) > k else -np.inf
-                on = np.flatnonzero((line >= least - 1e-9) & (line > -np.inf))
+                on = np.flatnonzero((line >= least - blur[lo + i]) & (line > -np.inf))
                 if len(on):
-                    exact = (x[on] * q[lo + i]).sum(1)  # the same sum for equal vectors, wherever they stand
-                    first = np.lexsort((ids[on], -exact))[:k]
+                    with np.errstate(over="ignore", invalid="ignore"):
+                        exact = (x[on] * q[lo + i]).sum(1)  # the same sum for equal vectors, wherever they stand
+                    first = np.lexsort((ids[on], -np.where(np.isnan(exact), -np.inf, exact)))[:k]
                     out.append((keys[lo + i], ids[on][first], exact[first]))
         return pd.DataFrame(out, columns=["query_id", "ids", "scores"]) if out else empty
 
-    dealt = entries.mapInArrow(deal, "shard int, block int, id long, v array<double>, cell int")
-    asked = asked.groupBy("id").agg(F.min("v").alias("v")).withColumn("block", F.pmod(hashed, F.lit(blocks)).cast("int"))
-    routed = asked.repartition(F.col("id")).mapInPandas(route, "shard int, block int, id long, v array<double>, cells array<int>")
+    # A shard's queries are cut into blocks of at most about QUERY_ROWS, and its entries go to each of them.
+    asked = asked.groupBy("id").agg(F.min("v").alias("v"))
+    routed = materialize(asked.repartition(F.col("id")).mapInPandas(route, "shard int, id long, v array<double>, cells array<int>"), "ann-routed")
+    visits = routed.groupBy("shard").agg(F.ceil(F.count("*") / F.lit(QUERY_ROWS)).cast("int").alias("blocks"))
+    placed = entries.mapInArrow(place, "shard int, id long, v array<double>, cell int").join(visits, "shard")
+    dealt = placed.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+    routed = routed.join(visits, "shard").withColumn("block", F.pmod(hashed, "blocks").cast("int")).drop("blocks")
     found = dealt.groupBy("shard", "block").cogroup(routed.groupBy("shard", "block")).applyInPandas(score, "query_id long, ids array<long>, scores array<double>")
     pairs = found.select("query_id", F.explode(F.arrays_zip("ids", "scores")).alias("x")).select("query_id", F.col("x.ids").alias("vec_id"), F.col("x.scores").alias("score"))
-    pairs = pairs.dropDuplicates(["query_id", "vec_id", "score"])  # identical rows may lie in two shards
-    best = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    best = W.partitionBy("query_id").orderBy(F.desc(F.nanvl("score", F.lit(float("-inf")))), "vec_id")
     return pairs.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
