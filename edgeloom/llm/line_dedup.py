@@ -18,6 +18,7 @@ from .common import materialize, table
 MIN_SITES = 5
 LG_K = 12  #: sketches of 4096 registers: 1.6 % standard error
 NEAR = 0.1  #: estimates within this share of the threshold (one site at least) are counted exactly
+SALT = 16  #: a line on many rows meets its verdict in as many parts
 BLANKS = " \t\n\r\x0b\x0c"
 
 
@@ -25,6 +26,13 @@ def _lines(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
 
+def _without(parts: Column, gone: Column) -> Column:
+    """``parts`` without the places ``gone`` (ascending, from 0): the runs between them, in linear time."""
+    ends = F.concat(F.array(F.lit(-1)), gone, F.array(F.size(parts)))
+    run = lambda i: F.slice(parts, F.get(ends, i) + 2, F.get(ends, i + 1) - F.get(ends, i) - 1)
+    return F.flatten(F.transform(F.sequence(F.lit(0), F.size(gone)), run))
+
+
 def boilerplate(lines: DataFrame, min_sites: int) -> DataFrame:
     """(k1, k2, first): line keys on at least ``min_sites`` sites, and their first occurrence.
 
@@ -55,11 +63,13 @@ def strip_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     lines = rows.select("id", "h", "site", F.posexplode(_lines(F.col("text"))).alias("pos", "line")).withColumn("line", line).filter(F.col("line") != "")
     lines = lines.select("site", F.xxhash64("line").alias("k1"), F.hash("line").alias("k2"), F.struct(F.col("id").isNull().alias("none"), "id", "h", "pos").alias("at"))
     lines = materialize(lines, "lines")
-    gone = lines.join(boilerplate(lines, min_sites), ["k1", "k2"]).filter(F.col("at") != F.col("first"))
-    gone = gone.groupBy(F.col("at.id").alias("gone_id"), F.col("at.h").alias("gone_h")).agg(F.collect_set("at.pos").alias("gone"))
+    verdicts = boilerplate(lines, min_sites).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    salted = lines.withColumn("salt", F.pmod(F.hash("at.h"), F.lit(SALT)))
+    gone = salted.join(verdicts, ["k1", "k2", "salt"]).filter(F.col("at") != F.col("first"))
+    gone = gone.groupBy(F.col("at.id").alias("gone_id"), F.col("at.h").alias("gone_h")).agg(F.array_sort(F.collect_set("at.pos")).alias("gone"))
     out = rows.join(gone, F.col("id").eqNullSafe(F.col("gone_id")) & (F.col("h") == F.col("gone_h")), "left")
     parts = _lines(F.col("text"))
-    left = F.array_join(F.filter(parts, lambda x, i: ~F.array_contains("gone", i)), "\n")
+    left = F.array_join(_without(parts, F.col("gone")), "\n")
     return out.select(
         "row",
         F.when(F.col("gone").isNull(), F.col("text")).otherwise(left).alias("text"),

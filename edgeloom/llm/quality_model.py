@@ -7,6 +7,10 @@
    path's to its host's; the prior strengths come from the spread between sites by the
    method of moments, so sparse sites move least.
 3. A document's log odds are its evidence plus how far its path is from the global mean.
+   The means that it is scored by leave out what it brought itself, so that its evidence
+   counts once.
+
+The table of documents has no paths; there the language stands in for the level below a host.
 """
 
 from __future__ import annotations
@@ -20,6 +24,7 @@ from .common import materialize, table
 from .quality_rules import measure
 
 SAMPLE = 20_000  #: most labelled rows that the classifier is fitted on
+SALT = 16  #: rows of a large site meet its sums in as many parts
 CERTAIN = 0.999  #: evidence is kept off 0 and 1 by as much
 FEATURES = (
     "ln(1 + m.n_words)",
@@ -70,9 +75,14 @@ def _strength(groups: DataFrame, mean: Column) -> float:
     return float(min(1000.0, max(2.0, got["w"] / got["b"] - 1)))
 
 
+def _posterior(good: Column, n: Column, strength: Column, prior: Column) -> Column:
+    return (good + strength * prior) / (n + strength)
+
+
 def grade(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", path_col: str = "lang", label_col: str = "quality", cutoff: float = 0.5) -> DataFrame:
     """(id, evidence, host_mean, path_mean, score, kept) for each row of ``docs``.
 
+    Both means leave out the row itself: a site of one row has its prior's mean.
     Null hosts and paths are sites of their own; null labels and labels of null ids are
     left out and several labels of an id are averaged.  A null or empty text has no words
     and gets the evidence of that.  Repeated rows are rows; other columns are ignored.
@@ -89,11 +99,14 @@ def grade(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     total = paths.agg(F.sum("good") / F.sum("n")).first()[0]
     mean = F.lit(0.5 if total is None else float(total))
     s_host = F.lit(_strength(hosts, mean))
-    hosts = hosts.select("host", ((F.col("good") + s_host * mean) / (F.col("n") + s_host)).alias("host_mean"))
-    paths = paths.join(hosts, "host")
+    shrunk = hosts.select("host", F.col("n").alias("host_n"), F.col("good").alias("host_good"), _posterior(F.col("good"), F.col("n"), s_host, mean).alias("host_mean"))
+    paths = paths.join(shrunk, "host")
     s_path = F.lit(_strength(paths, F.col("host_mean")))
-    paths = paths.select("host", "path", "host_mean", ((F.col("good") + s_path * F.col("host_mean")) / (F.col("n") + s_path)).alias("path_mean"))
-    out = rows.join(paths, ["host", "path"])
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALT - 1)))
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64("id", "evidence"), F.lit(SALT)).cast("int"))
+    out = salted.join(paths.withColumn("salt", salts), ["host", "path", "salt"])
+    out = out.withColumn("host_mean", _posterior(F.col("host_good") - soft, F.col("host_n") - 1, s_host, mean))
+    out = out.withColumn("path_mean", _posterior(F.col("good") - soft, F.col("n") - 1, s_path, F.col("host_mean")))
     odds = logit(F.col("evidence")) + logit(F.col("path_mean")) - logit(mean)
     score = F.lit(1.0) / (F.lit(1.0) + F.exp(-odds))
     return out.select("id", "evidence", "host_mean", "path_mean", score.alias("score"), (score >= cutoff).alias("kept"))

@@ -1,22 +1,24 @@
 """Quality rules kept as a ledger of bitmasks.
 
-Every rule is evaluated once per document.  The ledger stores the measurements and one
-bit per failed rule; policies are versioned masks over those bits, so a new policy or
-an ablation reads the ledger and never a text.
+Every rule is evaluated once per document.  The ledger is written down with the
+measurements and one bit per failed rule, keyed by the version of the rule set; policies
+are versioned masks over those bits, so a new policy or an ablation reads the ledger and
+never a text.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table
+from .common import shared_path, table
 
 SPACES = " \t\n\r\x0b\x0c"
 SYMBOLS = "#*$%&|<>"
@@ -35,6 +37,7 @@ RULES = (
     ("no_letters", "n_letters = 0"),
     ("giant_word", "max_word_chars > 1000"),
 )
+RULE_SET = f"{zlib.crc32(repr(RULES).encode()):08x}"  #: version of the rule set
 BASE_RULES = ("few_words", "repeated_windows")
 
 
@@ -106,7 +109,9 @@ def _measure_block(texts: list[str]) -> np.ndarray:
         rows[i, 3], rows[i, 4] = lines, lines - len(known)
         rows[i, 6] = capitals + np.count_nonzero((low >= 97) & (low <= 122)) + np.count_nonzero(points > 0xBF)
         rows[i, 7], rows[i, 8] = capitals, t.count("!")
-        rows[i, 9] = max(map(len, words[i]), default=0)
+        for c in SPACES[1:]:
+            t = t.replace(c, " ")
+        rows[i, 9] = max(map(len, t.split(" ")))
     return rows
 
 
@@ -145,6 +150,18 @@ def build_ledger(docs: DataFrame, text_col: str = "text", keep: Sequence[str] |
     return out.select("row", "m", failed.alias("failed"))
 
 
+def write_ledger(docs: DataFrame, path: str, **options) -> DataFrame:
+    """Evaluate the rules once and write the ledger below ``path``, in the folder of the rule
+    set's version; returns what was written.  A ledger of that version that exists is replaced."""
+    build_ledger(docs, **options).write.mode("overwrite").parquet(f"{path}/rules={RULE_SET}")
+    return read_ledger(docs.sparkSession, path)
+
+
+def read_ledger(spark: SparkSession, path: str, rule_set: str = RULE_SET) -> DataFrame:
+    """The ledger that was written below ``path`` with a version of the rule set."""
+    return spark.read.parquet(f"{path}/rules={rule_set}")
+
+
 def _over_m(rule: str) -> str:
     return " ".join(f"m.{w}" if "_" in w else w for w in rule.split())
 
@@ -176,7 +193,8 @@ def ablate(ledger: DataFrame, policy: Policy, by: Column | None = None) -> DataF
 
 
 def op3_rule_ledger(spark, sf_dir: str) -> DataFrame:
-    ledger = apply_policy(build_ledger(table(spark, sf_dir, "documents"), keep=["doc_id"]), POLICIES["v2"])
+    ledger = write_ledger(table(spark, sf_dir, "documents"), shared_path(spark, "ledger"), keep=["doc_id"])
+    ledger = apply_policy(ledger, POLICIES["v2"])
     base = F.col("failed").bitwiseAND(F.lit(mask_of(BASE_RULES))) != 0
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     return ledger.select(F.col("row.doc_id").alias("doc_id"), *[F.col(f"m.{n}").alias(n) for n in names], base.alias("base_failed"), "kept", "failed", "policy")
