@@ -60,6 +60,47 @@ def test_search_leaves_out_what_has_no_direction(spark):
     assert ann.search(v.limit(0), v.limit(0)).count() == 0
 
 
+def test_search_counts_repeated_rows_once_and_keeps_ties(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, rng.normal(size=6).tolist(), "x") for i in range(60)] * 3 + [(100 + i, [1.0] * 6, "y") for i in range(50)]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>, score string").repartition(5)
+    got = {}
+    for r in ann.search(v, v.filter("vec_id % 20 = 0")).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    x = {i: e for i, e, _ in rows}
+    for q, found in got.items():
+        score = {i: sum(np.array(e) * np.array(x[q])) for i, e in x.items() if i != q}
+        assert found == sorted(score, key=lambda i: (-round(score[i], 12), i))[:20]
+    assert sorted(got) == [0, 20, 40, 100, 120, 140]
+
+
+def test_search_of_huge_and_tiny_vectors(spark):
+    rows = [(0, [1e200, 1e200]), (1, [3e200, 0.0]), (2, [-1e200, 5e199]), (3, [1e-200, 1e-200]), (4, [1e308, -1e308])]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [r.vec_id for r in ann.search(v, v.filter("vec_id = 0")).orderBy("rank").collect()]
+    assert got == [1, 3, 2, 4]
+
+
+def test_recall_where_the_index_prunes(spark, monkeypatch):
+    """20,000 vectors about 200 centres, one of which has a third of them; queries visit a part only."""
+    monkeypatch.setattr(ann, "LEAST", 100)
+    rng = np.random.default_rng(4)
+    centre = np.where(rng.random(20_000) < 0.33, 0, rng.integers(0, 200, 20_000))
+    x = (rng.normal(size=(200, 16))[centre] + 0.3 * rng.normal(size=(20_000, 16))).round(6)
+    v = spark.createDataFrame([(i, e.tolist()) for i, e in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann.search(v, v.filter("vec_id % 200 = 0")).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    hits = 0
+    for q in range(0, 20_000, 200):
+        score = x @ x[q]
+        score[q] = -np.inf
+        hits += len(got[q] & set(np.argsort(-score)[:20].tolist()))
+    assert len(got) == 100 and hits / 2_000 >= 0.9
+    books = ann.Codebooks(x[:8_000], float(np.sqrt((x * x).sum(1)).max()))
+    assert ann.measured_share(books, x[:8_000], 20, 0.95) < 0.9
+
+
 def test_near_duplicates_are_those_of_brute_force(spark, sf_dir):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
     got = {r.doc_id: r.class_id for r in near_dedup.op2_probminhash_dedup(spark, sf_dir).collect()}
@@ -180,12 +221,22 @@ def test_rules_on_odd_rows(spark, odd):
     assert quality_rules.build_ledger(odd.limit(0)).count() == 0
 
 
+def test_a_written_ledger_answers_without_texts(spark):
+    from edgeloom.llm.common import shared_path
+
+    docs = spark.createDataFrame([(1, "ÄÖÜ ß wörter"), (2, "a\tbcd\x0befg")], "doc_id long, text string")
+    path = shared_path(spark, "ledger")
+    ledger = quality_rules.write_ledger(docs, path, keep=["doc_id"])
+    assert {r.row.doc_id: r.m.max_word_chars for r in ledger.collect()} == {1: 6, 2: 3}
+    again = quality_rules.read_ledger(spark, path)
+    assert again.columns == ledger.columns and quality_rules.apply_policy(again, quality_rules.POLICIES["v1"]).filter("not kept").count() == 2
+
+
 def test_packing_round_trip(spark, sf_dir):
     from tokenizers import Tokenizer
     import public_tokenizers
 
     tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    tokenizer.encode_special_tokens = True
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     rows = packing.op4_grouping_ga_packing(spark, sf_dir).collect()
     by_doc, by_sequence = {}, {}
@@ -210,6 +261,29 @@ def test_packing_round_trip(spark, sf_dir):
     assert len(by_sequence) <= least + max(2, least // 50)
 
 
+def test_ids_are_those_of_the_tokenizer():
+    """Words that lower case, composition, special tokens or rare letters make awkward."""
+    encoder = packing.Encoder(None)
+    rng = random.Random(3)
+    letters = list("abcdefgXYZ") + list("İıſßΣσςéÉñÑüÜąŻ½²①Ⅷ中文日本語ªºʰ.,!?;:'\"- \n\t\u00a0\u0301\u0307\u0327ﬁẞǅ각\u1100\u1161\u11a8اאक\u094dⒶ𝐀𐐀😀\u200d\u212b\u2126\x00\x1c\x85") + ["<|endoftext|>", "<|startoftext|>", "'s", "'re"]
+    some = lambda: rng.choice(letters) if rng.random() < 0.7 else chr(rng.choice([rng.randrange(0x20, 0x3000), rng.randrange(0xE000, 0x1F000)]))
+    texts = ["".join(some() for _ in range(rng.randint(0, 14))) for _ in range(50_000)]
+    texts += ["İ?", "a İ? b", "<|endoftext|>", "x<|endoftext|>.", "", "ΣΑΣ. ΣΑΣ"]
+    want = encoder.tokenizer.encode_batch(texts, add_special_tokens=False)
+    for first in range(0, len(texts), 10_000):
+        for t, got, w in zip(texts[first:], encoder.encode(texts[first : first + 10_000]), want[first:]):
+            assert got.tolist() == w.ids, ascii(t)
+
+
+def test_encoder_forgets_at_its_bound(monkeypatch):
+    monkeypatch.setattr(packing, "CACHE_BYTES", 20_000)
+    encoder = packing.Encoder(None)
+    for i in range(20):
+        texts = [" ".join(f"w{i}x{k}." for k in range(100))]
+        assert encoder.encode(texts)[0].tolist() == encoder.tokenizer.encode(texts[0], add_special_tokens=False).ids
+        assert encoder.words.nbytes + encoder.parts.nbytes < 40_000
+
+
 def test_packing_odd_rows(spark, odd):
     out = packing.pack_documents(odd)
     assert out.filter("piece = 0").count() == odd.count()
@@ -233,11 +307,65 @@ def test_shards_keep_all_rows_and_versions(spark, odd):
     assert store.compact() >= 1 and len(store.runs()) < 5
     assert store.read().count() == 5 * odd.count() == store.read(before).count()
     with pytest.raises(sharding.Conflict):
-        store.commit(store.versions()[-1], store.runs())
-    store.vacuum()
+        store.commit(store.versions()[-1], store.runs(), store.schema())
+    store.vacuum(keep=1)
     assert len(store.versions()) == 1 and store.read().exceptAll(odd).count() == 4 * odd.count()
 
 
+def test_shards_keep_columns_of_changed_arrivals(spark):
+    store = sharding.ShardStore(spark, shared_path(spark, "store"), fanout=2)
+    store.append(spark.createDataFrame([(1, "a", 0.5)], "id long, t string, more double"))
+    store.append(spark.createDataFrame([(2, "b")], "id long, t string"))
+    store.append(spark.createDataFrame([(3, "c")], "other long, t string"))
+    want = {(1, "a", 0.5, None), (2, "b", None, None), (None, "c", None, 3)}
+    assert {tuple(r) for r in store.read().collect()} == want
+    assert store.compact() >= 1 and {tuple(r) for r in store.read().collect()} == want
+    for clash in ("id string", "ID long"):
+        with pytest.raises(ValueError):
+            store.append(spark.createDataFrame([], clash))
+
+
+def test_of_racing_writers_one_wins(spark):
+    from concurrent.futures import ThreadPoolExecutor
+
+    stores = [sharding.ShardStore(spark, shared_path(spark, "race"))]
+    stores += [sharding.ShardStore(spark, stores[0].path) for _ in range(7)]
+    schema = sharding.union_schema(None, spark.range(1).schema)
+
+    def commit(i):
+        try:
+            stores[i].commit(1, [sharding.Run(f"run{i}", (), 0, 0)], schema)
+            return i
+        except sharding.Conflict:
+            return None
+
+    with ThreadPoolExecutor(8) as pool:
+        won = [i for i in pool.map(commit, range(8)) if i is not None]
+    assert len(won) == 1 and [r.path for r in stores[0].runs(1)] == [f"run{won[0]}"]
+
+
+def test_vacuum_removes_old_orphans_only(spark):
+    import os
+    import time
+
+    store = sharding.ShardStore(spark, shared_path(spark, "store"))
+    store.append(spark.range(5).toDF("id"))
+    for _ in range(2):
+        store._write(spark.range(3).toDF("id"))  # writers that died before their commit
+    folder = store.path.removeprefix("file://") + "/runs"
+    dead = [f for f in os.listdir(folder) if f not in store.runs()[0].path]
+    os.utime(f"{folder}/{dead[0]}", (time.time() - 90_000,) * 2)
+    store.vacuum()
+    assert set(os.listdir(folder)) == {dead[1], store.runs()[0].path.rsplit("/", 1)[1]} and store.read().count() == 5
+
+
+def test_tiered_query_keeps_every_row(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "n_chars", "source", F.xxhash64("text").alias("text_hash"))
+    got = sharding.op6_tiered_shards(spark, sf_dir)
+    assert got.select(docs.columns).exceptAll(docs).count() == 0 == docs.exceptAll(got.select(docs.columns)).count()
+    assert got.filter("run_id = '' or shard is null").count() == 0 and got.select("run_id").distinct().count() < 8
+
+
 def test_language_on_held_out_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = language_id.op7_kneser_ney_langid(spark, "/root/testdata/sf0.01").join(docs, "doc_id").filter("held_out and lang is not null and lang_pred <> 'und'")
@@ -249,11 +377,11 @@ def test_language_rejects_what_is_none(spark):
     rng = random.Random(5)
     text = lambda a: " ".join("".join(rng.choice(a) for _ in range(6)) for _ in range(80))
     rows = [(i, text("aeiou" if i % 2 else "bcdfg"), "v" if i % 2 else "c") for i in range(60)]
-    rows += [(90, text("ÆØÅþð"), None), (91, None, "v"), (92, "12 34", "c"), (None, text("aeiou"), None)]
+    rows += [(90, text("ÆØÅþð"), None), (91, None, "v"), (92, "12 34", "c"), (93, "½ ² ① Ⅷ", "c"), (None, text("aeiou"), None)]
     out = {r.row.doc_id: r for r in language_id.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
     assert all(out[i].lang_pred == ("v" if i % 2 else "c") and out[i].accepted for i in range(60))
     assert not out[90].accepted and out[None].lang_pred == "v"
-    assert out[91].lang_pred == out[92].lang_pred == "und" and out[91].score == 0
+    assert out[91].lang_pred == out[92].lang_pred == out[93].lang_pred == "und" and out[91].score == 0
     nothing = language_id.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("lang", F.lit(None).cast("string")))
     assert {r.lang_pred for r in nothing.collect()} == {"und"}
 
@@ -267,6 +395,69 @@ def test_quality_shrinks_sparse_sites(spark):
     assert got.count() == 202
 
 
+def _graded(evidence, label, host, path):
+    """Scores by plain sums, with the strengths by the method of moments."""
+    soft = [e if y is None else y for e, y in zip(evidence, label)]
+
+    def sums(keys):
+        out = {}
+        for k, x in zip(keys, soft):
+            n, good = out.get(k, (0, 0.0))
+            out[k] = n + 1, good + x
+        return out
+
+    def strength(groups, mean_of):
+        b, w = [], []
+        for k, (n, good) in groups.items():
+            if n >= 2:
+                rate, m = good / n, mean_of(k)
+                b.append((rate - m) ** 2 - rate * (1 - rate) / max(n - 1, 1))
+                w.append(m * (1 - m))
+        if not b or sum(b) <= 0:
+            return 1000.0
+        return min(1000.0, max(2.0, sum(w) / sum(b) - 1))
+
+    mean, hosts, paths = sum(soft) / len(soft), sums(host), sums(list(zip(host, path)))
+    sh = strength(hosts, lambda k: mean)
+    shrunk = {k: (good + sh * mean) / (n + sh) for k, (n, good) in hosts.items()}
+    sp = strength(paths, lambda k: shrunk[k[0]])
+    logit = lambda p: np.log(min(max(p, 0.001), 0.999) / (1 - min(max(p, 0.001), 0.999)))
+    out = []
+    for e, x, h, p in zip(evidence, soft, host, path):
+        (n, good), (pn, pgood) = hosts[h], paths[h, p]
+        hm = (good - x + sh * mean) / (n - 1 + sh)
+        pm = (pgood - x + sp * hm) / (pn - 1 + sp)
+        out.append((hm, pm, 1 / (1 + np.exp(-(logit(e) + logit(pm) - logit(mean))))))
+    return out
+
+
+def test_quality_posteriors_are_those_of_plain_sums(spark):
+    rng = random.Random(8)
+    rows = [(i, rng.choice([None, "", "!! ## " * rng.randint(1, 60), " ".join(f"w{rng.randrange(50)}" for _ in range(rng.randint(1, 90)))]), rng.choice(["a", "b", None]), rng.choice(["x", "x", "x", "y", None, f"s{i}"]), "p", 0.5) for i in range(300)]
+    labels = [(i, float(rng.random() < 0.6)) for i in range(0, 300, 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, path string, score double")
+    got = sorted(quality_model.grade(docs, spark.createDataFrame(labels, "doc_id long, quality double")).collect(), key=lambda r: r.id)
+    known = dict(labels)
+    want = _graded([r.evidence for r in got], [known.get(r.id) for r in got], [r[3] for r in rows], [r[2] for r in rows])
+    assert [(r.host_mean, r.path_mean, r.score) for r in got] == [pytest.approx(w, abs=1e-9) for w in want]
+    twice = quality_model.grade(docs.union(docs.filter("doc_id < 5")), spark.createDataFrame(labels, "doc_id long, quality double"))
+    assert twice.count() == 305
+    assert quality_model.grade(docs.limit(0), spark.createDataFrame(labels, "doc_id long, quality double")).count() == 0
+    none = quality_model.grade(docs, spark.createDataFrame([], "doc_id long, quality double")).collect()
+    assert {r.evidence for r in none} == {0.5}
+
+
+def test_quality_tells_held_out_labels(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text", "source", "lang")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet").filter("quality is not null")
+    mine = F.pmod(F.xxhash64("doc_id"), F.lit(3)) == 0
+    got = quality_model.grade(docs, labels.filter(~mine)).withColumnRenamed("id", "doc_id").join(labels.filter(mine), "doc_id").select("score", "quality").collect()
+    good, bad = ([r.score for r in got if (r.quality >= 0.5) == y] for y in (True, False))
+    wins = np.mean([(g > b) + 0.5 * (g == b) for g in good for b in bad])
+    print("held-out AUC", wins, len(good), len(bad))
+    assert wins > 0.5
+
+
 def test_mix_meets_its_targets(spark, odd):
     plan = mixing.plan_mix(odd).collect()
     assert len(plan) == odd.count() and all(r.taken <= 3 * r.size for r in plan)
