@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import give_back, materialize, table
 from .graphs import components
 
 SHINGLE = 5
@@ -46,8 +46,8 @@ ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B1
 
 
 def content_key(text: Column) -> Column:
-    """64-bit key of a text; null for a text without words."""
-    return F.when(text.rlike(r"[^\x20\x09-\x0D]"), F.xxhash64(text))
+    """128-bit key of a text, as letters; null for a text without words."""
+    return F.when(text.rlike(r"[^\x20\x09-\x0D]"), F.base64(F.unhex(F.md5(text))))
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -121,8 +121,9 @@ def sketch_texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if held >= TEXT_CHARS or i == len(texts) - 1:
                 part = pdf.iloc[first : i + 1]
                 found = sketch(*shingles(texts[first : i + 1]), i + 1 - first)
-                yield pd.DataFrame({"id": part["id"], "node": part["node"], "sig": [s.tobytes() for s in found.astype("<u2")]})
+                yield pd.DataFrame({"id": part["id"], "key": part["key"], "sig": [s.tobytes() for s in found.astype("<u2")]})
                 first, held = i + 1, 0
+                give_back()
 
 
 def probability_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -293,31 +294,32 @@ def ordered(pairs: DataFrame) -> DataFrame:
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """(id, node, class_id, is_first) for each row of ``docs``; class_id is the least id of its class.
+    """(id, key, class_id) for each row of ``docs``; class_id is the least id of its class.
 
     Equal texts share a class whatever their number.  A null
-    text or one without words has a null node and links to nothing: its class is its own id.
+    text or one without words has a null key and links to nothing: its class is its own id.
     A class whose ids are all null has a null class_id.  Repeated rows are rows.  Ids may be
     of any orderable type; other columns are ignored.
     """
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    own = own.withColumn("node", content_key(F.col("text")))
-    texts = own.filter("node is not null")
+    own = own.withColumn("key", content_key(F.col("text")))
+    texts = own.filter("key is not null")
     kind = docs.schema[id_col].dataType.simpleString()
-    every = materialize(texts.mapInPandas(sketch_texts, f"id {kind}, node long, sig binary"), "sketches")
-    sketches = materialize(every.groupBy("node").agg(F.first("sig").alias("sig")), "contents")
+    every = materialize(texts.mapInPandas(sketch_texts, f"id {kind}, key string, sig binary"), "sketches")
+    # Contents are numbered as they are written, so that what follows joins longs.
+    contents = materialize(every.groupBy("key").agg(F.first("sig").alias("sig")).withColumn("node", F.monotonically_increasing_id()), "contents")
     bands = F.expr(f"transform(sequence(0, {REGISTERS // ROWS - 1}), i -> xxhash64(substring(sig, {BYTES * ROWS} * i + 1, {BYTES * ROWS}), i))")
-    met = materialize(sketches.select("node", F.posexplode(bands).alias("band", "bucket")), "bands")
+    met = materialize(contents.select("node", F.posexplode(bands).alias("band", "bucket")), "bands")
     sizes = met.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")
     members = materialize(met.join(sizes, "bucket"), "members")
-    some = members.select("node").distinct()
-    wanted = texts.select("node", "text").join(some, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
-    labels = link(members, materialize(sketches.join(some, "node", "left_semi"), "member-sketches"), materialize(wanted, "member-texts"), threshold)
-    rows = every.select("id", "node").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    rows = materialize(rows, "rows")
+    some = materialize(contents.join(members.select("node").distinct(), "node", "left_semi"), "member-sketches")
+    wanted = texts.select("key", "text").join(some.select("key", "node"), "key").groupBy("node").agg(F.first("text").alias("text"))
+    labels = link(members, some.select("node", "sig"), materialize(wanted, "member-texts"), threshold)
+    keyed = contents.select("key", "node").join(labels, "node", "left").select("key", F.coalesce("component", "node").alias("component"))
+    rows = materialize(every.select("id", "key").join(keyed, "key"), "rows")
     first = rows.groupBy("component").agg(F.min("id").alias("class_id"))
-    single = own.filter("node is null").select("id", F.lit(None).cast("long").alias("node"), F.col("id").alias("class_id"))
-    return rows.join(first, "component").select("id", "node", "class_id").union(single)
+    single = own.filter("key is null").select("id", F.lit(None).cast("string").alias("key"), F.col("id").alias("class_id"))
+    return rows.join(first, "component").select("id", "key", "class_id").union(single)
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -325,22 +327,22 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", th
 
     Rows without words all stay.  Columns are those of ``docs``.
     """
-    found = classes(docs, id_col, text_col, threshold).filter("node is not null")
-    chosen = found.groupBy("class_id", "node").agg(F.min("id").alias("id"))
+    found = classes(docs, id_col, text_col, threshold).filter("key is not null")
+    chosen = found.groupBy("class_id", "key").agg(F.min("id").alias("id"))
     whole = F.struct(*[F.col(c) for c in docs.columns])
-    rows = docs.select(F.col(id_col).alias("id"), content_key(F.col(text_col).cast("string")).alias("node"), whole.alias("row"))
+    rows = docs.select(F.col(id_col).alias("id"), content_key(F.col(text_col).cast("string")).alias("key"), whole.alias("row"))
     # One row per content and then, by the class, the content that holds the least id.
     rank = F.struct(F.col("id").isNull().alias("n"), F.col("id"), F.xxhash64("row").alias("h"))
-    contents = rows.filter("node is not null").groupBy("node").agg(F.min_by("row", rank).alias("row"))
-    best = chosen.groupBy("class_id").agg(F.min_by("node", F.struct(F.col("id").isNull().alias("n"), "id", "node")).alias("node"))
-    best = best.filter("class_id is not null").union(_all_null(found)).select("node")
-    kept = contents.join(best, "node", "left_semi").select("row").union(rows.filter("node is null").select("row"))
+    contents = rows.filter("key is not null").groupBy("key").agg(F.min_by("row", rank).alias("row"))
+    best = chosen.groupBy("class_id").agg(F.min_by("key", F.struct(F.col("id").isNull().alias("n"), "id", "key")).alias("key"))
+    best = best.filter("class_id is not null").union(_all_null(found)).select("key")
+    kept = contents.join(best, "key", "left_semi").select("row").union(rows.filter("key is null").select("row"))
     return kept.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def _all_null(found: DataFrame) -> DataFrame:
     """Contents of classes without any id; each stays."""
-    return found.filter("class_id is null").select("class_id", "node").distinct()
+    return found.filter("class_id is null").select("class_id", "key").distinct()
 
 
 def op2_probminhash_dedup(spark, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, table
+from .common import give_back, materialize, table
 
 CAPACITY = 2048
 BLOCK = 4096
@@ -182,6 +182,9 @@ def tokenize_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                         part = ids[start : start + capacity]
                         rows.append((key, piece, start, len(part), zlib.crc32(part.tobytes()), *([part.tolist()] if with_ids else [])))
                 yield pd.DataFrame(rows, columns=[f.name for f in schema])
+                give_back()
+        del encoder
+        give_back()
 
     schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), *PIECE, *[T.StructField("ids", T.ArrayType(T.IntegerType()))] * with_ids])
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInPandas(pieces, schema)
