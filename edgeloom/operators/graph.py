@@ -99,15 +99,18 @@ def _h_index(rows: DataFrame, key: list[str], value: str) -> DataFrame:
     return level.withColumn("least", F.least(F.col(value), upto)).groupBy(*key).agg(F.max("least").alias("h"))
 
 
-def k_core(ab: DataFrame) -> DataFrame:
-    """(node, core): iterated h-index of the neighbours' values, from the degrees to the fixpoint."""
-    adj = cut(adjacency(ab))
-    now = cut(adj.groupBy("n").agg(F.count("*").alias("core")))
+def k_core(ab: DataFrame, *keys: str) -> DataFrame:
+    """(keys, node, core): iterated h-index of the neighbours' values, from the degrees to the fixpoint.
+
+    ``keys`` name columns of ``ab`` that tell snapshots apart; all snapshots are iterated together.
+    """
+    adj = cut(adjacency(ab, *keys))
+    now = cut(adj.groupBy(*keys, "n").agg(F.count("*").alias("core")))
     while True:
-        seen = adj.join(now.select(F.col("n").alias("m"), "core"), "m")
-        new = _h_index(seen.select("n", "core"), ["n"], "core")
-        step = cut(now.join(new, "n").select("n", F.least("core", "h").cast("long").alias("next"), "core"))
-        now = step.select("n", F.col("next").alias("core"))
+        seen = adj.join(now.select(*keys, F.col("n").alias("m"), "core"), [*keys, "m"])
+        new = _h_index(seen.select(*keys, "n", "core"), [*keys, "n"], "core")
+        step = cut(now.join(new, [*keys, "n"]).select(*keys, "n", F.least("core", "h").cast("long").alias("next"), "core"))
+        now = step.select(*keys, "n", F.col("next").alias("core"))
         if step.filter("next <> core").limit(1).count() == 0:
             break
     return now.withColumnRenamed("n", "node")
@@ -143,20 +146,30 @@ def common_neighbors(queries: DataFrame, ab: DataFrame) -> DataFrame:
     return near.join(adj.select(F.col("n").alias("v"), F.col("m").alias("w")), ["v", "w"]).select("u", "v", "w")
 
 
-def second_hop(queries: DataFrame, ab: DataFrame, keep_direct: bool) -> DataFrame:
-    """(u, v, w): neighbours w of v that are two steps from u.
+def neighborhoods(queries: DataFrame, ab: DataFrame) -> DataFrame:
+    """(u, v, w, direct, two): v's neighbours w other than u, whether w is u's neighbour too, and
+    whether it is two steps from u.
 
-    With ``keep_direct`` only u itself is left out (the bridge), else also u's neighbours.
-    Walks start from v's neighbours w and ask whether any neighbour of w is one of u's, so the
-    two-step neighbourhood of u is never built.
+    The two-step set is built once per distinct u and made distinct before it meets the pairs; both
+    flags are joined on (u, w), so that the pairs' neighbourhoods are shuffled once.
     """
     adj = adjacency(ab)
     asked = queries.select("u", "v").distinct()
     near = asked.join(adj.select(F.col("n").alias("v"), F.col("m").alias("w")), "v").filter("w <> u")
-    if not keep_direct:
-        near = near.join(adj.select(F.col("n").alias("u"), F.col("m").alias("w")), ["u", "w"], "left_anti")
-    walks = near.join(adj.select(F.col("n").alias("w"), F.col("m").alias("x")), "w").join(adj.select(F.col("n").alias("u"), F.col("m").alias("x")), ["u", "x"], "left_semi")
-    return walks.select("u", "v", "w").distinct()
+    one = adj.select(F.col("n").alias("u"), F.col("m").alias("w"), F.lit(True).alias("direct"))
+    steps = asked.select("u").distinct().join(adj.select(F.col("n").alias("u"), F.col("m").alias("x")), "u")
+    two = steps.join(adj.select(F.col("n").alias("x"), F.col("m").alias("w")), "x").filter("w <> u").select("u", "w").distinct()
+    found = near.join(one, ["u", "w"], "left").join(two.withColumn("two", F.lit(True)), ["u", "w"], "left")
+    return found.select("u", "v", "w", F.col("direct").isNotNull().alias("direct"), F.col("two").isNotNull().alias("two"))
+
+
+def second_hop(queries: DataFrame, ab: DataFrame, keep_direct: bool) -> DataFrame:
+    """(u, v, w): neighbours w of v that are two steps from u.
+
+    With ``keep_direct`` only u itself is left out (the bridge), else also u's neighbours.
+    """
+    found = neighborhoods(queries, ab).filter("two")
+    return (found if keep_direct else found.filter("not direct")).select("u", "v", "w")
 
 
 # -- traces over the stream -------------------------------------------------------------

@@ -20,6 +20,90 @@ def last_k(edges: DataFrame, k: int | None) -> DataFrame:
     return interactions(edges).withColumn("hist", F.collect_list(F.struct("seq", "t", "nbr")).over(frame))
 
 
+def whole_past(edges: DataFrame) -> DataFrame:
+    """(node, nbr, seq, t, n, total, oldest): size, sum of neighbours and first neighbour of all that is
+    strictly before, as running aggregates; no prefix is copied."""
+    past = W.partitionBy("node").orderBy("seq").rowsBetween(W.unboundedPreceding, -1)
+    return interactions(edges).select("*", F.count("*").over(past).alias("n"), F.coalesce(F.sum("nbr").over(past), F.lit(0)).alias("total"), F.first("nbr").over(past).alias("oldest"))
+
+
+def uniform_draws(edges: DataFrame, k: int, stride: int = 7919, step: int = 104729) -> DataFrame:
+    """(node, seq, j, nbr): ``k`` draws with replacement from all that is strictly before.
+
+    Interactions are numbered per node and drawn places are joined on (node, place), so a draw costs
+    one row whatever the length of the past.  Draw j takes place (seq * stride + j * step) mod its length.
+    """
+    rows = interactions(edges).withColumn("place", F.row_number().over(W.partitionBy("node").orderBy("seq")) - 1)
+    asked = rows.filter("place > 0").select("node", "seq", F.col("place").alias("n"), F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("j"))
+    asked = asked.select("node", "seq", "j", ((F.col("seq") * stride + F.col("j") * step) % F.col("n")).cast("int").alias("place"))
+    return asked.join(rows.select("node", "place", "nbr"), ["node", "place"]).select("node", "seq", "j", "nbr")
+
+
+def peer_flags(values: Column, other: Column) -> Column:
+    """1 for each entry of ``values`` that is in ``other``, else 0; 0 for padding."""
+    return F.transform(values, lambda x: F.when((x != 0) & F.array_contains(other, x), F.lit(1)).otherwise(F.lit(0)))
+
+
+def mask_padding(values: Column, ids: Column) -> Column:
+    """``values`` with 0 where the id beside is padding."""
+    return F.zip_with(values, ids, lambda x, i: F.when(i == 0, F.lit(0).cast("double")).otherwise(x))
+
+
+def recent_pool(edges: DataFrame, features: DataFrame, gap: int) -> DataFrame:
+    """(node, seq, pooled): mean over the last ``gap`` places of the neighbours' ``x`` (node, x), where places
+    that have no neighbour count as 0 and softmax weights of the others are their share, so the sum is over
+    present neighbours' mean, scaled by 1 / ``gap``; the node's own x is added."""
+    h = last_k(edges, gap).select("node", "seq", F.posexplode_outer("hist.nbr").alias("place", "nbr"))
+    x = features.select(F.col("node").alias("nbr"), "x")
+    mean = h.join(x, "nbr", "left").groupBy("node", "seq").agg((F.sum(F.coalesce("x", F.lit(0.0))) / F.greatest(F.count("nbr"), F.lit(1)) / gap).alias("pool"))
+    return mean.join(features, "node", "left").select("node", "seq", (F.coalesce("pool", F.lit(0.0)) + F.coalesce("x", F.lit(0.0))).alias("pooled"))
+
+
+def multi_hop(edges: DataFrame, k: int, hops: int) -> DataFrame:
+    """(root, seq, walk): walks of up to ``hops`` steps back in time from each interaction's node.
+
+    Each step takes one of the last ``k`` interactions strictly before the one that led there; a walk
+    is an array of (nbr, seq), and every walk's prefix is a walk, too.
+    """
+    h = last_k(edges, k).select(F.col("node").alias("at"), F.col("seq").alias("at_seq"), "hist")
+    start = h.select(F.col("at").alias("root"), F.col("at_seq").alias("seq"), F.explode("hist").alias("x"))
+    level = start.select("root", "seq", F.array(F.struct("x.nbr", F.col("x.seq").alias("seq"))).alias("walk"))
+    out = level
+    for _ in range(hops - 1):
+        last = F.element_at("walk", -1)
+        level = level.select("*", last["nbr"].alias("at"), last["seq"].alias("at_seq")).join(h, ["at", "at_seq"])
+        level = level.select("root", "seq", "walk", F.explode("hist").alias("x"))
+        level = level.select("root", "seq", F.concat("walk", F.array(F.struct("x.nbr", F.col("x.seq").alias("seq")))).alias("walk"))
+        out = out.union(level)
+    return out
+
+
+def last_edges(edges: DataFrame, k: int) -> DataFrame:
+    """(node, nbr, seq, local): each node's last ``k`` interactions, an edge once per node, with nodes
+    numbered densely among those that occur (``local``)."""
+    from ..sources.edges import global_rank
+
+    latest = F.row_number().over(W.partitionBy("node").orderBy(F.desc("seq"), "nbr"))
+    held = interactions(edges).dropDuplicates(["node", "nbr", "seq"]).withColumn("r", latest).filter(F.col("r") <= k).drop("r", "t")
+    ids = held.select("node").union(held.select("nbr")).distinct()
+    local = global_rank(ids, ["node"], F.floor(F.col("node") / F.lit(8192)), "local").withColumn("local", F.col("local") - 1)
+    return held.join(local, "node")
+
+
+def hashed_sample(edges: DataFrame, k: int, salt: int = 0) -> DataFrame:
+    """(node, nbr, seq): at most ``k`` interactions of each node, drawn without replacement by an arithmetic hash."""
+    order = W.partitionBy("node").orderBy((F.col("seq") * 7919 + F.lit(salt) * 104729) % 1_000_003, "seq", "nbr")
+    return interactions(edges).withColumn("r", F.row_number().over(order)).filter(F.col("r") <= k).select("node", "nbr", "seq")
+
+
+def biased_sample(edges: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
+    """Edges that touch ``nodes`` (node), thinned evenly to about ``size`` times their number by hash; a
+    node with many edges keeps many, which is the bias."""
+    touching = edges.join(nodes.select(F.col("node").alias("u"), F.lit(1).alias("a")), "u", "left").join(nodes.select(F.col("node").alias("v"), F.lit(1).alias("b")), "v", "left").filter("a is not null or b is not null").select(edges.columns)
+    share = touching.agg(F.count("*").alias("have")).join(F.broadcast(nodes.agg((F.count("*") * size).alias("want")))).select((F.col("want") / F.greatest("have", F.lit(1))).alias("share"))
+    return touching.join(F.broadcast(share)).filter(F.pmod(F.xxhash64("seq"), F.lit(1_000_000)) < F.col("share") * 1_000_000).select(edges.columns)
+
+
 def pad_left(values: Column, k: int) -> Column:
     """Right-aligned in ``k`` places, zeros in front."""
     return F.concat(F.array_repeat(F.lit(0).cast("long"), F.greatest(F.lit(0), F.lit(k) - F.size(values))), values)

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..sources.edges import global_rank
+from .graph import cut
 
 STRIDE, STEP = 7919, 104729
 
@@ -41,3 +42,87 @@ def inductive_pool(edges: DataFrame, start: int, end: int, observed: int) -> Dat
     """The historical pool without edges observed up to position ``observed``."""
     known = edges.filter(F.col("seq") <= observed).select("u", "v").distinct()
     return historical_pool(edges, start, end).join(known, ["u", "v"], "left_anti")
+
+
+def draw_free(asked: DataFrame, pool_: DataFrame, taken: list[tuple[DataFrame, list[str]]], keys: list[str]) -> DataFrame:
+    """(keys, j, neg): each row's first ``need`` draws without replacement that are not ``taken``.
+
+    ``asked`` has the keys, ``salt`` and ``need``; ``taken`` is a list of (table with ``neg``, the
+    columns of ``asked`` that it shares).  Draw j of a row is the pool's place (salt * 7919 + j * 104729)
+    mod its size, which passes every place once before any comes again.  Draws are made in
+    rounds of twice what is missing, so a row costs about its need and not the pool.
+    """
+    size = pool_.count()
+    if not size:
+        return asked.limit(0).select(*keys, F.lit(0).alias("j"), F.lit(None).cast("long").alias("neg"))
+    step = STEP if size % STEP else STRIDE
+    rest = asked.withColumn("from", F.lit(0))
+    out = None
+    while True:
+        wide = F.explode(F.sequence(F.col("from"), F.least(F.col("from") + 2 * F.col("need"), F.lit(size)) - 1))
+        tries = rest.filter((F.col("need") > 0) & (F.col("from") < size)).withColumn("j", wide)
+        tries = tries.withColumn("place", (F.col("salt") * STRIDE + F.col("j") * step) % size).join(pool_, "place").withColumnRenamed("value", "neg")
+        for table, on in taken:
+            tries = tries.join(table.select(*on, "neg").distinct(), [*on, "neg"], "left_anti")
+        found = tries.withColumn("r", F.row_number().over(W.partitionBy(*keys).orderBy("j"))).filter("r <= need").select(*keys, "j", "neg")
+        found = cut(found)
+        out = found if out is None else out.union(found)
+        got = found.groupBy(*keys).agg(F.count("*").alias("got"))
+        rest = rest.join(got, keys, "left").withColumn("from", F.col("from") + 2 * F.col("need")).withColumn("need", F.col("need") - F.coalesce("got", F.lit(0))).drop("got")
+        rest = cut(rest.filter((F.col("need") > 0) & (F.col("from") < size)))
+        if rest.limit(1).count() == 0:
+            return out
+
+
+def random_pairs(rows: DataFrame, sources: DataFrame, targets: DataFrame, key: Column, taken: DataFrame | None = None, tries: int = 8) -> DataFrame:
+    """``rows`` with ``neg_u`` and ``neg_v``, drawn independently from two pools by place.
+
+    With ``taken`` (u, v), the first of ``tries`` draws that is not taken; a row without one is left out.
+    The product of the pools is never built.
+    """
+    sizes = sources.agg(F.count("*").alias("_s")).join(F.broadcast(targets.agg(F.count("*").alias("_t"))))
+    n = tries if taken is not None else 1
+    asked = rows.withColumn("_j", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).join(F.broadcast(sizes))
+    asked = asked.withColumn("_ps", (key * STRIDE + F.col("_j") * STEP) % F.col("_s")).withColumn("_pt", (key * STEP + F.col("_j") * STRIDE) % F.col("_t")).drop("_s", "_t")
+    asked = asked.join(sources.select(F.col("place").alias("_ps"), F.col("value").alias("neg_u")), "_ps").join(targets.select(F.col("place").alias("_pt"), F.col("value").alias("neg_v")), "_pt").drop("_ps", "_pt")
+    if taken is None:
+        return asked.drop("_j")
+    free = asked.join(taken.select(F.col("u").alias("neg_u"), F.col("v").alias("neg_v")).distinct(), ["neg_u", "neg_v"], "left_anti")
+    best = free.groupBy(*rows.columns).agg(F.min_by(F.struct("neg_u", "neg_v"), "_j").alias("_x"))
+    return best.select(*rows.columns, "_x.neg_u", "_x.neg_v")
+
+
+def past_pairs(edges: DataFrame, asked: DataFrame, size: int, observed: int = 0, tries: int = 20) -> DataFrame:
+    """(seq, u, v, neg_u, neg_v, kind): an edge of the past for each of ``asked``, not one of its own batch.
+
+    Distinct directed edges are numbered by first appearance.  A row of a batch that begins at position s
+    draws among those first seen in (``observed``, s); its first draw of ``tries`` that the batch lacks is
+    ``historical``.  Where all fail or there is no past, a random pair fills up (``random``), if one is
+    found that the batch lacks.  The pool of a batch is a range of places, so it is never copied.
+    """
+    rows = edges.select("seq", "u", "v", F.floor((F.col("seq") - 1) / F.lit(size)).cast("long").alias("batch"))
+    first = rows.groupBy("u", "v").agg(F.min("seq").alias("at"))
+    known = cut(global_rank(first.filter(F.col("at") > observed), ["at"], F.floor(F.col("at") / F.lit(4096)), "n0"))
+    upto = rows.join(known.select(F.col("at").alias("seq"), "n0"), "seq", "left").groupBy("batch").agg(F.max("n0").alias("n0"))
+    before = upto.select("batch", F.coalesce(F.max("n0").over(W.orderBy("batch").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("n"))
+    own = rows.select("batch", F.col("u").alias("neg_u"), F.col("v").alias("neg_v")).distinct()
+    ask = asked.select("seq", "u", "v", F.floor((F.col("seq") - 1) / F.lit(size)).cast("long").alias("batch")).join(before, "batch")
+    drawn = ask.filter("n > 0").withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(tries - 1))))
+    drawn = drawn.withColumn("n0", (F.col("seq") * STRIDE + F.col("j") * STEP) % F.col("n") + 1)
+    drawn = drawn.join(known.select("n0", F.col("u").alias("neg_u"), F.col("v").alias("neg_v")), "n0").join(own, ["batch", "neg_u", "neg_v"], "left_anti")
+    hit = drawn.groupBy("seq").agg(F.min_by(F.struct("neg_u", "neg_v"), "j").alias("x"))
+    found = cut(ask.join(hit, "seq", "left"))
+    missing = found.filter("x is null").select("seq", "u", "v", "batch")
+    sides = [pool(edges.select(F.col(c).alias("value"))) for c in ("u", "v")]
+    fill = random_pairs(missing.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(7)))), *sides, F.col("seq") + F.col("k"))
+    fill = fill.join(own, ["batch", "neg_u", "neg_v"], "left_anti").groupBy("seq", "u", "v").agg(F.min_by(F.struct("neg_u", "neg_v"), "k").alias("x"))
+    part = lambda t, kind: t.select("seq", "u", "v", "x.neg_u", "x.neg_v", F.lit(kind).alias("kind"))
+    return part(found.filter("x is not null"), "historical").union(part(fill, "random"))
+
+
+def look_up(asked: DataFrame, sets: DataFrame, keys: list[str]) -> DataFrame:
+    """``asked`` with its rows of stored negatives; a key that has none is an error."""
+    held = sets.select(*keys, "neg")
+    joined = asked.join(held, keys, "left")
+    miss = F.raise_error(F.concat(F.lit("no negatives for "), F.to_json(F.struct(*keys))))
+    return joined.withColumn("neg", F.when(F.col("neg").isNull(), miss.cast("long")).otherwise(F.col("neg")))

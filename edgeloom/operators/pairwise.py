@@ -2,45 +2,79 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .graph import common_neighbors, degree, second_hop
+from .graph import degree, neighborhoods
 
 
 def _zero(name: str):
     return F.coalesce(F.col(name), F.lit(0.0)).alias(name)
 
 
-def pair_features(queries: DataFrame, ab: DataFrame, x: DataFrame) -> DataFrame:
-    """All training-free pair features for the distinct (u, v) of ``queries``.
+# Names of the features, in the order in which they are returned.
+GENERIC = ("cn", "aa", "ra", "jaccard", "pa", "cn2", "aa2")
+COHESION = ("cn_x_sum", "cn_x_max", "cn_x_mean", "cn_truss_sum", "cn2_x_sum", "cn2_x_mean", "x_u", "x_v", "x_min", "x_gap")
+DYNAMIC = ("cn_x_ema_sum", "cn_x_delta_sum", "cn_x_dpos", "cn_x_dneg", "cn_x_std_sum", "cn_x_mxch_sum", "cn2_x_ema_sum", "cn2_x_delta_sum", "cn2_x_dpos", "u_x_ema", "u_x_delta", "v_x_ema", "v_x_delta")
+#: Columns of each mode: none, 7, 23 or all 30.
+MODES = {"none": (), "generic": GENERIC, "cohesion": COHESION + DYNAMIC, "all": GENERIC + COHESION + DYNAMIC}
 
-    ``x`` is (node, x), the tightest indicator in use.  ``cn`` and friends sum over common
-    neighbours, ``cn2`` over v's neighbours two steps from u that are not u's neighbours,
-    ``bridge`` over those that may be.  Unknown nodes count 0.
+
+def columns_of(mode: str) -> tuple[str, ...]:
+    if mode not in MODES:
+        raise ValueError(f"unknown mode {mode}: one of {sorted(MODES)}")
+    return MODES[mode]
+
+
+def exact_sum(value) -> Column:
+    """Sum in decimals of six digits, which no order of rows changes."""
+    return F.sum(F.round(value, 6).cast("decimal(28,6)")).cast("double")
+
+
+def pair_features(queries: DataFrame, ab: DataFrame, x: DataFrame, truss: DataFrame | None = None, stats: DataFrame | None = None) -> DataFrame:
+    """All training-free pair features for the distinct (u, v) of ``queries``, and ``bridge`` and ``bridge_x``.
+
+    ``x`` is (node, x), the tightest indicator in use, ``truss`` (node, truss) and ``stats`` (node,
+    ema, delta, std, max_change) of x's rolling statistics; without one of the latter its columns are
+    left out.  ``cn`` and friends sum over common neighbours, ``cn2`` over v's neighbours two steps
+    from u that are not u's neighbours, ``bridge`` over those that may be.  Unknown nodes count 0.
+    One table of flagged neighbours is grouped once for all of them.
     """
     asked = queries.select("u", "v").distinct()
     deg = degree(ab)
-    wd = deg.select(F.col("node").alias("w"), F.col("degree").alias("d")).join(x.select(F.col("node").alias("w"), F.col("x").cast("double").alias("x")), "w", "left").fillna(0.0, ["x"])
-    d = F.col("d").cast("double")
-
-    def over(found: DataFrame, name: str) -> DataFrame:
-        return found.join(wd, "w").groupBy("u", "v").agg(
-            F.count("*").cast("double").alias(f"{name}_n"),
-            F.sum(F.when(d > 1, 1.0 / F.log(d)).otherwise(0.0)).alias(f"{name}_aa"),
-            F.sum(1.0 / d).alias(f"{name}_ra"),
-            F.sum("x").alias(f"{name}_xs"),
-            F.max("x").alias(f"{name}_xm"),
-        )
-
-    cn, cn2 = over(common_neighbors(asked, ab), "cn"), over(second_hop(asked, ab, False), "cn2")
-    bridge = over(second_hop(asked, ab, True), "br")
-    out = asked
-    for part in (cn, cn2, bridge):
-        out = out.join(part, ["u", "v"], "left")
+    about = deg.select(F.col("node").alias("w"), F.col("degree").cast("double").alias("d")).join(x.select(F.col("node").alias("w"), F.col("x").cast("double").alias("x")), "w", "left")
+    if truss is not None:
+        about = about.join(truss.select(F.col("node").alias("w"), F.col("truss").cast("double").alias("truss")), "w", "left")
+    if stats is not None:
+        about = about.join(stats.withColumnRenamed("node", "w"), "w", "left")
+    d, zero = F.col("d"), F.lit(0.0)
+    parts = {"cn": F.col("direct"), "cn2": F.col("two") & ~F.col("direct"), "br": F.col("two")}
+
+    def when(part: str, value) -> Column:
+        return F.when(parts[part], F.coalesce(value, zero)).otherwise(zero)
+
+    aggs = []
+    for part in parts:
+        aggs += [
+            F.count_if(parts[part]).cast("double").alias(f"{part}_n"),
+            F.sum(when(part, F.when(d > 1, 1.0 / F.log(d)))).alias(f"{part}_aa"),
+            F.sum(when(part, 1.0 / d)).alias(f"{part}_ra"),
+            F.sum(when(part, F.col("x"))).alias(f"{part}_xs"),
+            F.max(when(part, F.col("x"))).alias(f"{part}_xm"),
+        ]
+    if truss is not None:
+        aggs.append(F.sum(when("cn", F.col("truss"))).alias("cn_ts"))
+    if stats is not None:
+        for part, names in (("cn", ("ema", "delta", "std", "max_change")), ("cn2", ("ema", "delta"))):
+            aggs += [exact_sum(when(part, F.col(n))).alias(f"{part}_x_{'mxch' if n == 'max_change' else n}_sum") for n in names]
+            signs = (("dpos", F.col("delta") > 0), ("dneg", F.col("delta") < 0))[: 2 if part == "cn" else 1]
+            aggs += [F.log1p(F.count_if(parts[part] & sign).cast("double")).alias(f"{part}_x_{name}") for name, sign in signs]
+    out = asked.join(neighborhoods(asked, ab).join(about, "w").groupBy("u", "v").agg(*aggs), ["u", "v"], "left")
     for side in ("u", "v"):
         own = deg.select(F.col("node").alias(side), F.col("degree").cast("double").alias(f"d{side}"))
         out = out.join(own, side, "left").join(x.select(F.col("node").alias(side), F.col("x").cast("double").alias(f"x_{side}")), side, "left")
+        if stats is not None:
+            out = out.join(stats.select(F.col("node").alias(side), F.col("ema").alias(f"{side}_x_ema"), F.col("delta").alias(f"{side}_x_delta")), side, "left")
     out = out.select("u", "v", *[_zero(c) for c in out.columns if c not in ("u", "v")])
     n, n2 = F.col("cn_n"), F.col("cn2_n")
     return out.select(
@@ -49,47 +83,35 @@ def pair_features(queries: DataFrame, ab: DataFrame, x: DataFrame) -> DataFrame:
         F.log1p(n).alias("cn"),
         F.col("cn_aa").alias("aa"),
         F.col("cn_ra").alias("ra"),
-        F.coalesce(F.try_divide(n, F.col("du") + F.col("dv") - n), F.lit(0.0)).alias("jaccard"),
+        F.coalesce(F.try_divide(n, F.col("du") + F.col("dv") - n), zero).alias("jaccard"),
         F.log1p(F.col("du") * F.col("dv")).alias("pa"),
         F.log1p(n2).alias("cn2"),
         F.col("cn2_aa").alias("aa2"),
         F.log1p("cn_xs").alias("cn_x_sum"),
         F.col("cn_xm").alias("cn_x_max"),
-        F.coalesce(F.try_divide("cn_xs", n), F.lit(0.0)).alias("cn_x_mean"),
+        F.coalesce(F.try_divide("cn_xs", n), zero).alias("cn_x_mean"),
+        *([F.log1p("cn_ts").alias("cn_truss_sum")] if truss is not None else []),
         F.log1p("cn2_xs").alias("cn2_x_sum"),
-        F.coalesce(F.try_divide("cn2_xs", n2), F.lit(0.0)).alias("cn2_x_mean"),
+        F.coalesce(F.try_divide("cn2_xs", n2), zero).alias("cn2_x_mean"),
         "x_u",
         "x_v",
         F.least("x_u", "x_v").alias("x_min"),
         F.abs(F.col("x_u") - F.col("x_v")).alias("x_gap"),
+        *(DYNAMIC if stats is not None else ()),
         F.col("br_n").alias("bridge"),
         F.col("br_xs").alias("bridge_x"),
     )
 
 
-def neighbor_dynamics(queries: DataFrame, ab: DataFrame, stats: DataFrame) -> DataFrame:
-    """Sums of rolling statistics over common and second-hop neighbours, and the pair's own.
+def project(features: DataFrame, mode: str) -> DataFrame:
+    """The columns of a mode of ``pair_features``' result, without nulls."""
+    return features.select("u", "v", *[F.coalesce(F.nanvl(c, F.lit(0.0)), F.lit(0.0)).alias(c) for c in columns_of(mode)])
 
-    ``stats`` is (node, ema, delta, std, max_change); nodes without statistics count 0.
-    """
-    asked = queries.select("u", "v").distinct()
-    w = stats.withColumnRenamed("node", "w")
-    cn = common_neighbors(asked, ab).join(w, "w").groupBy("u", "v").agg(
-        F.sum("ema").alias("cn_x_ema_sum"),
-        F.sum("delta").alias("cn_x_delta_sum"),
-        F.log1p(F.count_if(F.col("delta") > 0).cast("double")).alias("cn_x_dpos"),
-        F.log1p(F.count_if(F.col("delta") < 0).cast("double")).alias("cn_x_dneg"),
-        F.sum("std").alias("cn_x_std_sum"),
-        F.sum("max_change").alias("cn_x_mxch_sum"),
-    )
-    cn2 = second_hop(asked, ab, False).join(w, "w").groupBy("u", "v").agg(
-        F.sum("ema").alias("cn2_x_ema_sum"), F.sum("delta").alias("cn2_x_delta_sum"), F.log1p(F.count_if(F.col("delta") > 0).cast("double")).alias("cn2_x_dpos")
-    )
-    out = asked.join(cn, ["u", "v"], "left").join(cn2, ["u", "v"], "left")
-    for side in ("u", "v"):
-        own = stats.select(F.col("node").alias(side), F.col("ema").alias(f"{side}_x_ema"), F.col("delta").alias(f"{side}_x_delta"))
-        out = out.join(own, side, "left")
-    return out.select("u", "v", *[_zero(c) for c in out.columns if c not in ("u", "v")])
+
+def neighbor_dynamics(queries: DataFrame, ab: DataFrame, stats: DataFrame) -> DataFrame:
+    """Sums of rolling statistics over common and second-hop neighbours, and the pair's own."""
+    x = degree(ab).select("node", F.col("degree").alias("x"))
+    return pair_features(queries, ab, x, stats=stats).select("u", "v", *DYNAMIC)
 
 
 def clip(value, c: float):

@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.edges import global_rank
+from .graph import batches, first_edges, k_core
 
 
 def first_seen_ids(rows: DataFrame, position: str, columns: list[str]) -> DataFrame:
@@ -69,35 +68,49 @@ def strided(edges: DataFrame, k: int) -> DataFrame:
     return edges.join(F.broadcast(n)).filter(hit).drop("n")
 
 
-def peel(pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(nodes, core numbers) of one small snapshot by repeated h-index passes."""
-    nodes, ends = np.unique(pairs, return_inverse=True)
-    ends = ends.reshape(-1, 2)
-    src, dst = np.concatenate([ends[:, 0], ends[:, 1]]), np.concatenate([ends[:, 1], ends[:, 0]])
-    core = np.bincount(src, minlength=len(nodes))
-    start = np.concatenate([[0], np.cumsum(core)])[:-1]
-    while True:
-        order = np.lexsort((-core[dst], src))
-        rank = np.arange(len(src)) - start[src[order]] + 1
-        h = np.zeros(len(nodes), np.int64)
-        np.maximum.at(h, src[order], np.minimum(core[dst[order]], rank))
-        h = np.minimum(h, core)
-        if (h == core).all():
-            return nodes, core
-        core = h
-
-
 def core_snapshots(first: DataFrame, every: int) -> DataFrame:
-    """(node, at, core): core numbers after each ``every`` new edges; ``at`` is that edge's rank.
+    """(node, s, ready, core): core numbers after each ``every`` new edges, and the batch that closes the
+    snapshot s.
 
-    The snapshots are independent, so Spark runs them side by side, one group each; a snapshot
-    is a prefix of the distinct edges, which is what one recomputation has to hold anyway.
+    An edge counts in its own snapshot and all later ones; the h-index runs over all snapshots at once
+    with the snapshot as a part of its keys, so they share rounds and no task holds one.
     """
     last = first.agg(F.floor(F.max("n0") / F.lit(every)).alias("m"))
-    rows = first.join(F.broadcast(last)).select("a", "b", F.explode(F.sequence(F.ceil(F.col("n0") / F.lit(every)), F.greatest(F.col("m"), F.ceil(F.col("n0") / F.lit(every))))).alias("s"), "m").filter("s <= m")
+    since = F.ceil(F.col("n0") / F.lit(every))
+    rows = first.join(F.broadcast(last)).filter(since <= F.col("m")).select("a", "b", F.explode(F.sequence(since, F.col("m"))).alias("s"))
+    marks = first.filter(F.col("n0") % every == 0).select((F.col("n0") / every).cast("long").alias("s"), F.col("batch0").alias("ready"))
+    return k_core(rows, "s").join(marks, "s").select("node", "s", "ready", "core")
+
+
+def core_as_of(edges: DataFrame, every: int = 64, size: int = 200) -> DataFrame:
+    """(seq, node, core): the core number of each batch's sources as of the latest snapshot that a
+    batch before theirs has closed; ``seq`` is the source's first place in the batch."""
+    from .rolling import as_of
+
+    asked = batches(edges, size).groupBy(F.col("u").alias("node"), "batch").agg(F.min("seq").alias("seq"))
+    trace = core_snapshots(first_edges(edges, size), every).groupBy("node", "ready").agg(F.max_by("core", "s").alias("core"))
+    return as_of(asked, trace, ["node"], "batch", "ready", ["core"]).select("seq", "node", F.coalesce("core", F.lit(0)).alias("core"))
+
 
-    def snapshot(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        nodes, core = peel(pdf[["a", "b"]].to_numpy())
-        return pd.DataFrame({"node": nodes, "at": int(key[0]) * every, "core": core})
+def halves(nodes: DataFrame) -> DataFrame:
+    """Adds ``half`` (0 or 1) to (node): disjoint halves of a node set, by the parity of a hash."""
+    return nodes.withColumn("half", F.pmod(F.xxhash64("node"), F.lit(2)).cast("int"))
 
-    return rows.groupBy("s").applyInPandas(snapshot, "node long, at long, core long")
+
+def inductive_rows(edges: DataFrame, share: int = 10) -> DataFrame:
+    """The split's rows with ``role``: kept for training, left_out of it, or an evaluation row that touches
+    (new) or doesn't touch (known) a node which the kept rows lack."""
+    draw = (F.col("x") * 7919) % 100003
+    ends = edges.select("split", F.explode(F.array("u", "v")).alias("x"))
+    want = ends.select("x").distinct().agg(F.floor(F.count("*") / F.lit(share)).alias("want"))
+    late = global_rank(ends.filter("split <> 'train'").select("x").distinct(), [draw, "x"], F.floor(draw / F.lit(64)), "place")
+    held = late.join(F.broadcast(want)).filter(F.col("place") <= F.col("want")).select("x")
+    rows = edges
+    for side in ("u", "v"):
+        rows = rows.join(held.select(F.col("x").alias(side), F.lit(True).alias(f"h{side}")), side, "left")
+    kept = (F.col("split") == "train") & F.col("hu").isNull() & F.col("hv").isNull()
+    known = rows.filter(kept).select(F.explode(F.array("u", "v")).alias("x")).distinct()
+    for side in ("u", "v"):
+        rows = rows.join(known.select(F.col("x").alias(side), F.lit(True).alias(f"k{side}")), side, "left")
+    role = F.when(kept, "kept").when(F.col("split") == "train", "left_out").when(F.col("ku").isNull() | F.col("kv").isNull(), "new").otherwise("known")
+    return rows.select(*edges.columns, role.alias("role"))

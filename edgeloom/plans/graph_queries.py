@@ -91,17 +91,16 @@ def degree(spark, sf_dir: str) -> DataFrame:
 
 
 def _asked(edges: DataFrame) -> DataFrame:
-    """Distinct pairs of the last fifth of a stream."""
-    n = edges.agg(F.max("seq").alias("n"))
-    return edges.join(F.broadcast(n), F.col("seq") * 5 > F.col("n") * 4).filter("u <> v").select("u", "v").distinct()
+    """Every distinct pair of the stream."""
+    return edges.filter("u <> v").select("u", "v").distinct()
 
 
-ASKED = "ask as (select distinct u, v from e where seq * 5 > (select max(seq) from e) * 4 and u <> v)"
+ASKED = "ask as (select distinct u, v from e where u <> v)"
 
 
-@query(with_("uni_purchase", SNAP, ADJ, ASKED) + "select u, v, count(*) common from ask join adj x on x.n = u join adj y on y.n = v and y.m = x.m group by u, v")
+@query(with_("uni", SNAP, ADJ, ASKED) + "select u, v, count(*) common from ask join adj x on x.n = u join adj y on y.n = v and y.m = x.m group by u, v")
 def common_neighbors(spark, sf_dir: str) -> DataFrame:
-    e = E.uni_purchase(spark, sf_dir)
+    e = E.uni(spark, sf_dir)
     return G.common_neighbors(_asked(e), G.pairs(e)).groupBy("u", "v").agg(F.count("*").alias("common"))
 
 
@@ -109,14 +108,14 @@ TRI = "tri as (select x.a x, x.b y, y.b z from ab x join ab y on y.a = x.b join
 TRIN = "tn as (select node, coalesce(c, 0) tri from deg left join (select node, count(*) c from (select unnest([x, y, z]) node from tri) group by 1) using (node))"
 
 
-@query(with_("uni_purchase", SNAP, ADJ, DEG, TRI, TRIN) + "select node, tri triangles from tn")
+@query(with_("uni", SNAP, ADJ, DEG, TRI, TRIN) + "select node, tri triangles from tn")
 def triangle_count(spark, sf_dir: str) -> DataFrame:
-    return G.triangle_count(G.pairs(E.uni_purchase(spark, sf_dir)))
+    return G.triangle_count(G.pairs(E.uni(spark, sf_dir)))
 
 
-@query(with_("uni_purchase", SNAP, ADJ, DEG, TRI, TRIN) + "select node, round(case when d < 2 then 0 else 2.0 * tri / (d * (d - 1)) end, 6) clustering from tn join deg using (node)")
+@query(with_("uni", SNAP, ADJ, DEG, TRI, TRIN) + "select node, round(case when d < 2 then 0 else 2.0 * tri / (d * (d - 1)) end, 6) clustering from tn join deg using (node)")
 def clustering(spark, sf_dir: str) -> DataFrame:
-    return G.clustering(G.pairs(E.uni_purchase(spark, sf_dir))).withColumn("clustering", F.round("clustering", 6))
+    return G.clustering(G.pairs(E.uni(spark, sf_dir))).withColumn("clustering", F.round("clustering", 6))
 
 
 CORE = """kc as (select 0 r, node n, d::bigint c from deg union all
@@ -124,9 +123,9 @@ CORE = """kc as (select 0 r, node n, d::bigint c from deg union all
 core as (select n node, c core from kc where r = 40)"""
 
 
-@query(with_("uni_purchase", SNAP, ADJ, DEG, CORE, recursive=True) + "select node, core from core")
+@query(with_("uni", SNAP, ADJ, DEG, CORE, recursive=True) + "select node, core from core")
 def kcore(spark, sf_dir: str) -> DataFrame:
-    return G.k_core(G.pairs(E.uni_purchase(spark, sf_dir)))
+    return G.k_core(G.pairs(E.uni(spark, sf_dir)))
 
 
 TRUSS = """wing as (select x a, y b, x a1, z b1, y a2, z b2 from tri union all select x, z, x, y, y, z from tri union all select y, z, x, y, x, z from tri),
@@ -154,11 +153,11 @@ def degree_trace(spark, sf_dir: str) -> DataFrame:
     return G.degree_trace(G.first_edges(E.uni(spark, sf_dir)))
 
 
-@query(with_("uni_purchase", FIRST) + """, t as (select x.a x, x.b y, y.b z, greatest(x.n0, y.n0, z.n0) n0 from fe x join fe y on y.a = x.b join fe z on z.a = x.a and z.b = y.b),
+@query(with_("uni", FIRST) + """, t as (select x.a x, x.b y, y.b z, greatest(x.n0, y.n0, z.n0) n0 from fe x join fe y on y.a = x.b join fe z on z.a = x.a and z.b = y.b),
 h as (select node, n0, count(*) c from (select unnest([x, y, z]) node, n0 from t) group by all)
 select node, n0, (sum(c) over (partition by node order by n0))::bigint triangles from h""")
 def triangle_trace(spark, sf_dir: str) -> DataFrame:
-    return G.triangle_trace(G.first_edges(E.uni_purchase(spark, sf_dir)))
+    return G.triangle_trace(G.first_edges(E.uni(spark, sf_dir)))
 
 
 @query(with_("uni", FIRST, DTRACE) + """, q as (select seq, u, (seq - 1) // 200 batch from e),
@@ -174,16 +173,18 @@ def degree_asof_batch(spark, sf_dir: str) -> DataFrame:
     return R.as_of(asked, trace, ["node"], "batch", "batch0", ["degree"]).select("seq", "node", F.coalesce("degree", F.lit(0)).alias("degree"))
 
 
-@query()
+CADENCE = """mk as (select n0 // 64 s, batch0 ready from fe where n0 % 64 = 0),
+sn as (select a, b, s from fe join mk on s * 64 >= n0), sa as (select s, a n, b m from sn union all select s, b, a from sn),
+ck as (select 0 r, s, n, count(*) c from sa group by s, n union all
+  select r + 1, s, n, max(least(c, rn)) from (select r, s, n, c, row_number() over (partition by s, n order by c desc) rn from (select k.r, sa.s, sa.n, k.c from ck k join sa on sa.s = k.s and sa.m = k.n)) where r < 40 group by r, s, n),
+tc as (select n node, ready, arg_max(c, s) core from ck join mk using (s) where r = 40 group by n, ready)"""
+
+
+@query(with_("uni_purchase", FIRST, CADENCE, recursive=True) + """, q as (select min(seq) seq, u node, (seq - 1) // 200 batch from e group by u, (seq - 1) // 200)
+select q.seq, q.node, coalesce(arg_max(core, ready), 0)::bigint core from q left join tc on tc.node = q.node and tc.ready < q.batch group by q.seq, q.node""")
 def core_cadence_asof(spark, sf_dir: str) -> DataFrame:
-    """Core numbers recomputed every 256 new edges, read as of each batch's queries."""
-    edges = G.batches(E.uni_purchase(spark, sf_dir), 400)
-    first = G.first_edges(E.uni_purchase(spark, sf_dir), 400)
-    trace = S.core_snapshots(first, 256)
-    asked = edges.groupBy(F.col("u").alias("node"), "batch").agg(F.min("seq").alias("seq"))
-    seen = first.groupBy("batch0").agg(F.max("n0").alias("n0"))
-    upto = R.as_of(asked.withColumn("g", F.lit(0)), seen.withColumn("g", F.lit(0)), ["g"], "batch", "batch0", ["n0"]).withColumn("n0", F.coalesce("n0", F.lit(0)))
-    return R.as_of(upto.select("seq", "node", "n0"), trace, ["node"], "n0", "at", ["core"], strict=False).select("seq", "node", F.coalesce("core", F.lit(0)).alias("core"))
+    """Core numbers recomputed every 64 new edges, read as of each batch of 200."""
+    return S.core_as_of(E.uni_purchase(spark, sf_dir))
 
 
 DAY = 86_400_000_000
@@ -209,9 +210,18 @@ def _degree_ticks(spark, sf_dir: str) -> DataFrame:
     return G.degree_trace(G.first_edges(E.uni_purchase(spark, sf_dir))).select("node", F.col("n0").alias("n"), F.col("degree").alias("value"))
 
 
+def _last_stats(edges: DataFrame) -> DataFrame:
+    """Each user's statistics after the stream."""
+    return R.rolling(_ticks(edges)).groupBy("node").agg(F.max_by(F.struct("ema", "delta", "std", "max_change"), "n").alias("s")).select("node", "s.*")
+
+
 def _activity(spark, sf_dir: str) -> DataFrame:
+    return _ticks(E.uni(spark, sf_dir))
+
+
+def _ticks(edges: DataFrame) -> DataFrame:
     """Ticks of a value that goes up and down: each user's rounded event values."""
-    return E.uni_purchase(spark, sf_dir).select(F.col("u").alias("node"), F.col("seq").alias("n"), F.floor(F.col("w") / 10).cast("double").alias("value"))
+    return edges.select(F.col("u").alias("node"), F.col("seq").alias("n"), F.floor(F.col("w") / 10).cast("double").alias("value"))
 
 
 ACT = "act as (select u node, seq n, floor(w / 10)::double x, row_number() over (partition by u order by seq) i from e)"
@@ -220,14 +230,14 @@ FOLD = f"""{ACT}, f as (select node, n, i, x, x ema, x * x sq, 0::double mc, x s
   from f join act a on a.node = f.node and a.i = f.i + 1)"""
 
 
-@query(with_("uni_purchase", ACT) + """, d as (select *, x - lag(x) over (partition by node order by i) dl from act),
+@query(with_("uni", ACT) + """, d as (select *, x - lag(x) over (partition by node order by i) dl from act),
 c as (select *, max(case when i = 1 or dl <> 0 then i end) over (partition by node order by i) l from d)
 select node, n, x "current", coalesce(dl, 0) delta, round(ln(1 + (i - l)::double), 6) recency from c""")
 def roll_current_delta(spark, sf_dir: str) -> DataFrame:
     return R.plain(_activity(spark, sf_dir)).withColumn("recency", F.round("recency", 6))
 
 
-@query(with_("uni_purchase", ACT) + """, d as (select *, x - lag(x) over (partition by node order by i) dl from act),
+@query(with_("uni", ACT) + """, d as (select *, x - lag(x) over (partition by node order by i) dl from act),
 c as (select *, max(case when i = 1 or dl <> 0 then i end) over (partition by node order by i) l from d)
 select node, n, round(ln(1 + (i - l)::double), 6) recency from c""")
 def roll_recency(spark, sf_dir: str) -> DataFrame:
@@ -235,26 +245,26 @@ def roll_recency(spark, sf_dir: str) -> DataFrame:
     return R.rolling(_activity(spark, sf_dir)).select("node", "n", F.round("recency", 6).alias("recency"))
 
 
-@query(with_("uni_purchase", FOLD, recursive=True) + "select node, n, ema, sqrt(greatest(sq - ema * ema, 0)) std from f")
+@query(with_("uni", FOLD, recursive=True) + "select node, n, ema, sqrt(greatest(sq - ema * ema, 0)) std from f")
 def roll_ema_std(spark, sf_dir: str) -> DataFrame:
     return R.rolling(_activity(spark, sf_dir)).select("node", "n", "ema", "std")
 
 
-@query(with_("uni_purchase", FOLD, recursive=True) + "select node, n, mc max_change from f")
+@query(with_("uni", FOLD, recursive=True) + "select node, n, mc max_change from f")
 def roll_max_change(spark, sf_dir: str) -> DataFrame:
     return R.rolling(_activity(spark, sf_dir)).select("node", "n", "max_change")
 
 
-@query(with_("uni_purchase", FOLD, recursive=True) + "select node, n, ema - slow trend from f")
+@query(with_("uni", FOLD, recursive=True) + "select node, n, ema - slow trend from f")
 def roll_trend(spark, sf_dir: str) -> DataFrame:
     return R.rolling(_activity(spark, sf_dir)).select("node", "n", "trend")
 
 
-@query(with_("uni_purchase", FOLD, recursive=True) + """, q as (select seq, v from e where seq % 7 = 0)
+@query(with_("uni", FOLD, recursive=True) + """, q as (select seq, v from e)
 select q.seq, v node, coalesce(arg_max(ema, n), 0) ema, coalesce(arg_max(mc, n), 0) max_change from q left join f on f.node = v and f.n < q.seq group by all""")
 def node_features_asof(spark, sf_dir: str) -> DataFrame:
     stats = R.rolling(_activity(spark, sf_dir))
-    asked = E.uni_purchase(spark, sf_dir).filter("seq % 7 = 0").select("seq", F.col("v").alias("node"))
+    asked = E.uni(spark, sf_dir).select("seq", F.col("v").alias("node"))
     out = R.as_of(asked, stats, ["node"], "seq", "n", ["ema", "max_change"])
     return out.select("seq", "node", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("ema", "max_change")])
 
@@ -297,18 +307,51 @@ def pair_cohesion(spark, sf_dir: str) -> DataFrame:
 
 @query(with_("uni_purchase", FOLD, PAIRS, recursive=True) + """, st as (select node, arg_max(ema, n) ema, arg_max(x - px, n) dl, arg_max(sd, n) sd, arg_max(mc, n) mc
   from (select *, coalesce(lag(x) over (partition by node order by i), x) px, sqrt(greatest(sq - ema * ema, 0)) sd from f) group by node),
-a as (select u, v, sum(ema) e1, sum(dl) d1, count(*) filter (where dl > 0) p1, count(*) filter (where dl < 0) m1, sum(sd) s1, sum(mc) x1 from cnw join st on node = w group by u, v),
-b as (select u, v, sum(ema) e2, sum(dl) d2, count(*) filter (where dl > 0) p2 from c2w join st on node = w group by u, v)
-select ask.u, ask.v, round(coalesce(e1, 0), 5) cn_x_ema_sum, round(coalesce(d1, 0), 5) cn_x_delta_sum, round(ln(1 + coalesce(p1, 0)), 6) cn_x_dpos, round(ln(1 + coalesce(m1, 0)), 6) cn_x_dneg,
-round(coalesce(s1, 0), 4) cn_x_std_sum, round(coalesce(x1, 0), 5) cn_x_mxch_sum, round(coalesce(e2, 0), 5) cn2_x_ema_sum, round(coalesce(d2, 0), 5) cn2_x_delta_sum, round(ln(1 + coalesce(p2, 0)), 6) cn2_x_dpos,
+a as (select u, v, sum(round(ema, 6)::decimal(28, 6))::double e1, sum(round(dl, 6)::decimal(28, 6))::double d1, count(*) filter (where dl > 0) p1, count(*) filter (where dl < 0) m1, sum(round(sd, 6)::decimal(28, 6))::double s1, sum(round(mc, 6)::decimal(28, 6))::double x1 from cnw join st on node = w group by u, v),
+b as (select u, v, sum(round(ema, 6)::decimal(28, 6))::double e2, sum(round(dl, 6)::decimal(28, 6))::double d2, count(*) filter (where dl > 0) p2 from c2w join st on node = w group by u, v)
+select ask.u, ask.v, coalesce(e1, 0) cn_x_ema_sum, coalesce(d1, 0) cn_x_delta_sum, round(ln(1 + coalesce(p1, 0)), 6) cn_x_dpos, round(ln(1 + coalesce(m1, 0)), 6) cn_x_dneg,
+coalesce(s1, 0) cn_x_std_sum, coalesce(x1, 0) cn_x_mxch_sum, coalesce(e2, 0) cn2_x_ema_sum, coalesce(d2, 0) cn2_x_delta_sum, round(ln(1 + coalesce(p2, 0)), 6) cn2_x_dpos,
 round(coalesce(su.ema, 0), 6) u_x_ema, round(coalesce(su.dl, 0), 6) u_x_delta, round(coalesce(sv.ema, 0), 6) v_x_ema, round(coalesce(sv.dl, 0), 6) v_x_delta
 from ask left join a using (u, v) left join b using (u, v) left join st su on su.node = ask.u left join st sv on sv.node = ask.v""")
 def pair_dynamic(spark, sf_dir: str) -> DataFrame:
     e = E.uni_purchase(spark, sf_dir)
-    last = R.rolling(_activity(spark, sf_dir)).groupBy("node").agg(F.max_by(F.struct("ema", "delta", "std", "max_change"), "n").alias("s")).select("node", "s.*")
+    last = _last_stats(e)
     out = P.neighbor_dynamics(_asked(e), G.pairs(e), last)
-    digits = {"cn_x_ema_sum": 5, "cn_x_delta_sum": 5, "cn_x_std_sum": 4, "cn_x_mxch_sum": 5, "cn2_x_ema_sum": 5, "cn2_x_delta_sum": 5}
-    return out.select("u", "v", *[(F.round(c, digits.get(c, 6)) + 0.0).alias(c) for c in out.columns if c not in ("u", "v")])
+    return out.select("u", "v", *[(F.col(c) if c.endswith("_sum") else F.round(c, 6) + 0.0).alias(c) for c in P.DYNAMIC])
+
+
+#: All 30 features of the pairs in ``ask``, as table ``pf``; x is the degree.
+ALL = f"""{ACT}, {FOLD.removeprefix(ACT + ", ")}, {SNAP}, {ADJ}, {DEG}, {TRI}, {TRUSS}, nt as (select node, max(truss) tr from (select unnest([a, b]) node, truss from te) group by node),
+st as (select node, arg_max(ema, n) ema, arg_max(x - px, n) dl, arg_max(sd, n) sd, arg_max(mc, n) mc from (select *, coalesce(lag(x) over (partition by node order by i), x) px, sqrt(greatest(sq - ema * ema, 0)) sd from f) group by node),
+ASK, near as (select u, v, m w from ask join adj on n = v where m <> u), tw as (select distinct q.u, y.m w from (select distinct u from ask) q join adj x on x.n = q.u join adj y on y.n = x.m where y.m <> q.u),
+fl as (select near.*, a.n is not null dr, tw.u is not null tt, d, tr, ema, dl, sd, mc from near left join adj a on a.n = near.u and a.m = near.w left join tw on tw.u = near.u and tw.w = near.w
+  join deg on deg.node = near.w left join nt on nt.node = near.w left join st on st.node = near.w),
+ag as (select u, v, count(*) filter (dr) n, sum(case when dr and d > 1 then 1 / ln(d) else 0 end) aa, sum(case when dr then 1.0::double / d else 0 end) ra, sum(case when dr then d else 0 end)::double xs, max(case when dr then d else 0 end)::double xm,
+  sum(case when dr then coalesce(tr, 0) else 0 end)::double ts, count(*) filter (tt and not dr) n2, sum(case when tt and not dr and d > 1 then 1 / ln(d) else 0 end) aa2, sum(case when tt and not dr then d else 0 end)::double xs2,
+  sum(case when dr then round(coalesce(ema, 0), 6) else 0 end::decimal(28, 6))::double e1, sum(case when dr then round(coalesce(dl, 0), 6) else 0 end::decimal(28, 6))::double d1, count(*) filter (dr and dl > 0) p1, count(*) filter (dr and dl < 0) m1,
+  sum(case when dr then round(coalesce(sd, 0), 6) else 0 end::decimal(28, 6))::double s1, sum(case when dr then round(coalesce(mc, 0), 6) else 0 end::decimal(28, 6))::double x1,
+  sum(case when tt and not dr then round(coalesce(ema, 0), 6) else 0 end::decimal(28, 6))::double e2, sum(case when tt and not dr then round(coalesce(dl, 0), 6) else 0 end::decimal(28, 6))::double d2, count(*) filter (tt and not dr and dl > 0) p2 from fl group by u, v),
+pf as (select ask.u, ask.v, round(ln(1 + coalesce(n, 0)), 6) cn, round(coalesce(aa, 0), 6) aa, round(coalesce(ra, 0), 6) ra, round(coalesce(n / nullif(coalesce(du.d, 0) + coalesce(dv.d, 0) - n, 0)::double, 0), 6) jaccard,
+  round(ln(1 + (coalesce(du.d, 0) * coalesce(dv.d, 0))::double), 6) pa, round(ln(1 + coalesce(n2, 0)), 6) cn2, round(coalesce(aa2, 0), 6) aa2, round(ln(1 + coalesce(xs, 0)), 6) cn_x_sum, coalesce(xm, 0) cn_x_max, round(coalesce(xs / nullif(n, 0), 0), 6) cn_x_mean,
+  round(ln(1 + coalesce(ts, 0)), 6) cn_truss_sum, round(ln(1 + coalesce(xs2, 0)), 6) cn2_x_sum, round(coalesce(xs2 / nullif(n2, 0), 0), 6) cn2_x_mean, coalesce(du.d, 0)::double x_u, coalesce(dv.d, 0)::double x_v, least(coalesce(du.d, 0), coalesce(dv.d, 0))::double x_min, abs(coalesce(du.d, 0) - coalesce(dv.d, 0))::double x_gap,
+  coalesce(e1, 0) cn_x_ema_sum, coalesce(d1, 0) cn_x_delta_sum, round(ln(1 + coalesce(p1, 0)), 6) cn_x_dpos, round(ln(1 + coalesce(m1, 0)), 6) cn_x_dneg, coalesce(s1, 0) cn_x_std_sum, coalesce(x1, 0) cn_x_mxch_sum, coalesce(e2, 0) cn2_x_ema_sum, coalesce(d2, 0) cn2_x_delta_sum, round(ln(1 + coalesce(p2, 0)), 6) cn2_x_dpos,
+  round(coalesce(su.ema, 0), 6) u_x_ema, round(coalesce(su.dl, 0), 6) u_x_delta, round(coalesce(sv.ema, 0), 6) v_x_ema, round(coalesce(sv.dl, 0), 6) v_x_delta
+  from ask left join ag using (u, v) left join deg du on du.node = ask.u left join deg dv on dv.node = ask.v left join st su on su.node = ask.u left join st sv on sv.node = ask.v)"""
+
+
+def all_features(asked: DataFrame, edges: DataFrame) -> DataFrame:
+    """(u, v) and all 30 features of the asked pairs, rounded; x is the degree."""
+    ab = G.cut(G.pairs(edges))
+    out = P.pair_features(asked, ab, G.degree(ab).withColumnRenamed("degree", "x"), truss=G.node_truss(ab), stats=_last_stats(edges))
+    exact = [c for c in P.DYNAMIC if c.endswith("_sum")]
+    return P.project(out, "all").select("u", "v", *[(F.col(c) if c in exact else F.round(c, 6) + 0.0).alias(c) for c in P.columns_of("all")])
+
+
+@query(with_("uni_purchase", ALL.replace("ASK,", ASKED + ","), recursive=True) + "select * from pf")
+def pair_all(spark, sf_dir: str) -> DataFrame:
+    """The 30 features of every distinct pair."""
+    e = E.uni_purchase(spark, sf_dir)
+    return all_features(_asked(e), e)
 
 
 @query(GENERIC + "select u, v, bn bridge, bx bridge_x from f")

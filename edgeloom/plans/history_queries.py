@@ -14,7 +14,7 @@ from ..operators import pairwise as P
 from ..operators import negatives as N
 from ..operators import splits as S
 from ..sources import edges as E
-from .graph_queries import CORE, SPLIT
+from .graph_queries import ALL, CORE, SPLIT, all_features
 from .registry import ADJ, DEG, INTER, SNAP, query, with_
 
 
@@ -35,19 +35,18 @@ def hist_last_k(spark, sf_dir: str) -> DataFrame:
     return h.select("node", "seq", _text(F.col("hist.nbr")).alias("nbrs"), _text(F.col("hist.seq")).alias("seqs"))
 
 
-@query(with_("uni_purchase", INTER, LAST.format(k="unbounded")) + "select node, seq, coalesce(len(nb), 0)::bigint n, coalesce(list_sum(nb), 0)::bigint total, nb[1] oldest from h")
+@query(with_("uni", INTER, LAST.format(k="unbounded")) + "select node, seq, coalesce(len(nb), 0)::bigint n, coalesce(list_sum(nb), 0)::bigint total, nb[1] oldest from h")
 def hist_all(spark, sf_dir: str) -> DataFrame:
-    h = H.last_k(E.uni_purchase(spark, sf_dir), None)
-    return h.select("node", "seq", F.size("hist").cast("long").alias("n"), F.aggregate("hist.nbr", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"), F.get("hist.nbr", F.lit(0)).alias("oldest"))
+    return H.whole_past(E.uni(spark, sf_dir)).select("node", "seq", "n", "total", "oldest")
 
 
-@query(with_("bip", INTER, LAST.format(k=3)) + """, one as (select node, seq, unnest(nb) n1, unnest(sq) s1 from h where seq % 10 = 0),
+@query(with_("bip", INTER, LAST.format(k=3)) + """, one as (select node, seq, unnest(nb) n1, unnest(sq) s1 from h),
 two as (select one.node, one.seq, n1, s1, h.nb n2 from one join h on h.node = one.n1 and h.seq = one.s1)
 select node, seq, n1, s1, coalesce(array_to_string(n2, ','), '') n2 from two""")
 def hist_multihop(spark, sf_dir: str) -> DataFrame:
     """The last three neighbours, and each one's last three before that interaction."""
     h = H.last_k(E.bip(spark, sf_dir), 3)
-    one = h.filter("seq % 10 = 0").select("node", "seq", F.explode("hist").alias("x")).select("node", "seq", F.col("x.nbr").alias("n1"), F.col("x.seq").alias("s1"))
+    one = h.select("node", "seq", F.explode("hist").alias("x")).select("node", "seq", F.col("x.nbr").alias("n1"), F.col("x.seq").alias("s1"))
     two = h.select(F.col("node").alias("n1"), F.col("seq").alias("s1"), _text(F.col("hist.nbr")).alias("n2"))
     return one.join(two, ["n1", "s1"]).select("node", "seq", "n1", "s1", "n2")
 
@@ -70,10 +69,10 @@ def _two_sides(edges: DataFrame, k: int) -> DataFrame:
     return e.join(own.withColumnsRenamed({"node": "u", "nb": "x"}), ["seq", "u"]).join(own.withColumnsRenamed({"node": "v", "nb": "y"}), ["seq", "v"])
 
 
-@query(with_("uni_purchase", INTER.replace("from e", "from e where u <> v"), COOC) + """select seq, coalesce(array_to_string(list_transform(x, lambda i: case when i = 0 then 0 else len(list_filter(x, lambda j: j = i)) end), ','), '') own,
+@query(with_("uni", INTER.replace("from e", "from e where u <> v"), COOC) + """select seq, coalesce(array_to_string(list_transform(x, lambda i: case when i = 0 then 0 else len(list_filter(x, lambda j: j = i)) end), ','), '') own,
 coalesce(array_to_string(list_transform(x, lambda i: case when i = 0 then 0 else len(list_filter(coalesce(y, []), lambda j: j = i)) end), ','), '') peer from s""")
 def cooccurrence(spark, sf_dir: str) -> DataFrame:
-    s = _two_sides(E.uni_purchase(spark, sf_dir), 10)
+    s = _two_sides(E.uni(spark, sf_dir), 10)
     return s.select("seq", _text(H.counts_in(F.col("x"), F.col("x"))).alias("own"), _text(H.counts_in(F.col("x"), F.col("y"))).alias("peer")).select("seq", "own", "peer")
 
 
@@ -99,30 +98,29 @@ def time_encoding(spark, sf_dir: str) -> DataFrame:
     return e.select("seq", *[F.round(F.get("enc", F.lit(i)), 6).alias(f"c{i}") for i in range(4)])
 
 
-@query(with_("bip", INTER, LAST.format(k="unbounded")) + "select node, seq, array_to_string(list_transform(range(5), lambda j: nb[((seq * 7919 + j * 104729) % len(nb))::int + 1]), ',') drawn from h where nb is not null and seq % 5 = 0")
+@query(with_("bip", INTER, LAST.format(k="unbounded")) + "select node, seq, array_to_string(list_transform(range(5), lambda j: nb[((seq * 7919 + j * 104729) % len(nb))::int + 1]), ',') drawn from h where nb is not null")
 def hist_uniform(spark, sf_dir: str) -> DataFrame:
     """Five draws with replacement from the whole history, by arithmetic on the position."""
-    h = H.last_k(E.bip(spark, sf_dir), None).filter("seq % 5 = 0 and size(hist) > 0")
-    drawn = F.transform(F.sequence(F.lit(0), F.lit(4)), lambda j: F.get(F.col("hist.nbr"), ((F.col("seq") * 7919 + j * 104729) % F.size("hist")).cast("int")))
-    return h.select("node", "seq", _text(drawn).alias("drawn"))
+    drawn = H.uniform_draws(E.bip(spark, sf_dir), 5).groupBy("node", "seq").agg(F.array_sort(F.collect_list(F.struct("j", "nbr"))).alias("d"))
+    return drawn.select("node", "seq", _text(F.col("d.nbr")).alias("drawn"))
 
 
-@query(with_("uni_purchase", INTER) + ", m as (select *, exp(1e-12::double * (t - max(t) over ())) x from it) select node, nbr, seq, round(x / sum(x) over (partition by node order by seq rows between unbounded preceding and current row), 6) p from m where nbr <> node")
+@query(with_("uni", INTER) + ", m as (select *, exp(1e-12::double * (t - max(t) over ())) x from it) select node, nbr, seq, round(x / sum(x) over (partition by node order by seq rows between unbounded preceding and current row), 6) p from m where nbr <> node")
 def hist_time_aware_weights(spark, sf_dir: str) -> DataFrame:
     """Unnormalised sampling weight of each interaction: its decay over that of the prefix."""
-    it = H.interactions(E.uni_purchase(spark, sf_dir)).filter("nbr <> node")
-    top = H.interactions(E.uni_purchase(spark, sf_dir)).agg(F.max("t").alias("top"))
+    it = H.interactions(E.uni(spark, sf_dir)).filter("nbr <> node")
+    top = H.interactions(E.uni(spark, sf_dir)).agg(F.max("t").alias("top"))
     x = F.exp(F.lit(1e-12) * (F.col("t") - F.col("top")))
     it = it.join(F.broadcast(top)).withColumn("x", x)
     run = F.sum("x").over(W.partitionBy("node").orderBy("seq").rowsBetween(W.unboundedPreceding, W.currentRow))
     return it.select("node", "nbr", "seq", F.round(F.col("x") / run, 6).alias("p"))
 
 
-@query(with_("uni_purchase", INTER.replace("from e", "from e where u <> v"), COOC) + """, o as (select seq, unnest(x) node, 'u' side, len(x) n from s union all select seq, unnest(y), 'v', len(y) from s)
+@query(with_("uni", INTER.replace("from e", "from e where u <> v"), COOC) + """, o as (select seq, unnest(x) node, 'u' side, len(x) n from s union all select seq, unnest(y), 'v', len(y) from s)
 select seq, node, round(sum(case when side = 'u' then 1.0::double / n else 0 end), 6) p_u, round(sum(case when side = 'v' then 1.0::double / n else 0 end), 6) p_v from o group by seq, node""")
 def walk_landing(spark, sf_dir: str) -> DataFrame:
     """Chance of landing on each first-hop node from either end of an interaction."""
-    s = _two_sides(E.uni_purchase(spark, sf_dir), 10)
+    s = _two_sides(E.uni(spark, sf_dir), 10)
     side = lambda c, name: s.select("seq", F.explode(c).alias("node"), F.lit(name).alias("side"), (F.lit(1.0) / F.size(c)).alias("p"))
     both = side("x", "u").union(side("y", "v"))
     part = lambda name: F.round(F.sum(F.when(F.col("side") == name, F.col("p")).otherwise(0.0)), 6)
@@ -131,43 +129,44 @@ def walk_landing(spark, sf_dir: str) -> DataFrame:
 
 # -- slots ------------------------------------------------------------------------------
 
-SLOTS = f"{SNAP}, {ADJ}, {DEG}, {CORE}, {INTER}, {LAST.format(k=5)}, sl as (select e.seq, v peer, unnest(nb) n, generate_subscripts(nb, 1) slot from e join h on h.node = u and h.seq = e.seq where e.seq % 20 = 0)"
+SLOTS = f"{SNAP}, {ADJ}, {DEG}, {CORE}, {INTER}, {LAST.format(k=5)}, sl as (select e.seq, v peer, unnest(nb) n, generate_subscripts(nb, 1) slot from e join h on h.node = u and h.seq = e.seq)"
 
 
 @query(with_("uni_purchase", SLOTS, recursive=True) + """, pr as (select distinct peer, n from sl),
 c as (select peer, pr.n, count(*) cn, sum(core) cs from pr join adj a on a.n = peer join adj b on b.n = pr.n and b.m = a.m join core on core.node = a.m group by peer, pr.n)
 select seq, slot::int slot, round(ln(1 + coalesce(cn, 0)), 6) cn, round(ln(1 + coalesce(cs, 0)), 6) cn_core, (exists (select 1 from adj where adj.n = sl.peer and adj.m = sl.n))::int direct,
-round(ln(1 + coalesce(d, 0)), 6) deg, round(ln(1 + coalesce(core, 0)), 6) core from sl left join c using (peer, n) left join deg on deg.node = sl.n left join core on core.node = sl.n""")
+case when p.node is null then 0 else round(ln(1 + coalesce(deg.d, 0)), 6) end deg, case when p.node is null then 0 else round(ln(1 + coalesce(core, 0)), 6) end core, round(ln(1 + coalesce(cn, 0)), 6) cn2_proxy
+from sl left join c using (peer, n) left join deg on deg.node = sl.n left join core on core.node = sl.n left join deg p on p.node = sl.peer""")
 def slot_fast(spark, sf_dir: str) -> DataFrame:
-    """Five cheap features of every history slot against the interaction's peer."""
+    """Six cheap features of every history slot against the interaction's peer; the last repeats the first.
+
+    A slot whose node or peer has no neighbours is all zero.
+    """
     e = E.uni_purchase(spark, sf_dir)
     ab = G.pairs(e)
     core, deg = G.k_core(ab), G.degree(ab)
     h = H.last_k(e, 5).select(F.col("node").alias("u"), "seq", F.col("hist.nbr").alias("nb")).distinct()
-    slots = e.filter("seq % 20 = 0").select("seq", "u", F.col("v").alias("peer")).join(h, ["u", "seq"]).select("seq", "peer", F.posexplode("nb").alias("slot", "n"))
+    slots = e.select("seq", "u", F.col("v").alias("peer")).join(h, ["u", "seq"]).select("seq", "peer", F.posexplode("nb").alias("slot", "n"))
     asked = slots.select(F.col("peer").alias("u"), F.col("n").alias("v")).distinct()
     cn = G.common_neighbors(asked, ab).join(core.withColumnRenamed("node", "w"), "w").groupBy(F.col("u").alias("peer"), F.col("v").alias("n")).agg(F.count("*").alias("cn"), F.sum("core").alias("cs"))
     direct = G.adjacency(ab).select(F.col("n").alias("peer"), F.col("m").alias("n"), F.lit(1).alias("direct"))
     out = slots.join(cn, ["peer", "n"], "left").join(direct, ["peer", "n"], "left").join(deg.withColumnRenamed("node", "n"), "n", "left").join(core.withColumnRenamed("node", "n"), "n", "left")
+    out = out.join(deg.select(F.col("node").alias("peer"), F.lit(True).alias("known")), "peer", "left")
     log = lambda c: F.round(F.log1p(F.coalesce(c, F.lit(0)).cast("double")), 6)
-    return out.select("seq", (F.col("slot") + 1).alias("slot"), log("cn").alias("cn"), log("cs").alias("cn_core"), F.coalesce("direct", F.lit(0)).alias("direct"), log("degree").alias("deg"), log("core").alias("core"))
+    return out.select("seq", (F.col("slot") + 1).alias("slot"), log("cn").alias("cn"), log("cs").alias("cn_core"), F.coalesce("direct", F.lit(0)).alias("direct"), *[F.when(F.col("known"), log(c)).otherwise(0.0).alias(n) for c, n in (("degree", "deg"), ("core", "core"))], log("cn").alias("cn2_proxy"))
 
 
-@query(with_("uni_purchase", SLOTS, recursive=True) + """, pr as (select distinct peer, n from sl),
-c as (select peer, pr.n, count(*) cn, sum(1 / d::double) ra from pr join adj a on a.n = peer join adj b on b.n = pr.n and b.m = a.m join deg on deg.node = a.m group by peer, pr.n)
-select seq, slot::int slot, round(ln(1 + coalesce(cn, 0)), 6) cn, round(coalesce(ra, 0), 6) ra,
-round(ln(1 + (coalesce(x.d, 0) * coalesce(y.d, 0))::double), 6) pa, round(coalesce(cn / nullif(x.d + y.d - cn, 0)::double, 0), 6) jaccard
-from sl left join c using (peer, n) left join deg x on x.node = sl.peer left join deg y on y.node = sl.n""")
+SLOTTED = f"{INTER}, {LAST.format(k=5)}, sl as (select e.seq, v peer, unnest(nb) n, generate_subscripts(nb, 1) slot from e join h on h.node = u and h.seq = e.seq), ask as (select distinct peer u, n v from sl)"
+
+
+@query(with_("uni_purchase", ALL.replace("ASK,", SLOTTED + ","), recursive=True) + "select seq, slot::int slot, pf.* exclude (u, v) from sl join pf on pf.u = sl.peer and pf.v = sl.n")
 def slot_full(spark, sf_dir: str) -> DataFrame:
-    """Pair features of every history slot with the interaction's peer as the source."""
+    """All 30 features of every history slot with the interaction's peer as the source."""
     e = E.uni_purchase(spark, sf_dir)
-    ab = G.pairs(e)
     h = H.last_k(e, 5).select(F.col("node").alias("u"), "seq", F.col("hist.nbr").alias("nb")).distinct()
-    slots = e.filter("seq % 20 = 0").select("seq", "u", F.col("v").alias("peer")).join(h, ["u", "seq"]).select("seq", "peer", F.posexplode("nb").alias("slot", "n"))
-    asked = slots.select(F.col("peer").alias("u"), F.col("n").alias("v")).distinct()
-    feats = P.pair_features(asked, ab, G.degree(ab).select("node", F.col("degree").alias("x"))).withColumnsRenamed({"u": "peer", "v": "n"})
-    out = slots.join(feats, ["peer", "n"], "left")
-    return out.select("seq", (F.col("slot") + 1).alias("slot"), *[F.round(F.coalesce(c, F.lit(0.0)), 6).alias(c) for c in ("cn", "ra", "pa", "jaccard")])
+    slots = G.cut(e.select("seq", "u", F.col("v").alias("peer")).join(h, ["u", "seq"]).select("seq", F.col("peer").alias("u"), F.posexplode("nb").alias("slot", "v")))
+    feats = all_features(slots.select("u", "v"), e)
+    return slots.join(feats, ["u", "v"]).withColumn("slot", F.col("slot") + 1).drop("u", "v")
 
 
 # -- negatives --------------------------------------------------------------------------
@@ -192,31 +191,87 @@ def neg_inductive_pool(spark, sf_dir: str) -> DataFrame:
     return N.inductive_pool(E.bip(spark, sf_dir), 8000, 8200, 7000)
 
 
-@query(with_("bip", SPLIT, POOL) + """, c as (select sp.seq, neg, row_number() over (partition by sp.seq order by (neg * 7919 + sp.seq * 104729) % 1000003, neg) r from sp, pool
-where split = 'test' and not exists (select 1 from e x where x.t = sp.t and x.u = sp.u and x.v = neg)) select seq, neg from c where r <= 20""")
-def neg_rnd(spark, sf_dir: str) -> DataFrame:
-    """Up to 20 destinations per test edge, none of them true at the same time and source.
+TRIES = """tr as (select sp.seq, sp.t, sp.u, j, neg from sp, lateral (select unnest(range((select count(*) from pool))) j), pool
+  where split = 'test' and place = (sp.seq * 7919 + j * 104729) % (select count(*) from pool) and not exists (select 1 from e x where x.t = sp.t and x.u = sp.u and x.v = neg))"""
 
-    The pool of destinations is replicated per query row, which is what the full ranking asks for.
-    """
+
+@query(with_("bip", SPLIT, POOL, TRIES) + "select seq, neg from tr qualify row_number() over (partition by seq order by j) <= 20")
+def neg_rnd(spark, sf_dir: str) -> DataFrame:
+    """Up to 20 destinations per test edge, none of them true at the same time and source."""
     e = S.quantile_split(E.bip(spark, sf_dir))
-    asked = e.filter("split = 'test'").select("seq", "t", "u", F.col("seq").alias("salt"))
-    pool = N.pool(e.select(F.col("v").alias("value"))).select(F.col("value").alias("neg"))
-    every = asked.join(F.broadcast(pool.agg(F.collect_list("neg").alias("all")))).select("seq", "t", "u", "salt", F.explode("all").alias("neg"))
-    free = every.join(e.select("t", "u", F.col("v").alias("neg")), ["t", "u", "neg"], "left_anti")
-    return N.ranked_pool(free, ["seq"], 20).select("seq", "neg")
+    asked = e.filter("split = 'test'").select("seq", "t", "u", F.col("seq").alias("salt"), F.lit(20).alias("need"))
+    true = e.select("t", "u", F.col("v").alias("neg"))
+    return N.draw_free(asked, N.pool(e.select(F.col("v").alias("value"))), [(true, ["t", "u"])], ["seq"]).select("seq", "neg")
+
 
+HIST = """th as (select distinct u, v neg from sp where split = 'train'),
+hc as (select sp.seq, neg, row_number() over (partition by sp.seq order by (neg * 7919 + sp.seq * 104729) % 1000003, neg) r from sp join th using (u)
+where split = 'test' and not exists (select 1 from e x where x.t = sp.t and x.u = sp.u and x.v = neg))"""
 
-@query(with_("bip", SPLIT) + """, th as (select distinct u, v neg from sp where split = 'train'),
-c as (select sp.seq, neg, row_number() over (partition by sp.seq order by (neg * 7919 + sp.seq * 104729) % 1000003, neg) r from sp join th using (u)
-where split = 'test' and not exists (select 1 from e x where x.t = sp.t and x.u = sp.u and x.v = neg)) select seq, neg from c where r <= 10""")
+
+@query(with_("bip", SPLIT, POOL, TRIES, HIST) + """, hs as (select seq, count(*) n from hc where r <= 5 group by seq),
+rs as (select tr.seq, neg, row_number() over (partition by tr.seq order by j) r from tr where not exists (select 1 from th where th.u = tr.u and th.neg = tr.neg))
+select seq, neg, 'hist' kind from hc where r <= 5 union all select rs.seq, neg, 'rnd' from rs left join hs using (seq) where r <= 10 - coalesce(n, 0)""")
 def neg_hist_rnd(spark, sf_dir: str) -> DataFrame:
-    """Up to ten of the source's training destinations per test edge."""
+    """Ten negatives per test edge: up to five of the source's training destinations, the rest drawn
+    among destinations that the source never had in training."""
     e = S.quantile_split(E.bip(spark, sf_dir))
     past = e.filter("split = 'train'").select("u", F.col("v").alias("neg")).distinct()
-    found = e.filter("split = 'test'").select("seq", "t", "u", F.col("seq").alias("salt")).join(past, "u")
-    free = found.join(e.select("t", "u", F.col("v").alias("neg")), ["t", "u", "neg"], "left_anti")
-    return N.ranked_pool(free, ["seq"], 10).select("seq", "neg")
+    true = e.select("t", "u", F.col("v").alias("neg"))
+    test = e.filter("split = 'test'").select("seq", "t", "u", F.col("seq").alias("salt"))
+    hist = G.cut(N.ranked_pool(test.join(past, "u").join(true, ["t", "u", "neg"], "left_anti"), ["seq"], 5).select("seq", "neg"))
+    have = hist.groupBy("seq").agg(F.count("*").alias("have"))
+    asked = test.join(have, "seq", "left").withColumn("need", (F.lit(10) - F.coalesce("have", F.lit(0))).cast("int")).drop("have")
+    rest = N.draw_free(asked, N.pool(e.select(F.col("v").alias("value"))), [(true, ["t", "u"]), (past, ["u"])], ["seq"])
+    return hist.withColumn("kind", F.lit("hist")).union(rest.select("seq", "neg", F.lit("rnd").alias("kind")))
+
+
+SIDES = "su as (select value, row_number() over (order by value) - 1 place from (select distinct u as value from e)), tv as (select value, row_number() over (order by value) - 1 place from (select distinct v as value from e))"
+
+
+@query(with_("bip", SPLIT, SIDES) + "select seq, su.value neg_u, tv.value neg_v from sp join su on su.place = seq * 7919 % (select count(*) from su) join tv on tv.place = seq * 104729 % (select count(*) from tv) where split = 'test'")
+def neg_random_pair(spark, sf_dir: str) -> DataFrame:
+    """A source and a destination for each test edge, drawn independently."""
+    e = S.quantile_split(E.bip(spark, sf_dir))
+    sides = [N.pool(e.select(F.col(c).alias("value"))) for c in ("u", "v")]
+    return N.random_pairs(e.filter("split = 'test'").select("seq"), *sides, F.col("seq"))
+
+
+@query(with_("bip", SPLIT, SIDES) + """, c as (select seq, j, su.value neg_u, tv.value neg_v from sp, range(8) r(j), su, tv
+where split = 'test' and su.place = (seq * 7919 + j * 104729) % (select count(*) from su) and tv.place = (seq * 104729 + j * 7919) % (select count(*) from tv) and not exists (select 1 from e where e.u = su.value and e.v = tv.value))
+select seq, arg_min(neg_u, j) neg_u, arg_min(neg_v, j) neg_v from c group by seq""")
+def neg_collision_free(spark, sf_dir: str) -> DataFrame:
+    """The first of eight drawn pairs for each test edge that is no edge at all."""
+    e = S.quantile_split(E.bip(spark, sf_dir))
+    sides = [N.pool(e.select(F.col(c).alias("value"))) for c in ("u", "v")]
+    return N.random_pairs(e.filter("split = 'test'").select("seq"), *sides, F.col("seq"), taken=e.select("u", "v"))
+
+
+def _past_sql(observed: str) -> str:
+    return with_("bip", SPLIT, SIDES) + f""", b as (select seq, u, v, split, (seq - 1) // 200 batch from sp), fs as (select u, v, min(seq) at_ from e group by u, v having min(seq) > {observed}),
+kn as (select *, row_number() over (order by at_) n0 from fs), bn as (select b0.batch, count(kn.n0) n from (select distinct batch from b) b0 left join kn on (kn.at_ - 1) // 200 < b0.batch group by b0.batch),
+qr as (select b.seq, b.u, b.v, b.batch, n from b join bn using (batch) where split = 'test'), own as (select distinct batch, u, v from b),
+hj as (select q.seq, j, kn.u nu, kn.v nv from qr q, range(20) r(j), kn where n > 0 and kn.n0 = (q.seq * 7919 + j * 104729) % n + 1 and not exists (select 1 from own where own.batch = q.batch and own.u = kn.u and own.v = kn.v)),
+hh as (select seq, arg_min(nu, j) nu, arg_min(nv, j) nv from hj group by seq),
+rj as (select q.seq, k, su.value nu, tv.value nv from qr q, range(8) r(k), su, tv where q.seq not in (select seq from hh) and su.place = (q.seq + k) * 7919 % (select count(*) from su) and tv.place = (q.seq + k) * 104729 % (select count(*) from tv)
+  and not exists (select 1 from own where own.batch = q.batch and own.u = su.value and own.v = tv.value)),
+rr as (select seq, arg_min(nu, k) nu, arg_min(nv, k) nv from rj group by seq)
+select q.seq, q.u, q.v, nu neg_u, nv neg_v, 'historical' kind from qr q join hh using (seq) union all select q.seq, q.u, q.v, nu, nv, 'random' from qr q join rr using (seq)"""
+
+
+@query(_past_sql("0"))
+def neg_historical(spark, sf_dir: str) -> DataFrame:
+    """An edge of the past for each test edge, none of its own batch; random pairs fill up."""
+    e = S.quantile_split(E.bip(spark, sf_dir))
+    return N.past_pairs(e, e.filter("split = 'test'"), 200)
+
+
+@query(_past_sql("(select max(seq) from sp where split = 'train')"))
+def neg_inductive(spark, sf_dir: str) -> DataFrame:
+    """As neg_historical, among edges that training never saw."""
+    e = S.quantile_split(E.bip(spark, sf_dir))
+    observed = e.filter("split = 'train'").agg(F.max("seq")).first()[0] or 0
+    return N.past_pairs(e, e.filter("split = 'test'"), 200, observed)
 
 
 # -- memory scorers ---------------------------------------------------------------------
@@ -279,16 +334,16 @@ LABELS = "lab as (select u node, t // 86400000000 slot, sum(w) x from e group by
 
 def _labels(spark, sf_dir: str) -> DataFrame:
     day = F.floor(F.col("t") / F.lit(86_400_000_000))
-    return E.uni_purchase(spark, sf_dir).groupBy(F.col("u").alias("node"), day.alias("slot")).agg(F.sum("w").alias("x"))
+    return E.uni(spark, sf_dir).groupBy(F.col("u").alias("node"), day.alias("slot")).agg(F.sum("w").alias("x"))
 
 
-@query(with_("uni_purchase", LABELS) + "select node, slot, round(coalesce(lag(x) over (partition by node order by slot), 0), 5) forecast from lab")
+@query(with_("uni", LABELS) + "select node, slot, round(coalesce(lag(x) over (partition by node order by slot), 0), 5) forecast from lab")
 def persistent_forecast(spark, sf_dir: str) -> DataFrame:
     last = F.lag("x").over(W.partitionBy("node").orderBy("slot"))
     return _labels(spark, sf_dir).select("node", "slot", F.round(F.coalesce(last, F.lit(0.0)), 5).alias("forecast"))
 
 
-@query(with_("uni_purchase", LABELS, recursive=True) + """, o as (select *, row_number() over (partition by node order by slot) i from lab),
+@query(with_("uni", LABELS, recursive=True) + """, o as (select *, row_number() over (partition by node order by slot) i from lab),
 m as (select node, slot, i, x m from o where i = 1 union all select o.node, o.slot, o.i, (m * 6 + o.x) / 7 from m join o on o.node = m.node and o.i = m.i + 1)
 select node, slot, round(m, 5) average from m""")
 def moving_average(spark, sf_dir: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..operators import decoder as D
 from ..operators import graph as G
 from ..operators import metrics as M
 from ..operators import negatives as N
@@ -44,10 +45,10 @@ def discauc(spark, sf_dir: str) -> DataFrame:
     ab = G.cut(G.pairs(e.filter("split = 'train'")))
     asked = G.cut(val.select("u", "v").union(val.select("u", "neg")).distinct())
     core = G.k_core(ab).withColumnRenamed("node", "w")
-    cn = G.common_neighbors(asked, ab).groupBy("u", "v").agg(F.count("*").alias("cn"))
-    br = G.second_hop(asked, ab, True).join(core, "w").groupBy("u", "v").agg(F.count("*").alias("bridge"), F.sum("core").alias("bridge_core"))
+    found = G.neighborhoods(asked, ab).join(core, "w").groupBy("u", "v")
     names = ["cn", "bridge", "bridge_core"]
-    feats = asked.join(cn, ["u", "v"], "left").join(br, ["u", "v"], "left").na.fill(0, names)
+    found = found.agg(F.count_if("direct").alias("cn"), F.count_if("two").alias("bridge"), F.sum(F.when(F.col("two"), F.col("core")).otherwise(0)).alias("bridge_core"))
+    feats = asked.join(found, ["u", "v"], "left").na.fill(0, names)
     pos = feats.select("u", "v", *[F.col(n).alias(f"pos_{n}") for n in names])
     neg = feats.select("u", F.col("v").alias("neg"), *[F.col(n).alias(f"neg_{n}") for n in names])
     out = M.disc_auc(val.join(pos, ["u", "v"]).join(neg, ["u", "neg"]), names)
@@ -202,12 +203,12 @@ def set_three_way(spark, sf_dir: str) -> DataFrame:
 LASTT = "lt as (select node, max(t) t from (select u node, t from e union all select v, t from e) group by node), mx as (select max(t) t from e)"
 
 
-@query(with_("uni_purchase", PAIRS, LASTT) + "select u, v, round(sum(exp(-(mx.t - lt.t) / 1e10::double)), 6) decayed from cnw join lt on node = w, mx group by u, v")
+@query(with_("uni", PAIRS, LASTT) + "select u, v, round(sum(exp(-(mx.t - lt.t) / 1e10::double)), 6) decayed from cnw join lt on node = w, mx group by u, v")
 def cn_time_decay(spark, sf_dir: str) -> DataFrame:
     """Common neighbours weighted by how long ago each was last active (10,000 s scale)."""
     from .graph_queries import _asked
 
-    e = E.uni_purchase(spark, sf_dir)
+    e = E.uni(spark, sf_dir)
     last = e.select(F.explode(F.array("u", "v")).alias("w"), "t").groupBy("w").agg(F.max("t").alias("lt"))
     found = G.common_neighbors(_asked(e), G.pairs(e)).join(last, "w").join(F.broadcast(e.agg(F.max("t").alias("mx"))))
     return found.groupBy("u", "v").agg(F.round(F.sum(F.exp(-(F.col("mx") - F.col("lt")) / F.lit(1e10))), 6).alias("decayed"))
@@ -223,16 +224,16 @@ def mean_message(spark, sf_dir: str) -> DataFrame:
     return E.uni(spark, sf_dir).groupBy(F.col("u").alias("node")).agg(F.round(F.avg("w"), 6).alias("message"))
 
 
-@query(with_("uni_purchase", PAIRS) + """, nv as (select vec_id, unnest(embedding)::double x, generate_subscripts(embedding, 1) i from embeddings)
-select u, v, round(sum(x) filter (where i = 1), 5) s1, round(sum(x) filter (where i = 2), 5) s2 from cnw join nv on vec_id = w where i <= 2 group by u, v""")
+@query(with_("uni_purchase", PAIRS) + """, nv as (select vec_id, unnest(embedding)::double x, generate_subscripts(embedding, 1) - 1 i from embeddings)
+select u, v, i::int i, round(sum(x), 5) s from cnw join nv on vec_id = w group by u, v, i""")
 def ncn_vector_sum(spark, sf_dir: str) -> DataFrame:
-    """Sum of the common neighbours' node vectors (the first two components)."""
+    """Sum of the common neighbours' whole node vectors, a row per component."""
     from .graph_queries import _asked
 
     e = E.uni_purchase(spark, sf_dir)
-    vec = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("w"), F.get("embedding", F.lit(0)).cast("double").alias("x1"), F.get("embedding", F.lit(1)).cast("double").alias("x2"))
-    found = G.common_neighbors(_asked(e), G.pairs(e)).join(vec, "w")
-    return found.groupBy("u", "v").agg(F.round(F.sum("x1"), 5).alias("s1"), F.round(F.sum("x2"), 5).alias("s2"))
+    vec = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("w"), "embedding")
+    sums = D.vector_sums(G.common_neighbors(_asked(e), G.pairs(e)), vec, "w", "embedding", ["u", "v"])
+    return sums.select("u", "v", F.posexplode("sums").alias("i", "s")).select("u", "v", "i", F.round("s", 5).alias("s"))
 
 
 # -- as-of alignment ------------------------------------------------------------------------
