@@ -34,3 +34,25 @@ def softmax(values: Column) -> Column:
     top = F.array_max(values)
     exps = F.transform(values, lambda x: F.exp(x - top))
     return F.transform(exps, lambda x: x / F.aggregate(exps, F.lit(0.0), lambda a, y: a + y))
+
+
+def one_hot(value: Column, categories: list) -> Column:
+    """Array with 1 at the value's place among ``categories``, else 0; all 0 for another or null value."""
+    return F.array(*[F.when(value == F.lit(c), 1.0).otherwise(0.0) for c in categories])
+
+
+#: SQL names of column functions: parameters, result and body.
+SQL_FUNCTIONS = {
+    "sigmoid": ("x DOUBLE", "DOUBLE", "1.0D / (1.0D + exp(-x))"),
+    "log2_weight": ("w DOUBLE", "DOUBLE", "log2(if(w = 0, 1.0D, w))"),
+    "feature_clip": ("x DOUBLE, c DOUBLE", "DOUBLE", "if(c > 0, signum(x) * log1p(abs(x) / c) * c, x)"),
+    "parse_epoch": ("t STRING", "BIGINT", "coalesce(try_cast(t AS BIGINT), unix_date(try_cast(t AS DATE)) * 86400L)"),
+    "pack_pair": ("r BIGINT, c BIGINT", "BIGINT", "(r << 32) | (c & 4294967295L)"),
+}
+
+
+def register(spark) -> list[str]:
+    """Create the functions above as temporary SQL functions of the session; Catalyst inlines their bodies."""
+    for name, (parameters, result, body) in SQL_FUNCTIONS.items():
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({parameters}) RETURNS {result} RETURN {body}")
+    return sorted(SQL_FUNCTIONS)

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import shared_folder
 from ..sources.edges import global_rank
 
 BATCH = 200
@@ -16,14 +14,9 @@ BATCH = 200
 
 def cut(df: DataFrame) -> DataFrame:
     """End the lineage of an iterated table in the shared folder (``spark.checkpoint.dir``)."""
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = f"file://{tempfile.mkdtemp(prefix='edgeloom-')}"
-        spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/cut-{uuid.uuid4().hex}"
+    path = shared_folder(df.sparkSession, "cut")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def batches(edges: DataFrame, size: int = BATCH) -> DataFrame:
@@ -48,6 +41,20 @@ def pairs(edges: DataFrame) -> DataFrame:
     return edges.filter("u <> v").select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct()
 
 
+def remove_edges(ab: DataFrame, gone: DataFrame) -> DataFrame:
+    """(a, b, removed): the edges with whether ``gone`` (u, v) names them in either direction; nodes are kept elsewhere."""
+    mark = gone.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b"), F.lit(True).alias("_g")).distinct()
+    return ab.join(mark, ["a", "b"], "left").select("a", "b", F.coalesce("_g", F.lit(False)).alias("removed"))
+
+
+def possible_edges(sources: DataFrame, targets: DataFrame, most: int = 10_000_000) -> DataFrame:
+    """All (u, v) of two id lists; an error beyond ``most`` pairs, as draws by place need no product."""
+    n = sources.count() * targets.count()
+    if n > most:
+        raise ValueError(f"{n} pairs, more than {most}")
+    return sources.select("u").crossJoin(targets.select("v"))
+
+
 def adjacency(ab: DataFrame, *more: str) -> DataFrame:
     """(n, m): both directions of (a, b)."""
     return ab.select(F.col("a").alias("n"), F.col("b").alias("m"), *more).unionByName(ab.select(F.col("b").alias("n"), F.col("a").alias("m"), *more))
@@ -203,9 +210,9 @@ def window_validity(edges: DataFrame, width: int, size: int = BATCH) -> DataFram
     rows = batches(edges.filter("u <> v"), size).select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b"), "seq", "t", "batch")
     limit = batches(edges, size).groupBy("batch").agg((F.max("t") - F.lit(width)).alias("t"))
     # floor_t never falls along the batches: an occurrence's end is the first mark above its time.
-    occurrences = rows.select("t").distinct().withColumn("p", F.lit(None).cast("long"))
-    marks = limit.groupBy("t").agg(F.min("batch").alias("p"))
-    ends = next_value(occurrences.union(marks), "t", "p").groupBy("t").agg(F.min("p").alias("p"))
+    occurrences = rows.select("t").distinct().withColumn("p", F.lit(None).cast("long")).withColumn("asked", F.lit(True))
+    marks = limit.groupBy("t").agg(F.min("batch").alias("p")).withColumn("asked", F.lit(False))
+    ends = next_value(occurrences.union(marks), "t", "p").filter("asked").select("t", "p")
     own = rows.join(ends, "t", "left").withColumn("p", F.when(F.col("p").isNotNull(), F.greatest("p", F.col("batch") + 1)))
     visits = F.array_sort(F.collect_list(F.struct("seq", "t", "batch", "p")))
     out = own.groupBy("a", "b").agg(visits.alias("visits")).select("a", "b", F.explode(stays_of(F.col("visits"))).alias("s"))

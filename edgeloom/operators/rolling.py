@@ -74,6 +74,29 @@ def rolling(trace: DataFrame, decay: float = DECAY, trend_decay: float = 0.99) -
     return rows.mapInPandas(run, "node long, n long, " + ", ".join(f"{s} double" for s in STATS))
 
 
+def stat_columns(groups: list[str]) -> list[str]:
+    """Columns of the wanted groups, in their order: all, static (the current value), dynamic (the rest) or names."""
+    if not groups or groups == ["all"]:
+        return list(STATS)
+    if groups == ["static"]:
+        return ["current"]
+    if groups == ["dynamic"]:
+        return [c for c in STATS if c != "current"]
+    unknown = [g for g in groups if g not in STATS]
+    if unknown:
+        raise ValueError(f"unknown statistics {unknown}: choose from {STATS} or all, static, dynamic")
+    return [c for c in STATS if c in groups]
+
+
+def select_stats(stats: DataFrame, groups: list[str]) -> DataFrame:
+    return stats.select("node", "n", *stat_columns(groups))
+
+
+def state_bytes(stats: DataFrame, indicators: int = 1) -> int:
+    """Bytes of the latest statistics of all nodes as 32-bit numbers."""
+    return stats.select("node").distinct().count() * len(STATS) * indicators * 4
+
+
 def as_of(queries: DataFrame, history: DataFrame, keys: list[str], query_at: str, history_at: str, values: list[str], strict: bool = True) -> DataFrame:
     """``queries`` with the values of the latest history row of their keys before (or at) their time.
 

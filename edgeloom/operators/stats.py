@@ -49,3 +49,30 @@ def three_way(x: DataFrame, y: DataFrame, keys: list[str]) -> DataFrame:
     a, b = x.select(*keys).distinct().withColumn("_l", F.lit(1)), y.select(*keys).distinct().withColumn("_r", F.lit(1))
     both = a.join(b, keys, "full")
     return both.select(*keys, F.when(F.col("_l").isNull(), "right").when(F.col("_r").isNull(), "left").otherwise("both").alias("part"))
+
+
+def table_shapes(tables: dict[str, DataFrame]) -> DataFrame:
+    """(name, edges, nodes) of each edge stream."""
+    out = None
+    for name, edges in tables.items():
+        nodes = edges.select(F.explode(F.array("u", "v")).alias("x")).agg(F.count_distinct("x").alias("nodes"))
+        one = edges.agg(F.count("*").alias("edges")).join(F.broadcast(nodes)).select(F.lit(name).alias("name"), "edges", "nodes")
+        out = one if out is None else out.union(one)
+    return out
+
+
+def expect(stream: DataFrame, **want: int) -> None:
+    """Raises ValueError unless the stream has the wanted figures: edges, nodes, min_u, max_u, min_v, max_v."""
+    ends = stream.select(F.explode(F.array("u", "v")).alias("x")).agg(F.count_distinct("x").alias("nodes"))
+    got = stream.agg(F.count("*").alias("edges"), *[f(c).alias(f"{n}_{c}") for c in ("u", "v") for n, f in (("min", F.min), ("max", F.max))]).join(F.broadcast(ends)).first()
+    wrong = {k: (got[k], v) for k, v in want.items() if got[k] != v}
+    if wrong:
+        raise ValueError(f"figures and what was expected: {wrong}")
+
+
+def study(results: DataFrame) -> DataFrame:
+    """(indicator, kind, mean, best): discriminability of features named <indicator>_<statistic>, by indicator and
+    whether the statistic is the current value (static) or a rolling one (dynamic)."""
+    name = F.substring_index("feature", "_", 1)
+    kind = F.when(F.substring_index("feature", "_", -1) == "current", "static").otherwise("dynamic")
+    return results.groupBy(name.alias("indicator"), kind.alias("kind")).agg(F.avg("disc_auc").alias("mean"), F.max("disc_auc").alias("best"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import graph as G
+from ..operators import indicators as I
 from ..operators import pairwise as P
 from ..operators import rolling as R
 from ..operators import splits as S
@@ -269,6 +270,40 @@ def node_features_asof(spark, sf_dir: str) -> DataFrame:
     return out.select("seq", "node", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("ema", "max_change")])
 
 
+TICKS = """tg as (select x.a x, x.b y, y.b z, greatest(x.n0, y.n0, z.n0) n0 from fe x join fe y on y.a = x.b join fe z on z.a = x.a and z.b = y.b),
+mv as (select node, n0, sum(d) d, sum(t) t from (select unnest([a, b]) node, n0, 1 d, 0 t from fe union all select unnest([x, y, z]), n0, 0, 1 from tg) group by node, n0),
+tk as (select node, n0, (sum(d) over w)::bigint degree, (sum(t) over w)::bigint triangles from mv window w as (partition by node order by n0))"""
+
+
+@query(with_("uni", FIRST, TICKS) + "select node, n0, degree, triangles, round(case when degree < 2 then 0 else 2.0 * triangles / (degree * (degree - 1)) end, 6) clustering from tk")
+def update_ticks(spark, sf_dir: str) -> DataFrame:
+    """One tick of each node that a new edge affects, with all its indicators."""
+    return I.ticks(G.first_edges(E.uni(spark, sf_dir))).withColumn("clustering", F.round("clustering", 6))
+
+
+@query(with_("uni_purchase", FIRST, TICKS, recursive=True) + """, o as (select node, n0 n, triangles::double x, row_number() over (partition by node order by n0) i from tk),
+r as (select node, n, i, x, x ema, 0::double mc, x slow, 0::double dl from o where i = 1 union all
+  select o.node, o.n, o.i, o.x, 0.95::double * ema + (1 - 0.95::double) * o.x, greatest(0.95::double * mc, abs(o.x - r.x)), 0.99::double * slow + (1 - 0.99::double) * o.x, o.x - r.x from r join o on o.node = r.node and o.i = r.i + 1)
+select node, n, x "current", ema, dl delta, mc max_change, ema - slow trend from r""")
+def roll_triangle_ticks(spark, sf_dir: str) -> DataFrame:
+    """Rolling statistics of the triangle count over the update's ticks."""
+    ticks = I.ticks(G.first_edges(E.uni_purchase(spark, sf_dir))).select("node", F.col("n0").alias("n"), F.col("triangles").alias("value"))
+    return R.select_stats(R.rolling(ticks), ["current", "ema", "delta", "max_change", "trend"])
+
+
+@query(with_("uni", FIRST, TICKS) + "select batch0 batch, count(distinct node) nodes from tk join fe using (n0) group by batch0")
+def affected_nodes(spark, sf_dir: str) -> DataFrame:
+    """How many nodes each batch affects."""
+    first = G.first_edges(E.uni(spark, sf_dir))
+    return I.affected(I.ticks(first), first).groupBy("batch").agg(F.count("*").alias("nodes"))
+
+
+@query(with_("uni_purchase", SNAP, ADJ, DEG, TRI, TRIN, CORE, recursive=True) + "select deg.node, d::double degree, core::double core, tri::double triangle from deg join core using (node) join tn using (node)")
+def indicator_snapshot(spark, sf_dir: str) -> DataFrame:
+    """The indicators of a large graph, side by side."""
+    return I.snapshot(G.cut(G.pairs(E.uni_purchase(spark, sf_dir))), I.for_size(5_000_000)[:3])
+
+
 # -- pair features ----------------------------------------------------------------------
 
 PAIRS = f"""{SNAP}, {ADJ}, {DEG}, {ASKED}, near as (select u, v, m w from ask join adj on n = v where m <> u),

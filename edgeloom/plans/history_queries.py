@@ -127,6 +127,23 @@ def walk_landing(spark, sf_dir: str) -> DataFrame:
     return both.groupBy("seq", "node").agg(part("u").alias("p_u"), part("v").alias("p_v"))
 
 
+@query(with_("uni", INTER.replace("from e", "from e where u <> v"), COOC) + "select seq, coalesce(array_to_string(list_transform(x, lambda i: case when i = 0 then 0 else list_contains(coalesce(y, []), i)::int end), ','), '') flags from s")
+def cooccurrence_flag(spark, sf_dir: str) -> DataFrame:
+    """Is each entry of the source's history in the destination's?"""
+    s = _two_sides(E.uni(spark, sf_dir), 10)
+    return s.select("seq", _text(H.peer_flags(F.col("x"), F.col("y"))).alias("flags"))
+
+
+@query(with_("bip", INTER) + "select node, nbr, seq from it qualify row_number() over (partition by node order by seq desc, nbr) <= 10")
+def last_neighbor_loader(spark, sf_dir: str) -> DataFrame:
+    return H.last_edges(E.bip(spark, sf_dir), 10).select("node", "nbr", "seq")
+
+
+@query(with_("bip", INTER) + "select node, nbr, seq from it qualify row_number() over (partition by node order by (seq * 7919) % 1000003, seq, nbr) <= 10")
+def random_neighbor_loader(spark, sf_dir: str) -> DataFrame:
+    return H.hashed_sample(E.bip(spark, sf_dir), 10)
+
+
 # -- slots ------------------------------------------------------------------------------
 
 SLOTS = f"{SNAP}, {ADJ}, {DEG}, {CORE}, {INTER}, {LAST.format(k=5)}, sl as (select e.seq, v peer, unnest(nb) n, generate_subscripts(nb, 1) slot from e join h on h.node = u and h.seq = e.seq)"

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -21,3 +23,18 @@ def local_session(cores: int | None = None, **conf: str) -> SparkSession:
     spark = SparkSession.builder.master(f"local[{cores}]").appName("edgeloom").config(map=settings).getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that the driver and all executors share (``spark.checkpoint.dir``).
+
+    Only a local session, whose driver and executors are one process, may do without the setting;
+    it gets a temporary folder then.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = f"file://{tempfile.mkdtemp(prefix='edgeloom-')}"
+        spark.conf.set("spark.checkpoint.dir", base)
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"

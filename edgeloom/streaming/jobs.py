@@ -7,8 +7,6 @@ unordered event is folded in where it arrives.  ``drain`` runs a job over what i
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -17,17 +15,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.rolling import DECAY, Fold
+from ..session import shared_folder
 from ..sources.edges import micros
 
 STATS = "n long, ema double, std double, max_change double"
 
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that ``spark.checkpoint.dir`` names, or a local one where it is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='edgeloom-')}"
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def read_events(spark: SparkSession, sf_dir: str, files_per_trigger: int = 8) -> DataFrame:
     """The event table, a file or a folder of files, as a stream of (eid, u, k, t, w)."""
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
@@ -65,19 +58,47 @@ def edge_memory(stream: DataFrame) -> DataFrame:
     return stream.groupBy("u", "k").agg(F.count("*").alias("n"), F.max("t").alias("last_t"))
 
 
+def edge_window(stream: DataFrame, width: str = "7 days", late: str = "1 day") -> DataFrame:
+    """(u, k, n, last_t, state): edges that are in a sliding window of event time, and those that leave it.
+
+    An edge is ``in`` with each micro-batch that brings it and ``out`` once the watermark is ``width`` beyond its
+    last occurrence; its state is dropped then, so what is held is the window.  Rows later than ``late`` behind the
+    latest time are left out.
+    """
+    span = int(pd.Timedelta(width).total_seconds() * 1_000_000)
+
+    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        n, last = state.get if state.exists else (0, 0)
+        if state.hasTimedOut:
+            state.remove()
+            yield pd.DataFrame({"u": [key[0]], "k": [key[1]], "n": [n], "last_t": [last], "state": ["out"]})
+            return
+        times = pd.concat([p["t"] for p in parts])
+        n, last = n + len(times), max(last, int(times.max()))
+        state.update((n, last))
+        state.setTimeoutTimestamp(max((last + span) // 1000, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame({"u": [key[0]], "k": [key[1]], "n": [n], "last_t": [last], "state": ["in"]})
+
+    timed = stream.filter("u is not null and k is not null").withColumn("at", F.timestamp_micros("t")).withWatermark("at", late)
+    rows = timed.select("u", "k", "t", "at")
+    return rows.groupBy("u", "k").applyInPandasWithState(step, "u long, k long, n long, last_t long, state string", "n long, last_t long", "update", GroupStateTimeout.EventTimeTimeout)
+
+
 def windowed_counts(stream: DataFrame, width: str = "1 day", late: str = "1 day") -> DataFrame:
     """(start, u, n): events of each user per tumbling window; what is later than ``late`` is left out."""
     timed = stream.withColumn("at", F.timestamp_micros("t")).withWatermark("at", late)
     return timed.groupBy(F.window("at", width).alias("w"), "u").agg(F.count("*").alias("n")).select(F.unix_micros("w.start").alias("start"), "u", "n")
 
 
-def drain(updates: DataFrame, keys: list[str]) -> DataFrame:
+def drain(updates: DataFrame, keys: list[str], folder: str | None = None) -> DataFrame:
     """Run a stream in update mode over all that is there; the last row of each key.
 
+    With the ``folder`` of an earlier run, that run's state is restored and goes on with what is new.
     Micro-batches are written under their number, so one that is run again replaces its rows.
     """
     spark = updates.sparkSession
-    out, checkpoint = shared_folder(spark, "stream-out"), shared_folder(spark, "stream-state")
+    folder = folder or shared_folder(spark, "stream")
+    out, checkpoint = f"{folder}/out", f"{folder}/state"
     schema = updates.schema
 
     def write(batch: DataFrame, number: int) -> None:
