@@ -3,28 +3,21 @@
 from __future__ import annotations
 
 import ctypes
-import tempfile
-import uuid
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import shared_folder
+
 #: A word is a run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that the driver and all executors share.
-
-    The cluster names the folder in ``spark.checkpoint.dir``; only where that is
-    unset (local tests) a temporary folder is made and remembered there.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = f"file://{tempfile.mkdtemp(prefix='edgeloom-')}"
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new path in the folder that the driver and all executors share, which the cluster names in
+    ``spark.checkpoint.dir``; without it only a local session gets one."""
+    return shared_folder(spark, name)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
