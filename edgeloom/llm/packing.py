@@ -32,10 +32,24 @@ ISLANDS, POPULATION, GENERATIONS, EPOCHS = 3, 4, 5, 2
 TEXT_CHARS = 4_000_000  #: characters tokenised at a time
 CACHE_BYTES = 96 << 20  #: of words and their tokens that a task remembers; then it starts anew
 JOINED = 200  #: words encoded as one text
+NEAR = 0x1100  #: below, no letter joins the one before it in NFC, so a word's letters can be judged one by one
 
 PIECE = [T.StructField("piece", T.IntegerType()), *[T.StructField(n, T.LongType()) for n in ("start", "length", "ids_crc32")]]
 
 
+def raw(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Bounds of each value and the bytes of all."""
+    _, ends, data = texts.buffers()
+    bounds = np.frombuffer(ends, np.int64)[texts.offset : texts.offset + len(texts) + 1] if ends else np.zeros(1, np.int64)
+    return bounds - bounds[0], np.frombuffer(data, np.uint8)[bounds[0] : bounds[-1]] if data else np.zeros(0, np.uint8)
+
+
+def of_sizes(sizes: np.ndarray, data: bytes, kind: pa.DataType) -> pa.Array:
+    """Arrow array of values that stand in a row in ``data`` and have ``sizes`` bytes each."""
+    ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+    return pa.Array.from_buffers(kind, len(sizes), [None, pa.py_buffer(ends), pa.py_buffer(data)])
+
+
 class Memo:
     """Texts and their token ids (as bytes) in Arrow arrays, so that an entry costs no Python object."""
 
@@ -87,6 +101,7 @@ class Encoder:
         suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
         if suffix:
             self.ends_word[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith(suffix)]] = True
+        self.lower_of = np.full(NEAR, -1)  # code point of a near letter -> that of its lower case, 0 if it isn't plain, -1 if unknown
         self.lowers: dict[str, bool] = {}  # letter -> is it one letter in lower case for the tokenizer too?
         self._clear()
 
@@ -113,32 +128,68 @@ class Encoder:
 
     def _learn_parts(self, new: pa.Array) -> pa.Array:
         """Words of letters have one end each, so many are encoded as one text and cut at the ends."""
-        parts = new.to_pylist()
-        out: list[bytes] = [b""] * len(parts)
-        letters = [i for i, p in enumerate(parts) if p.isalpha()]
-        other = [i for i, p in enumerate(parts) if p and not p.isalpha()]
-        lines = [letters[i : i + JOINED] for i in range(0, len(letters), JOINED)]
-        for first in range(0, len(lines), 100):
-            some = lines[first : first + 100]
-            for line, ids in zip(some, self._ids([" ".join(parts[i] for i in line) for line in some])):
+        parts = new.to_numpy(zero_copy_only=False).tolist()
+        alpha = np.fromiter(map(str.isalpha, parts), bool, len(parts))
+        filled = np.fromiter(map(len, parts), np.int64, len(parts)) > 0
+        letters = np.flatnonzero(alpha)
+        words = [parts[i] for i in letters.tolist()]
+        firsts = range(0, len(words), JOINED)
+        places, sizes, held, other = [], [], [], np.flatnonzero(~alpha & filled).tolist()
+        for some in (firsts[i : i + 100] for i in range(0, len(firsts), 100)):
+            for first, ids in zip(some, self._ids([" ".join(words[first : first + JOINED]) for first in some])):
+                line = letters[first : first + JOINED]
                 ends = np.flatnonzero(self.ends_word[ids]) + 1
-                if len(ends) != len(line):
-                    other += line
-                    continue
-                held, cuts = ids.tobytes(), (4 * np.concatenate([[0], ends])).tolist()
-                for i, a, b in zip(line, cuts, cuts[1:]):
-                    out[i] = held[a:b]
-        for first in range(0, len(other), 20_000):
-            some = other[first : first + 20_000]
-            for i, ids in zip(some, self._ids([parts[i] for i in some])):
-                out[i] = ids.tobytes()
-        return pa.array(out, pa.large_binary())
+                if len(ends) == len(line):
+                    places.append(line)
+                    sizes.append(np.diff(ends, prepend=0))
+                    held.append(ids[: ends[-1]])
+                else:
+                    other += line.tolist()
+        for some in (other[i : i + 20_000] for i in range(0, len(other), 20_000)):
+            ids = self._ids([parts[i] for i in some])
+            places.append(np.array(some))
+            sizes.append(np.fromiter(map(len, ids), np.int64, len(ids)))
+            held += ids
+        places.append(np.flatnonzero(~filled))
+        sizes.append(np.zeros(len(places[-1]), np.int64))
+        found = of_sizes(4 * np.concatenate(sizes), np.concatenate([np.zeros(0, "<u4"), *held]).tobytes(), pa.large_binary())
+        return found.take(pa.array(np.argsort(np.concatenate(places))))
+
+    def _lower_codes(self, codes: np.ndarray) -> np.ndarray:
+        """Lower case of each code point that is plain and near, else 0."""
+        near = codes < NEAR
+        new = np.flatnonzero((np.bincount(codes[near], minlength=NEAR) > 0) & (self.lower_of < 0))
+        for code in new.tolist():
+            letter = chr(code)
+            plain = letter.isalpha() and unicodedata.is_normalized("NFC", letter) and self._is_plain(letter)
+            self.lower_of[code] = ord(letter.lower()) if plain else 0
+        return np.where(near, self.lower_of[np.minimum(codes, NEAR - 1)], 0)
+
+    def _split_all(self, new: pa.Array) -> tuple[pa.Array, pa.Array]:
+        """``_split`` of all words at once; one by one only where a letter isn't near."""
+        letters = pc.ascii_rtrim(new, ".,!?;:")
+        codes = np.frombuffer(raw(letters)[1].tobytes().decode().encode("utf-32-le"), "<u4").astype(np.int64)
+        cuts = np.concatenate([[0], np.cumsum(pc.utf8_length(letters).to_numpy())])
+        low = self._lower_codes(codes)
+        rough = np.concatenate([[0], np.cumsum(low == 0)])[cuts]
+        plain = (np.diff(rough) == 0) & (np.diff(cuts) > 0)
+        lowered = np.where(low > 0, low, codes)
+        at = np.concatenate([[0], np.cumsum(1 + (lowered >= 0x80) + (lowered >= 0x800) + (lowered >= 0x10000))])[cuts]
+        lower = of_sizes(np.diff(at), lowered.astype("<u4").tobytes().decode("utf-32-le").encode(), pa.large_string())
+        ends, data = raw(new)
+        over = np.where(plain, np.diff(ends) - np.diff(raw(letters)[0]), 0)
+        from_ = np.repeat(ends[1:] - np.cumsum(over), over)
+        tails = of_sizes(over, data[from_ + np.arange(len(from_))].tobytes(), pa.large_string())
+        heads = pc.if_else(pa.array(plain), lower, new)
+        far = np.diff(np.concatenate([[0], np.cumsum(codes >= NEAR)])[cuts]) > 0
+        if far.any():
+            mask = pa.array(far)
+            split = [self._split(w) for w in new.filter(mask).to_pylist()]
+            heads, tails = (pc.replace_with_mask(x, mask, pa.array(side, pa.large_string())) for x, side in zip((heads, tails), zip(*split)))
+        return heads, tails
 
     def _learn(self, new: pa.Array) -> pa.Array:
-        letters = pc.utf8_rtrim(new, ".,!?;:")
-        plain = pc.and_(pc.ascii_is_alpha(letters), pc.string_is_ascii(letters)).to_pylist()
-        split = [(low, w[len(low) :]) if ok else self._split(w) for w, low, ok in zip(new.to_pylist(), pc.ascii_lower(letters).to_pylist(), plain)]
-        both = [self.parts.of(pa.array(side, pa.large_string()), self._learn_parts) for side in zip(*split)]
+        both = [self.parts.of(side, self._learn_parts) for side in self._split_all(new)]
         return pc.binary_join_element_wise(*both, pa.scalar(b"", pa.large_binary()))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
@@ -146,9 +197,8 @@ class Encoder:
             self._clear()
         words = pc.ascii_split_whitespace(pa.array(texts, pa.large_string()))
         found = self.words.of(words.values, self._learn)
-        _, ends, data = found.buffers()
-        ids = np.frombuffer(data, "<u4") if data else np.zeros(0, "<u4")
-        bounds = np.frombuffer(ends, np.int64)[words.offsets.to_numpy()] // 4
+        ends, data = raw(found)
+        ids, bounds = data.view("<u4"), ends[words.offsets.to_numpy()] // 4
         return [ids[a:b] for a, b in zip(bounds[:-1], bounds[1:])]
 
 
