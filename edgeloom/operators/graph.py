@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -10,6 +10,7 @@ from ..session import shared_folder
 from ..sources.edges import global_rank
 
 BATCH = 200
+FRONTIER_ROWS = 5_000_000  #: so many adjacency rows or wings make a round's own joins dearer than finding what to ask
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -19,6 +20,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def cut_changed(step: DataFrame) -> tuple[DataFrame, int]:
+    """Writes ``step`` as ``cut`` does; also the number of its rows that are ``changed``, counted by the same write."""
+    seen = Observation()
+    return cut(step.observe(seen, F.count_if("changed").alias("n"))), seen.get["n"]
+
+
 def batches(edges: DataFrame, size: int = BATCH) -> DataFrame:
     """Adds the micro-batch of each row: positions in runs of ``size``."""
     return edges.withColumn("batch", F.floor((F.col("seq") - 1) / F.lit(size)).cast("long"))
@@ -106,38 +113,60 @@ def _h_index(rows: DataFrame, key: list[str], value: str) -> DataFrame:
     return level.withColumn("least", F.least(F.col(value), upto)).groupBy(*key).agg(F.max("least").alias("h"))
 
 
-def k_core(ab: DataFrame, *keys: str) -> DataFrame:
+def _lowered(now: DataFrame, new: DataFrame, key: list[str], value: str) -> tuple[DataFrame, int]:
+    """``now`` with the values that ``new`` (key, h) lowers and whether it did, and how many they are."""
+    least = F.least(F.col(value), F.coalesce("h", F.col(value))).cast("long")
+    step = now.drop("changed").join(new, key, "left").select(*key, least.alias(value), (least < F.col(value)).alias("changed"))
+    return cut_changed(step)
+
+
+def k_core(ab: DataFrame, *keys: str, frontier_rows: int = FRONTIER_ROWS) -> DataFrame:
     """(keys, node, core): iterated h-index of the neighbours' values, from the degrees to the fixpoint.
 
     ``keys`` name columns of ``ab`` that tell snapshots apart; all snapshots are iterated together.
+    From ``frontier_rows`` rows on a round asks only nodes next to one whose value fell in the round
+    before; the values are the same.
     """
     adj = cut(adjacency(ab, *keys))
-    now = cut(adj.groupBy(*keys, "n").agg(F.count("*").alias("core")))
-    while True:
-        seen = adj.join(now.select(*keys, F.col("n").alias("m"), "core"), [*keys, "m"])
+    rows = adj.count()
+    if not rows:
+        return adj.select(*keys, F.col("n").alias("node"), F.lit(0).cast("long").alias("core"))
+    now, left = cut_changed(adj.groupBy(*keys, "n").agg(F.count("*").alias("core")).withColumn("changed", F.lit(True)))
+    while left:
+        ask = adj
+        if rows >= frontier_rows:
+            moved = now.filter("changed").select(*keys, F.col("n").alias("m"))
+            ask = adj.join(adj.join(moved, [*keys, "m"], "left_semi").select(*keys, "n").distinct(), [*keys, "n"], "left_semi")
+        seen = ask.join(now.select(*keys, F.col("n").alias("m"), "core"), [*keys, "m"])
         new = _h_index(seen.select(*keys, "n", "core"), [*keys, "n"], "core")
-        step = cut(now.join(new, [*keys, "n"]).select(*keys, "n", F.least("core", "h").cast("long").alias("next"), "core"))
-        now = step.select(*keys, "n", F.col("next").alias("core"))
-        if step.filter("next <> core").limit(1).count() == 0:
-            break
-    return now.withColumnRenamed("n", "node")
+        now, left = _lowered(now, new, [*keys, "n"], "core")
+    return now.drop("changed").withColumnRenamed("n", "node")
+
 
+def k_truss(ab: DataFrame, frontier_rows: int = FRONTIER_ROWS) -> DataFrame:
+    """(a, b, truss): h-index over an edge's triangles of the lesser of their other two edges, plus 2.
 
-def k_truss(ab: DataFrame) -> DataFrame:
-    """(a, b, truss): h-index over an edge's triangles of the lesser of their other two edges, plus 2."""
+    From ``frontier_rows`` wings on a round asks only edges that share a triangle with one whose value
+    fell in the round before; the values are the same.
+    """
     t = triangles(ab)
     sides = [("x", "y", "x", "z", "y", "z"), ("x", "z", "x", "y", "y", "z"), ("y", "z", "x", "y", "x", "z")]
     parts = [t.select(*[F.col(c).alias(n) for c, n in zip(s, ("a", "b", "a1", "b1", "a2", "b2"))]) for s in sides]
     wings = cut(parts[0].union(parts[1]).union(parts[2]))
-    now = cut(wings.groupBy("a", "b").agg(F.count("*").alias("s")))
-    while True:
+    rows = wings.count()
+    if not rows:
+        return ab.select("a", "b", F.lit(2).cast("long").alias("truss"))
+    now, left = cut_changed(wings.groupBy("a", "b").agg(F.count("*").alias("s")).withColumn("changed", F.lit(True)))
+    while left:
+        ask = wings
+        if rows >= frontier_rows:
+            # A triangle has a wing for each of its edges, so a changed edge's own wings name all edges to ask.
+            moved = wings.join(now.filter("changed").select("a", "b"), ["a", "b"], "left_semi")
+            others = F.array(F.struct(F.col("a1").alias("a"), F.col("b1").alias("b")), F.struct(F.col("a2").alias("a"), F.col("b2").alias("b")))
+            ask = wings.join(moved.select(F.explode(others).alias("e")).select("e.*").distinct(), ["a", "b"], "left_semi")
         one, two = now.select(F.col("a").alias("a1"), F.col("b").alias("b1"), F.col("s").alias("s1")), now.select(F.col("a").alias("a2"), F.col("b").alias("b2"), F.col("s").alias("s2"))
-        low = wings.join(one, ["a1", "b1"]).join(two, ["a2", "b2"]).select("a", "b", F.least("s1", "s2").alias("low"))
-        new = _h_index(low.filter("low > 0"), ["a", "b"], "low")
-        step = cut(now.join(new, ["a", "b"], "left").select("a", "b", "s", F.least(F.col("s"), F.coalesce("h", F.lit(0))).cast("long").alias("next")))
-        now = step.select("a", "b", F.col("next").alias("s"))
-        if step.filter("next <> s").limit(1).count() == 0:
-            break
+        low = ask.join(one, ["a1", "b1"]).join(two, ["a2", "b2"]).select("a", "b", F.least("s1", "s2").alias("low"))
+        now, left = _lowered(now, _h_index(low, ["a", "b"], "low"), ["a", "b"], "s")
     return ab.join(now, ["a", "b"], "left").select("a", "b", (F.coalesce("s", F.lit(0)) + 2).cast("long").alias("truss"))
 
 

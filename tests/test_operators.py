@@ -100,3 +100,11 @@ def test_positional_split_covers_all(spark):
     e = edges(spark, [(i, i + 1) for i in range(20)])
     counts = {r[0]: r[1] for r in S.positional_split(e).groupBy("split").count().collect()}
     assert counts == {"train": 14, "val": 3, "test": 3}
+
+
+def test_rounds_that_ask_only_what_changed_give_the_same_values(spark):
+    draw = random.Random(5)
+    pairs = {tuple(sorted(draw.sample(range(24), 2))) for _ in range(90)} | {(i, i + 1) for i in range(30, 40)}
+    ab = G.pairs(edges(spark, sorted(pairs)))
+    assert as_dict(G.k_core(ab, frontier_rows=0)) == peel(pairs)
+    assert {tuple(r) for r in G.k_truss(ab, frontier_rows=0).collect()} == {tuple(r) for r in G.k_truss(ab).collect()}
