@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import ctypes
+from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +15,8 @@ from ..session import shared_folder
 
 #: A word is a run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Bytes of text that a Python worker takes apart at a time (one text at least).
+TEXT_BYTES = 4_000_000
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
@@ -44,3 +49,16 @@ def give_back() -> None:
         ctypes.CDLL(None).malloc_trim(0)
     except (AttributeError, OSError):  # not the GNU library
         pass
+
+
+def text_blocks(texts: pa.Array, most: int = TEXT_BYTES) -> Iterator[tuple[slice, pa.LargeStringArray]]:
+    """Runs of texts of about ``most`` bytes with where they are; null texts are empty."""
+    texts = texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts
+    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    ends = np.cumsum(pc.binary_length(texts).to_numpy())
+    first = 0
+    while first < len(texts):
+        begin = ends[first - 1] if first else 0
+        last = max(first + 1, int(np.searchsorted(ends, begin + most, side="right")))
+        yield slice(first, last), texts[first:last]
+        first = last
