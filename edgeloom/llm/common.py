@@ -25,14 +25,22 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return shared_folder(spark, name)
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, *folders: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends there, and
-    a lost executor costs no recomputation of what is before."""
+    a lost executor costs no recomputation of what is before.  ``folders`` are columns by which it is parted."""
     path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.partitionBy(*folders).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(written: DataFrame) -> None:
+    """Delete the files of what ``materialize`` gave, which nothing reads any more."""
+    spark = written.sparkSession
+    for folder in {f.rsplit("/", 1)[0] for f in written.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
 def word_count(text: Column) -> Column:
     """Number of words of a text as a long; null has none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from . import oracles
 from .ann import op1_inverted_multi_index
 from .hard_negatives import op12_radix_hard_negatives
+from .hidden_markov import op13_hidden_markov
 from .importance import op11_importance_resampling
 from .near_dedup import op2_probminhash_dedup
 from .packing import op4_grouping_ga_packing
@@ -18,7 +19,7 @@ from .sharding import op6_tiered_shards
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_inverted_multi_index, op2_probminhash_dedup, op3_rule_ledger, op4_grouping_ga_packing, op5_line_spread, op6_tiered_shards, op7_kneser_ney_langid, op8_hierarchical_quality, op9_curriculum_mix, op10_quotation_threads, op11_importance_resampling, op12_radix_hard_negatives)}
+    return {f.__name__: f for f in (op1_inverted_multi_index, op2_probminhash_dedup, op3_rule_ledger, op4_grouping_ga_packing, op5_line_spread, op6_tiered_shards, op7_kneser_ney_langid, op8_hierarchical_quality, op9_curriculum_mix, op10_quotation_threads, op11_importance_resampling, op12_radix_hard_negatives, op13_hidden_markov)}
 
 
 def oracle_sql() -> dict[str, str]:
