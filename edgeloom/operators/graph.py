@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Observation
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..session import shared_folder
-from ..sources.edges import global_rank
+from ..session import discard, shared_folder
+from ..sources.order import numbered
 
 BATCH = 200
 FRONTIER_ROWS = 5_000_000  #: so many adjacency rows or wings make a round's own joins dearer than finding what to ask
@@ -20,12 +23,6 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def cut_changed(step: DataFrame) -> tuple[DataFrame, int]:
-    """Writes ``step`` as ``cut`` does; also the number of its rows that are ``changed``, counted by the same write."""
-    seen = Observation()
-    return cut(step.observe(seen, F.count_if("changed").alias("n"))), seen.get["n"]
-
-
 def batches(edges: DataFrame, size: int = BATCH) -> DataFrame:
     """Adds the micro-batch of each row: positions in runs of ``size``."""
     return edges.withColumn("batch", F.floor((F.col("seq") - 1) / F.lit(size)).cast("long"))
@@ -40,7 +37,7 @@ def first_edges(edges: DataFrame, size: int = BATCH) -> DataFrame:
     simple = edges.filter("u <> v").groupBy(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).agg(F.min(F.struct("seq", "t")).alias("f"))
     simple = simple.select("a", "b", F.col("f.seq").alias("seq0"), F.col("f.t").alias("t0"))
     simple = simple.withColumn("batch0", F.floor((F.col("seq0") - 1) / F.lit(size)).cast("long"))
-    return global_rank(simple, ["seq0"], F.floor(F.col("seq0") / F.lit(4096)), "n0")
+    return numbered(simple, ["seq0"], "n0")
 
 
 def pairs(edges: DataFrame) -> DataFrame:
@@ -113,11 +110,12 @@ def _h_index(rows: DataFrame, key: list[str], value: str) -> DataFrame:
     return level.withColumn("least", F.least(F.col(value), upto)).groupBy(*key).agg(F.max("least").alias("h"))
 
 
-def _lowered(now: DataFrame, new: DataFrame, key: list[str], value: str) -> tuple[DataFrame, int]:
-    """``now`` with the values that ``new`` (key, h) lowers and whether it did, and how many they are."""
+def _lowered(now: DataFrame, new: DataFrame, key: list[str], value: str) -> DataFrame:
+    """``now`` with the values that ``new`` (key, h) lowers and whether it did, written in place of ``now``."""
     least = F.least(F.col(value), F.coalesce("h", F.col(value))).cast("long")
-    step = now.drop("changed").join(new, key, "left").select(*key, least.alias(value), (least < F.col(value)).alias("changed"))
-    return cut_changed(step)
+    step = cut(now.drop("changed").join(new, key, "left").select(*key, least.alias(value), (least < F.col(value)).alias("changed")))
+    discard(now)
+    return step
 
 
 def k_core(ab: DataFrame, *keys: str, frontier_rows: int = FRONTIER_ROWS) -> DataFrame:
@@ -131,15 +129,16 @@ def k_core(ab: DataFrame, *keys: str, frontier_rows: int = FRONTIER_ROWS) -> Dat
     rows = adj.count()
     if not rows:
         return adj.select(*keys, F.col("n").alias("node"), F.lit(0).cast("long").alias("core"))
-    now, left = cut_changed(adj.groupBy(*keys, "n").agg(F.count("*").alias("core")).withColumn("changed", F.lit(True)))
-    while left:
+    now = cut(adj.groupBy(*keys, "n").agg(F.count("*").alias("core")).withColumn("changed", F.lit(True)))
+    while not now.filter("changed").isEmpty():
         ask = adj
         if rows >= frontier_rows:
             moved = now.filter("changed").select(*keys, F.col("n").alias("m"))
             ask = adj.join(adj.join(moved, [*keys, "m"], "left_semi").select(*keys, "n").distinct(), [*keys, "n"], "left_semi")
         seen = ask.join(now.select(*keys, F.col("n").alias("m"), "core"), [*keys, "m"])
         new = _h_index(seen.select(*keys, "n", "core"), [*keys, "n"], "core")
-        now, left = _lowered(now, new, [*keys, "n"], "core")
+        now = _lowered(now, new, [*keys, "n"], "core")
+    discard(adj)
     return now.drop("changed").withColumnRenamed("n", "node")
 
 
@@ -156,8 +155,8 @@ def k_truss(ab: DataFrame, frontier_rows: int = FRONTIER_ROWS) -> DataFrame:
     rows = wings.count()
     if not rows:
         return ab.select("a", "b", F.lit(2).cast("long").alias("truss"))
-    now, left = cut_changed(wings.groupBy("a", "b").agg(F.count("*").alias("s")).withColumn("changed", F.lit(True)))
-    while left:
+    now = cut(wings.groupBy("a", "b").agg(F.count("*").alias("s")).withColumn("changed", F.lit(True)))
+    while not now.filter("changed").isEmpty():
         ask = wings
         if rows >= frontier_rows:
             # A triangle has a wing for each of its edges, so a changed edge's own wings name all edges to ask.
@@ -166,7 +165,8 @@ def k_truss(ab: DataFrame, frontier_rows: int = FRONTIER_ROWS) -> DataFrame:
             ask = wings.join(moved.select(F.explode(others).alias("e")).select("e.*").distinct(), ["a", "b"], "left_semi")
         one, two = now.select(F.col("a").alias("a1"), F.col("b").alias("b1"), F.col("s").alias("s1")), now.select(F.col("a").alias("a2"), F.col("b").alias("b2"), F.col("s").alias("s2"))
         low = ask.join(one, ["a1", "b1"]).join(two, ["a2", "b2"]).select("a", "b", F.least("s1", "s2").alias("low"))
-        now, left = _lowered(now, _h_index(low, ["a", "b"], "low"), ["a", "b"], "s")
+        now = _lowered(now, _h_index(low, ["a", "b"], "low"), ["a", "b"], "s")
+    discard(wings)
     return ab.join(now, ["a", "b"], "left").select("a", "b", (F.coalesce("s", F.lit(0)) + 2).cast("long").alias("truss"))
 
 
@@ -234,7 +234,8 @@ def window_validity(edges: DataFrame, width: int, size: int = BATCH) -> DataFram
     A stay begins with an occurrence in batch i at time t and ends in batch p, the first
     one after i whose latest time less ``width`` is above t; occurrences meanwhile change
     nothing and the next stay may begin in p itself.  An open stay has a null batch_out.
-    Each occurrence's own end is one as-of join; following the ends is a fold per edge.
+    Each occurrence's own end is one as-of join; following the ends is a fold that streams through the sorted
+    occurrences, so an edge with many of them is never held together.
     """
     rows = batches(edges.filter("u <> v"), size).select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b"), "seq", "t", "batch")
     limit = batches(edges, size).groupBy("batch").agg((F.max("t") - F.lit(width)).alias("t"))
@@ -243,16 +244,22 @@ def window_validity(edges: DataFrame, width: int, size: int = BATCH) -> DataFram
     marks = limit.groupBy("t").agg(F.min("batch").alias("p")).withColumn("asked", F.lit(False))
     ends = next_value(occurrences.union(marks), "t", "p").filter("asked").select("t", "p")
     own = rows.join(ends, "t", "left").withColumn("p", F.when(F.col("p").isNotNull(), F.greatest("p", F.col("batch") + 1)))
-    visits = F.array_sort(F.collect_list(F.struct("seq", "t", "batch", "p")))
-    out = own.groupBy("a", "b").agg(visits.alias("visits")).select("a", "b", F.explode(stays_of(F.col("visits"))).alias("s"))
-    return out.select("a", "b", F.col("s.t").alias("t_in"), F.col("s.batch").alias("batch_in"), F.col("s.p").alias("batch_out"))
-
-
-def stays_of(visits: Column) -> Column:
-    """Fold of an edge's occurrences (in order): those that begin a stay."""
-    zero = F.filter(visits, lambda x: F.lit(False))
-    began = lambda acc, x: (F.size(acc) == 0) | (F.element_at(acc, -1)["p"] <= x["batch"])
-    return F.aggregate(visits, zero, lambda acc, x: F.when(began(acc, x), F.concat(acc, F.array(x))).otherwise(acc))
+    ordered = own.select("a", "b", "seq", "t", "batch", "p").repartition("a", "b").sortWithinPartitions("a", "b", "seq")
+    return ordered.mapInPandas(_stays, "a long, b long, t_in long, batch_in long, batch_out long")
+
+
+def _stays(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Of edges' occurrences in order, those that begin a stay; only the last edge's end is held."""
+    edge, end = None, None
+    for pdf in parts:
+        began = []
+        ends = [None if x != x else int(x) for x in pdf["p"].tolist()]
+        for i, (key, batch) in enumerate(zip(zip(pdf["a"].tolist(), pdf["b"].tolist()), pdf["batch"].tolist())):
+            if key != edge or (end is not None and end <= batch):
+                edge, end = key, ends[i]
+                began.append(i)
+        out = pdf.iloc[began]
+        yield pd.DataFrame({"a": out["a"], "b": out["b"], "t_in": out["t"], "batch_in": out["batch"], "batch_out": out["p"].astype("Int64")})
 
 
 def next_value(rows: DataFrame, order: str, value: str, hours: int = 1) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.order import numbered
+
 
 def interactions(edges: DataFrame) -> DataFrame:
     """(node, nbr, seq, t): each interaction from both ends; repeats are kept."""
@@ -81,12 +83,10 @@ def multi_hop(edges: DataFrame, k: int, hops: int) -> DataFrame:
 def last_edges(edges: DataFrame, k: int) -> DataFrame:
     """(node, nbr, seq, local): each node's last ``k`` interactions, an edge once per node, with nodes
     numbered densely among those that occur (``local``)."""
-    from ..sources.edges import global_rank
-
     latest = F.row_number().over(W.partitionBy("node").orderBy(F.desc("seq"), "nbr"))
     held = interactions(edges).dropDuplicates(["node", "nbr", "seq"]).withColumn("r", latest).filter(F.col("r") <= k).drop("r", "t")
     ids = held.select("node").union(held.select("nbr")).distinct()
-    local = global_rank(ids, ["node"], F.floor(F.col("node") / F.lit(8192)), "local").withColumn("local", F.col("local") - 1)
+    local = numbered(ids, ["node"], "local", 0)
     return held.join(local, "node")
 
 

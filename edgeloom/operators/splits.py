@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.edges import global_rank
+from ..sources.order import numbered
 from .graph import batches, first_edges, k_core
 
 
@@ -15,7 +15,7 @@ def first_seen_ids(rows: DataFrame, position: str, columns: list[str]) -> DataFr
     n = len(columns)
     sides = F.explode(F.array(*[F.struct((F.col(position) * n + i).alias("p"), F.col(c).cast("string").alias("raw")) for i, c in enumerate(columns)]))
     first = rows.select(sides.alias("x")).groupBy("x.raw").agg(F.min("x.p").alias("p"))
-    return global_rank(first, ["p"], F.floor(F.col("p") / F.lit(8192)), "id").select("raw", (F.col("id") - 1).alias("id"))
+    return numbered(first, ["p"], "id", 0).select("raw", "id")
 
 
 def reindex_bipartite(rows: DataFrame) -> DataFrame:
@@ -103,7 +103,7 @@ def inductive_rows(edges: DataFrame, share: int = 10) -> DataFrame:
     draw = (F.col("x") * 7919) % 100003
     ends = edges.select("split", F.explode(F.array("u", "v")).alias("x"))
     want = ends.select("x").distinct().agg(F.floor(F.count("*") / F.lit(share)).alias("want"))
-    late = global_rank(ends.filter("split <> 'train'").select("x").distinct(), [draw, "x"], F.floor(draw / F.lit(64)), "place")
+    late = numbered(ends.filter("split <> 'train'").select("x").distinct(), [draw, "x"], "place")
     held = late.join(F.broadcast(want)).filter(F.col("place") <= F.col("want")).select("x")
     rows = edges
     for side in ("u", "v"):

@@ -198,14 +198,32 @@ def neg_train(spark, sf_dir: str) -> DataFrame:
     return N.draw(e.filter("split = 'train'").select("seq"), values, F.col("seq"), 5).select("seq", "j", "neg")
 
 
-@query(with_("bip") + "select distinct u, v from e where seq < 8000 and not exists (select 1 from e x where x.u = e.u and x.v = e.v and x.seq between 8000 and 8200)")
+def _known_sql(observed: str) -> str:
+    """kn: edges first seen after ``observed``, numbered; bn: how many of them a batch knows; ow: those that it has itself."""
+    return f"""b as (select seq, u, v, split, (seq - 1) // 200 batch from sp), fs as (select u, v, min(seq) at_ from e group by u, v having min(seq) > {observed}),
+kn as (select *, row_number() over (order by at_) - 1 n0 from fs), bn as (select b0.batch, count(kn.n0) known from (select distinct batch from b) b0 left join kn on (kn.at_ - 1) // 200 < b0.batch group by b0.batch),
+ow as (select distinct batch, n0 from b join kn using (u, v) join bn using (batch) where n0 < known),
+pl as (select batch, known, coalesce(c, 0) own, known - coalesce(c, 0) "free" from bn left join (select batch, count(*) c from ow group by batch) using (batch))"""
+
+
+TRAINED = "(select max(seq) from sp where split = 'train')"
+
+
+@query(with_("bip", SPLIT, _known_sql("0")) + 'select batch, known, own, "free" from pl')
 def neg_historical_pool(spark, sf_dir: str) -> DataFrame:
-    return N.historical_pool(E.bip(spark, sf_dir), 8000, 8200)
+    """What each batch may draw: edges seen before it, without its own."""
+    return N.past_of(S.quantile_split(E.bip(spark, sf_dir)), 200)[1]
 
 
-@query(with_("bip") + "select distinct u, v from e where seq < 8000 and not exists (select 1 from e x where x.u = e.u and x.v = e.v and (x.seq between 8000 and 8200 or x.seq <= 7000))")
+@query(with_("bip", SPLIT, _known_sql(TRAINED)) + 'select batch, known, own, "free" from pl')
 def neg_inductive_pool(spark, sf_dir: str) -> DataFrame:
-    return N.inductive_pool(E.bip(spark, sf_dir), 8000, 8200, 7000)
+    """As neg_historical_pool, among edges that training never saw."""
+    e = S.quantile_split(E.bip(spark, sf_dir))
+    return N.past_of(e, 200, _trained(e))[1]
+
+
+def _trained(edges: DataFrame) -> int:
+    return edges.filter("split = 'train'").agg(F.max("seq")).first()[0] or 0
 
 
 TRIES = """tr as (select sp.seq, sp.t, sp.u, j, neg from sp, lateral (select unnest(range((select count(*) from pool))) j), pool
@@ -221,9 +239,10 @@ def neg_rnd(spark, sf_dir: str) -> DataFrame:
     return N.draw_free(asked, N.pool(e.select(F.col("v").alias("value"))), [(true, ["t", "u"])], ["seq"]).select("seq", "neg")
 
 
-HIST = """th as (select distinct u, v neg from sp where split = 'train'),
-hc as (select sp.seq, neg, row_number() over (partition by sp.seq order by (neg * 7919 + sp.seq * 104729) % 1000003, neg) r from sp join th using (u)
-where split = 'test' and not exists (select 1 from e x where x.t = sp.t and x.u = sp.u and x.v = neg))"""
+HIST = """th as (select *, row_number() over (partition by u order by neg) - 1 place from (select distinct u, v neg from sp where split = 'train')), ts as (select u, count(*) size from th group by u),
+hq as (select sp.seq, sp.t, sp.u, size, coalesce(lost, 0) lost from sp join ts using (u) left join (select t, u, count(distinct v) lost from e group by t, u) l on l.t = sp.t and l.u = sp.u where split = 'test'),
+hj as (select *, (seq * 7919 + j * case when size % 104729 <> 0 then 104729 when size % 7919 <> 0 then 7919 else 1 end) % size place from (select *, unnest(range(least(size, 5 + lost))) j from hq)),
+hc as (select seq, neg, row_number() over (partition by seq order by j) r from hj join th using (u, place) where not exists (select 1 from e x where x.t = hj.t and x.u = hj.u and x.v = neg))"""
 
 
 @query(with_("bip", SPLIT, POOL, TRIES, HIST) + """, hs as (select seq, count(*) n from hc where r <= 5 group by seq),
@@ -236,7 +255,7 @@ def neg_hist_rnd(spark, sf_dir: str) -> DataFrame:
     past = e.filter("split = 'train'").select("u", F.col("v").alias("neg")).distinct()
     true = e.select("t", "u", F.col("v").alias("neg"))
     test = e.filter("split = 'test'").select("seq", "t", "u", F.col("seq").alias("salt"))
-    hist = G.cut(N.ranked_pool(test.join(past, "u").join(true, ["t", "u", "neg"], "left_anti"), ["seq"], 5).select("seq", "neg"))
+    hist = G.cut(N.own_past(test, past, true, 5))
     have = hist.groupBy("seq").agg(F.count("*").alias("have"))
     asked = test.join(have, "seq", "left").withColumn("need", (F.lit(10) - F.coalesce("have", F.lit(0))).cast("int")).drop("have")
     rest = N.draw_free(asked, N.pool(e.select(F.col("v").alias("value"))), [(true, ["t", "u"]), (past, ["u"])], ["seq"])
@@ -254,26 +273,28 @@ def neg_random_pair(spark, sf_dir: str) -> DataFrame:
     return N.random_pairs(e.filter("split = 'test'").select("seq"), *sides, F.col("seq"))
 
 
-@query(with_("bip", SPLIT, SIDES) + """, c as (select seq, j, su.value neg_u, tv.value neg_v from sp, range(8) r(j), su, tv
-where split = 'test' and su.place = (seq * 7919 + j * 104729) % (select count(*) from su) and tv.place = (seq * 104729 + j * 7919) % (select count(*) from tv) and not exists (select 1 from e where e.u = su.value and e.v = tv.value))
-select seq, arg_min(neg_u, j) neg_u, arg_min(neg_v, j) neg_v from c group by seq""")
+@query(with_("bip", SPLIT, SIDES) + """, hd as (select distinct u, tv.place p from e join tv on tv.value = e.v), fu as (select u, count(*) c from hd group by u),
+ab as (select *, row_number() over (order by u) - 1 place from (select su.value u, (select count(*) from tv) - coalesce(c, 0) "free" from su left join fu on fu.u = su.value) where "free" > 0),
+qq as (select seq, ab.u, seq * 104729 % "free" nth from sp join ab on ab.place = seq * 7919 % (select count(*) from ab) where split = 'test'),
+st as (select u, p - row_number() over (partition by u order by p) + 1 f from hd)
+select x.seq, x.u neg_u, tv.value neg_v from (select qq.seq, qq.u, nth + count(f) place from qq left join st on st.u = qq.u and f <= nth group by qq.seq, qq.u, nth) x join tv using (place)""")
 def neg_collision_free(spark, sf_dir: str) -> DataFrame:
-    """The first of eight drawn pairs for each test edge that is no edge at all."""
+    """A pair that is no edge at all for each test edge."""
     e = S.quantile_split(E.bip(spark, sf_dir))
     sides = [N.pool(e.select(F.col(c).alias("value"))) for c in ("u", "v")]
-    return N.random_pairs(e.filter("split = 'test'").select("seq"), *sides, F.col("seq"), taken=e.select("u", "v"))
+    return N.free_pairs(e.filter("split = 'test'").select("seq"), *sides, F.col("seq"), e.select("u", "v"))
 
 
 def _past_sql(observed: str) -> str:
-    return with_("bip", SPLIT, SIDES) + f""", b as (select seq, u, v, split, (seq - 1) // 200 batch from sp), fs as (select u, v, min(seq) at_ from e group by u, v having min(seq) > {observed}),
-kn as (select *, row_number() over (order by at_) n0 from fs), bn as (select b0.batch, count(kn.n0) n from (select distinct batch from b) b0 left join kn on (kn.at_ - 1) // 200 < b0.batch group by b0.batch),
-qr as (select b.seq, b.u, b.v, b.batch, n from b join bn using (batch) where split = 'test'), own as (select distinct batch, u, v from b),
-hj as (select q.seq, j, kn.u nu, kn.v nv from qr q, range(20) r(j), kn where n > 0 and kn.n0 = (q.seq * 7919 + j * 104729) % n + 1 and not exists (select 1 from own where own.batch = q.batch and own.u = kn.u and own.v = kn.v)),
-hh as (select seq, arg_min(nu, j) nu, arg_min(nv, j) nv from hj group by seq),
-rj as (select q.seq, k, su.value nu, tv.value nv from qr q, range(8) r(k), su, tv where q.seq not in (select seq from hh) and su.place = (q.seq + k) * 7919 % (select count(*) from su) and tv.place = (q.seq + k) * 104729 % (select count(*) from tv)
-  and not exists (select 1 from own where own.batch = q.batch and own.u = su.value and own.v = tv.value)),
-rr as (select seq, arg_min(nu, k) nu, arg_min(nv, k) nv from rj group by seq)
-select q.seq, q.u, q.v, nu neg_u, nv neg_v, 'historical' kind from qr q join hh using (seq) union all select q.seq, q.u, q.v, nu, nv, 'random' from qr q join rr using (seq)"""
+    return with_("bip", SPLIT, SIDES, _known_sql(observed)) + """, qq as (select b.seq, b.u, b.v, b.batch, "free" from b join pl using (batch) where split = 'test'),
+st as (select batch, n0 - row_number() over (partition by batch order by n0) + 1 f from ow),
+hp as (select qq.seq, qq.u, qq.v, seq * 7919 % "free" + count(f) n0 from qq left join st on st.batch = qq.batch and f <= seq * 7919 % "free" where "free" > 0 group by qq.seq, qq.u, qq.v, "free"),
+z as (select (select count(*) from su) s, (select count(*) from tv) t), hd as (select distinct batch, su.place * t + tv.place pair from b join su on su.value = b.u join tv on tv.value = b.v, z),
+hs as (select batch, pair - row_number() over (partition by batch order by pair) + 1 f from hd),
+fq as (select qq.*, ((seq * 7919 % s) * t + seq * 104729 % t) % (s * t - c) nth from qq join (select batch, count(*) c from hd group by batch) using (batch), z where "free" = 0 and s * t > c),
+fp as (select fq.seq, fq.u, fq.v, nth + count(f) pair from fq left join hs on hs.batch = fq.batch and f <= nth group by fq.seq, fq.u, fq.v, nth)
+select hp.seq, hp.u, hp.v, kn.u neg_u, kn.v neg_v, 'historical' kind from hp join kn using (n0)
+union all select fp.seq, fp.u, fp.v, su.value, tv.value, 'random' from fp, z, su, tv where su.place = pair // t and tv.place = pair % t"""
 
 
 @query(_past_sql("0"))
@@ -283,12 +304,11 @@ def neg_historical(spark, sf_dir: str) -> DataFrame:
     return N.past_pairs(e, e.filter("split = 'test'"), 200)
 
 
-@query(_past_sql("(select max(seq) from sp where split = 'train')"))
+@query(_past_sql(TRAINED))
 def neg_inductive(spark, sf_dir: str) -> DataFrame:
     """As neg_historical, among edges that training never saw."""
     e = S.quantile_split(E.bip(spark, sf_dir))
-    observed = e.filter("split = 'train'").agg(F.max("seq")).first()[0] or 0
-    return N.past_pairs(e, e.filter("split = 'test'"), 200, observed)
+    return N.past_pairs(e, e.filter("split = 'test'"), 200, _trained(e))
 
 
 # -- memory scorers ---------------------------------------------------------------------

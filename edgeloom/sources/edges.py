@@ -6,12 +6,12 @@ Columns: seq (1..n in stream order), eid, u, v, t (microseconds), w.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .order import numbered
+
 ITEM_BASE = 1_000_000
 PART_BASE = 10_000_000
-HOUR_US = 3_600_000_000
 
 
 def micros(ts: Column) -> Column:
@@ -19,19 +19,6 @@ def micros(ts: Column) -> Column:
     return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), ts)
 
 
-def global_rank(df: DataFrame, order: list, bucket: Column, name: str = "seq") -> DataFrame:
-    """``name`` = 1..n in the order of ``order``, without sorting all rows in one task.
-
-    ``bucket`` must not decrease along the order.  Buckets are counted, their counts
-    summed up (one small row each), and rows are numbered inside their bucket.
-    """
-    df = df.withColumn("_b", bucket)
-    sizes = df.groupBy("_b").agg(F.count("*").alias("_n"))
-    base = sizes.select("_b", (F.sum("_n").over(W.orderBy("_b")) - F.col("_n")).alias("_base"))
-    inside = F.row_number().over(W.partitionBy("_b").orderBy(*order))
-    return df.join(base, "_b").withColumn(name, (F.col("_base") + inside).cast("long")).drop("_b", "_base")
-
-
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = spark.read.parquet(f"{sf_dir}/events.parquet")
     return raw.select(
@@ -45,7 +32,7 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _stream(rows: DataFrame) -> DataFrame:
-    ranked = global_rank(rows, ["t", "eid"], F.floor(F.col("t") / F.lit(HOUR_US)))
+    ranked = numbered(rows, ["t", "eid"])
     return ranked.select("seq", "eid", "u", "v", "t", "w")
 
 
@@ -70,5 +57,5 @@ def trade(spark: SparkSession, sf_dir: str) -> DataFrame:
     ties = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_discount"]
     rows = o.join(line.select(*ties), F.col("o_orderkey") == F.col("l_orderkey"))
     rows = rows.withColumn("t", micros(F.col("o_orderdate")))
-    ranked = global_rank(rows, ["t", *ties], F.col("t"))
+    ranked = numbered(rows, ["t", *ties])
     return ranked.select("seq", F.col("l_orderkey").alias("eid"), F.col("o_custkey").alias("u"), (F.col("l_partkey") + PART_BASE).alias("v"), "t", F.col("l_extendedprice").alias("w"))

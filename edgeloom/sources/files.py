@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from ..functions.scalar import one_hot, pad_code
 from ..operators.splits import first_seen_ids
-from .edges import global_rank
+from .order import numbered
 
 # Names with commas in a public flight table, and what they are written as.
 COMMA_NAMES = {
@@ -55,7 +55,7 @@ def read_interactions(spark: SparkSession, path: str, order: tuple[int, int, int
         rows = rows.withColumn("t", F.when(good, F.col("t")).otherwise(F.raise_error(F.concat(F.lit("malformed row "), F.col("pos").cast("string"))).cast("double")))
     else:
         rows = rows.filter(good)
-    return global_rank(rows, ["t", "pos"], F.floor("t")).drop("pos").select("seq", "u", "v", "t", "label", "msg", "w")
+    return numbered(rows, ["t", "pos"]).drop("pos").select("seq", "u", "v", "t", "label", "msg", "w")
 
 
 def bipartite(rows: DataFrame) -> DataFrame:
