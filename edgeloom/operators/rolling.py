@@ -7,6 +7,7 @@ with many ticks costs linear time and every prefix is emitted.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,12 +38,18 @@ class Fold:
         self.decay, self.trend_decay, self.node = decay, trend_decay, None
         self.state = (0.0,) * 6
 
-    def __call__(self, pdf: pd.DataFrame) -> pd.DataFrame:
+    def fold(self, nodes: list, values: list[float], starts: np.ndarray | None = None) -> tuple[list[tuple], list[tuple]]:
+        """STATS at each tick and, with ``starts``, the state after it: a node that comes up begins with its row of
+        ``starts``, or anew where that is NaN."""
         d, td, node = self.decay, self.trend_decay, self.node
         last, ema, sq, slow, change, since = self.state
-        rows = []
-        for key, x in zip(pdf["node"].tolist(), pdf["value"].tolist()):
-            if key != node:
+        rows, after = [], []
+        for i, (key, x) in enumerate(zip(nodes, values)):
+            fresh = key != node
+            if fresh and starts is not None and starts[i, 0] == starts[i, 0]:
+                node, fresh = key, False
+                last, ema, sq, slow, change, since = starts[i].tolist()
+            if fresh:
                 node, ema, sq, slow, change, since, delta = key, x, x * x, x, 0.0, 0, 0.0
             else:
                 delta = x - last
@@ -50,10 +57,15 @@ class Fold:
                 change = max(d * change, abs(delta))
                 since = 0 if delta else since + 1
             last = x
-            rows.append((x, ema, max(sq - ema * ema, 0.0) ** 0.5, delta, change, ema - slow, since))
+            rows.append((x, ema, max(sq - ema * ema, 0.0) ** 0.5, delta, change, ema - slow, math.log1p(since)))
+            if starts is not None:
+                after.append((last, ema, sq, slow, change, since))
         self.node, self.state = node, (last, ema, sq, slow, change, since)
-        out = pd.DataFrame(rows, columns=list(STATS), dtype=np.float64)
-        return pd.concat([pdf[["node", "n"]].reset_index(drop=True), out.assign(recency=np.log1p(out["recency"]))], axis=1)
+        return rows, after
+
+    def __call__(self, pdf: pd.DataFrame) -> pd.DataFrame:
+        rows, _ = self.fold(pdf["node"].tolist(), pdf["value"].tolist())
+        return pd.concat([pdf[["node", "n"]].reset_index(drop=True), pd.DataFrame(rows, columns=list(STATS), dtype=np.float64)], axis=1)
 
 
 def rolling(trace: DataFrame, decay: float = DECAY, trend_decay: float = 0.99) -> DataFrame:

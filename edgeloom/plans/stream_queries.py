@@ -6,9 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import predictor
+from ..operators.kept import KeptGraph
+from ..session import shared_folder
 from ..sources import edges as E
 from ..streaming import jobs as J
-from .registry import EVENTS, query
+from .graph_queries import TICKS
+from .registry import EVENTS, FIRST, query, with_
 
 
 @query(f"""with {EVENTS}, g as (select u node, count(*) n, list(w order by t, eid) xs from ev group by u)
@@ -31,6 +34,14 @@ def stream_daily_counts(spark, sf_dir: str) -> DataFrame:
     return J.drain(J.windowed_counts(J.read_events(spark, sf_dir), late="3650 days"), ["start", "u"])
 
 
+@query(with_("uni", FIRST, TICKS) + "select node, n0, degree, triangles, round(case when degree < 2 then 0 else 2.0 * triangles / (degree * (degree - 1)) end, 6) clustering from tk")
+def kept_graph_ticks(spark, sf_dir: str) -> DataFrame:
+    """Ticks of a graph that a stream advances by fixed batches of 200 events."""
+    kept = KeptGraph(spark, shared_folder(spark, "kept"))
+    m = J.advance(J.read_events(spark, sf_dir), kept, last=True)
+    return kept.moves(m).select("node", "n0", "degree", "triangles", F.round("clustering", 6).alias("clustering"))
+
+
 @query()
 def link_predictor(spark, sf_dir: str) -> DataFrame:
     """Probabilities of test edges and of as many drawn ones, from features of the training graph."""

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators.kept import EVENT, KeptGraph, Manifest
 from ..operators.rolling import DECAY, Fold
 from ..session import shared_folder
 from ..sources.edges import micros
@@ -90,6 +91,30 @@ def windowed_counts(stream: DataFrame, width: str = "1 day", late: str = "1 day"
     return timed.groupBy(F.window("at", width).alias("w"), "u").agg(F.count("*").alias("n")).select(F.unix_micros("w.start").alias("start"), "u", "n")
 
 
+def advance(stream: DataFrame, kept: KeptGraph, last: bool = False) -> Manifest:
+    """Advance a kept graph by all events (u, k, t, eid) that a stream has; its manifest after them.
+
+    The graph cuts batches of its own fixed size out of the micro-batches and keeps what is left over for the next
+    ones, so that files may be of any length; with ``last`` the rest is taken as one more, shorter batch.  A later call
+    with the same folder goes on where this one ended.
+    """
+    spark, done = stream.sparkSession, []
+    checkpoint = f"{kept.folder}/stream"
+    rows = stream.filter("u is not null and k is not null").select("u", F.col("k").alias("v"), "t", "eid")
+
+    def step(batch: DataFrame, number: int) -> None:
+        kept.take(batch, number + 1)
+        done.append(number + 1)
+
+    rows.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    upto = max(done, default=0)
+    return kept.take(rows_of_none(spark), upto + 1, last=True) if last else kept.manifest(upto)
+
+
+def rows_of_none(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([], EVENT)
+
+
 def drain(updates: DataFrame, keys: list[str], folder: str | None = None) -> DataFrame:
     """Run a stream in update mode over all that is there; the last row of each key.
 
