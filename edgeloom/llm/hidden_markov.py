@@ -34,7 +34,7 @@ ROUNDS = 8  #: of Baum-Welch at most
 GAIN = 1e-3  #: nats a token that a round must gain for another one
 PIECE = 1_024  #: tokens of a piece in learning
 PRIOR = 10.0  #: counts that a state gets from the overall distribution
-BLOCK_BYTES = 8_000_000  #: text of a block, one text at least
+BLOCK_BYTES = 24_000_000  #: text of a block, one text at least
 STEP_TOKENS = 500_000  #: tokens whose states a task holds at a time in learning
 SCORE_TOKENS = 2_000_000  #: the same in scoring, where only one state per text is held
 SEED = 13
@@ -266,7 +266,7 @@ def baum_welch(facts: DataFrame, totals: Totals, rounds: int = ROUNDS) -> tuple[
     """The model of the learning documents' symbols, and the nats a token of each round."""
     model, gained = Model.first(totals), []
     symbols = facts.filter("not held_out").select("symbols")
-    schema = "symbol int, " + ", ".join(f"w{k} double" for k in range(STATES))
+    schema = "symbol int, " + ", ".join(f"w{k} float" for k in range(STATES))
     for _ in range(rounds):
         sent = facts.sparkSession.sparkContext.broadcast(model)
 
@@ -281,7 +281,7 @@ def baum_welch(facts: DataFrame, totals: Totals, rounds: int = ROUNDS) -> tuple[
                     out[2 + STATES :] += emissions
             give_back()
             some = np.flatnonzero(out.any(1))
-            yield pa.RecordBatch.from_arrays([pa.array((some + LIKELIHOOD).astype(np.int32)), *[pa.array(out[some, k]) for k in range(STATES)]], ["symbol", *[f"w{k}" for k in range(STATES)]])
+            yield pa.RecordBatch.from_arrays([pa.array((some + LIKELIHOOD).astype(np.int32)), *[pa.array(out[some, k].astype(np.float32)) for k in range(STATES)]], ["symbol", *[f"w{k}" for k in range(STATES)]])
 
         found = symbols.mapInArrow(expect, schema).groupBy("symbol").agg(*[F.sum(f"w{k}").alias(f"w{k}") for k in range(STATES)])
         counts = np.zeros((SYMBOLS + STATES + 2, STATES))
