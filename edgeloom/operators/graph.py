@@ -175,37 +175,24 @@ def node_truss(ab: DataFrame) -> DataFrame:
 
 
 def common_neighbors(queries: DataFrame, ab: DataFrame) -> DataFrame:
-    """(u, v, w): each shared neighbour of the asked pairs.  Only their neighbourhoods are expanded."""
-    adj = adjacency(ab)
-    asked = queries.select("u", "v").distinct()
-    near = asked.join(adj.select(F.col("n").alias("u"), F.col("m").alias("w")), "u")
-    return near.join(adj.select(F.col("n").alias("v"), F.col("m").alias("w")), ["v", "w"]).select("u", "v", "w")
+    """(u, v, w): each shared neighbour of the asked pairs, found by intersecting words of ids."""
+    from . import blocks as B
+
+    rows = B.pair_words(queries, ab, second=False)
+    return B.members(rows, F.col("near").bitwiseAND(F.col("one"))).select("u", "v", "w")
 
 
 def neighborhoods(queries: DataFrame, ab: DataFrame) -> DataFrame:
     """(u, v, w, direct, two): v's neighbours w other than u, whether w is u's neighbour too, and
     whether it is two steps from u.
 
-    The two-step set is built once per distinct u and made distinct before it meets the pairs; both
-    flags are joined on (u, w), so that the pairs' neighbourhoods are shuffled once.
+    Flags are found on words of 64 ids and told apart last, so that what is joined and shuffled are words.
     """
-    adj = adjacency(ab)
-    asked = queries.select("u", "v").distinct()
-    near = asked.join(adj.select(F.col("n").alias("v"), F.col("m").alias("w")), "v").filter("w <> u")
-    one = adj.select(F.col("n").alias("u"), F.col("m").alias("w"), F.lit(True).alias("direct"))
-    steps = asked.select("u").distinct().join(adj.select(F.col("n").alias("u"), F.col("m").alias("x")), "u")
-    two = steps.join(adj.select(F.col("n").alias("x"), F.col("m").alias("w")), "x").filter("w <> u").select("u", "w").distinct()
-    found = near.join(one, ["u", "w"], "left").join(two.withColumn("two", F.lit(True)), ["u", "w"], "left")
-    return found.select("u", "v", "w", F.col("direct").isNotNull().alias("direct"), F.col("two").isNotNull().alias("two"))
-
+    from . import blocks as B
 
-def second_hop(queries: DataFrame, ab: DataFrame, keep_direct: bool) -> DataFrame:
-    """(u, v, w): neighbours w of v that are two steps from u.
-
-    With ``keep_direct`` only u itself is left out (the bridge), else also u's neighbours.
-    """
-    found = neighborhoods(queries, ab).filter("two")
-    return (found if keep_direct else found.filter("not direct")).select("u", "v", "w")
+    rows = B.members(B.pair_words(queries, ab), F.col("near"))
+    has = lambda c: F.getbit(F.col(c), F.col("w").bitwiseAND(F.lit(63)).cast("int")) == 1
+    return rows.select("u", "v", "w", has("one").alias("direct"), has("two").alias("two"))
 
 
 # -- traces over the stream -------------------------------------------------------------

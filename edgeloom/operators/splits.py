@@ -7,7 +7,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.order import numbered
-from .graph import batches, first_edges, k_core
 
 
 def first_seen_ids(rows: DataFrame, position: str, columns: list[str]) -> DataFrame:
@@ -68,30 +67,6 @@ def strided(edges: DataFrame, k: int) -> DataFrame:
     return edges.join(F.broadcast(n)).filter(hit).drop("n")
 
 
-def core_snapshots(first: DataFrame, every: int) -> DataFrame:
-    """(node, s, ready, core): core numbers after each ``every`` new edges, and the batch that closes the
-    snapshot s.
-
-    An edge counts in its own snapshot and all later ones; the h-index runs over all snapshots at once
-    with the snapshot as a part of its keys, so they share rounds and no task holds one.
-    """
-    last = first.agg(F.floor(F.max("n0") / F.lit(every)).alias("m"))
-    since = F.ceil(F.col("n0") / F.lit(every))
-    rows = first.join(F.broadcast(last)).filter(since <= F.col("m")).select("a", "b", F.explode(F.sequence(since, F.col("m"))).alias("s"))
-    marks = first.filter(F.col("n0") % every == 0).select((F.col("n0") / every).cast("long").alias("s"), F.col("batch0").alias("ready"))
-    return k_core(rows, "s").join(marks, "s").select("node", "s", "ready", "core")
-
-
-def core_as_of(edges: DataFrame, every: int = 64, size: int = 200) -> DataFrame:
-    """(seq, node, core): the core number of each batch's sources as of the latest snapshot that a
-    batch before theirs has closed; ``seq`` is the source's first place in the batch."""
-    from .rolling import as_of
-
-    asked = batches(edges, size).groupBy(F.col("u").alias("node"), "batch").agg(F.min("seq").alias("seq"))
-    trace = core_snapshots(first_edges(edges, size), every).groupBy("node", "ready").agg(F.max_by("core", "s").alias("core"))
-    return as_of(asked, trace, ["node"], "batch", "ready", ["core"]).select("seq", "node", F.coalesce("core", F.lit(0)).alias("core"))
-
-
 def halves(nodes: DataFrame) -> DataFrame:
     """Adds ``half`` (0 or 1) to (node): disjoint halves of a node set, by the parity of a hash."""
     return nodes.withColumn("half", F.pmod(F.xxhash64("node"), F.lit(2)).cast("int"))

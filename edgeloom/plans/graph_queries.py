@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import blocks as B
+from ..operators import cadence as C
 from ..operators import graph as G
 from ..operators import indicators as I
 from ..operators import pairwise as P
@@ -102,7 +104,8 @@ ASKED = "ask as (select distinct u, v from e where u <> v)"
 @query(with_("uni", SNAP, ADJ, ASKED) + "select u, v, count(*) common from ask join adj x on x.n = u join adj y on y.n = v and y.m = x.m group by u, v")
 def common_neighbors(spark, sf_dir: str) -> DataFrame:
     e = E.uni(spark, sf_dir)
-    return G.common_neighbors(_asked(e), G.pairs(e)).groupBy("u", "v").agg(F.count("*").alias("common"))
+    words = B.pair_words(_asked(e), G.pairs(e), second=False)
+    return words.groupBy("u", "v").agg(F.sum(F.bit_count(F.col("near").bitwiseAND(F.col("one")))).alias("common")).filter("common > 0")
 
 
 TRI = "tri as (select x.a x, x.b y, y.b z from ab x join ab y on y.a = x.b join ab z on z.a = x.a and z.b = y.b)"
@@ -136,14 +139,14 @@ kt as (select 0 r, a, b, count(*) s from wing group by a, b union all
 te as (select ab.a, ab.b, coalesce(s, 0) + 2 truss from ab left join (select * from kt where r = 40) k on k.a = ab.a and k.b = ab.b)"""
 
 
-@query(with_("uni_purchase", SNAP, TRI, TRUSS, recursive=True) + "select a, b, truss::bigint truss from te")
+@query(with_("uni", SNAP, TRI, TRUSS, recursive=True) + "select a, b, truss::bigint truss from te")
 def truss_edge(spark, sf_dir: str) -> DataFrame:
-    return G.k_truss(G.pairs(E.uni_purchase(spark, sf_dir)))
+    return G.k_truss(G.pairs(E.uni(spark, sf_dir)))
 
 
-@query(with_("uni_purchase", SNAP, TRI, TRUSS, recursive=True) + "select node, max(truss)::bigint truss from (select unnest([a, b]) node, truss from te) group by node")
+@query(with_("uni", SNAP, TRI, TRUSS, recursive=True) + "select node, max(truss)::bigint truss from (select unnest([a, b]) node, truss from te) group by node")
 def truss_node(spark, sf_dir: str) -> DataFrame:
-    return G.node_truss(G.pairs(E.uni_purchase(spark, sf_dir)))
+    return G.node_truss(G.pairs(E.uni(spark, sf_dir)))
 
 
 DTRACE = "dt as (select node, n0, row_number() over (partition by node order by n0) degree from (select unnest([a, b]) node, n0 from fe))"
@@ -177,15 +180,15 @@ def degree_asof_batch(spark, sf_dir: str) -> DataFrame:
 CADENCE = """mk as (select n0 // 64 s, batch0 ready from fe where n0 % 64 = 0),
 sn as (select a, b, s from fe join mk on s * 64 >= n0), sa as (select s, a n, b m from sn union all select s, b, a from sn),
 ck as (select 0 r, s, n, count(*) c from sa group by s, n union all
-  select r + 1, s, n, max(least(c, rn)) from (select r, s, n, c, row_number() over (partition by s, n order by c desc) rn from (select k.r, sa.s, sa.n, k.c from ck k join sa on sa.s = k.s and sa.m = k.n)) where r < 40 group by r, s, n),
-tc as (select n node, ready, arg_max(c, s) core from ck join mk using (s) where r = 40 group by n, ready)"""
+  select r + 1, s, n, max(least(c, rn)) from (select r, s, n, c, row_number() over (partition by s, n order by c desc) rn from (select k.r, sa.s, sa.n, k.c from ck k join sa on sa.s = k.s and sa.m = k.n)) where r < 24 group by r, s, n),
+tc as (select n node, ready, arg_max(c, s) core from ck join mk using (s) where r = 24 group by n, ready)"""
 
 
-@query(with_("uni_purchase", FIRST, CADENCE, recursive=True) + """, q as (select min(seq) seq, u node, (seq - 1) // 200 batch from e group by u, (seq - 1) // 200)
+@query(with_("uni", FIRST, CADENCE, recursive=True) + """, q as (select min(seq) seq, u node, (seq - 1) // 200 batch from e group by u, (seq - 1) // 200)
 select q.seq, q.node, coalesce(arg_max(core, ready), 0)::bigint core from q left join tc on tc.node = q.node and tc.ready < q.batch group by q.seq, q.node""")
 def core_cadence_asof(spark, sf_dir: str) -> DataFrame:
     """Core numbers recomputed every 64 new edges, read as of each batch of 200."""
-    return S.core_as_of(E.uni_purchase(spark, sf_dir))
+    return C.trace_as_of(E.uni(spark, sf_dir), C.core_trace, "core")
 
 
 DAY = 86_400_000_000
@@ -208,7 +211,7 @@ def window_graph(spark, sf_dir: str) -> DataFrame:
 
 
 def _degree_ticks(spark, sf_dir: str) -> DataFrame:
-    return G.degree_trace(G.first_edges(E.uni_purchase(spark, sf_dir))).select("node", F.col("n0").alias("n"), F.col("degree").alias("value"))
+    return G.degree_trace(G.first_edges(E.uni(spark, sf_dir))).select("node", F.col("n0").alias("n"), F.col("degree").alias("value"))
 
 
 def _last_stats(edges: DataFrame) -> DataFrame:
@@ -281,13 +284,13 @@ def update_ticks(spark, sf_dir: str) -> DataFrame:
     return I.ticks(G.first_edges(E.uni(spark, sf_dir))).withColumn("clustering", F.round("clustering", 6))
 
 
-@query(with_("uni_purchase", FIRST, TICKS, recursive=True) + """, o as (select node, n0 n, triangles::double x, row_number() over (partition by node order by n0) i from tk),
+@query(with_("uni", FIRST, TICKS, recursive=True) + """, o as (select node, n0 n, triangles::double x, row_number() over (partition by node order by n0) i from tk),
 r as (select node, n, i, x, x ema, 0::double mc, x slow, 0::double dl from o where i = 1 union all
   select o.node, o.n, o.i, o.x, 0.95::double * ema + (1 - 0.95::double) * o.x, greatest(0.95::double * mc, abs(o.x - r.x)), 0.99::double * slow + (1 - 0.99::double) * o.x, o.x - r.x from r join o on o.node = r.node and o.i = r.i + 1)
 select node, n, x "current", ema, dl delta, mc max_change, ema - slow trend from r""")
 def roll_triangle_ticks(spark, sf_dir: str) -> DataFrame:
     """Rolling statistics of the triangle count over the update's ticks."""
-    ticks = I.ticks(G.first_edges(E.uni_purchase(spark, sf_dir))).select("node", F.col("n0").alias("n"), F.col("triangles").alias("value"))
+    ticks = I.ticks(G.first_edges(E.uni(spark, sf_dir))).select("node", F.col("n0").alias("n"), F.col("triangles").alias("value"))
     return R.select_stats(R.rolling(ticks), ["current", "ema", "delta", "max_change", "trend"])
 
 
@@ -298,17 +301,18 @@ def affected_nodes(spark, sf_dir: str) -> DataFrame:
     return I.affected(I.ticks(first), first).groupBy("batch").agg(F.count("*").alias("nodes"))
 
 
-@query(with_("uni_purchase", SNAP, ADJ, DEG, TRI, TRIN, CORE, recursive=True) + "select deg.node, d::double degree, core::double core, tri::double triangle from deg join core using (node) join tn using (node)")
+@query(with_("uni", SNAP, ADJ, DEG, TRI, TRIN, CORE, recursive=True) + "select deg.node, d::double degree, core::double core, tri::double triangle from deg join core using (node) join tn using (node)")
 def indicator_snapshot(spark, sf_dir: str) -> DataFrame:
     """The indicators of a large graph, side by side."""
-    return I.snapshot(G.cut(G.pairs(E.uni_purchase(spark, sf_dir))), I.for_size(5_000_000)[:3])
+    return I.snapshot(G.cut(G.pairs(E.uni(spark, sf_dir))), I.for_size(5_000_000)[:3])
 
 
 # -- pair features ----------------------------------------------------------------------
 
 PAIRS = f"""{SNAP}, {ADJ}, {DEG}, {ASKED}, near as (select u, v, m w from ask join adj on n = v where m <> u),
 cnw as (select u, v, w from near join adj on n = u and m = w),
-brw as (select distinct u, v, w from near join adj x on x.n = w join adj y on y.n = u and y.m = x.m),
+tw as (select distinct q.u, y.m w from (select distinct u from ask) q join adj x on x.n = q.u join adj y on y.n = x.m where y.m <> q.u),
+brw as (select near.u, near.v, near.w from near join tw on tw.u = near.u and tw.w = near.w),
 c2w as (select * from brw where not exists (select 1 from adj where n = u and m = w))"""
 
 
@@ -316,7 +320,7 @@ def _sums(name: str, table: str) -> str:
     return f"{name} as (select u, v, count(*)::double n, sum(case when d > 1 then 1 / ln(d) else 0 end) aa, sum(1.0::double / d) ra, sum(d)::double xs, max(d)::double xm from {table} join deg on node = w group by u, v)"
 
 
-GENERIC = with_("uni_purchase", PAIRS, _sums("c1", "cnw"), _sums("c2", "c2w"), _sums("c3", "brw")) + """, f as (select ask.u, ask.v, coalesce(c1.n, 0) n, coalesce(c1.aa, 0) aa, coalesce(c1.ra, 0) ra, coalesce(c1.xs, 0) xs, coalesce(c1.xm, 0) xm,
+GENERIC = with_("uni", PAIRS, _sums("c1", "cnw"), _sums("c2", "c2w"), _sums("c3", "brw")) + """, f as (select ask.u, ask.v, coalesce(c1.n, 0) n, coalesce(c1.aa, 0) aa, coalesce(c1.ra, 0) ra, coalesce(c1.xs, 0) xs, coalesce(c1.xm, 0) xm,
 coalesce(c2.n, 0) n2, coalesce(c2.aa, 0) aa2, coalesce(c2.xs, 0) xs2, coalesce(c3.n, 0) bn, coalesce(c3.xs, 0) bx, coalesce(du.d, 0)::double du, coalesce(dv.d, 0)::double dv
 from ask left join c1 using (u, v) left join c2 using (u, v) left join c3 using (u, v) left join deg du on du.node = ask.u left join deg dv on dv.node = ask.v)
 """
@@ -324,7 +328,7 @@ from ask left join c1 using (u, v) left join c2 using (u, v) left join c3 using
 
 @query(GENERIC + "select u, v, round(ln(1 + n), 6) cn, round(aa, 6) aa, round(ra, 6) ra, round(case when du + dv - n > 0 then n / (du + dv - n) else 0 end, 6) jaccard, round(ln(1 + du * dv), 6) pa, round(ln(1 + n2), 6) cn2, round(aa2, 6) aa2 from f")
 def pair_generic(spark, sf_dir: str) -> DataFrame:
-    e = E.uni_purchase(spark, sf_dir)
+    e = E.uni(spark, sf_dir)
     ab = G.pairs(e)
     out = P.pair_features(_asked(e), ab, G.degree(ab).withColumnRenamed("degree", "x"))
     return out.select("u", "v", *[F.round(c, 6).alias(c) for c in ("cn", "aa", "ra", "jaccard", "pa", "cn2", "aa2")])
@@ -333,14 +337,14 @@ def pair_generic(spark, sf_dir: str) -> DataFrame:
 @query(GENERIC + """select u, v, round(ln(1 + xs), 6) cn_x_sum, xm cn_x_max, round(case when n > 0 then xs / n else 0 end, 6) cn_x_mean, round(ln(1 + xs2), 6) cn2_x_sum,
 round(case when n2 > 0 then xs2 / n2 else 0 end, 6) cn2_x_mean, du x_u, dv x_v, least(du, dv) x_min, abs(du - dv) x_gap from f""")
 def pair_cohesion(spark, sf_dir: str) -> DataFrame:
-    e = E.uni_purchase(spark, sf_dir)
+    e = E.uni(spark, sf_dir)
     ab = G.pairs(e)
     out = P.pair_features(_asked(e), ab, G.degree(ab).withColumnRenamed("degree", "x"))
     names = ("cn_x_sum", "cn_x_max", "cn_x_mean", "cn2_x_sum", "cn2_x_mean", "x_u", "x_v", "x_min", "x_gap")
     return out.select("u", "v", *[F.round(c, 6).alias(c) for c in names])
 
 
-@query(with_("uni_purchase", FOLD, PAIRS, recursive=True) + """, st as (select node, arg_max(ema, n) ema, arg_max(x - px, n) dl, arg_max(sd, n) sd, arg_max(mc, n) mc
+@query(with_("uni", FOLD, PAIRS, recursive=True) + """, st as (select node, arg_max(ema, n) ema, arg_max(x - px, n) dl, arg_max(sd, n) sd, arg_max(mc, n) mc
   from (select *, coalesce(lag(x) over (partition by node order by i), x) px, sqrt(greatest(sq - ema * ema, 0)) sd from f) group by node),
 a as (select u, v, sum(round(ema, 6)::decimal(28, 6))::double e1, sum(round(dl, 6)::decimal(28, 6))::double d1, count(*) filter (where dl > 0) p1, count(*) filter (where dl < 0) m1, sum(round(sd, 6)::decimal(28, 6))::double s1, sum(round(mc, 6)::decimal(28, 6))::double x1 from cnw join st on node = w group by u, v),
 b as (select u, v, sum(round(ema, 6)::decimal(28, 6))::double e2, sum(round(dl, 6)::decimal(28, 6))::double d2, count(*) filter (where dl > 0) p2 from c2w join st on node = w group by u, v)
@@ -349,7 +353,7 @@ coalesce(s1, 0) cn_x_std_sum, coalesce(x1, 0) cn_x_mxch_sum, coalesce(e2, 0) cn2
 round(coalesce(su.ema, 0), 6) u_x_ema, round(coalesce(su.dl, 0), 6) u_x_delta, round(coalesce(sv.ema, 0), 6) v_x_ema, round(coalesce(sv.dl, 0), 6) v_x_delta
 from ask left join a using (u, v) left join b using (u, v) left join st su on su.node = ask.u left join st sv on sv.node = ask.v""")
 def pair_dynamic(spark, sf_dir: str) -> DataFrame:
-    e = E.uni_purchase(spark, sf_dir)
+    e = E.uni(spark, sf_dir)
     last = _last_stats(e)
     out = P.neighbor_dynamics(_asked(e), G.pairs(e), last)
     return out.select("u", "v", *[(F.col(c) if c.endswith("_sum") else F.round(c, 6) + 0.0).alias(c) for c in P.DYNAMIC])
@@ -382,26 +386,27 @@ def all_features(asked: DataFrame, edges: DataFrame) -> DataFrame:
     return P.project(out, "all").select("u", "v", *[(F.col(c) if c in exact else F.round(c, 6) + 0.0).alias(c) for c in P.columns_of("all")])
 
 
-@query(with_("uni_purchase", ALL.replace("ASK,", ASKED + ","), recursive=True) + "select * from pf")
+@query(with_("uni", ALL.replace("ASK,", ASKED + ","), recursive=True) + "select * from pf")
 def pair_all(spark, sf_dir: str) -> DataFrame:
     """The 30 features of every distinct pair."""
-    e = E.uni_purchase(spark, sf_dir)
+    e = E.uni(spark, sf_dir)
     return all_features(_asked(e), e)
 
 
 @query(GENERIC + "select u, v, bn bridge, bx bridge_x from f")
 def bridge_2hop(spark, sf_dir: str) -> DataFrame:
-    e = E.uni_purchase(spark, sf_dir)
+    e = E.uni(spark, sf_dir)
     ab = G.pairs(e)
     return P.pair_features(_asked(e), ab, G.degree(ab).withColumnRenamed("degree", "x")).select("u", "v", "bridge", "bridge_x")
 
 
-@query(with_("uni_purchase", PAIRS, CORE, recursive=True) + "select ask.u, ask.v, coalesce(s, 0)::double bridge_core from ask left join (select u, v, sum(core) s from brw join core on node = w group by u, v) using (u, v)")
+@query(with_("uni", PAIRS, CORE, recursive=True) + "select ask.u, ask.v, coalesce(s, 0)::double bridge_core from ask left join (select u, v, sum(core) s from brw join core on node = w group by u, v) using (u, v)")
 def bridge_core(spark, sf_dir: str) -> DataFrame:
-    e = E.uni_purchase(spark, sf_dir)
+    e = E.uni(spark, sf_dir)
     ab = G.pairs(e)
-    core = G.k_core(ab).withColumnRenamed("node", "w")
-    total = G.second_hop(_asked(e), ab, True).join(core, "w").groupBy("u", "v").agg(F.sum("core").alias("s"))
+    core = B.Planes(G.k_core(ab).withColumnRenamed("core", "value"))
+    words = core.join(B.pair_words(_asked(e), ab))
+    total = words.groupBy("u", "v").agg(F.sum(core.total(F.col("near").bitwiseAND(F.col("two")))).alias("s"))
     return _asked(e).join(total, ["u", "v"], "left").select("u", "v", F.coalesce("s", F.lit(0)).cast("double").alias("bridge_core"))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import log2_weight, pad_code
+from ..operators import blocks as B
 from ..operators import graph as G
 from ..operators import history as H
 from ..operators import memory as M
@@ -149,7 +150,7 @@ def random_neighbor_loader(spark, sf_dir: str) -> DataFrame:
 SLOTS = f"{SNAP}, {ADJ}, {DEG}, {CORE}, {INTER}, {LAST.format(k=5)}, sl as (select e.seq, v peer, unnest(nb) n, generate_subscripts(nb, 1) slot from e join h on h.node = u and h.seq = e.seq)"
 
 
-@query(with_("uni_purchase", SLOTS, recursive=True) + """, pr as (select distinct peer, n from sl),
+@query(with_("uni", SLOTS, recursive=True) + """, pr as (select distinct peer, n from sl),
 c as (select peer, pr.n, count(*) cn, sum(core) cs from pr join adj a on a.n = peer join adj b on b.n = pr.n and b.m = a.m join core on core.node = a.m group by peer, pr.n)
 select seq, slot::int slot, round(ln(1 + coalesce(cn, 0)), 6) cn, round(ln(1 + coalesce(cs, 0)), 6) cn_core, (exists (select 1 from adj where adj.n = sl.peer and adj.m = sl.n))::int direct,
 case when p.node is null then 0 else round(ln(1 + coalesce(deg.d, 0)), 6) end deg, case when p.node is null then 0 else round(ln(1 + coalesce(core, 0)), 6) end core, round(ln(1 + coalesce(cn, 0)), 6) cn2_proxy
@@ -159,13 +160,15 @@ def slot_fast(spark, sf_dir: str) -> DataFrame:
 
     A slot whose node or peer has no neighbours is all zero.
     """
-    e = E.uni_purchase(spark, sf_dir)
+    e = E.uni(spark, sf_dir)
     ab = G.pairs(e)
     core, deg = G.k_core(ab), G.degree(ab)
     h = H.last_k(e, 5).select(F.col("node").alias("u"), "seq", F.col("hist.nbr").alias("nb")).distinct()
     slots = e.select("seq", "u", F.col("v").alias("peer")).join(h, ["u", "seq"]).select("seq", "peer", F.posexplode("nb").alias("slot", "n"))
     asked = slots.select(F.col("peer").alias("u"), F.col("n").alias("v")).distinct()
-    cn = G.common_neighbors(asked, ab).join(core.withColumnRenamed("node", "w"), "w").groupBy(F.col("u").alias("peer"), F.col("v").alias("n")).agg(F.count("*").alias("cn"), F.sum("core").alias("cs"))
+    planes, shared = B.Planes(core.withColumnRenamed("core", "value")), F.col("near").bitwiseAND(F.col("one"))
+    words = planes.join(B.pair_words(asked, ab, second=False)).groupBy(F.col("u").alias("peer"), F.col("v").alias("n"))
+    cn = words.agg(F.sum(F.bit_count(shared)).alias("cn"), F.sum(planes.total(shared)).alias("cs"))
     direct = G.adjacency(ab).select(F.col("n").alias("peer"), F.col("m").alias("n"), F.lit(1).alias("direct"))
     out = slots.join(cn, ["peer", "n"], "left").join(direct, ["peer", "n"], "left").join(deg.withColumnRenamed("node", "n"), "n", "left").join(core.withColumnRenamed("node", "n"), "n", "left")
     out = out.join(deg.select(F.col("node").alias("peer"), F.lit(True).alias("known")), "peer", "left")
@@ -176,10 +179,10 @@ def slot_fast(spark, sf_dir: str) -> DataFrame:
 SLOTTED = f"{INTER}, {LAST.format(k=5)}, sl as (select e.seq, v peer, unnest(nb) n, generate_subscripts(nb, 1) slot from e join h on h.node = u and h.seq = e.seq), ask as (select distinct peer u, n v from sl)"
 
 
-@query(with_("uni_purchase", ALL.replace("ASK,", SLOTTED + ","), recursive=True) + "select seq, slot::int slot, pf.* exclude (u, v) from sl join pf on pf.u = sl.peer and pf.v = sl.n")
+@query(with_("uni", ALL.replace("ASK,", SLOTTED + ","), recursive=True) + "select seq, slot::int slot, pf.* exclude (u, v) from sl join pf on pf.u = sl.peer and pf.v = sl.n")
 def slot_full(spark, sf_dir: str) -> DataFrame:
     """All 30 features of every history slot with the interaction's peer as the source."""
-    e = E.uni_purchase(spark, sf_dir)
+    e = E.uni(spark, sf_dir)
     h = H.last_k(e, 5).select(F.col("node").alias("u"), "seq", F.col("hist.nbr").alias("nb")).distinct()
     slots = G.cut(e.select("seq", "u", F.col("v").alias("peer")).join(h, ["u", "seq"]).select("seq", F.col("peer").alias("u"), F.posexplode("nb").alias("slot", "v")))
     feats = all_features(slots.select("u", "v"), e)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..operators import blocks as B
 from ..operators import decoder as D
 from ..operators import graph as G
 from ..operators import metrics as M
@@ -25,7 +26,8 @@ val as (select seq, u, v, neg from sp join nodes on place = (seq * 7919) % (sele
 e2 as (select * from sp where split = 'train'), {SNAP.replace('from e', 'from e2')}, {ADJ}, {DEG}, {CORE},
 ask as (select distinct u, v from (select u, v from val union all select u, neg from val)), near as (select u, v, m w from ask join adj on n = v where m <> u),
 cnw as (select u, v, w from near join adj on n = u and m = w),
-brw as (select distinct u, v, w from near join adj x on x.n = w join adj y on y.n = u and y.m = x.m),
+tw as (select distinct q.u, y.m w from (select distinct u from ask) q join adj x on x.n = q.u join adj y on y.n = x.m where y.m <> q.u),
+brw as (select near.u, near.v, near.w from near join tw on tw.u = near.u and tw.w = near.w),
 ft as (select ask.u, ask.v, coalesce(c, 0) cn, coalesce(b, 0) bridge, coalesce(bc, 0) bridge_core from ask left join (select u, v, count(*) c from cnw group by u, v) using (u, v)
   left join (select u, v, count(*) b, sum(core) bc from brw join core on node = w group by u, v) using (u, v)),
 pn as (select p.cn pcn, n.cn ncn, p.bridge pb, n.bridge nb, p.bridge_core pc, n.bridge_core nc from val join ft p on p.u = val.u and p.v = val.v join ft n on n.u = val.u and n.v = val.neg)"""
@@ -44,10 +46,10 @@ def discauc(spark, sf_dir: str) -> DataFrame:
     val = N.draw(e.filter("split = 'val'").select("seq", "u", "v"), values, F.col("seq"), 1)
     ab = G.cut(G.pairs(e.filter("split = 'train'")))
     asked = G.cut(val.select("u", "v").union(val.select("u", "neg")).distinct())
-    core = G.k_core(ab).withColumnRenamed("node", "w")
-    found = G.neighborhoods(asked, ab).join(core, "w").groupBy("u", "v")
+    core = B.Planes(G.k_core(ab).withColumnRenamed("core", "value"))
     names = ["cn", "bridge", "bridge_core"]
-    found = found.agg(F.count_if("direct").alias("cn"), F.count_if("two").alias("bridge"), F.sum(F.when(F.col("two"), F.col("core")).otherwise(0)).alias("bridge_core"))
+    direct, two = (F.col("near").bitwiseAND(F.col(c)) for c in ("one", "two"))
+    found = core.join(B.pair_words(asked, ab)).groupBy("u", "v").agg(F.sum(F.bit_count(direct)).alias("cn"), F.sum(F.bit_count(two)).alias("bridge"), F.sum(core.total(two)).alias("bridge_core"))
     feats = asked.join(found, ["u", "v"], "left").na.fill(0, names)
     pos = feats.select("u", "v", *[F.col(n).alias(f"pos_{n}") for n in names])
     neg = feats.select("u", F.col("v").alias("neg"), *[F.col(n).alias(f"neg_{n}") for n in names])
@@ -224,13 +226,13 @@ def mean_message(spark, sf_dir: str) -> DataFrame:
     return E.uni(spark, sf_dir).groupBy(F.col("u").alias("node")).agg(F.round(F.avg("w"), 6).alias("message"))
 
 
-@query(with_("uni_purchase", PAIRS) + """, nv as (select vec_id, unnest(embedding)::double x, generate_subscripts(embedding, 1) - 1 i from embeddings)
+@query(with_("uni", PAIRS) + """, nv as (select vec_id, unnest(embedding)::double x, generate_subscripts(embedding, 1) - 1 i from embeddings)
 select u, v, i::int i, round(sum(x), 5) s from cnw join nv on vec_id = w group by u, v, i""")
 def ncn_vector_sum(spark, sf_dir: str) -> DataFrame:
     """Sum of the common neighbours' whole node vectors, a row per component."""
     from .graph_queries import _asked
 
-    e = E.uni_purchase(spark, sf_dir)
+    e = E.uni(spark, sf_dir)
     vec = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("w"), "embedding")
     sums = D.vector_sums(G.common_neighbors(_asked(e), G.pairs(e)), vec, "w", "embedding", ["u", "v"])
     return sums.select("u", "v", F.posexplode("sums").alias("i", "s")).select("u", "v", "i", F.round("s", 5).alias("s"))
@@ -251,14 +253,14 @@ def label_alignment_asof(spark, sf_dir: str) -> DataFrame:
     return out.select("node", "ts", F.coalesce("seq", F.lit(0)).alias("seq"), F.coalesce("split", F.lit("just_update")).alias("split"))
 
 
-@query(with_("uni_purchase", PAIRS) + """, f as (select ask.u, ask.v, coalesce(c, 0) c, coalesce(b, 0) b from ask left join (select u, v, count(*) c from cnw group by u, v) using (u, v) left join (select u, v, count(*) b from brw group by u, v) using (u, v))
+@query(with_("uni", PAIRS) + """, f as (select ask.u, ask.v, coalesce(c, 0) c, coalesce(b, 0) b from ask left join (select u, v, count(*) c from cnw group by u, v) using (u, v) left join (select u, v, count(*) b from brw group by u, v) using (u, v))
 select u, v, round(0.7 * ln(1 + c) + 0.3 * (1 / (1 + exp(-b / 10.0))), 6) score from f""")
 def score_ensemble(spark, sf_dir: str) -> DataFrame:
     """Weighted sum of two scorers."""
     from ..functions import sigmoid
     from .graph_queries import _asked
 
-    e = E.uni_purchase(spark, sf_dir)
+    e = E.uni(spark, sf_dir)
     ab = G.pairs(e)
     f = P.pair_features(_asked(e), ab, G.degree(ab).withColumnRenamed("degree", "x"))
     return f.select("u", "v", F.round(0.7 * F.col("cn") + 0.3 * sigmoid(F.col("bridge") / 10.0), 6).alias("score"))
