@@ -219,7 +219,7 @@ def window_validity(edges: DataFrame, width: int, size: int = BATCH) -> DataFram
     """(a, b, t_in, batch_in, batch_out): stays of an edge in a sliding window.
 
     A stay begins with an occurrence in batch i at time t and ends in batch p, the first
-    one after i whose latest time less ``width`` is above t; occurrences meanwhile change
+    one after i that there is and whose latest time less ``width`` is above t; occurrences meanwhile change
     nothing and the next stay may begin in p itself.  An open stay has a null batch_out.
     Each occurrence's own end is one as-of join; following the ends is a fold that streams through the sorted
     occurrences, so an edge with many of them is never held together.
@@ -230,7 +230,9 @@ def window_validity(edges: DataFrame, width: int, size: int = BATCH) -> DataFram
     occurrences = rows.select("t").distinct().withColumn("p", F.lit(None).cast("long")).withColumn("asked", F.lit(True))
     marks = limit.groupBy("t").agg(F.min("batch").alias("p")).withColumn("asked", F.lit(False))
     ends = next_value(occurrences.union(marks), "t", "p").filter("asked").select("t", "p")
-    own = rows.join(ends, "t", "left").withColumn("p", F.when(F.col("p").isNotNull(), F.greatest("p", F.col("batch") + 1)))
+    own = rows.join(ends, "t", "left").join(F.broadcast(limit.agg(F.max("batch").alias("last"))))
+    after = F.greatest("p", F.col("batch") + 1)
+    own = own.withColumn("p", F.when(F.col("p").isNotNull() & (after <= F.col("last")), after))
     ordered = own.select("a", "b", "seq", "t", "batch", "p").repartition("a", "b").sortWithinPartitions("a", "b", "seq")
     return ordered.mapInPandas(_stays, "a long, b long, t_in long, batch_in long, batch_out long")
 

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..sources.order import numbered
+from .graph import cut
+from .rolling import as_of
 
 
 def interactions(edges: DataFrame) -> DataFrame:
@@ -41,6 +47,36 @@ def uniform_draws(edges: DataFrame, k: int, stride: int = 7919, step: int = 1047
     return asked.join(rows.select("node", "place", "nbr"), ["node", "place"]).select("node", "seq", "j", "nbr")
 
 
+def time_aware_draws(edges: DataFrame, k: int, scale: float, stride: int = 7919, step: int = 104729, grain: int = 1_000_003) -> DataFrame:
+    """(node, seq, j, nbr): ``k`` draws with replacement from all that is strictly before, by weights of recency.
+
+    Interaction i of a node has p_i = exp(scale * t_i) over the sum of the same up to i, and weighs exp(p_i).  The sum is
+    carried relative to the latest term, S_i = 1 + S_(i-1) * exp(scale * (t_(i-1) - t_i)), so old ones do not underflow.
+    Weights add up along a node; draw j takes the interaction in whose part of the sum the place
+    ((seq * stride + j * step) mod grain) / grain of what is before falls: one as-of join of draws with sums.
+    """
+
+    def add_up(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        node, last, near, total = None, 0, 0.0, 0.0
+        for pdf in parts:
+            begins = []
+            for key, t in zip(pdf["node"].tolist(), pdf["t"].tolist()):
+                if key != node:
+                    node, near, total = key, 1.0, 0.0
+                else:
+                    near = 1.0 + near * math.exp(scale * (last - t))
+                begins.append(total)
+                total, last = total + math.exp(1.0 / near), t
+            yield pdf[["node", "seq", "nbr"]].assign(begin=begins)
+
+    rows = interactions(edges).filter("node <> nbr").repartition("node").sortWithinPartitions("node", "seq", "nbr")
+    sums = cut(rows.mapInPandas(add_up, "node long, seq long, nbr long, begin double"))
+    place = ((F.col("seq") * stride + F.col("j") * step) % grain).cast("double") / grain
+    asked = sums.filter("begin > 0").select("node", "seq", F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("j"), "begin")
+    asked = asked.select("node", "seq", "j", (place * F.col("begin")).alias("at"))
+    return as_of(asked, sums, ["node"], "at", "begin", ["nbr"], strict=False).select("node", "seq", "j", "nbr")
+
+
 def peer_flags(values: Column, other: Column) -> Column:
     """1 for each entry of ``values`` that is in ``other``, else 0; 0 for padding."""
     return F.transform(values, lambda x: F.when((x != 0) & F.array_contains(other, x), F.lit(1)).otherwise(F.lit(0)))
@@ -80,6 +116,37 @@ def multi_hop(edges: DataFrame, k: int, hops: int) -> DataFrame:
     return out
 
 
+def trees(edges: DataFrame, k: int, hops: int) -> DataFrame:
+    """(root, seq, hop, slot, node, at): the nodes of each interaction's tree of up to ``hops`` steps back in time.
+
+    A node's children are its last ``k`` interactions strictly before the one at ``at`` that led to it, in slots
+    ``slot`` * k + place, so hop h has k ** h slots; those without an interaction have no row.  ``edges`` has no self loops.
+    """
+    h = last_k(edges, k).select(F.col("node").alias("of"), F.col("seq").alias("of_seq"), F.posexplode("hist").alias("place", "x"))
+    h = h.select("of", "of_seq", "place", F.col("x.nbr").alias("node"), F.col("x.seq").alias("at"))
+    level = h.select(F.col("of").alias("root"), F.col("of_seq").alias("seq"), F.lit(1).alias("hop"), F.col("place").cast("long").alias("slot"), "node", "at")
+    out = level
+    for hop in range(2, hops + 1):
+        up = level.select("root", "seq", "slot", F.col("node").alias("of"), F.col("at").alias("of_seq"))
+        level = up.join(h, ["of", "of_seq"]).select("root", "seq", F.lit(hop).alias("hop"), (F.col("slot") * k + F.col("place")).alias("slot"), "node", "at")
+        out = out.union(level)
+    return out
+
+
+def landing(edges: DataFrame, k: int, hops: int) -> DataFrame:
+    """(seq, node, u, v): how likely walks of each length (0 .. ``hops``) from either end of an interaction land on a
+    node: at each hop the share of all slots, those without an interaction included, that hold it.
+
+    Nodes are told apart by id within an interaction; ``trees`` has their times.
+    """
+    below = trees(edges, k, hops).select("root", "seq", "hop", "node")
+    roots = interactions(edges).select(F.col("node").alias("root"), "seq", F.lit(0).alias("hop"), "node")
+    share = F.lit(1.0) / F.pow(F.lit(float(k)), F.col("hop"))
+    found = roots.union(below).join(edges.select("seq", "u", "v"), "seq").withColumn("p", share)
+    side = lambda c: F.array(*[F.sum(F.when((F.col("root") == F.col(c)) & (F.col("hop") == h), F.col("p")).otherwise(0.0)) for h in range(hops + 1)])
+    return found.groupBy("seq", "node").agg(side("u").alias("pu"), side("v").alias("pv")).select("seq", "node", F.col("pu").alias("u"), F.col("pv").alias("v"))
+
+
 def last_edges(edges: DataFrame, k: int) -> DataFrame:
     """(node, nbr, seq, local): each node's last ``k`` interactions, an edge once per node, with nodes
     numbered densely among those that occur (``local``)."""

@@ -25,7 +25,7 @@ from ..sources.order import numbered
 from .graph import BATCH
 from .rolling import DECAY, STATS, Fold
 
-EDGE = "n long, m long, n0 long, t long, gone boolean"
+EDGE = "n long, m long, n0 long, t long, batch long, gone boolean"
 HELD = ("last", "ema_", "sq", "slow", "change", "since")
 MOVE = "node long, batch long, phase int, n0 long, degree long, triangles long, clustering double, " + ", ".join(f"{c} double" for c in (*STATS, *HELD))
 EVENT = "u long, v long, t long, eid long"
@@ -71,7 +71,7 @@ class KeptGraph:
     def edges(self, m: Manifest) -> DataFrame:
         """(n, m, n0, t): both directions of the present edges."""
         log = self._parts(m, "edges", EDGE)
-        came = log.filter("not gone").drop("gone")
+        came = log.filter("not gone").drop("gone", "batch")
         return came.join(log.filter("gone").select("n", "m", "n0"), ["n", "m", "n0"], "left_anti") if self.width else came
 
     def nodes(self, m: Manifest) -> DataFrame:
@@ -85,6 +85,17 @@ class KeptGraph:
         paths = [f"{self.folder}/delta/{v}/moves" for v in m.versions]
         return self.spark.read.schema(MOVE).parquet(*paths) if paths else self.spark.createDataFrame([], MOVE)
 
+    def stays(self, m: Manifest) -> DataFrame:
+        """(a, b, t_in, batch_in, batch_out): when each edge was in the graph; an open stay has a null batch_out.
+
+        Read from the record of what came and went, so the micro-batches that brought the events make no difference.
+        """
+        paths = [f"{self.folder}/delta/{v}/edges" for v in m.versions]
+        log = (self.spark.read.schema(EDGE).parquet(*paths) if paths else self.spark.createDataFrame([], EDGE)).filter("n < m")
+        came = log.filter("not gone").select(F.col("n").alias("a"), F.col("m").alias("b"), "n0", F.col("t").alias("t_in"), F.col("batch").alias("batch_in"))
+        went = log.filter("gone").select(F.col("n").alias("a"), F.col("m").alias("b"), "n0", F.col("batch").alias("batch_out"))
+        return came.join(went, ["a", "b", "n0"], "left").drop("n0")
+
     # -- advance ------------------------------------------------------------------------
 
     def take(self, events: DataFrame, micro_batch: int, last: bool = False) -> Manifest:
@@ -124,9 +135,10 @@ class KeptGraph:
             present = before
         fresh = first.join(present.select(F.col("n").alias("a"), F.col("m").alias("b")), ["a", "b"], "left_anti")
         fresh = numbered(fresh, ["seq"], "n0", m.edges + 1).select("a", "b", "n0", "t", batch.alias("batch"))
-        came = fresh.select(F.col("a").alias("n"), F.col("b").alias("m"), "n0", "t").union(fresh.select(F.col("b").alias("n"), F.col("a").alias("m"), "n0", "t"))
+        came = fresh.select(F.col("a").alias("n"), F.col("b").alias("m"), "n0", "t", "batch").union(fresh.select(F.col("b").alias("n"), F.col("a").alias("m"), "n0", "t", "batch"))
         log = came.withColumn("gone", F.lit(False))
-        log = log.union(gone.withColumn("gone", F.lit(True))) if gone is not None else log
+        if gone is not None:
+            log = log.union(gone.select("*", F.lit(version - 1).cast("long").alias("batch"), F.lit(True).alias("gone")))
         log.write.mode("overwrite").parquet(f"{path}/edges")
         written = self._read(f"{path}/edges", EDGE)
         old = self.nodes(m)
@@ -199,6 +211,6 @@ class KeptGraph:
 
     def _fold_base(self, m: Manifest, version: int) -> None:
         """Fold the deltas into a new base; moves stay where they are, as the record of ticks."""
-        self.edges(m).withColumn("gone", F.lit(False)).write.mode("overwrite").parquet(f"{self.folder}/base/{version}/edges")
+        self.edges(m).select("*", F.lit(None).cast("long").alias("batch"), F.lit(False).alias("gone")).write.mode("overwrite").parquet(f"{self.folder}/base/{version}/edges")
         self.nodes(m).write.mode("overwrite").parquet(f"{self.folder}/base/{version}/moves")
         m.base = version

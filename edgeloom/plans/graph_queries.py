@@ -194,19 +194,33 @@ def core_cadence_asof(spark, sf_dir: str) -> DataFrame:
 DAY = 86_400_000_000
 
 
-@query(with_("uni", recursive=True) + f""", b as (select (seq - 1) // 200 batch, max(t) - {7 * DAY} fl from e group by 1),
-o as (select least(u, v) a, greatest(u, v) b, t, (seq - 1) // 200 batch, row_number() over (partition by least(u, v), greatest(u, v) order by seq) i from e where u <> v),
+def _window_sql(size: int) -> str:
+    return f""", b as (select (seq - 1) // {size} batch, max(t) - {7 * DAY} fl from e group by 1),
+o as (select least(u, v) a, greatest(u, v) b, t, (seq - 1) // {size} batch, row_number() over (partition by least(u, v), greatest(u, v) order by seq) i from e where u <> v),
 d as (select t, min(b.batch) p0 from (select distinct t from o) join b on b.fl > t group by t),
-g as (select o.*, case when p0 is not null then greatest(p0, batch + 1) end p from o left join d using (t)),
+g as (select o.*, case when p0 is not null and greatest(p0, batch + 1) <= (select max(batch) from b) then greatest(p0, batch + 1) end p from o left join d using (t)),
 s as (select a, b, i, t t_in, batch batch_in, p, true began from g where i = 1 union all
   select g.a, g.b, g.i, case when n then g.t else t_in end, case when n then g.batch else batch_in end, case when n then g.p else s.p end, n
   from s join (select * from g) g on g.a = s.a and g.b = s.b and g.i = s.i + 1, lateral (select coalesce(s.p <= g.batch, false) n))
-select a, b, t_in, batch_in, p batch_out from s where began""")
+select a, b, t_in, batch_in, p batch_out from s where began"""
+
+
+@query(with_("uni", recursive=True) + _window_sql(200))
 def window_graph(spark, sf_dir: str) -> DataFrame:
     """Stays of edges in a window of seven days."""
     return G.window_validity(E.uni(spark, sf_dir), 7 * DAY)
 
 
+PRUNES = """, bt as (select (seq - 1) // 200 batch, u, v from e), kn as (select node, min(batch) since from (select batch, unnest([u, v]) node from bt where u <> v) group by node)
+select p.batch, node from (select distinct batch_out batch from st where batch_out is not null) p join kn on since < p.batch"""
+
+
+@query(with_("uni", recursive=True) + _window_sql(200).replace("select a, b, t_in, batch_in, p batch_out from s where began", "st as (select a, b, t_in, batch_in, p batch_out from s where began)").replace("coalesce(s.p <= g.batch, false) n))", "coalesce(s.p <= g.batch, false) n)),") + PRUNES)
+def pruned_ticks(spark, sf_dir: str) -> DataFrame:
+    """Who ticks when a batch prunes edges out of a window of seven days."""
+    return I.pruned_ticks(E.uni(spark, sf_dir), 7 * DAY)
+
+
 # -- rolling statistics -----------------------------------------------------------------
 
 

@@ -145,6 +145,34 @@ def random_neighbor_loader(spark, sf_dir: str) -> DataFrame:
     return H.hashed_sample(E.bip(spark, sf_dir), 10)
 
 
+@query(with_("bip", INTER, recursive=True) + """, o as (select *, row_number() over (partition by node order by seq, nbr) i from it),
+s as (select node, nbr, seq, t, i, 1::double near, 0::double "begin" from o where i = 1 union all
+  select o.node, o.nbr, o.seq, o.t, o.i, 1 + s.near * exp(1e-11::double * (s.t - o.t)), s."begin" + exp(1 / s.near) from s join o on o.node = s.node and o.i = s.i + 1),
+q as (select node, seq, j, ((seq * 7919 + j * 104729) % 1000003)::double / 1000003 * "begin" at_ from s, range(3) r(j) where "begin" > 0)
+select q.node, q.seq, q.j::int j, s.nbr from q asof join s on s.node = q.node and q.at_ >= s."begin\"""")
+def hist_time_aware_draws(spark, sf_dir: str) -> DataFrame:
+    """Three draws from each interaction's past, by weights of recency."""
+    return H.time_aware_draws(E.bip(spark, sf_dir), 3, 1e-11)
+
+
+TREE = LAST.format(k=3) + """, c1 as (select node root, seq, 1 hop, unnest(generate_series(0, len(nb) - 1)) slot, unnest(nb) node, unnest(sq) at_ from h where nb is not null),
+c2 as (select root, c1.seq, 2 hop, slot * 3 + unnest(generate_series(0, len(nb) - 1)) slot, unnest(nb) node, unnest(sq) at_ from c1 join h on h.node = c1.node and h.seq = c1.at_ where nb is not null)"""
+
+
+@query(with_("bip", INTER, TREE) + """, w as (select node root, seq, 0 hop, node from it union all select root, seq, hop, node from c1 union all select root, seq, hop, node from c2)
+select seq, w.node, """ + ", ".join(f"round(sum(case when root = {s} and hop = {h} then 1 / pow(3.0, {h}) else 0 end), 6) {s}{h}" for s in "uv" for h in range(3)) + " from w join e using (seq) group by seq, w.node")
+def walk_landing_tree(spark, sf_dir: str) -> DataFrame:
+    """Landing probabilities of walks of up to two steps from both ends of each interaction."""
+    found = H.landing(E.bip(spark, sf_dir), 3, 2)
+    return found.select("seq", "node", *[F.round(F.get(s, F.lit(h)), 6).alias(f"{s}{h}") for s in "uv" for h in range(3)])
+
+
+@query(with_("bip", INTER, TREE) + "select root, seq, hop::int hop, slot::bigint slot, node, at_ as \"at\" from c1 union all select root, seq, hop, slot, node, at_ from c2")
+def history_tree(spark, sf_dir: str) -> DataFrame:
+    """Every slot of the two-hop tree of each interaction's ends."""
+    return H.trees(E.bip(spark, sf_dir), 3, 2)
+
+
 # -- slots ------------------------------------------------------------------------------
 
 SLOTS = f"{SNAP}, {ADJ}, {DEG}, {CORE}, {INTER}, {LAST.format(k=5)}, sl as (select e.seq, v peer, unnest(nb) n, generate_subscripts(nb, 1) slot from e join h on h.node = u and h.seq = e.seq)"

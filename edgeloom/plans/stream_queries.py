@@ -10,7 +10,7 @@ from ..operators.kept import KeptGraph
 from ..session import shared_folder
 from ..sources import edges as E
 from ..streaming import jobs as J
-from .graph_queries import TICKS
+from .graph_queries import DAY, TICKS, _window_sql
 from .registry import EVENTS, FIRST, query, with_
 
 
@@ -42,6 +42,13 @@ def kept_graph_ticks(spark, sf_dir: str) -> DataFrame:
     return kept.moves(m).select("node", "n0", "degree", "triangles", F.round("clustering", 6).alias("clustering"))
 
 
+@query(with_("uni", recursive=True) + _window_sql(2000))
+def stream_window_graph(spark, sf_dir: str) -> DataFrame:
+    """Stays of edges in a window of seven days of a graph that a stream advances by batches of 2,000 events."""
+    kept = KeptGraph(spark, shared_folder(spark, "kept"), size=2000, width=7 * DAY)
+    return kept.stays(J.advance(J.read_events(spark, sf_dir), kept, last=True))
+
+
 @query()
 def link_predictor(spark, sf_dir: str) -> DataFrame:
     """Probabilities of test edges and of as many drawn ones, from features of the training graph."""

@@ -63,8 +63,9 @@ def edge_window(stream: DataFrame, width: str = "7 days", late: str = "1 day") -
     """(u, k, n, last_t, state): edges that are in a sliding window of event time, and those that leave it.
 
     An edge is ``in`` with each micro-batch that brings it and ``out`` once the watermark is ``width`` beyond its
-    last occurrence; its state is dropped then, so what is held is the window.  Rows later than ``late`` behind the
-    latest time are left out.
+    last occurrence; its state is dropped then, so what is held is the window.  An edge that was out for longer than
+    ``width`` and came back counts anew, whether both happen in one micro-batch or not.  Rows later than ``late``
+    behind the latest time are left out.
     """
     span = int(pd.Timedelta(width).total_seconds() * 1_000_000)
 
@@ -74,8 +75,8 @@ def edge_window(stream: DataFrame, width: str = "7 days", late: str = "1 day") -
             state.remove()
             yield pd.DataFrame({"u": [key[0]], "k": [key[1]], "n": [n], "last_t": [last], "state": ["out"]})
             return
-        times = pd.concat([p["t"] for p in parts])
-        n, last = n + len(times), max(last, int(times.max()))
+        for t in sorted(int(x) for p in parts for x in p["t"]):
+            n, last = n + 1 if n and t <= last + span else 1, max(last, t)
         state.update((n, last))
         state.setTimeoutTimestamp(max((last + span) // 1000, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({"u": [key[0]], "k": [key[1]], "n": [n], "last_t": [last], "state": ["in"]})
