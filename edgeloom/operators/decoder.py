@@ -69,7 +69,7 @@ def sample_rows(entries: DataFrame, k: int, salt: int = 0, keep_short: bool = Fa
     size = placed.groupBy("row").agg(F.count("*").alias("size"))
     long = size.filter(F.col("size") > k) if keep_short else size
     draws = long.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
-    draws = draws.withColumn("place", F.pmod(F.xxhash64("row", "j", F.lit(salt)), "size").cast("int"))
+    draws = draws.withColumn("place", F.pmod(F.col("row") * 7919 + F.col("j") * 104729 + salt * 31, F.col("size")).cast("int"))
     drawn = draws.join(placed, ["row", "place"]).groupBy("row", "col").agg((F.count("*") * F.first("size") / F.lit(k)).alias("weight"))
     if not keep_short:
         return drawn
@@ -79,5 +79,5 @@ def sample_rows(entries: DataFrame, k: int, salt: int = 0, keep_short: bool = Fa
 
 def drop_edges(entries: DataFrame, p: float, salt: int = 0) -> DataFrame:
     """(row, col, weight) without about a share ``p`` of the entries, by hash; the rest weighs 1 / (1 - p)."""
-    kept = F.pmod(F.xxhash64("row", "col", F.lit(salt)), F.lit(1_000_000)) >= int(p * 1_000_000)
+    kept = F.pmod(F.col("row") * 7919 + F.col("col") * 104729 + salt * 31, F.lit(1_000_003)) >= int(p * 1_000_003)
     return entries.filter(kept).withColumn("weight", F.lit(1.0 / (1.0 - p)) if p < 1 else F.lit(0.0))

@@ -168,7 +168,7 @@ def biased_sample(edges: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
     node with many edges keeps many, which is the bias."""
     touching = edges.join(nodes.select(F.col("node").alias("u"), F.lit(1).alias("a")), "u", "left").join(nodes.select(F.col("node").alias("v"), F.lit(1).alias("b")), "v", "left").filter("a is not null or b is not null").select(edges.columns)
     share = touching.agg(F.count("*").alias("have")).join(F.broadcast(nodes.agg((F.count("*") * size).alias("want")))).select((F.col("want") / F.greatest("have", F.lit(1))).alias("share"))
-    return touching.join(F.broadcast(share)).filter(F.pmod(F.xxhash64("seq"), F.lit(1_000_000)) < F.col("share") * 1_000_000).select(edges.columns)
+    return touching.join(F.broadcast(share)).filter(F.pmod(F.col("seq") * 7919, F.lit(1_000_003)) < F.col("share") * 1_000_003).select(edges.columns)
 
 
 def pad_left(values: Column, k: int) -> Column:

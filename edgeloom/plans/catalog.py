@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import graph_queries, history_queries, ranking_queries, stream_queries
+from . import graph_queries, history_queries, ranking_queries, source_queries, stream_queries
 from .registry import ORACLES, QUERIES
 
-__all__ = ["graph_queries", "history_queries", "oracle_sql", "queries", "ranking_queries", "stream_queries"]
+__all__ = ["graph_queries", "history_queries", "oracle_sql", "queries", "ranking_queries", "source_queries", "stream_queries"]
 
 
 def queries() -> dict:

@@ -1,7 +1,7 @@
 """Readers of raw interaction files, label tables and node tables, and sinks of what is derived.
 
 Files are read as lines, so headers with fewer names than columns and ragged rows do no harm.
-``pos`` orders the rows of a file: Spark's number of the row, which rises along a file's blocks.
+``pos`` counts the rows of all files from 1, in the order of the files' names and of their lines.
 """
 
 from __future__ import annotations
@@ -26,12 +26,16 @@ COMMA_NAMES = {
 }
 
 
+MOST_KINDS = 1_000  #: values that get a place of their own in a one-hot array
+
+
 def lines(spark: SparkSession, path: str) -> DataFrame:
     """(pos, fields): the comma-separated fields of every line but each file's first."""
     raw = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("pos"), "value")
     heads = raw.groupBy("file").agg(F.min("pos").alias("head"))
-    rows = raw.join(F.broadcast(heads), "file").filter("pos > head and btrim(value) <> ''")
-    return rows.select("pos", F.split(F.btrim("value"), ",").alias("fields"))
+    rows = raw.join(F.broadcast(heads), "file").filter("pos > head and btrim(value) <> ''").drop("head")  # one head a file
+    # Spark's number of a row rises along a file's blocks, but files are dealt out by size.
+    return numbered(rows.withColumnRenamed("pos", "_row"), ["file", "_row"], "pos").select("pos", F.split(F.btrim("value"), ",").alias("fields"))
 
 
 def _field(i: int, kind: str) -> Column:
@@ -138,7 +142,12 @@ def clean_names(text: Column, most: int = 4) -> Column:
 def node_features(nodes: DataFrame, position: str) -> DataFrame:
     """(node, features) of (position, node, kind, continent, region, lon, lat): one-hot kind and continent, by
     first appearance, codes of the region's letters, and the coordinates as they are."""
-    places = {c: [r.raw for r in first_seen_ids(nodes, position, [c]).orderBy("id").collect()] for c in ("kind", "continent")}  # a few values each
+    places = {}
+    for c in ("kind", "continent"):
+        seen = first_seen_ids(nodes, position, [c]).orderBy("id").limit(MOST_KINDS + 1).collect()
+        if len(seen) > MOST_KINDS:
+            raise ValueError(f"{c} has more than {MOST_KINDS} values, too many for a place each")
+        places[c] = [r.raw for r in seen]
     parts = [one_hot(F.col(c), values) for c, values in places.items()]
     codes = F.transform(pad_code(F.col("region")), lambda x: x.cast("double"))
     return nodes.select("node", F.concat(*parts, codes, F.array(F.col("lon").cast("double"), F.col("lat").cast("double"))).alias("features"))

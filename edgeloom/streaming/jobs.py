@@ -135,3 +135,11 @@ def drain(updates: DataFrame, keys: list[str], folder: str | None = None) -> Dat
     values = F.struct(*[F.col(f.name) for f in schema.fields if f.name not in [*keys, "batch"]])
     last = rows.groupBy(*keys).agg(F.max_by(values, "batch").alias("v"))
     return last.select(*keys, "v.*")
+
+
+def read_state(spark: SparkSession, folder: str, version: int | None = None) -> DataFrame:
+    """Keys and values that the state store of a ``drain`` holds, now or after micro-batch ``version``, by Spark's state source."""
+    source = spark.read.format("statestore")
+    if version is not None:
+        source = source.option("batchId", version)
+    return source.load(f"{folder}/state")
