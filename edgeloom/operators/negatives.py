@@ -94,7 +94,9 @@ def free_pairs(rows: DataFrame, sources: DataFrame, targets: DataFrame, key: Col
     if not size:
         return asked.drop("_k").withColumn("neg_u", F.lit(None).cast("long")).withColumn("neg_v", F.lit(None).cast("long"))
     asked = asked.withColumn("_s", (F.col("_k") * STRIDE) % size).join(able.select(F.col("place").alias("_s"), F.col("u").alias("neg_u"), "free"), "_s")
-    asked = asked.withColumn("_nth", (F.col("_k") * STEP) % F.col("free")).drop("_k", "_s", "free")
+    # With the quotient, so that sources and places that share a divisor do not go together.
+    turn = F.col("_k") * STEP + F.floor(F.col("_k") / F.lit(size)) * STRIDE
+    asked = asked.withColumn("_nth", turn % F.col("free")).drop("_k", "_s", "free")
     found = nth_free(asked, held.withColumnRenamed("u", "neg_u"), ["neg_u"], "_nth", "place")
     return found.join(targets.select("place", F.col("value").alias("neg_v")), "place").select(*rows.columns, "neg_u", "neg_v")
 

@@ -191,6 +191,12 @@ def core_cadence_asof(spark, sf_dir: str) -> DataFrame:
     return C.trace_as_of(E.uni(spark, sf_dir), C.core_trace, "core")
 
 
+@query()
+def truss_cadence_asof(spark, sf_dir: str) -> DataFrame:
+    """Node truss numbers recomputed every 64 new edges, read as of each batch of 200."""
+    return C.trace_as_of(E.uni(spark, sf_dir), C.truss_trace, "truss")
+
+
 DAY = 86_400_000_000
 
 

@@ -306,7 +306,7 @@ def neg_random_pair(spark, sf_dir: str) -> DataFrame:
 
 @query(with_("bip", SPLIT, SIDES) + """, hd as (select distinct u, tv.place p from e join tv on tv.value = e.v), fu as (select u, count(*) c from hd group by u),
 ab as (select *, row_number() over (order by u) - 1 place from (select su.value u, (select count(*) from tv) - coalesce(c, 0) "free" from su left join fu on fu.u = su.value) where "free" > 0),
-qq as (select seq, ab.u, seq * 104729 % "free" nth from sp join ab on ab.place = seq * 7919 % (select count(*) from ab) where split = 'test'),
+qq as (select seq, ab.u, (seq * 104729 + seq // (select count(*) from ab) * 7919) % "free" nth from sp join ab on ab.place = seq * 7919 % (select count(*) from ab) where split = 'test'),
 st as (select u, p - row_number() over (partition by u order by p) + 1 f from hd)
 select x.seq, x.u neg_u, tv.value neg_v from (select qq.seq, qq.u, nth + count(f) place from qq left join st on st.u = qq.u and f <= nth group by qq.seq, qq.u, nth) x join tv using (place)""")
 def neg_collision_free(spark, sf_dir: str) -> DataFrame:
