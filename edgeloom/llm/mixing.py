@@ -3,8 +3,9 @@
 1. Sizes are summed per source and per slice of a hashed order.
 2. Water filling turns weights into token targets, none above ``max_repeat`` times
    its source.
-3. Every source is read pass by pass in hashed order until its target is reached, so
-   a document is taken 0 to ``max_repeat`` times.
+3. Every source is read pass by pass in hashed order, so a document is taken 0 to
+   ``max_repeat`` times.  The last pass takes what lies before the target as a whole, and
+   what is missing is filled by later documents, the largest that fit first.
 4. Each source has a schedule of relative weights over training time.  Its integral is
    the cumulative demand; inverting it at the place of a copy gives the copy's training
    position, and a range sort by position gives the training order.
@@ -66,6 +67,28 @@ def source_targets(sizes: DataFrame, weights: Sequence[int], max_repeat: int) ->
     return out.withColumn("target", F.least(F.col("cap").cast("double"), F.col("level") * F.col("weight"))).drop("cap", "level")
 
 
+def fill_border(placed: DataFrame) -> DataFrame:
+    """(src, picks): which documents of each source fill its last pass, by the words before them.
+
+    ``placed`` is (src, key, size, before, left), ``left`` the words that the last pass lacks.  Its first documents
+    up to that fit as they come.  Of the others only one of each size matters, the first by key: sizes are
+    gone through from the largest, and each that fits is taken.  At last the smallest of those that are too large
+    is taken if the source is nearer its target with it.
+    """
+    fits = F.col("before") + F.col("size") <= F.col("left")
+    gaps = placed.groupBy("src").agg((F.max("left") - F.coalesce(F.max(F.when(fits, F.col("before") + F.col("size"))), F.lit(0))).alias("gap"))
+    one = placed.filter(~fits & (F.col("size") > 0)).groupBy("src", "size").agg(F.min(F.struct("key", "before")).alias("x"))
+    sizes = one.groupBy("src").agg(F.sort_array(F.collect_list(F.struct("size", "x.before")), asc=False).alias("sizes"))  # as many as there are different sizes
+    none = F.array().cast("array<struct<size:bigint,before:bigint>>")
+    take = lambda acc, x: F.when(x["size"] <= acc["gap"], F.struct((acc["gap"] - x["size"]).alias("gap"), F.array_append(acc["picks"], x).alias("picks"))).otherwise(acc)
+    found = gaps.join(sizes, "src").withColumn("done", F.aggregate("sizes", F.struct(F.col("gap").cast("double").alias("gap"), none.alias("picks")), take))
+    over = F.filter("sizes", lambda x: (x["size"] > F.col("done.gap")) & ~F.array_contains(F.col("done.picks"), x))
+    least = F.get(over, F.size(over) - 1)
+    nearer = least.isNotNull() & (least["size"] < 2 * F.col("done.gap"))
+    picks = F.when(nearer, F.array_append("done.picks", least)).otherwise(F.col("done.picks"))
+    return found.select("src", F.transform(picks, lambda x: x["before"]).alias("picks"))
+
+
 def plan_mix(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -96,16 +119,26 @@ def plan_mix(
     slices = sized.groupBy("src", "slice").agg(F.sum("size").alias("slice_size"))
     slices = slices.withColumn("base", F.coalesce(F.sum("slice_size").over(W.partitionBy("src").orderBy("slice").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
     totals = sized.groupBy("src").agg(F.sum("size").alias("source_size"))
-    slices = slices.join(source_targets(totals, weights, max_repeat), "src").drop("slice_size")
+    targets = source_targets(totals, weights, max_repeat)
+    targets = targets.withColumn("passes", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
+    targets = targets.withColumn("left", F.col("target") - (F.col("passes") * F.col("source_size")).cast("double"))
+    slices = materialize(slices.join(targets, "src").drop("slice_size"), "mix-slices")
 
     inside = W.partitionBy("src", "slice").orderBy("key", "size").rowsBetween(W.unboundedPreceding, -1)
-    out = sized.withColumn("before", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    out = out.join(slices, ["src", "slice"]).withColumn("before", F.col("before") + F.col("base"))
 
-    # Copy k of a document lies at k * source_size + before; it is taken if its middle is within the target.
+    def placed(rows: DataFrame, about: DataFrame) -> DataFrame:
+        """Rows with the words before them in their source, and what is known of it."""
+        out = rows.withColumn("before", F.coalesce(F.sum("size").over(inside), F.lit(0)))
+        return out.join(about, ["src", "slice"]).withColumn("before", F.col("before") + F.col("base"))
+
+    picks = fill_border(placed(sized.select("src", "slice", "key", "size"), slices).select("src", "key", "size", "before", "left"))
+    out = placed(sized, slices.join(picks, "src", "left"))
+
+    # Copy k of a document lies at k * source_size + before.
     start = [F.col("before") + F.col("source_size") * k for k in range(max_repeat)]
     share = [F.when(F.col("target") > 0, F.least(s / F.col("target"), F.lit(1.0))) for s in start]
-    taken = [(F.col("size") > 0) & ((s * 2 + F.col("size")).cast("double") <= F.col("target") * 2) for s in start]
+    border = (F.col("before") + F.col("size") <= F.col("left")) | F.coalesce(F.array_contains("picks", F.col("before")), F.lit(False))
+    taken = [(F.col("size") > 0) & ((F.col("passes") > k) | ((F.col("passes") == k) & border)) for k in range(max_repeat)]
     place = []
     for q in share:
         cases = None

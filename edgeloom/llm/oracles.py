@@ -22,20 +22,30 @@ def _inverse(weights, share: str) -> str:
 
 
 def op9_sql() -> str:
-    copies = ", ".join(f"case when size > 0 and (({k} * source_size + before) * 2 + size)::double <= target * 2 then {k} end" for k in range(3))
+    copies = ", ".join(f"case when size > 0 and (passes > {k} or (passes = {k} and (before + size <= lft or pk is not null))) then {k} end" for k in range(3))
     share = "(least(before / target, 1::double))"
     place = " ".join(f"when src_no % {len(SCHEDULES)} = {i} then {_inverse(s, share)}" for i, s in enumerate(SCHEDULES))
     return f"""
-with d as (select doc_id, coalesce('s' || source, 't') src, {WORDS} size from documents),
+with recursive d as (select doc_id, coalesce('s' || source, 't') src, {WORDS} size from documents),
 k as (select *, md5(concat_ws('|', doc_id::varchar, size::varchar)) "key" from d),
 s as (select src, sum(size)::bigint source_size, row_number() over (order by src) - 1 src_no from k group by src),
 w as (select *, case src_no % 3 when 0 then 1 when 1 then 2 else 3 end weight, source_size * 3 cap from s),
 l as (select *, (sum(source_size) over () - coalesce(sum(cap) over (order by cap / weight, src rows between unbounded preceding and 1 preceding), 0))::double
   / sum(weight) over (order by cap / weight, src rows between current row and unbounded following) lv from w),
-t as (select *, least(cap::double, max(lv) over () * weight) target from l),
+t0 as (select *, least(cap::double, max(lv) over () * weight) target from l),
+t as (select *, case when source_size > 0 then floor(target / source_size)::bigint else 0 end passes, target - (case when source_size > 0 then floor(target / source_size)::bigint else 0 end * source_size)::double lft from t0),
 b as (select k.*, coalesce(sum(size) over (partition by src order by "key", size rows between unbounded preceding and 1 preceding), 0)::bigint before from k),
-j as (select b.*, t.source_size, t.target, t.src_no from b join t using (src)),
-p as (select *, len(list_filter([{copies}], lambda x: x is not null)) n from j)
+j as (select b.*, t.source_size, t.target, t.src_no, t.passes, t.lft from b join t using (src)),
+g0 as (select src, max(lft) - coalesce(max(case when before + size <= lft then before + size end), 0) gap from j group by src),
+z as (select src, size, arg_min(before, struct_pack(a := "key", b := before)) before from j where before + size > lft and size > 0 group by src, size),
+zi as (select *, row_number() over (partition by src order by size desc) i from z),
+g as (select src, 0::bigint i, gap::double gap, null::bigint pk from g0 union all
+  select g.src, zi.i, case when zi.size <= gap then gap - zi.size else gap end, case when zi.size <= gap then zi.before end from g join zi on zi.src = g.src and zi.i = g.i + 1),
+ge as (select src, min(gap) gap from g group by src),
+ov as (select z.src, arg_min(z.before, z.size) pk, min(z.size) size, any_value(gap) gap from z join ge using (src) where z.size > gap and not exists (select 1 from g where g.src = z.src and g.pk = z.before) group by z.src),
+pk as (select src, pk from g where pk is not null union all select src, pk from ov where size < 2 * gap),
+q as (select j.*, pk.pk from j left join pk on pk.src = j.src and pk.pk = j.before and j.size > 0),
+p as (select q.*, len(list_filter([{copies}], lambda x: x is not null)) n from q)
 select doc_id, size, source_size, target, (n * size)::bigint taken,
   case when n > 0 then round(case {place} end, 9) end "position" from p"""
 
@@ -51,7 +61,7 @@ w as (select rid, unnest(ws) w, generate_subscripts(ws, 1) i from (select rid, r
 x as (select rid, i, w, lead(w, 1) over o w1, lead(w, 2) over o w2 from w window o as (partition by rid order by i)),
 g as (select rid, i, count(*) over (partition by rid, w, w1, w2) c from x where w2 is not null),
 r as (select rid, count(distinct i + k)::bigint n from g, (values (0), (1), (2)) o(k) where c > 1 group by rid),
-a as (select rid, count(*)::bigint n_words, sum(length(w))::bigint word_chars, max(strlen(w)) max_word_chars from w group by rid),
+a as (select rid, count(*)::bigint n_words, sum(length(w))::bigint word_chars, max(length(w)) max_word_chars from w group by rid),
 l as (select rid, unnest(string_split(t, chr(10))) x from d),
 b as (select rid, count(*)::bigint n_lines, (count(*) - count(distinct x))::bigint n_dup_lines from l where regexp_matches(x, '[^\x20\x09-\x0D]') group by rid),
 m as (select d.doc_id, coalesce(a.n_words, 0) n_words, coalesce(a.word_chars, 0) word_chars,
