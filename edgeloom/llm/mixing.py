@@ -5,7 +5,7 @@
    its source.
 3. Every source is read pass by pass in hashed order, so a document is taken 0 to
    ``max_repeat`` times.  The last pass takes what lies before the target as a whole, and
-   what is missing is filled by later documents, the largest that fit first.
+   what is missing is filled by later documents, as many of the largest that fit first.
 4. Each source has a schedule of relative weights over training time.  Its integral is
    the cumulative demand; inverting it at the place of a copy gives the copy's training
    position, and a range sort by position gives the training order.
@@ -68,25 +68,42 @@ def source_targets(sizes: DataFrame, weights: Sequence[int], max_repeat: int) ->
 
 
 def fill_border(placed: DataFrame) -> DataFrame:
-    """(src, picks): which documents of each source fill its last pass, by the words before them.
-
-    ``placed`` is (src, key, size, before, left), ``left`` the words that the last pass lacks.  Its first documents
-    up to that fit as they come.  Of the others only one of each size matters, the first by key: sizes are
-    gone through from the largest, and each that fits is taken.  At last the smallest of those that are too large
-    is taken if the source is nearer its target with it.
+    """(src, picks): which later documents of each source fill its last pass, as an array of (size, key, before): of
+    each of these sizes all documents up to that place in the order of (key, before), or all where it is null.
+
+    ``placed`` is (src, slice, key, size, before, left), ``left`` the words that the last pass lacks.  Its first
+    documents up to that fit as they come.  The others are counted by size, and sizes are gone through from the largest:
+    of each, as many are taken as fit.  At last one more of the smallest size that is left, which is too large, is taken
+    if the source is nearer its target with it.  A source's picks have fewer different sizes than the root of twice
+    the size of its largest document, as they add up to less than that.
     """
     fits = F.col("before") + F.col("size") <= F.col("left")
     gaps = placed.groupBy("src").agg((F.max("left") - F.coalesce(F.max(F.when(fits, F.col("before") + F.col("size"))), F.lit(0))).alias("gap"))
-    one = placed.filter(~fits & (F.col("size") > 0)).groupBy("src", "size").agg(F.min(F.struct("key", "before")).alias("x"))
-    sizes = one.groupBy("src").agg(F.sort_array(F.collect_list(F.struct("size", "x.before")), asc=False).alias("sizes"))  # as many as there are different sizes
-    none = F.array().cast("array<struct<size:bigint,before:bigint>>")
-    take = lambda acc, x: F.when(x["size"] <= acc["gap"], F.struct((acc["gap"] - x["size"]).alias("gap"), F.array_append(acc["picks"], x).alias("picks"))).otherwise(acc)
-    found = gaps.join(sizes, "src").withColumn("done", F.aggregate("sizes", F.struct(F.col("gap").cast("double").alias("gap"), none.alias("picks")), take))
-    over = F.filter("sizes", lambda x: (x["size"] > F.col("done.gap")) & ~F.array_contains(F.col("done.picks"), x))
-    least = F.get(over, F.size(over) - 1)
-    nearer = least.isNotNull() & (least["size"] < 2 * F.col("done.gap"))
-    picks = F.when(nearer, F.array_append("done.picks", least)).otherwise(F.col("done.picks"))
-    return found.select("src", F.transform(picks, lambda x: x["before"]).alias("picks"))
+    later = materialize(placed.filter(~fits & (F.col("size") > 0)).drop("left"), "mix-later")
+    counted = later.groupBy("src", "size").agg(F.count("*").alias("n"))
+    sizes = counted.groupBy("src").agg(F.sort_array(F.collect_list(F.struct("size", "n")), asc=False).alias("sizes"))  # as many as there are different sizes
+    none = F.array().cast("array<struct<size:bigint,n:bigint,m:bigint>>")
+
+    def take(acc: Column, x: Column) -> Column:
+        m = F.least(x["n"], F.floor(acc["gap"] / x["size"]).cast("long"))
+        one = F.struct(x["size"].alias("size"), x["n"].alias("n"), m.alias("m"))
+        return F.struct((acc["gap"] - (m * x["size"]).cast("double")).alias("gap"), F.array_append(acc["all"], one).alias("all"))
+
+    found = gaps.join(sizes, "src").withColumn("done", F.aggregate("sizes", F.struct(F.col("gap").cast("double").alias("gap"), none.alias("all")), take))
+    over = F.filter("done.all", lambda x: x["m"] < x["n"])
+    least = F.get(over, F.size(over) - 1)["size"]
+    more = lambda x: F.when((x["size"] == least) & (least < 2 * F.col("done.gap")), x["m"] + 1).otherwise(x["m"])
+    taken = found.select("src", F.explode(F.transform("done.all", lambda x: F.struct(x["size"].alias("size"), x["n"].alias("n"), more(x).alias("m")))).alias("x")).select("src", "x.*").filter("m > 0")
+    taken = materialize(taken, "mix-taken")
+
+    part = later.join(taken.filter("m < n").drop("n"), ["src", "size"])
+    slices = part.groupBy("src", "size", "slice").agg(F.count("*").alias("c"))
+    base = F.sum("c").over(W.partitionBy("src", "size").orderBy("slice").rowsBetween(W.unboundedPreceding, -1))
+    slices = slices.select("src", "size", "slice", F.coalesce(base, F.lit(0)).alias("base"))
+    inside = F.row_number().over(W.partitionBy("src", "size", "slice").orderBy("key", "before"))
+    ends = part.withColumn("inside", inside).join(slices, ["src", "size", "slice"]).filter(F.col("base") + F.col("inside") == F.col("m")).select("src", "size", "key", "before")
+    whole = taken.filter("m = n").select("src", "size", F.lit(None).cast("string").alias("key"), F.lit(None).cast("long").alias("before"))
+    return ends.unionByName(whole).groupBy("src").agg(F.collect_list(F.struct("size", "key", "before")).alias("picks"))
 
 
 def plan_mix(
@@ -131,13 +148,15 @@ def plan_mix(
         out = rows.withColumn("before", F.coalesce(F.sum("size").over(inside), F.lit(0)))
         return out.join(about, ["src", "slice"]).withColumn("before", F.col("before") + F.col("base"))
 
-    picks = fill_border(placed(sized.select("src", "slice", "key", "size"), slices).select("src", "key", "size", "before", "left"))
+    picks = fill_border(placed(sized.select("src", "slice", "key", "size"), slices).select("src", "slice", "key", "size", "before", "left"))
     out = placed(sized, slices.join(picks, "src", "left"))
 
     # Copy k of a document lies at k * source_size + before.
     start = [F.col("before") + F.col("source_size") * k for k in range(max_repeat)]
     share = [F.when(F.col("target") > 0, F.least(s / F.col("target"), F.lit(1.0))) for s in start]
-    border = (F.col("before") + F.col("size") <= F.col("left")) | F.coalesce(F.array_contains("picks", F.col("before")), F.lit(False))
+    here = F.struct("key", "before")
+    picked = F.exists("picks", lambda x: (x["size"] == F.col("size")) & (x["key"].isNull() | (here <= F.struct(x["key"].alias("key"), x["before"].alias("before")))))
+    border = (F.col("before") + F.col("size") <= F.col("left")) | F.coalesce(picked, F.lit(False))
     taken = [(F.col("size") > 0) & ((F.col("passes") > k) | ((F.col("passes") == k) & border)) for k in range(max_repeat)]
     place = []
     for q in share:

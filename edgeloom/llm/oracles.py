@@ -37,13 +37,13 @@ t as (select *, case when source_size > 0 then floor(target / source_size)::bigi
 b as (select k.*, coalesce(sum(size) over (partition by src order by "key", size rows between unbounded preceding and 1 preceding), 0)::bigint before from k),
 j as (select b.*, t.source_size, t.target, t.src_no, t.passes, t.lft from b join t using (src)),
 g0 as (select src, max(lft) - coalesce(max(case when before + size <= lft then before + size end), 0) gap from j group by src),
-z as (select src, size, arg_min(before, struct_pack(a := "key", b := before)) before from j where before + size > lft and size > 0 group by src, size),
-zi as (select *, row_number() over (partition by src order by size desc) i from z),
-g as (select src, 0::bigint i, gap::double gap, null::bigint pk from g0 union all
-  select g.src, zi.i, case when zi.size <= gap then gap - zi.size else gap end, case when zi.size <= gap then zi.before end from g join zi on zi.src = g.src and zi.i = g.i + 1),
-ge as (select src, min(gap) gap from g group by src),
-ov as (select z.src, arg_min(z.before, z.size) pk, min(z.size) size, any_value(gap) gap from z join ge using (src) where z.size > gap and not exists (select 1 from g where g.src = z.src and g.pk = z.before) group by z.src),
-pk as (select src, pk from g where pk is not null union all select src, pk from ov where size < 2 * gap),
+zr as (select src, size, before, row_number() over (partition by src, size order by "key", before) r from j where before + size > lft and size > 0),
+zi as (select src, size, max(r) n, row_number() over (partition by src order by size desc) i from zr group by src, size),
+g as (select src, 0::bigint i, gap::double gap, 0::bigint size, 0::bigint n, 0::bigint m from g0 union all
+  select g.src, zi.i, gap - (least(zi.n, floor(gap / zi.size)::bigint) * zi.size)::double, zi.size, zi.n, least(zi.n, floor(gap / zi.size)::bigint) from g join zi on zi.src = g.src and zi.i = g.i + 1),
+ge as (select src, arg_max(gap, i) gap, min(case when m < n then size end) least from g group by src),
+tk as (select g.src, g.size, m + (g.size = least and least < 2 * ge.gap)::int m from g join ge using (src) where g.i > 0),
+pk as (select zr.src, before pk from zr join tk on tk.src = zr.src and tk.size = zr.size where r <= coalesce(m, 0)),
 q as (select j.*, pk.pk from j left join pk on pk.src = j.src and pk.pk = j.before and j.size > 0),
 p as (select q.*, len(list_filter([{copies}], lambda x: x is not null)) n from q)
 select doc_id, size, source_size, target, (n * size)::bigint taken,
