@@ -36,7 +36,7 @@ def oracle_rows(sf_dir: str, sql: str) -> tuple[list[str], Counter]:
         db.execute("set timezone = 'UTC'")
         for t in TABLES:
             if os.path.exists(f"{sf_dir}/{t}.parquet"):
-                db.execute(f"create view {t} as select * from read_parquet('{sf_dir}/{t}.parquet{'/*' if os.path.isdir(f'{sf_dir}/{t}.parquet') else ''}')")
+                db.execute(f"create view {t} as select * from read_parquet('{sf_dir}/{t}.parquet{'/*.parquet' if os.path.isdir(f'{sf_dir}/{t}.parquet') else ''}')")
         found = db.execute(sql)
         columns = [d[0] for d in found.description]
         return sorted(columns), rows_of(columns, found.fetchall())
