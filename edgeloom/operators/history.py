@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -171,6 +171,24 @@ def biased_sample(edges: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
     return touching.join(F.broadcast(share)).filter(F.pmod(F.col("seq") * 7919, F.lit(1_000_003)) < F.col("share") * 1_000_003).select(edges.columns)
 
 
+def slots(edges: DataFrame, k: int) -> DataFrame:
+    """(seq, slot, u, v): each interaction's peer ``u`` and the node ``v`` in each slot, oldest first from 1, of its source's last ``k``."""
+    h = last_k(edges, k).select(F.col("node").alias("s"), "seq", F.col("hist.nbr").alias("nb")).distinct()
+    rows = edges.select("seq", F.col("u").alias("s"), F.col("v").alias("u")).join(h, ["s", "seq"]).select("seq", "u", F.posexplode("nb").alias("slot", "v"))
+    return rows.select("seq", (F.col("slot") + 1).alias("slot"), "u", "v")
+
+
+def slot_features(edges: DataFrame, k: int, provider: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(seq, slot, features): what ``provider`` says of each slot's pair.
+
+    The provider maps the distinct pairs (u, v) of all slots to one row of features for each; pairs that it leaves out
+    have null features.
+    """
+    held = cut(slots(edges, k))
+    found = provider(held.select("u", "v").distinct())
+    return held.join(found, ["u", "v"], "left").drop("u", "v")
+
+
 def pad_left(values: Column, k: int) -> Column:
     """Right-aligned in ``k`` places, zeros in front."""
     return F.concat(F.array_repeat(F.lit(0).cast("long"), F.greatest(F.lit(0), F.lit(k) - F.size(values))), values)

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,3 +40,58 @@ def link_scores(edges: DataFrame, features: tuple[str, ...] = FEATURES) -> DataF
     for i, w in enumerate(model.coefficients):
         z = z + F.lit(float(w)) * F.get("x", F.lit(i))
     return found.filter("split = 'test'").select("seq", "u", "v", F.col("label").cast("int").alias("label"), (1.0 / (1.0 + F.exp(-z))).alias("score"))
+
+
+NODE_STRUCTURE = ("degree", "triangles", "clustering")
+NODE_ACTIVITY = ("count", "mean", "std")
+FUSIONS = ("concat", "additive")
+
+
+def node_blocks(train: DataFrame, fusion: str) -> DataFrame:
+    """(node, h): standardised structure and activity of the training graph's nodes, side by side or, for ``additive``, added up."""
+    if fusion not in FUSIONS:
+        raise ValueError(f"unknown fusion {fusion}: one of {FUSIONS}")
+    ab = G.cut(G.pairs(train))
+    structure = G.degree(ab).join(G.triangle_count(ab), "node").join(G.clustering(ab), "node").select("node", F.log1p("degree").alias("degree"), F.log1p("triangles").alias("triangles"), "clustering")
+    ends = train.select(F.explode(F.array("u", "v")).alias("node"), "w")
+    activity = ends.groupBy("node").agg(F.log1p(F.count("*")).alias("count"), F.avg("w").alias("mean"), F.coalesce(F.stddev_pop("w"), F.lit(0.0)).alias("std"))
+    rows = G.cut(activity.join(structure, "node", "left").fillna(0.0))
+    names = [*NODE_STRUCTURE, *NODE_ACTIVITY]
+    m = rows.agg(*[f(c).alias(f"{n}_{c}") for c in names for n, f in (("mean", F.avg), ("std", F.stddev_pop))]).first()
+    scaled = [(F.col(c) - F.lit(m[f"mean_{c}"] or 0.0)) / F.lit(m[f"std_{c}"] or 1.0) for c in names]
+    h = scaled if fusion == "concat" else [a + b for a, b in zip(scaled[:3], scaled[3:])]
+    return rows.select("node", F.array(*h).alias("h"))
+
+
+def perceptron_scores(edges: DataFrame, fusion: str = "concat", hidden: tuple[int, ...] = (16,), negatives: int = 20, seed: int = 3, model=None, features: tuple[str, ...] = FEATURES) -> DataFrame:
+    """(qid, u, v, is_pos, score): test edges and ``negatives`` drawn destinations each, by a multilayer perceptron.
+
+    Its inputs are both ends' fused blocks and the pair features on the training graph; it is fitted on at most about
+    ``FIT_ROWS`` validation edges with a drawn destination each.  ``model`` is another classifier of pyspark.ml to fit
+    instead.  Nodes that training never saw have zeros.
+    """
+    e = S.quantile_split(edges)
+    train = e.filter("split = 'train'")
+    pool = N.pool(e.select(F.col("v").alias("value")))
+
+    def with_drawn(split: str, n: int) -> DataFrame:
+        true = e.filter(F.col("split") == split).select(F.col("seq").alias("qid"), "u", "v")
+        drawn = N.draw(true.select("qid", "u"), pool, F.col("qid"), n).select("qid", "u", F.col("neg").alias("v"))
+        return true.withColumn("is_pos", F.lit(1)).union(drawn.withColumn("is_pos", F.lit(0))).withColumn("part", F.lit(split))
+
+    rows = G.cut(with_drawn("val", 1).union(with_drawn("test", negatives)))
+    ab = G.cut(G.pairs(train))
+    pairs = P.pair_features(rows, ab, G.degree(ab).select("node", F.log1p(F.col("degree").cast("double")).alias("x"))).select("u", "v", F.array(*[F.log1p(F.abs(c)) for c in features]).alias("p"))
+    blocks = G.cut(node_blocks(train, fusion))
+    width = 6 if fusion == "concat" else 3
+    zeros = F.array_repeat(F.lit(0.0), width)
+    found = rows.join(pairs, ["u", "v"])
+    for side in ("u", "v"):
+        found = found.join(blocks.select(F.col("node").alias(side), F.col("h").alias(f"h{side}")), side, "left")
+    found = G.cut(found.select("qid", "u", "v", "is_pos", "part", array_to_vector(F.concat(F.coalesce("hu", zeros), F.coalesce("hv", zeros), "p")).alias("features")))
+    val = found.filter("part = 'val'")
+    share = F.lit(FIT_ROWS) / F.greatest(F.lit(1), F.lit(val.count()))
+    sample = val.filter(F.pmod(F.xxhash64("qid", "v"), F.lit(1_000_000)) < share * 1_000_000).select("features", F.col("is_pos").cast("double").alias("label"))
+    learner = model or MultilayerPerceptronClassifier(layers=[2 * width + len(features), *hidden, 2], maxIter=80, seed=seed, blockSize=256)
+    scored = learner.fit(G.cut(sample)).transform(found.filter("part = 'test'"))
+    return scored.select("qid", "u", "v", "is_pos", F.get(vector_to_array("probability"), F.lit(1)).alias("score"))

@@ -327,6 +327,30 @@ def indicator_snapshot(spark, sf_dir: str) -> DataFrame:
     return I.snapshot(G.cut(G.pairs(E.uni(spark, sf_dir))), I.for_size(5_000_000)[:3])
 
 
+NAMES = ("degree", "triangle", "clustering")
+CC = "case when degree < 2 then 0 else 2.0 * triangles / (degree * (degree - 1)) end"
+
+
+@query(with_("uni", FIRST, TICKS) + f""", dg as (select node, n0, row_number() over (partition by node order by n0) x from (select unnest([a, b]) node, n0 from fe)),
+h as (select node, n0, count(*) c from (select unnest([x, y, z]) node, n0 from tg) group by all)
+select 'degree' "indicator", node, n0 n, x::double "value" from dg union all select 'triangle', node, n0, (sum(c) over (partition by node order by n0))::double from h
+union all select 'clustering', node, n0, round({CC}, 6) from tk""")
+def indicator_traces(spark, sf_dir: str) -> DataFrame:
+    """Traces of three indicators by name, in one table."""
+    return I.traces(G.first_edges(E.uni(spark, sf_dir)), list(NAMES)).withColumn("value", F.round("value", 6))
+
+
+@query(with_("uni", FIRST, recursive=True) + """, tk as (select node, n0 n, row_number() over (partition by node order by n0)::double x, row_number() over (partition by node order by n0) i from (select unnest([a, b]) node, n0 from fe)),
+f as (select node, n, i, x, x ema, 0::double mc from tk where i = 1 union all select t.node, t.n, t.i, t.x, 0.95::double * ema + (1 - 0.95::double) * t.x, greatest(0.95::double * mc, abs(t.x - f.x)) from f join tk t on t.node = f.node and t.i = f.i + 1)
+select q.n0 n, q.node, round(coalesce(ema, 0), 6) degree_ema, round(coalesce(mc, 0), 6) degree_max_change from (select unnest([a, b]) node, n0 from fe) q asof left join f on f.node = q.node and q.n0 > f.n""")
+def indicator_features_asof(spark, sf_dir: str) -> DataFrame:
+    """Rolling statistics of an indicator's trace before each new edge, for both of its ends."""
+    first = G.first_edges(E.uni(spark, sf_dir))
+    asked = first.select(F.explode(F.array("a", "b")).alias("node"), F.col("n0").alias("n"))
+    out = I.features_as_of(asked, first, ["degree"], ["ema", "max_change"])
+    return out.select("n", "node", *[F.round(f"degree_{c}", 6).alias(f"degree_{c}") for c in ("ema", "max_change")])
+
+
 # -- pair features ----------------------------------------------------------------------
 
 PAIRS = f"""{SNAP}, {ADJ}, {DEG}, {ASKED}, near as (select u, v, m w from ask join adj on n = v where m <> u),

@@ -204,6 +204,21 @@ def slot_fast(spark, sf_dir: str) -> DataFrame:
     return out.select("seq", (F.col("slot") + 1).alias("slot"), log("cn").alias("cn"), log("cs").alias("cn_core"), F.coalesce("direct", F.lit(0)).alias("direct"), *[F.when(F.col("known"), log(c)).otherwise(0.0).alias(n) for c, n in (("degree", "deg"), ("core", "core"))], log("cn").alias("cn2_proxy"))
 
 
+@query(with_("uni", SNAP, ADJ, DEG, INTER, LAST.format(k=5)) + """, sl as (select e.seq, v u, unnest(nb) v, generate_subscripts(nb, 1) slot from e join h on h.node = e.u and h.seq = e.seq),
+pr as (select distinct u, v from sl), c as (select pr.u, pr.v, count(*) common from pr join adj a on a.n = pr.u join adj b on b.n = pr.v and b.m = a.m group by pr.u, pr.v)
+select seq, slot::int slot, common from sl left join c using (u, v)""")
+def slot_provider(spark, sf_dir: str) -> DataFrame:
+    """A feature of every slot's pair by a function given from outside: common neighbours, null for none."""
+    e = E.uni(spark, sf_dir)
+    ab = G.cut(G.pairs(e))
+
+    def common(pairs: DataFrame) -> DataFrame:
+        words = B.pair_words(pairs, ab, second=False)
+        return words.groupBy("u", "v").agg(F.sum(F.bit_count(F.col("near").bitwiseAND(F.col("one")))).alias("common")).filter("common > 0")
+
+    return H.slot_features(e, 5, common)
+
+
 SLOTTED = f"{INTER}, {LAST.format(k=5)}, sl as (select e.seq, v peer, unnest(nb) n, generate_subscripts(nb, 1) slot from e join h on h.node = u and h.seq = e.seq), ask as (select distinct peer u, n v from sl)"
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import metrics as M
 from ..operators import predictor
 from ..operators.kept import KeptGraph
 from ..session import shared_folder
@@ -53,3 +54,14 @@ def stream_window_graph(spark, sf_dir: str) -> DataFrame:
 def link_predictor(spark, sf_dir: str) -> DataFrame:
     """Probabilities of test edges and of as many drawn ones, from features of the training graph."""
     return predictor.link_scores(E.bip(spark, sf_dir))
+
+
+@query()
+def link_perceptron(spark, sf_dir: str) -> DataFrame:
+    """Mean reciprocal rank and hits at ten of test edges among twenty drawn ones, by a perceptron with either fusion."""
+    out = None
+    for fusion in predictor.FUSIONS:
+        scored = predictor.perceptron_scores(E.bip(spark, sf_dir), fusion)
+        one = M.mrr_hits(scored.select("qid", "is_pos", "score")).withColumn("fusion", F.lit(fusion))
+        out = one if out is None else out.union(one)
+    return out

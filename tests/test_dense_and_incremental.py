@@ -10,6 +10,7 @@ from edgeloom.operators import blocks as B
 from edgeloom.operators import cadence as C
 from edgeloom.operators import graph as G
 from edgeloom.operators import history as H
+from edgeloom.operators import indicators as I
 from edgeloom.operators import negatives as N
 from edgeloom.operators import predictor
 from edgeloom.sources import files as L
@@ -171,3 +172,37 @@ def test_a_model_fits_and_scores_after_graph_iterations(spark):
     assert G.k_core(G.pairs(e)).count() > 0 and G.k_truss(G.pairs(e)).count() > 0
     scored = predictor.link_scores(e).collect()
     assert scored and all(0 <= r.score <= 1 for r in scored)
+
+
+@pytest.mark.parametrize("fusion", predictor.FUSIONS)
+def test_a_perceptron_beats_a_line_on_a_planted_graph(spark, fusion):
+    """Ends of equal kind, high or low in what their events weigh, are linked: no weighted sum of both ends tells that."""
+    from pyspark.ml.classification import LogisticRegression
+
+    from edgeloom.operators import metrics as M
+
+    draw = random.Random(8)
+    rows = []
+    for t in range(1, 3001):
+        kind, other = draw.random() < 0.5, draw.random() < 0.05
+        u, v = 2 * draw.randrange(20) + kind, 1000 + 2 * draw.randrange(20) + (kind != other)
+        rows.append((t, u, v, t, 3.0 * kind + draw.random()))
+    e = spark.createDataFrame(rows, "seq long, u long, v long, t long, w double")
+    mrr = lambda scored: M.mrr_hits(scored.select("qid", "is_pos", "score")).first().mrr
+    bent = mrr(predictor.perceptron_scores(e, fusion, negatives=8, features=("pa",)))
+    straight = mrr(predictor.perceptron_scores(e, fusion, negatives=8, features=("pa",), model=LogisticRegression(regParam=1e-4)))
+    print(fusion, bent, straight)
+    assert bent > straight + 0.05, (bent, straight)
+
+
+def test_an_indicator_of_ones_own(spark):
+    """Snapshot and trace of a new indicator reach tables, statistics and features without edits."""
+    twice = I.Indicator("twice", lambda ab: G.degree(ab).select("node", (F.col("degree") * 2.0).alias("value")), lambda first: G.degree_trace(first).select("node", F.col("n0").alias("n"), (F.col("degree") * 2.0).alias("value")))
+    first = G.first_edges(edges(spark, [(0, 1), (1, 2), (2, 0), (0, 3)]))
+    both = {(r.indicator, r.node, r.n): r.value for r in I.traces(first, ["degree", twice]).collect()}
+    assert all(both["twice", node, n] == 2 * x for (name, node, n), x in both.items() if name == "degree")
+    asked = spark.createDataFrame([(0, 4), (0, 5), (9, 5)], "node long, n long")
+    got = {(r.node, r.n): (r.twice_current, r.twice_delta) for r in I.features_as_of(asked, first, [twice]).collect()}
+    assert got == {(0, 4): (4.0, 2.0), (0, 5): (6.0, 2.0), (9, 5): (0.0, 0.0)}
+    with pytest.raises(ValueError, match="no trace"):
+        I.traces(first, [I.Indicator("bare", G.degree)])

@@ -31,7 +31,7 @@ def test_link_predictor_tells_edges_from_drawn_pairs(spark):
     auc = M.roc_auc(got.select(F.lit(0).alias("grp"), "score", F.col("label").alias("is_pos"))).first().auc
     print("held-out AUC", auc)
     assert auc > 0.5
-    assert set(QUERIES) - set(ORACLES) == {"link_predictor", "truss_cadence_asof"}
+    assert set(QUERIES) - set(ORACLES) == {"link_predictor", "link_perceptron", "truss_cadence_asof"}
 
 
 def test_truss_cadence_by_peeling(spark, sf_dir):
