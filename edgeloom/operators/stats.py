@@ -74,5 +74,5 @@ def study(results: DataFrame) -> DataFrame:
     """(indicator, kind, mean, best): discriminability of features named <indicator>_<statistic>, by indicator and
     whether the statistic is the current value (static) or a rolling one (dynamic)."""
     name = F.substring_index("feature", "_", 1)
-    kind = F.when(F.substring_index("feature", "_", -1) == "current", "static").otherwise("dynamic")
+    kind = F.when(F.col("feature").endswith("_current"), "static").otherwise("dynamic")
     return results.groupBy(name.alias("indicator"), kind.alias("kind")).agg(F.avg("disc_auc").alias("mean"), F.max("disc_auc").alias("best"))

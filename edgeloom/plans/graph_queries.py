@@ -74,6 +74,16 @@ def split_inductive(spark, sf_dir: str) -> DataFrame:
     return S.inductive_split(S.quantile_split(E.bip(spark, sf_dir)))
 
 
+@query(with_("bip", SPLIT) + """, n as (select distinct x from (select u x from sp where split <> 'train' union all select v from sp where split <> 'train')),
+allx as (select distinct x from (select u x from e union all select v from e)),
+c as (select x from n order by (x * 7919) % 100003, x limit (select count(*) // 10 from allx)),
+h as (select *, u in (select x from c) or v in (select x from c) held from sp), known as (select u x from h where split = 'train' and not held union select v from h where split = 'train' and not held)
+select seq, split, case when split = 'train' then case when held then 'left_out' else 'kept' end when u not in (select x from known) or v not in (select x from known) then 'new' else 'known' end as \"role\" from h""")
+def split_inductive_rows(spark, sf_dir: str) -> DataFrame:
+    """Every edge with its role when a tenth of the nodes are held out of training."""
+    return S.inductive_rows(S.quantile_split(E.bip(spark, sf_dir))).select("seq", "split", "role")
+
+
 @query(with_("bip", SPLIT) + "select seq, u, v from sp where split <> 'train' and not exists (select 1 from sp s where s.split = 'train' and s.u = sp.u and s.v = sp.v)")
 def new_edges_split(spark, sf_dir: str) -> DataFrame:
     rows = S.quantile_split(E.bip(spark, sf_dir))

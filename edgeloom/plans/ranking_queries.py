@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..operators import blocks as B
 from ..operators import decoder as D
 from ..operators import graph as G
+from ..operators import indicators as I
 from ..operators import metrics as M
 from ..operators import negatives as N
 from ..operators import pairwise as P
@@ -17,7 +18,7 @@ from ..operators import splits as S
 from ..operators import stats as T
 from ..sources import edges as E
 from .graph_queries import CORE, PAIRS, SPLIT
-from .registry import ADJ, DEG, SNAP, query, with_
+from .registry import ADJ, DEG, FIRST, SNAP, query, with_
 
 # -- discriminability study -------------------------------------------------------------
 
@@ -57,6 +58,30 @@ def discauc(spark, sf_dir: str) -> DataFrame:
     return out.select("feature", F.round("auc", 6).alias("auc"), F.round("disc_auc", 6).alias("disc_auc"))
 
 
+TRAINED = f"""{SPLIT}, nodes as (select x neg, row_number() over (order by x) - 1 place from (select distinct v x from e)),
+val as (select seq, u, v, neg from sp join nodes on place = (seq * 7919) % (select count(*) from nodes) where split = 'val'), e2 as (select * from sp where split = 'train'), {FIRST.replace(" from e where", " from e2 where")},
+tk as (select node, n0 n, row_number() over (partition by node order by n0) i, row_number() over (partition by node order by n0)::double x from (select unnest([a, b]) node, n0 from fe)),
+f as (select node, n, i, x, x ema, 0::double dl, 0::double mc from tk where i = 1 union all
+  select t.node, t.n, t.i, t.x, 0.95::double * ema + (1 - 0.95::double) * t.x, t.x - f.x, greatest(0.95::double * mc, abs(t.x - f.x)) from f join tk t on t.node = f.node and t.i = f.i + 1),
+st as (select node, arg_max(x, n) x, arg_max(ema, n) ema, arg_max(mc, n) mc from f group by node),
+pn as (select coalesce(p.x, 0) px, coalesce(n.x, 0) nx, coalesce(p.ema, 0) pe, coalesce(n.ema, 0) ne, coalesce(p.mc, 0) pm, coalesce(n.mc, 0) nm from val left join st p on p.node = val.v left join st n on n.node = val.neg),
+r as (select 'static' kind, {_win("px", "nx")} auc from pn union all select 'dynamic', {_win("pe", "ne")} from pn union all select 'dynamic', {_win("pm", "nm")} from pn)"""
+
+
+@query(with_("bip", TRAINED, recursive=True) + " select 'degree' \"indicator\", kind, round(avg(greatest(auc, 1 - auc)), 6) \"mean\", round(max(greatest(auc, 1 - auc)), 6) best from r group by kind")
+def indicator_study(spark, sf_dir: str) -> DataFrame:
+    """How well the destination's degree, as it is and over time, tells validation edges from drawn ones."""
+    e = S.quantile_split(E.bip(spark, sf_dir))
+    val = N.draw(e.filter("split = 'val'").select("seq", "u", "v"), N.pool(e.select(F.col("v").alias("value"))), F.col("seq"), 1)
+    stats = R.rolling(I.REGISTRY["degree"].trace(G.first_edges(e.filter("split = 'train'"))))
+    names = ["degree_current", "degree_ema", "degree_max_change"]
+    last = stats.groupBy("node").agg(F.max_by(F.struct(*[F.col(n.removeprefix("degree_")).alias(n) for n in names]), "n").alias("s"))
+    for side, key in (("pos", "v"), ("neg", "neg")):
+        val = val.join(last.select(F.col("node").alias(key), *[F.col(f"s.{n}").alias(f"{side}_{n}") for n in names]), key, "left")
+    found = T.study(M.disc_auc(val.fillna(0.0), names))
+    return found.select("indicator", "kind", F.round("mean", 6).alias("mean"), F.round("best", 6).alias("best"))
+
+
 # -- metrics over scored candidates ------------------------------------------------------
 # A query is a test edge with its true item and 20 drawn ones; the score is how often training had the pair.
 

@@ -10,7 +10,6 @@ ORDERED = "row_number() over (order by t, eid) seq"
 GRAPHS = {
     "bip": f"{EVENTS}, e as (select {ORDERED}, eid, u, 1000000 + k v, t, w from ev)",
     "uni": f"{EVENTS}, e as (select {ORDERED}, eid, u, k v, t, w from ev)",
-    "uni_purchase": f"{EVENTS}, e as (select {ORDERED}, eid, u, k v, t, w from ev where event_type = 'purchase')",
     "trade": """tr as (select epoch_us(o_orderdate) t, * from orders join lineitem on o_orderkey = l_orderkey),
 e as (select row_number() over (order by t, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_discount) seq,
   l_orderkey eid, o_custkey u, 10000000 + l_partkey v, t, l_extendedprice w from tr)""",

@@ -46,10 +46,6 @@ def uni(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _stream(events(spark, sf_dir).withColumn("v", F.col("k")))
 
 
-def uni_purchase(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _stream(events(spark, sf_dir).filter("event_type = 'purchase'").withColumn("v", F.col("k")))
-
-
 def trade(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers and parts of their orders; many tied dates, broken by the row's content."""
     o = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey", "o_orderdate")

@@ -231,3 +231,15 @@ def test_streams_go_on_after_a_restart_and_drop_late_rows(spark, tmp_path):
     assert second["rolling"][7,].n == 3 and second["rolling"][7,].ema == pytest.approx(0.95 * (0.95 * 2 + 0.05 * 4) + 0.05 * 4)
     assert sum(r.n for r in second["counts"].values()) == 4
     assert second["window"][7, 1].state == "in" and second["window"][7, 1].n == 2 and second["window"][8, 1].state == "out"
+
+
+def test_state_is_read_back_as_of_each_micro_batch(spark, tmp_path):
+    sf, folder = f"file://{tmp_path}", f"file://{tmp_path}/job"
+    path = f"{sf}/events.parquet"
+    arrivals = [[(1, 7, 0, 2.0), (2, 8, 1, 5.0)], [(3, 7, 2, 4.0), (4, 9, 3, 1.0)]]
+    for rows in arrivals:
+        _write_events(spark, path, rows)
+        J.drain(J.edge_memory(J.read_events(spark, sf)), ["u", "k"], folder)
+    counts = lambda version: {r.u: r.n for r in J.read_state(spark, folder, version).select("key.u", F.col("value.count").alias("n")).collect()}
+    assert counts(0) == {7: 1, 8: 1}
+    assert counts(1) == counts(None) == {7: 2, 8: 1, 9: 1}
