@@ -1,10 +1,11 @@
-"""Quotes, borders of mixes and words of other alphabets against SQL and plain sums, on tables made for them."""
+"""Quotes, borders of mixes, words of other alphabets and both forms of language models, on tables made for them."""
 
 import random
 
+import pandas as pd
 import pytest
 
-from edgeloom.llm import mixing, queries
+from edgeloom.llm import language_id, mixing, queries
 
 from ..compare import check
 
@@ -78,3 +79,36 @@ def test_each_source_is_near_its_target(spark, heavy):
 
 def test_a_mix_of_unequal_documents_is_that_of_sql(spark, heavy):
     assert check(spark, queries.queries()["op9_curriculum_mix"], ORACLES["op9_curriculum_mix"], str(heavy)) == 873
+
+
+def test_language_by_joins_equals_the_local_model(spark, monkeypatch):
+    """A model too large to broadcast: the same verdicts on odd, repeated and very long rows, and on foreign columns."""
+    rng = random.Random(9)
+    text = lambda a, n: " ".join("".join(rng.choice(a) for _ in range(rng.randrange(1, 9))) for _ in range(n))
+    rows = [(i, text("aeiouß" if i % 2 else "bcdfgжя", 40), "v" if i % 2 else "c", "x") for i in range(60)]
+    rows += [(100, None, "v", "x"), (101, "", "c", "x"), (102, "12 +", None, "x"), (None, text("aeiou", 9), None, None), (103, text("ÆØÅþ", 30), None, "x")]
+    rows += [(104, text("bcdfg", 60_000), None, "x")] + [(105, "aeiou iou", None, "x")] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, nr string")
+    columns = ("row", "held_out", "lang_pred", "score", "entropy", "accepted")
+
+    def found(cells, df=docs):
+        monkeypatch.setattr(language_id, "MODEL_CELLS", cells)
+        got = [tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in language_id.identify(df).select(*columns).collect()]
+        return sorted(got, key=repr)
+
+    local, joined = found(16_000_000), found(0)
+    assert len(local) == len(rows) and [repr(r) for r in joined] == [repr(r) for r in local]
+    assert {r[2] for r in local} == {"v", "c", "und"}
+    monkeypatch.setattr(language_id, "BLOCK_CHARS", 2_000)
+    assert [repr(r) for r in found(0)] == [repr(r) for r in local]
+    assert found(0, docs.limit(0)) == []
+
+
+def test_language_counts_are_handed_on_within_a_batch(monkeypatch):
+    """Few n-grams may be held: the sums of what is handed on are those of one hand-over."""
+    pdf = pd.DataFrame({"lang": ["a", "b"] * 40, "text": [" ".join(f"w{chr(97 + (i * j) % 26)}{chr(97 + j % 23)}" for j in range(50)) for i in range(80)], "aside": [i % 5 == 0 for i in range(80)]})
+    whole = pd.concat(language_id.count_grams(iter([pdf]))).groupby(["lang", "gram"]).sum()
+    monkeypatch.setattr(language_id, "HELD_GRAMS", 20)
+    monkeypatch.setattr(language_id, "TEXT_CHARS", 300)
+    parts = list(language_id.count_grams(iter([pdf])))
+    assert len(parts) > 10 and pd.concat(parts).groupby(["lang", "gram"]).sum().equals(whole)
