@@ -194,8 +194,8 @@ def slot_fast(spark, sf_dir: str) -> DataFrame:
     h = H.last_k(e, 5).select(F.col("node").alias("u"), "seq", F.col("hist.nbr").alias("nb")).distinct()
     slots = e.select("seq", "u", F.col("v").alias("peer")).join(h, ["u", "seq"]).select("seq", "peer", F.posexplode("nb").alias("slot", "n"))
     asked = slots.select(F.col("peer").alias("u"), F.col("n").alias("v")).distinct()
-    planes, shared = B.Planes(core.withColumnRenamed("core", "value")), F.col("near").bitwiseAND(F.col("one"))
-    words = planes.join(B.pair_words(asked, ab, second=False)).groupBy(F.col("u").alias("peer"), F.col("v").alias("n"))
+    planes, shared = B.Planes(core.withColumnRenamed("core", "value")), F.col("both")
+    words = planes.join(B.shared_words(asked, ab)).groupBy(F.col("u").alias("peer"), F.col("v").alias("n"))
     cn = words.agg(F.sum(F.bit_count(shared)).alias("cn"), F.sum(planes.total(shared)).alias("cs"))
     direct = G.adjacency(ab).select(F.col("n").alias("peer"), F.col("m").alias("n"), F.lit(1).alias("direct"))
     out = slots.join(cn, ["peer", "n"], "left").join(direct, ["peer", "n"], "left").join(deg.withColumnRenamed("node", "n"), "n", "left").join(core.withColumnRenamed("node", "n"), "n", "left")
@@ -213,8 +213,7 @@ def slot_provider(spark, sf_dir: str) -> DataFrame:
     ab = G.cut(G.pairs(e))
 
     def common(pairs: DataFrame) -> DataFrame:
-        words = B.pair_words(pairs, ab, second=False)
-        return words.groupBy("u", "v").agg(F.sum(F.bit_count(F.col("near").bitwiseAND(F.col("one")))).alias("common")).filter("common > 0")
+        return B.shared_words(pairs, ab).groupBy("u", "v").agg(F.sum(F.bit_count("both")).alias("common"))
 
     return H.slot_features(e, 5, common)
 

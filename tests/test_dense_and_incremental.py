@@ -206,3 +206,22 @@ def test_an_indicator_of_ones_own(spark):
     assert got == {(0, 4): (4.0, 2.0), (0, 5): (6.0, 2.0), (9, 5): (0.0, 0.0)}
     with pytest.raises(ValueError, match="no trace"):
         I.traces(first, [I.Indicator("bare", G.degree)])
+
+
+def test_common_neighbours_of_hubs(spark):
+    """A pair with a hub is looked up by the words of its other end: equal to sets, also for equal ends, loops, strangers
+    and neighbours that are each other's."""
+    rng = random.Random(3)
+    edges = {(0, i) for i in range(2, 4000)} | {(1, i) for i in range(3000, 5000)} | {tuple(sorted(rng.sample(range(2, 5000), 2))) for _ in range(4000)} | {(0, 1)}
+    ab = spark.createDataFrame(sorted(edges), "a long, b long")
+    near = {}
+    for a, b in edges:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    asked = [(0, 1), (1, 0), (7, 7), (0, 0), (0, 9999), (9999, 1)] + [(rng.randrange(5000), rng.choice([0, 1, 5, 3500])) for _ in range(300)]
+    want = {(u, v, w) for u, v in asked for w in near.get(u, set()) & near.get(v, set())}
+    queries = spark.createDataFrame(asked, "u long, v long")
+    assert {(r.u, r.v, r.w) for r in G.common_neighbors(queries, ab).collect()} == want and len(want) > 1000
+    hub = spark.createDataFrame([(i, 0) for i in range(3900, 3999)], "u long, v long")
+    words = B.shared_words(hub, ab)
+    assert words.count() <= sum(len({w // 64 for w in near[i] & near[0]}) for i in range(3900, 3999))
