@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .graph import degree, neighborhoods
+from . import blocks as B
+from . import graph as G
+from .graph import degree
 
 
 def _zero(name: str):
@@ -26,9 +28,9 @@ def columns_of(mode: str) -> tuple[str, ...]:
     return MODES[mode]
 
 
-def exact_sum(value) -> Column:
-    """Sum in decimals of six digits, which no order of rows changes."""
-    return F.sum(F.round(value, 6).cast("decimal(28,6)")).cast("double")
+def _exact(value) -> Column:
+    """Decimals of six digits, whose sum no order of rows changes."""
+    return F.round(value, 6).cast("decimal(28,6)")
 
 
 def pair_features(queries: DataFrame, ab: DataFrame, x: DataFrame, truss: DataFrame | None = None, stats: DataFrame | None = None) -> DataFrame:
@@ -38,38 +40,61 @@ def pair_features(queries: DataFrame, ab: DataFrame, x: DataFrame, truss: DataFr
     ema, delta, std, max_change) of x's rolling statistics; without one of the latter its columns are
     left out.  ``cn`` and friends sum over common neighbours, ``cn2`` over v's neighbours two steps
     from u that are not u's neighbours, ``bridge`` over those that may be.  Unknown nodes count 0.
-    One table of flagged neighbours is grouped once for all of them.
+    Sums are found for each pair of classes of twins (``blocks.Twins``).  All neighbours of v are two steps from u where
+    (u, v) is an edge: there only common neighbours are told apart, and the others are v's sums less theirs and u's.
     """
     asked = queries.select("u", "v").distinct()
+    twins = B.Twins(ab)
+    found = twins.asked(asked)
     deg = degree(ab)
-    about = deg.select(F.col("node").alias("w"), F.col("degree").cast("double").alias("d")).join(x.select(F.col("node").alias("w"), F.col("x").cast("double").alias("x")), "w", "left")
+    about = deg.select("node", F.col("degree").cast("double").alias("d")).join(x.select("node", F.col("x").cast("double").alias("x")), "node", "left")
     if truss is not None:
-        about = about.join(truss.select(F.col("node").alias("w"), F.col("truss").cast("double").alias("truss")), "w", "left")
+        about = about.join(truss.select("node", F.col("truss").cast("double").alias("truss")), "node", "left")
     if stats is not None:
-        about = about.join(stats.withColumnRenamed("node", "w"), "w", "left")
+        about = about.join(stats, "node", "left")
     d, zero = F.col("d"), F.lit(0.0)
-    parts = {"cn": F.col("direct"), "cn2": F.col("two") & ~F.col("direct"), "br": F.col("two")}
-
-    def when(part: str, value) -> Column:
-        return F.when(parts[part], F.coalesce(value, zero)).otherwise(zero)
-
-    aggs = []
-    for part in parts:
-        aggs += [
-            F.count_if(parts[part]).cast("double").alias(f"{part}_n"),
-            F.sum(when(part, F.when(d > 1, 1.0 / F.log(d)))).alias(f"{part}_aa"),
-            F.sum(when(part, 1.0 / d)).alias(f"{part}_ra"),
-            F.sum(when(part, F.col("x"))).alias(f"{part}_xs"),
-            F.max(when(part, F.col("x"))).alias(f"{part}_xm"),
-        ]
+    # What a neighbour adds to each sum; ``xm`` is the largest.
+    adds = {"n": F.lit(1).cast("long"), "aa": F.when(d > 1, 1.0 / F.log(d)).otherwise(zero), "ra": 1.0 / d, "xs": F.coalesce("x", zero), "xm": F.coalesce("x", zero)}
+    used = {"cn": ["n", "aa", "ra", "xs", "xm"], "cn2": ["n", "aa", "xs"], "br": ["n", "xs"]}
     if truss is not None:
-        aggs.append(F.sum(when("cn", F.col("truss"))).alias("cn_ts"))
+        adds["ts"] = F.coalesce("truss", zero)
+        used["cn"].append("ts")
     if stats is not None:
-        for part, names in (("cn", ("ema", "delta", "std", "max_change")), ("cn2", ("ema", "delta"))):
-            aggs += [exact_sum(when(part, F.col(n))).alias(f"{part}_x_{'mxch' if n == 'max_change' else n}_sum") for n in names]
-            signs = (("dpos", F.col("delta") > 0), ("dneg", F.col("delta") < 0))[: 2 if part == "cn" else 1]
-            aggs += [F.log1p(F.count_if(parts[part] & sign).cast("double")).alias(f"{part}_x_{name}") for name, sign in signs]
-    out = asked.join(neighborhoods(asked, ab).join(about, "w").groupBy("u", "v").agg(*aggs), ["u", "v"], "left")
+        adds |= {f"x_{'mxch' if c == 'max_change' else c}_sum": _exact(F.coalesce(c, zero)) for c in ("ema", "delta", "std", "max_change")}
+        adds |= {f"x_{c}": F.coalesce(sign, F.lit(False)).cast("long") for c, sign in (("dpos", F.col("delta") > 0), ("dneg", F.col("delta") < 0))}
+        used["cn"] += ["x_ema_sum", "x_delta_sum", "x_std_sum", "x_mxch_sum", "x_dpos", "x_dneg"]
+        used["cn2"] += ["x_ema_sum", "x_delta_sum", "x_dpos"]
+    one = G.cut(about.select("node", *[c.alias(f) for f, c in adds.items()]))
+    merge = lambda f, c: (F.max if f == "xm" else F.sum)(c)
+    whole = G.cut(twins.totals(one, [merge(f, F.col(f)).alias(f) for f in adds]))
+    of = [F.col("u").alias("ru"), F.col("v").alias("rv")]
+
+    met = B.members(B.shared_words(twins.pairs(found, True), twins.ab), F.col("both")).join(whole.withColumnRenamed("node", "w"), "w")
+    met = met.groupBy(*of).agg(*[merge(f, F.col(f)).alias(f"cn_{f}") for f in used["cn"]])
+    near = found.filter("linked").join(twins.around(whole, used["cn2"]), "rv").join(one.select(F.col("node").alias("u"), *[F.col(f).alias(f"own_{f}") for f in used["cn2"]]), "u").join(met, ["ru", "rv"], "left")
+    held = lambda f: F.coalesce(f"cn_{f}", F.lit(0).cast(whole.schema[f].dataType))
+    less = {f: F.col(f) - F.col(f"own_{f}") for f in used["cn2"]}
+    rest = F.col("n") - F.col("own_n") - held("n")
+
+    def others(f: str) -> Column:
+        """What is left without the common neighbours: nothing if there are none, and no rounding below 0 where it is a sum of doubles."""
+        left = less[f] - held(f)
+        return F.when(rest > 0, F.greatest(left, zero)).otherwise(zero) if f == "aa" or f == "xs" else left
+
+    near = near.select("u", "v", *[held(f).alias(f"cn_{f}") for f in used["cn"]], *[others(f).alias(f"cn2_{f}") for f in used["cn2"]], *[less[f].alias(f"br_{f}") for f in used["br"]])
+
+    flagged = B.members(B.pair_words(twins.pairs(found, False), twins.ab), F.col("near"))
+    has = lambda c: F.getbit(F.col(c), F.col("w").bitwiseAND(F.lit(63)).cast("int")) == 1
+    parts = {"cn": has("one"), "cn2": has("two") & ~has("one"), "br": has("two")}
+    aggs = [merge(f, F.when(parts[p], F.col(f)).otherwise(F.lit(0).cast(whole.schema[f].dataType))).alias(f"{p}_{f}") for p in parts for f in used[p]]
+    far = flagged.filter(has("one") | has("two")).join(whole.withColumnRenamed("node", "w"), "w").groupBy(*of).agg(*aggs)
+    far = found.filter(~F.col("linked")).join(far, ["ru", "rv"]).select(*near.columns)
+
+    def plain(name: str) -> Column:
+        return F.log1p(F.col(name).cast("double")) if name.endswith(("_dpos", "_dneg")) else F.col(name).cast("double")
+
+    sums = near.unionByName(far)
+    out = asked.join(sums.select("u", "v", *[plain(c).alias(c) for c in sums.columns[2:]]), ["u", "v"], "left")
     for side in ("u", "v"):
         own = deg.select(F.col("node").alias(side), F.col("degree").cast("double").alias(f"d{side}"))
         out = out.join(own, side, "left").join(x.select(F.col("node").alias(side), F.col("x").cast("double").alias(f"x_{side}")), side, "left")
