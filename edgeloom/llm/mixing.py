@@ -131,11 +131,11 @@ def plan_mix(
         word_count(F.col(text_col)).alias("size"),
         key.alias("key"),
     ).withColumn("slice", F.substring("key", 1, HEX))
-    sized = materialize(sized, "mix-sized")
+    lean = materialize(sized.drop("row"), "mix-sized")  # texts are not written once more; what they are measured by is
 
-    slices = sized.groupBy("src", "slice").agg(F.sum("size").alias("slice_size"))
+    slices = lean.groupBy("src", "slice").agg(F.sum("size").alias("slice_size"))
     slices = slices.withColumn("base", F.coalesce(F.sum("slice_size").over(W.partitionBy("src").orderBy("slice").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    totals = sized.groupBy("src").agg(F.sum("size").alias("source_size"))
+    totals = lean.groupBy("src").agg(F.sum("size").alias("source_size"))
     targets = source_targets(totals, weights, max_repeat)
     targets = targets.withColumn("passes", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
     targets = targets.withColumn("left", F.col("target") - (F.col("passes") * F.col("source_size")).cast("double"))
@@ -148,7 +148,7 @@ def plan_mix(
         out = rows.withColumn("before", F.coalesce(F.sum("size").over(inside), F.lit(0)))
         return out.join(about, ["src", "slice"]).withColumn("before", F.col("before") + F.col("base"))
 
-    picks = fill_border(placed(sized.select("src", "slice", "key", "size"), slices).select("src", "slice", "key", "size", "before", "left"))
+    picks = fill_border(placed(lean, slices).select("src", "slice", "key", "size", "before", "left"))
     out = placed(sized, slices.join(picks, "src", "left"))
 
     # Copy k of a document lies at k * source_size + before.
