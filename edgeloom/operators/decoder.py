@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .graph import adjacency
+from .graph import adjacency, common_neighbors
 
 
 def pack(row: Column, col: Column) -> Column:
@@ -46,13 +46,13 @@ def near_pairs(queries: DataFrame, ab: DataFrame, mode: int) -> DataFrame:
         a, b = F.least(at, to), F.greatest(at, to)
         return moved.filter((a != F.least("u", "v")) | (b != F.greatest("u", "v")))
 
-    one = {s: step(asked.withColumn("x", F.col(s)), "x", "w").select("u", "v", "w").distinct() for s in ("u", "v")}
-    out = one["u"].join(one["v"], ["u", "v", "w"], "left_semi").withColumn("kind", F.lit("11"))
+    out = common_neighbors(asked, ab).withColumn("kind", F.lit("11"))
     if mode == 0:
         linked = asked.join(adj.select(F.col("n").alias("u"), F.col("m").alias("v")), ["u", "v"], "left_semi")
         for s, kind in (("u", "01"), ("v", "10")):
             out = out.union(linked.select("u", "v", F.col(s).alias("w"), F.lit(kind).alias("kind")))
     if mode == 2:
+        one = {s: step(asked.withColumn("x", F.col(s)), "x", "w").select("u", "v", "w").distinct() for s in ("u", "v")}
         two = {s: step(one[s].withColumnRenamed("w", "x"), "x", "w").filter(F.col("w") != F.col(s)).select("u", "v", "w").distinct() for s in ("u", "v")}
         for a, b, kind in ((one["u"], two["v"], "12"), (two["u"], one["v"], "21"), (two["u"], two["v"], "22")):
             out = out.union(a.join(b, ["u", "v", "w"], "left_semi").withColumn("kind", F.lit(kind)))
