@@ -51,7 +51,8 @@ class KeptGraph:
     """
 
     def __init__(self, spark: SparkSession, folder: str, size: int = BATCH, width: int = 0, rolled: str = "degree", together: int = 16, fold_every: int = 8):
-        """Up to ``together`` batches are advanced at once where no width asks for each on its own."""
+        """As many batches as there were before, but ``together`` at least, are advanced at once where no width asks for each
+        on its own: the steps grow with the logarithm of the events, and what one reads anew is no more than what it brings."""
         self.spark, self.folder, self.size, self.width, self.rolled = spark, folder.rstrip("/"), size, width, rolled
         self.together, self.fold_every = 1 if width else together, fold_every
 
@@ -108,9 +109,10 @@ class KeptGraph:
         rows = numbered(left.union(events.select("u", "v", "t", "eid")), ["t", "eid"], "seq", m.seq + 1)
         many = rows.count()
         full = many if last else many // self.size * self.size
-        end, step = m.seq + full, self.size * self.together
+        end = m.seq + full
         while m.seq < end:
-            upto = min(end, m.seq + step)
+            before = 0 if self.width else m.seq // self.size
+            upto = min(end, m.seq + self.size * max(self.together, before))
             self._advance(m, rows.filter(F.col("seq").between(m.seq + 1, upto)))
             m.seq = upto
         m.pending = f"{self.folder}/pending/{micro_batch}" if many > full else ""
@@ -151,14 +153,14 @@ class KeptGraph:
         if len([v for v in m.versions if v > m.base]) >= self.fold_every:
             self._fold_base(m, version)
 
-    @staticmethod
-    def _closed(asked: DataFrame, near: DataFrame, old: DataFrame) -> DataFrame:
+    def _closed(self, asked: DataFrame, near: DataFrame, old: DataFrame) -> DataFrame:
         """(a, b, n0, w, x0, y0): common neighbours of asked edges (a, b, n0) in ``near`` and the numbers of both sides.
 
-        The end with the smaller degree is expanded.
+        The end with the smaller degree is expanded: in ``near`` where many batches come at once, or before the batch.
         """
+        degree = old if self.width else near.groupBy(F.col("n").alias("node")).agg(F.count("*").alias("degree"))
         for side in ("a", "b"):
-            asked = asked.join(old.select(F.col("node").alias(side), F.col("degree").alias(f"d{side}")), side, "left")
+            asked = asked.join(degree.select(F.col("node").alias(side), F.col("degree").alias(f"d{side}")), side, "left")
         turn = F.coalesce("da", F.lit(0)) > F.coalesce("db", F.lit(0))
         asked = asked.select(F.when(turn, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(turn, F.col("a")).otherwise(F.col("b")).alias("b"), "n0", *[c for c in asked.columns if c == "batch"])
         one = asked.join(near.select(F.col("n").alias("a"), F.col("m").alias("w"), F.col("n0").alias("x0")), "a")
