@@ -31,3 +31,11 @@ def test_kth_least_over_batches_and_bounded_rows(monkeypatch):
         latest = [sorted(max(s, f[k]) for n, s, _, f in rows if n == key and len(f) > k) for k in range(3)]
         want = [latest[k][k] for k in range(3) if len(latest[k]) > k and latest[k][k] <= 7]
         assert got[key] == want
+
+
+def test_next_value_looks_down_from_the_latest_row(spark):
+    """A frame that ends with its partition is added up anew for each row."""
+    rows = spark.createDataFrame([(t, t if t % 7 == 0 else None) for t in range(50)], "t long, p long")
+    found = G.next_value(rows.union(rows.filter("p is null")), "t", "p")
+    assert {(r.t, r.p) for r in found.collect()} == {(t, min((x for x in range(t + (t % 7 > 0), 50) if x % 7 == 0), default=None)) for t in range(50)}
+    assert "UNBOUNDED FOLLOWING" not in found._jdf.queryExecution().toString().upper().replace("UNBOUNDEDFOLLOWING$()", "UNBOUNDED FOLLOWING")
