@@ -20,9 +20,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..session import read_text, write_text
+from ..session import discard, read_text, write_text
 from ..sources.order import numbered
-from .graph import BATCH
+from .graph import BATCH, cut, stays
 from .rolling import DECAY, STATS, Fold
 
 EDGE = "n long, m long, n0 long, t long, batch long, gone boolean"
@@ -48,9 +48,11 @@ class KeptGraph:
     With a ``width`` a batch first prunes the edges that came more than that before its latest event.  If any
     go, all nodes known by then tick, and then the nodes that the batch's new edges affect.  Self loops and repeats
     of a present edge change nothing; a pruned edge may come again as a new one.  Null ends are left out.
+
+    With ``rolled`` of None edges are kept only, and no nodes: then all full batches of a micro-batch are advanced at once.
     """
 
-    def __init__(self, spark: SparkSession, folder: str, size: int = BATCH, width: int = 0, rolled: str = "degree", together: int = 16, fold_every: int = 8):
+    def __init__(self, spark: SparkSession, folder: str, size: int = BATCH, width: int = 0, rolled: str | None = "degree", together: int = 16, fold_every: int = 8):
         """As many batches as there were before, but ``together`` at least, are advanced at once where no width asks for each
         on its own: the steps grow with the logarithm of the events, and what one reads anew is no more than what it brings."""
         self.spark, self.folder, self.size, self.width, self.rolled = spark, folder.rstrip("/"), size, width, rolled
@@ -112,8 +114,12 @@ class KeptGraph:
         end = m.seq + full
         while m.seq < end:
             before = 0 if self.width else m.seq // self.size
-            upto = min(end, m.seq + self.size * max(self.together, before))
-            self._advance(m, rows.filter(F.col("seq").between(m.seq + 1, upto)))
+            upto = min(end, m.seq + self.size * max(self.together, before)) if self.rolled else end
+            taken = rows.filter(F.col("seq").between(m.seq + 1, upto))
+            if self.rolled:
+                self._advance(m, taken)
+            else:
+                self._advance_edges(m, taken)
             m.seq = upto
         m.pending = f"{self.folder}/pending/{micro_batch}" if many > full else ""
         if m.pending:
@@ -153,6 +159,29 @@ class KeptGraph:
         if len([v for v in m.versions if v > m.base]) >= self.fold_every:
             self._fold_base(m, version)
 
+    def _advance_edges(self, m: Manifest, rows: DataFrame) -> None:
+        """The edges that come and go in any number of batches: stays of their occurrences, after those of the edges that are there."""
+        version = m.seq // self.size + 1
+        path = f"{self.folder}/delta/{version}"
+        batch = F.floor((F.col("seq") - 1) / F.lit(self.size)).cast("long")
+        there = self.edges(m).filter("n < m").select(F.col("n").alias("a"), F.col("m").alias("b"), (-F.col("n0")).alias("seq"), "t", F.lit(version - 2).cast("long").alias("batch"))
+        seen = rows.filter("u <> v").select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b"), "seq", "t", batch.alias("batch"))
+        limit = rows.groupBy(batch.alias("batch")).agg((F.max("t") - F.lit(self.width)).alias("t"))
+        if not self.width:
+            limit = limit.withColumn("t", F.lit(None).cast("long"))
+        found = cut(stays(there.union(seen), limit))
+        fresh = numbered(found.filter("seq > 0"), ["seq"], "n0", m.edges + 1).select("a", "b", "n0", F.col("t_in").alias("t"), F.col("batch_in").alias("batch"), "batch_out")
+        held = found.filter("seq < 0").select("a", "b", (-F.col("seq")).alias("n0"), F.col("t_in").alias("t"), F.col("batch_in").alias("batch"), "batch_out")
+        went = fresh.union(held).filter("batch_out is not null").select("a", "b", "n0", "t", F.col("batch_out").alias("batch"), F.lit(True).alias("gone"))
+        log = fresh.select("a", "b", "n0", "t", "batch", F.lit(False).alias("gone")).union(went)
+        ends = F.explode(F.array(F.struct(F.col("a").alias("n"), F.col("b").alias("m")), F.struct(F.col("b").alias("n"), F.col("a").alias("m"))))
+        log.select(ends.alias("e"), "n0", "t", "batch", "gone").select("e.*", "n0", "t", "batch", "gone").write.mode("overwrite").parquet(f"{path}/edges")
+        m.edges += found.filter("seq > 0").count()
+        discard(found)
+        m.versions = [*m.versions, version]
+        if len([v for v in m.versions if v > m.base]) >= self.fold_every:
+            self._fold_base(m, version)
+
     def _closed(self, asked: DataFrame, near: DataFrame, old: DataFrame) -> DataFrame:
         """(a, b, n0, w, x0, y0): common neighbours of asked edges (a, b, n0) in ``near`` and the numbers of both sides.
 
@@ -214,5 +243,6 @@ class KeptGraph:
     def _fold_base(self, m: Manifest, version: int) -> None:
         """Fold the deltas into a new base; moves stay where they are, as the record of ticks."""
         self.edges(m).select("*", F.lit(None).cast("long").alias("batch"), F.lit(False).alias("gone")).write.mode("overwrite").parquet(f"{self.folder}/base/{version}/edges")
-        self.nodes(m).write.mode("overwrite").parquet(f"{self.folder}/base/{version}/moves")
+        if self.rolled:
+            self.nodes(m).write.mode("overwrite").parquet(f"{self.folder}/base/{version}/moves")
         m.base = version

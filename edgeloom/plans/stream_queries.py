@@ -46,7 +46,7 @@ def kept_graph_ticks(spark, sf_dir: str) -> DataFrame:
 @query(with_("uni", recursive=True) + _window_sql(2000))
 def stream_window_graph(spark, sf_dir: str) -> DataFrame:
     """Stays of edges in a window of seven days of a graph that a stream advances by batches of 2,000 events."""
-    kept = KeptGraph(spark, shared_folder(spark, "kept"), size=2000, width=7 * DAY)
+    kept = KeptGraph(spark, shared_folder(spark, "kept"), size=2000, width=7 * DAY, rolled=None)
     return kept.stays(J.advance(J.read_events(spark, sf_dir), kept, last=True))
 
 

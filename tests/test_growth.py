@@ -7,6 +7,8 @@ import pyarrow as pa
 
 from edgeloom.operators import cadence as C
 from edgeloom.operators import graph as G
+from edgeloom.operators.kept import KeptGraph
+from edgeloom.session import shared_folder
 
 from .test_operators import edges
 
@@ -39,3 +41,16 @@ def test_next_value_looks_down_from_the_latest_row(spark):
     found = G.next_value(rows.union(rows.filter("p is null")), "t", "p")
     assert {(r.t, r.p) for r in found.collect()} == {(t, min((x for x in range(t + (t % 7 > 0), 50) if x % 7 == 0), default=None)) for t in range(50)}
     assert "UNBOUNDED FOLLOWING" not in found._jdf.queryExecution().toString().upper().replace("UNBOUNDEDFOLLOWING$()", "UNBOUNDED FOLLOWING")
+
+
+def test_kept_edges_advance_all_batches_at_once(spark):
+    draw = random.Random(5)
+    rows = [(draw.randrange(6), draw.randrange(6), 10 * i + draw.randrange(9), i) for i in range(157)]
+    told = []
+    for rolled in ("degree", None):
+        kept = KeptGraph(spark, shared_folder(spark, "kept"), size=20, width=300, rolled=rolled, fold_every=2)
+        m = None
+        for number, part in enumerate((rows[:70], rows[70:130], rows[130:]), 1):
+            m = kept.take(spark.createDataFrame(part, "u long, v long, t long, eid long"), number, last=number == 3)
+        told.append((sorted(map(str, kept.stays(m).collect())), sorted(map(str, kept.edges(m).collect()))))
+    assert len(m.versions) == 3 and told[0] == told[1]
