@@ -7,6 +7,7 @@ import pyarrow as pa
 
 from edgeloom.operators import cadence as C
 from edgeloom.operators import graph as G
+from edgeloom.operators import indicators as I
 from edgeloom.operators.kept import KeptGraph
 from edgeloom.session import shared_folder
 
@@ -54,3 +55,24 @@ def test_kept_edges_advance_all_batches_at_once(spark):
             m = kept.take(spark.createDataFrame(part, "u long, v long, t long, eid long"), number, last=number == 3)
         told.append((sorted(map(str, kept.stays(m).collect())), sorted(map(str, kept.edges(m).collect()))))
     assert len(m.versions) == 3 and told[0] == told[1]
+
+
+def test_what_closes_few_wedges_goes_to_them(spark, monkeypatch):
+    draw = random.Random(6)
+    pairs = [(draw.randrange(8), draw.randrange(40)) for _ in range(150)]
+    first = G.first_edges(edges(spark, pairs), 10)
+    found = G.triangles(first.select("a", "b", "n0"), "n0")
+    assert "strategy=broadcast" in found._jdf.queryExecution().optimizedPlan().toString()
+    monkeypatch.setattr(G, "BROADCAST_ROWS", 0)
+    plain = G.triangles(first.select("a", "b", "n0"), "n0")
+    assert "strategy=broadcast" not in plain._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(found.collect()) == sorted(plain.collect()) != []
+
+
+def test_affected_nodes_build_no_ticks(spark):
+    draw = random.Random(7)
+    first = G.first_edges(edges(spark, [(draw.randrange(12), draw.randrange(12)) for _ in range(90)]), 10)
+    batch = {r.n0: r.batch0 for r in first.collect()}
+    found = I.affected(first)
+    assert {(r.batch, r.node) for r in found.collect()} == {(batch[r.n0], r.node) for r in I.ticks(first).collect()}
+    assert "n0" not in found._jdf.queryExecution().optimizedPlan().toString().split("Relation")[0]
