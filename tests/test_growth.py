@@ -8,6 +8,7 @@ import pyarrow as pa
 from edgeloom.operators import cadence as C
 from edgeloom.operators import graph as G
 from edgeloom.operators import indicators as I
+from edgeloom.operators import negatives as N
 from edgeloom.operators.kept import KeptGraph
 from edgeloom.session import shared_folder
 
@@ -76,3 +77,15 @@ def test_affected_nodes_build_no_ticks(spark):
     found = I.affected(first)
     assert {(r.batch, r.node) for r in found.collect()} == {(batch[r.n0], r.node) for r in I.ticks(first).collect()}
     assert "n0" not in found._jdf.queryExecution().optimizedPlan().toString().split("Relation")[0]
+
+
+def test_draws_from_a_taken_pool_end_in_few_rounds(spark, monkeypatch):
+    """One free place of 400, the last that the row comes to: 9 rounds, not 200."""
+    places = [(5 * 7919 + j * 104729) % 400 for j in range(400)]
+    asked = spark.createDataFrame([(1, 5, 1)], "seq long, salt long, need int")
+    taken = spark.createDataFrame([(1, places[j]) for j in range(399)], "seq long, neg long")
+    rounds = []
+    monkeypatch.setattr(N, "cut", lambda df: rounds.append(1) or G.cut(df))
+    found = N.draw_free(asked, N.pool(spark.range(400).withColumnRenamed("id", "value")), [(taken, ["seq"])], ["seq"])
+    assert [tuple(r) for r in found.collect()] == [(1, 399, places[399])]
+    assert len(rounds) <= 1 + 2 * 9
