@@ -90,10 +90,12 @@ def mask_padding(values: Column, ids: Column) -> Column:
 def recent_pool(edges: DataFrame, features: DataFrame, gap: int) -> DataFrame:
     """(node, seq, pooled): mean over the last ``gap`` places of the neighbours' ``x`` (node, x), where places
     that have no neighbour count as 0 and softmax weights of the others are their share, so the sum is over
-    present neighbours' mean, scaled by 1 / ``gap``; the node's own x is added."""
-    h = last_k(edges, gap).select("node", "seq", F.posexplode_outer("hist.nbr").alias("place", "nbr"))
-    x = features.select(F.col("node").alias("nbr"), "x")
-    mean = h.join(x, "nbr", "left").groupBy("node", "seq").agg((F.sum(F.coalesce("x", F.lit(0.0))) / F.greatest(F.count("nbr"), F.lit(1)) / gap).alias("pool"))
+    present neighbours' mean, scaled by 1 / ``gap``; the node's own x is added.  A neighbour's x comes to its interaction
+    once, before the places that it is then in."""
+    x = features.select(F.col("node").alias("nbr"), F.coalesce("x", F.lit(0.0)).alias("_x"))
+    frame = W.partitionBy("node").orderBy("seq").rowsBetween(-gap, -1)
+    pool = F.sum(F.coalesce("_x", F.lit(0.0))).over(frame) / F.greatest(F.count("nbr").over(frame), F.lit(1)) / gap
+    mean = interactions(edges).join(x, "nbr", "left").select("node", "seq", pool.alias("pool"))
     return mean.join(features, "node", "left").select("node", "seq", (F.coalesce("pool", F.lit(0.0)) + F.coalesce("x", F.lit(0.0))).alias("pooled"))
 
 

@@ -7,6 +7,7 @@ import pyarrow as pa
 
 from edgeloom.operators import cadence as C
 from edgeloom.operators import graph as G
+from edgeloom.operators import history as H
 from edgeloom.operators import indicators as I
 from edgeloom.operators import negatives as N
 from edgeloom.operators.kept import KeptGraph
@@ -89,3 +90,19 @@ def test_draws_from_a_taken_pool_end_in_few_rounds(spark, monkeypatch):
     found = N.draw_free(asked, N.pool(spark.range(400).withColumnRenamed("id", "value")), [(taken, ["seq"])], ["seq"])
     assert [tuple(r) for r in found.collect()] == [(1, 399, places[399])]
     assert len(rounds) <= 1 + 2 * 9
+
+
+def test_recent_pool_makes_no_row_for_each_place(spark):
+    e = edges(spark, [(i % 3, 10 + i % 4) for i in range(30)])
+    x = spark.createDataFrame([(n, float(n)) for n in (0, 1, 2, 10, 12, 13)], "node long, x double")
+    found = H.recent_pool(e, x, 4)
+    assert "Generate" not in found._jdf.queryExecution().optimizedPlan().toString()
+    value, near, want = {r.node: r.x for r in x.collect()}, {}, {}
+    for i in range(30):
+        ends = (i % 3, 10 + i % 4)
+        for n in ends:
+            last = near.get(n, [])[-4:]
+            want[n, i + 1] = round(sum(value.get(m, 0) for m in last) / max(len(last), 1) / 4 + value.get(n, 0), 9)
+        for n, m in (ends, ends[::-1]):
+            near.setdefault(n, []).append(m)
+    assert {(r.node, r.seq): round(r.pooled, 9) for r in found.collect()} == want
