@@ -10,9 +10,11 @@ from edgeloom.operators import graph as G
 from edgeloom.operators import history as H
 from edgeloom.operators import indicators as I
 from edgeloom.operators import negatives as N
+from edgeloom.operators import truss as T
 from edgeloom.operators.kept import KeptGraph
 from edgeloom.session import shared_folder
 
+from .test_dense_and_incremental import truss_of
 from .test_operators import edges
 
 
@@ -106,3 +108,23 @@ def test_recent_pool_makes_no_row_for_each_place(spark):
         for n, m in (ends, ends[::-1]):
             near.setdefault(n, []).append(m)
     assert {(r.node, r.seq): round(r.pooled, 9) for r in found.collect()} == want
+
+
+def test_truss_rounds_are_those_between_parts(spark, monkeypatch):
+    """Values of a strip fall from its ends inwards, one hop a round; a part takes all of these by itself."""
+    written = []
+    cut = G.cut
+    monkeypatch.setattr(G, "cut", lambda df: written.append(1) or cut(df))
+    strip = G.pairs(edges(spark, [(i, i + 1) for i in range(60)] + [(i, i + 2) for i in range(59)]))
+    assert {r.truss for r in G.k_truss(strip).collect()} == {3}
+    assert len(written) < 15
+
+
+def test_truss_over_several_parts(spark, monkeypatch):
+    draw = random.Random(8)
+    pairs = {tuple(sorted(draw.sample(range(26), 2))) for _ in range(150)} | {(i, i + 1) for i in range(30, 40)}
+    ab, want = G.cut(G.pairs(edges(spark, sorted(pairs)))), truss_of(sorted(pairs))
+    monkeypatch.setattr(T, "PART_TRIANGLES", 20)
+    assert T.Parts(ab).count > 3 and T.Parts(ab).shared.count() > 20
+    for rows in (0, G.FRONTIER_ROWS):
+        assert {(r.a, r.b): r.truss for r in G.k_truss(ab, frontier_rows=rows).collect()} == want
