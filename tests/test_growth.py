@@ -128,3 +128,33 @@ def test_truss_over_several_parts(spark, monkeypatch):
     assert T.Parts(ab).count > 3 and T.Parts(ab).shared.count() > 20
     for rows in (0, G.FRONTIER_ROWS):
         assert {(r.a, r.b): r.truss for r in G.k_truss(ab, frontier_rows=rows).collect()} == want
+
+
+def test_truss_cadence_writes_no_wings(spark, monkeypatch):
+    """A table of wings has three rows for each triangle; a clique of 18 nodes has 816 of them and 153 edges."""
+    pairs = [(i, j) for i in range(18) for j in range(i)]
+    random.Random(2).shuffle(pairs)
+    written, cut = [], G.cut
+    for module in (G, C):
+        monkeypatch.setattr(module, "cut", lambda df: written.append(cut(df)) or written[-1])
+    for module in (G, C, T):
+        monkeypatch.setattr(module, "discard", lambda df: None)
+    assert C.truss_trace(G.first_edges(edges(spark, pairs), 10), 1).agg({"truss": "max"}).first()[0] == 18
+    assert max(df.count() for df in written) <= 2 * len(pairs)
+
+
+def test_truss_cadence_over_several_parts(spark, monkeypatch):
+    draw = random.Random(12)
+    pairs = list(dict.fromkeys(tuple(sorted(draw.sample(range(18), 2))) for _ in range(140)))
+    first = G.cut(G.first_edges(edges(spark, pairs), 10))
+    last = len(pairs) // 5
+    since = first.selectExpr("a", "b", "ceil(n0 / 5) since")
+    monkeypatch.setattr(T, "CADENCE_TRIANGLES", 12)
+    assert T.Parts(since, 12).count > 3 and T.Parts(since, 12).shared.count() > 20
+    reached = {}
+    for r in T.first_snapshots(since, last).collect():
+        assert reached.setdefault((r.a, r.b, r.k), r.s) == r.s
+    order = [(r.a, r.b) for r in first.orderBy("n0").collect()]
+    for s in range(1, last + 1):
+        got = {(a, b): max((k for k in range(1, 18) if reached.get((a, b, k), last + 1) <= s), default=0) + 2 for a, b in order[: 5 * s]}
+        assert got == truss_of(order[: 5 * s]), s
