@@ -15,17 +15,27 @@ from .graph import cut
 from .rolling import as_of
 
 
+TASK_ROWS = 50_000  #: so many interactions, with their trees, go to one task; with more, there are more tasks
+
+
+def _tasks(edges: DataFrame) -> int:
+    """How many tasks to deal interactions and their trees out to, so that none grows with the stream."""
+    return max(int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-edges.count() // TASK_ROWS))
+
+
 def interactions(edges: DataFrame) -> DataFrame:
     """(node, nbr, seq, t): each interaction from both ends; repeats are kept."""
     one = edges.select(F.col("u").alias("node"), F.col("v").alias("nbr"), "seq", "t")
     return one.union(edges.select(F.col("v").alias("node"), F.col("u").alias("nbr"), "seq", "t"))
 
 
-def last_k(edges: DataFrame, k: int | None) -> DataFrame:
+def last_k(edges: DataFrame, k: int | None, tasks: int | None = None) -> DataFrame:
     """(node, nbr, seq, t, hist): the ``k`` interactions of the node strictly before this one, oldest
-    first; all of them for ``k`` of None.  Histories are read along the stream, one sort per node."""
+    first; all of them for ``k`` of None.  Histories are read along the stream, one sort per node, by so many ``tasks``."""
     frame = W.partitionBy("node").orderBy("seq").rowsBetween(-k if k else W.unboundedPreceding, -1)
-    return interactions(edges).withColumn("hist", F.collect_list(F.struct("seq", "t", "nbr")).over(frame))
+    rows = interactions(edges)
+    rows = rows.repartition(tasks, "node") if tasks else rows
+    return rows.withColumn("hist", F.collect_list(F.struct("seq", "t", "nbr")).over(frame))
 
 
 def whole_past(edges: DataFrame) -> DataFrame:
@@ -124,13 +134,15 @@ def trees(edges: DataFrame, k: int, hops: int) -> DataFrame:
     A node's children are its last ``k`` interactions strictly before the one at ``at`` that led to it, in slots
     ``slot`` * k + place, so hop h has k ** h slots; those without an interaction have no row.  ``edges`` has no self loops.
     """
-    h = last_k(edges, k).select(F.col("node").alias("of"), F.col("seq").alias("of_seq"), F.posexplode("hist").alias("place", "x"))
+    tasks = _tasks(edges)
+    h = last_k(edges, k, tasks).select(F.col("node").alias("of"), F.col("seq").alias("of_seq"), F.posexplode("hist").alias("place", "x"))
     h = h.select("of", "of_seq", "place", F.col("x.nbr").alias("node"), F.col("x.seq").alias("at"))
     level = h.select(F.col("of").alias("root"), F.col("of_seq").alias("seq"), F.lit(1).alias("hop"), F.col("place").cast("long").alias("slot"), "node", "at")
     out = level
     for hop in range(2, hops + 1):
         up = level.select("root", "seq", "slot", F.col("node").alias("of"), F.col("at").alias("of_seq"))
-        level = up.join(h, ["of", "of_seq"]).select("root", "seq", F.lit(hop).alias("hop"), (F.col("slot") * k + F.col("place")).alias("slot"), "node", "at")
+        level = up.repartition(tasks, "of", "of_seq").join(h.repartition(tasks, "of", "of_seq"), ["of", "of_seq"])
+        level = level.select("root", "seq", F.lit(hop).alias("hop"), (F.col("slot") * k + F.col("place")).alias("slot"), "node", "at")
         out = out.union(level)
     return out
 
@@ -141,10 +153,12 @@ def landing(edges: DataFrame, k: int, hops: int) -> DataFrame:
 
     Nodes are told apart by id within an interaction; ``trees`` has their times.
     """
+    tasks = _tasks(edges)
     below = trees(edges, k, hops).select("root", "seq", "hop", "node")
     roots = interactions(edges).select(F.col("node").alias("root"), "seq", F.lit(0).alias("hop"), "node")
     share = F.lit(1.0) / F.pow(F.lit(float(k)), F.col("hop"))
-    found = roots.union(below).join(edges.select("seq", "u", "v"), "seq").withColumn("p", share)
+    ends = edges.select("seq", "u", "v").repartition(tasks, "seq")
+    found = roots.union(below).repartition(tasks, "seq").join(ends, "seq").withColumn("p", share)
     side = lambda c: F.array(*[F.sum(F.when((F.col("root") == F.col(c)) & (F.col("hop") == h), F.col("p")).otherwise(0.0)) for h in range(hops + 1)])
     return found.groupBy("seq", "node").agg(side("u").alias("pu"), side("v").alias("pv")).select("seq", "node", F.col("pu").alias("u"), F.col("pv").alias("v"))
 

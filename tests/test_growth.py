@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from edgeloom.operators import cadence as C
 from edgeloom.operators import graph as G
@@ -158,3 +159,15 @@ def test_truss_cadence_over_several_parts(spark, monkeypatch):
     for s in range(1, last + 1):
         got = {(a, b): max((k for k in range(1, 18) if reached.get((a, b, k), last + 1) <= s), default=0) + 2 for a, b in order[: 5 * s]}
         assert got == truss_of(order[: 5 * s]), s
+
+
+def test_landing_has_more_tasks_for_more_interactions(spark, monkeypatch):
+    """A task holds sums of all its interactions' nodes; with as many tasks as ever (4 here) these grow with the stream."""
+    draw = random.Random(4)
+    e = edges(spark, [(draw.randrange(9), 9 + draw.randrange(9)) for _ in range(300)])
+    want = sorted(map(str, H.landing(e, 3, 2).collect()))
+    monkeypatch.setattr(H, "TASK_ROWS", 10, raising=False)
+    found = H.landing(e, 3, 2)
+    assert found.select(F.spark_partition_id().alias("p")).distinct().count() > 15
+    assert H.trees(e, 3, 2).filter("hop = 2").select(F.spark_partition_id().alias("p")).distinct().count() > 15
+    assert sorted(map(str, found.collect())) == want
