@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def char_code(ch: Column) -> Column:
@@ -17,8 +21,16 @@ def pad_code(text: Column, width: int = 8) -> Column:
     return F.transform(F.split(fixed, ""), char_code)
 
 
+@F.pandas_udf(T.DoubleType())
+def _log2(w: pd.Series) -> pd.Series:
+    """The C library's log2.  Spark's own is log(w) / log(2), whose last digits differ from it for every third weight or so."""
+    return w.map(math.log2, na_action="ignore")
+
+
 def log2_weight(w: Column) -> Column:
-    return F.log2(F.when(w == 0, F.lit(1.0)).otherwise(w))
+    """log2 of a weight, of which 0 counts as 1; null for a negative one."""
+    known = F.when(w == 0, F.lit(1.0)).when(w > 0, w.cast("double"))
+    return F.when(F.isnan(w), w.cast("double")).otherwise(_log2(known))
 
 
 def parse_epoch(text: Column) -> Column:

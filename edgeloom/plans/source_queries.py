@@ -102,7 +102,8 @@ def load_coin(spark, sf_dir: str) -> DataFrame:
     rows = _messages(L.load(spark, "coin", _raw(spark, E.uni(spark, sf_dir), SECONDS, "concat('n', u)", "concat('n', v)", "if(eid % 5 = 0, 0, w)")), 1)
     # The reader takes a weight of 0 for none and counts it 1, as is right for every fifth event; an event's own 0 has the logarithm that the SQL gives it.
     own = E.uni(spark, sf_dir).filter("eid % 5 <> 0 and w = 0").select("seq", F.lit(float("-inf")).alias("_w"))
-    return rows.join(own, "seq", "left").withColumn("w", F.coalesce("_w", F.round("w", 9))).drop("_w")
+    # Digits are rounded as in SQL, by whole billionths: F.round goes by decimals and may differ where the tenth digit is a 5.
+    return rows.join(own, "seq", "left").withColumn("w", F.coalesce("_w", F.round(F.col("w") * 1e9) / 1e9)).drop("_w")
 
 
 CODE = "case when c between '0' and '9' then c::int when c = '!' then -1 else ascii(upper(c)) - 35 end"
