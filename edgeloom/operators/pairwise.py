@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from . import blocks as B
 from . import graph as G
+from . import tiles
 from .graph import degree
 
 
@@ -42,6 +43,7 @@ def pair_features(queries: DataFrame, ab: DataFrame, x: DataFrame, truss: DataFr
     from u that are not u's neighbours, ``bridge`` over those that may be.  Unknown nodes count 0.
     Sums are found for each pair of classes of twins (``blocks.Twins``).  All neighbours of v are two steps from u where
     (u, v) is an edge: there only common neighbours are told apart, and the others are v's sums less theirs and u's.
+    Other pairs join words, or meet them in tiles (``tiles``) where they are many; ``stats``, whose sums are decimals, always join.
     """
     asked = queries.select("u", "v").distinct()
     twins = B.Twins(ab)
@@ -83,11 +85,22 @@ def pair_features(queries: DataFrame, ab: DataFrame, x: DataFrame, truss: DataFr
 
     near = near.select("u", "v", *[held(f).alias(f"cn_{f}") for f in used["cn"]], *[others(f).alias(f"cn2_{f}") for f in used["cn2"]], *[less[f].alias(f"br_{f}") for f in used["br"]])
 
-    flagged = B.members(B.pair_words(twins.pairs(found, False), twins.ab), F.col("near"))
-    has = lambda c: F.getbit(F.col(c), F.col("w").bitwiseAND(F.lit(63)).cast("int")) == 1
-    parts = {"cn": has("one"), "cn2": has("two") & ~has("one"), "br": has("two")}
-    aggs = [merge(f, F.when(parts[p], F.col(f)).otherwise(F.lit(0).cast(whole.schema[f].dataType))).alias(f"{p}_{f}") for p in parts for f in used[p]]
-    far = flagged.filter(has("one") | has("two")).join(whole.withColumnRenamed("node", "w"), "w").groupBy(*of).agg(*aggs)
+    strangers = G.cut(twins.pairs(found, False))
+    if stats is None and tiles.word_rows(strangers, twins.ab) > tiles.MOST_ROWS:
+        far = tiles.sums(strangers, twins.ab, whole, {"cn": used["cn"], "met": used["cn2"], "br": used["cn2"]}, ("xm",))
+        apart = F.col("br_n") - F.col("met_n")
+
+        def second(f: str) -> Column:
+            left = F.col(f"br_{f}") - F.col(f"met_{f}")
+            return left if f == "n" else F.when(apart > 0, F.greatest(left, zero)).otherwise(zero)
+
+        far = far.select(*of, *[f"cn_{f}" for f in used["cn"]], *[second(f).alias(f"cn2_{f}") for f in used["cn2"]], *[f"br_{f}" for f in used["br"]])
+    else:
+        flagged = B.members(B.pair_words(strangers, twins.ab), F.col("near"))
+        has = lambda c: F.getbit(F.col(c), F.col("w").bitwiseAND(F.lit(63)).cast("int")) == 1
+        parts = {"cn": has("one"), "cn2": has("two") & ~has("one"), "br": has("two")}
+        aggs = [merge(f, F.when(parts[p], F.col(f)).otherwise(F.lit(0).cast(whole.schema[f].dataType))).alias(f"{p}_{f}") for p in parts for f in used[p]]
+        far = flagged.filter(has("one") | has("two")).join(whole.withColumnRenamed("node", "w"), "w").groupBy(*of).agg(*aggs)
     far = found.filter(~F.col("linked")).join(far, ["ru", "rv"]).select(*near.columns)
 
     def plain(name: str) -> Column:
