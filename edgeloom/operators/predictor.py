@@ -13,13 +13,12 @@ from . import pairwise as P
 from . import splits as S
 
 FEATURES = ("cn", "aa", "ra", "jaccard", "pa", "cn2", "aa2", "cn2_x_sum", "x_u", "x_v", "bridge", "bridge_x")
-FIT_ROWS = 200_000  #: about so many labelled pairs are fitted on at most
 
 
 def link_scores(edges: DataFrame, features: tuple[str, ...] = FEATURES) -> DataFrame:
     """(seq, u, v, label, score) of the test edges and one drawn pair for each.
 
-    The graph is that of the training edges, the model is fitted on the validation edges
+    The graph is that of the training edges, the model is fitted on all validation edges
     and their drawn pairs.  Without validation edges of both kinds there is no result.
     """
     e = S.quantile_split(edges)
@@ -32,9 +31,7 @@ def link_scores(edges: DataFrame, features: tuple[str, ...] = FEATURES) -> DataF
     found = rows.join(P.pair_features(rows, ab, x), ["u", "v"])
     found = G.cut(found.select("seq", "u", "v", "split", "label", F.array(*features).alias("x")))
     val = found.filter("split = 'val'")
-    share = F.lit(FIT_ROWS) / F.greatest(F.lit(1), F.lit(val.count()))
-    sample = val.filter(F.pmod(F.xxhash64("seq", "v"), F.lit(1_000_000)) < share * 1_000_000)
-    model = LogisticRegression(regParam=1e-4, maxIter=50).fit(sample.select(array_to_vector("x").alias("features"), "label"))
+    model = LogisticRegression(regParam=1e-4, maxIter=50).fit(val.select(array_to_vector("x").alias("features"), "label"))
     # Scored by columns: a fitted model carries its training summary, and with it the session, into every task.
     z = F.lit(float(model.intercept))
     for i, w in enumerate(model.coefficients):
@@ -66,8 +63,8 @@ def node_blocks(train: DataFrame, fusion: str) -> DataFrame:
 def perceptron_scores(edges: DataFrame, fusion: str = "concat", hidden: tuple[int, ...] = (16,), negatives: int = 20, seed: int = 3, model=None, features: tuple[str, ...] = FEATURES) -> DataFrame:
     """(qid, u, v, is_pos, score): test edges and ``negatives`` drawn destinations each, by a multilayer perceptron.
 
-    Its inputs are both ends' fused blocks and the pair features on the training graph; it is fitted on at most about
-    ``FIT_ROWS`` validation edges with a drawn destination each.  ``model`` is another classifier of pyspark.ml to fit
+    Its inputs are both ends' fused blocks and the pair features on the training graph; it is fitted on all
+    validation edges with a drawn destination each.  ``model`` is another classifier of pyspark.ml to fit
     instead.  Nodes that training never saw have zeros.
     """
     e = S.quantile_split(edges)
@@ -90,8 +87,7 @@ def perceptron_scores(edges: DataFrame, fusion: str = "concat", hidden: tuple[in
         found = found.join(blocks.select(F.col("node").alias(side), F.col("h").alias(f"h{side}")), side, "left")
     found = G.cut(found.select("qid", "u", "v", "is_pos", "part", array_to_vector(F.concat(F.coalesce("hu", zeros), F.coalesce("hv", zeros), "p")).alias("features")))
     val = found.filter("part = 'val'")
-    share = F.lit(FIT_ROWS) / F.greatest(F.lit(1), F.lit(val.count()))
-    sample = val.filter(F.pmod(F.xxhash64("qid", "v"), F.lit(1_000_000)) < share * 1_000_000).select("features", F.col("is_pos").cast("double").alias("label"))
+    fitted = G.cut(val.select("features", F.col("is_pos").cast("double").alias("label")))
     learner = model or MultilayerPerceptronClassifier(layers=[2 * width + len(features), *hidden, 2], maxIter=80, seed=seed, blockSize=256)
-    scored = learner.fit(G.cut(sample)).transform(found.filter("part = 'test'"))
+    scored = learner.fit(fitted).transform(found.filter("part = 'test'"))
     return scored.select("qid", "u", "v", "is_pos", F.get(vector_to_array("probability"), F.lit(1)).alias("score"))
