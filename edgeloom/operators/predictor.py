@@ -60,15 +60,10 @@ def node_blocks(train: DataFrame, fusion: str) -> DataFrame:
     return rows.select("node", F.array(*h).alias("h"))
 
 
-def perceptron_scores(edges: DataFrame, fusion: str = "concat", hidden: tuple[int, ...] = (16,), negatives: int = 20, seed: int = 3, model=None, features: tuple[str, ...] = FEATURES) -> DataFrame:
-    """(qid, u, v, is_pos, score): test edges and ``negatives`` drawn destinations each, by a multilayer perceptron.
-
-    Its inputs are both ends' fused blocks and the pair features on the training graph; it is fitted on all
-    validation edges with a drawn destination each.  ``model`` is another classifier of pyspark.ml to fit
-    instead.  Nodes that training never saw have zeros.
-    """
+def asked_pairs(edges: DataFrame, negatives: int = 20, features: tuple[str, ...] = FEATURES) -> DataFrame:
+    """(qid, u, v, is_pos, part, p): validation edges with a drawn destination each and test edges with ``negatives``, with their pair
+    features on the training graph."""
     e = S.quantile_split(edges)
-    train = e.filter("split = 'train'")
     pool = N.pool(e.select(F.col("v").alias("value")))
 
     def with_drawn(split: str, n: int) -> DataFrame:
@@ -77,12 +72,23 @@ def perceptron_scores(edges: DataFrame, fusion: str = "concat", hidden: tuple[in
         return true.withColumn("is_pos", F.lit(1)).union(drawn.withColumn("is_pos", F.lit(0))).withColumn("part", F.lit(split))
 
     rows = G.cut(with_drawn("val", 1).union(with_drawn("test", negatives)))
-    ab = G.cut(G.pairs(train))
+    ab = G.cut(G.pairs(e.filter("split = 'train'")))
     pairs = P.pair_features(rows, ab, G.degree(ab).select("node", F.log1p(F.col("degree").cast("double")).alias("x"))).select("u", "v", F.array(*[F.log1p(F.abs(c)) for c in features]).alias("p"))
+    return G.cut(rows.join(pairs, ["u", "v"]))
+
+
+def perceptron_scores(edges: DataFrame, fusion: str = "concat", hidden: tuple[int, ...] = (16,), negatives: int = 20, seed: int = 3, model=None, features: tuple[str, ...] = FEATURES, asked: DataFrame | None = None) -> DataFrame:
+    """(qid, u, v, is_pos, score): test edges and ``negatives`` drawn destinations each, by a multilayer perceptron.
+
+    Its inputs are both ends' fused blocks and the pair features on the training graph; it is fitted on all
+    validation edges with a drawn destination each.  ``model`` is another classifier of pyspark.ml to fit
+    instead.  Nodes that training never saw have zeros.  ``asked`` are ``asked_pairs`` of the same edges, to share them between fits.
+    """
+    train = S.quantile_split(edges).filter("split = 'train'")
+    found = asked if asked is not None else asked_pairs(edges, negatives, features)
     blocks = G.cut(node_blocks(train, fusion))
     width = 6 if fusion == "concat" else 3
     zeros = F.array_repeat(F.lit(0.0), width)
-    found = rows.join(pairs, ["u", "v"])
     for side in ("u", "v"):
         found = found.join(blocks.select(F.col("node").alias(side), F.col("h").alias(f"h{side}")), side, "left")
     found = G.cut(found.select("qid", "u", "v", "is_pos", "part", array_to_vector(F.concat(F.coalesce("hu", zeros), F.coalesce("hv", zeros), "p")).alias("features")))

@@ -59,9 +59,10 @@ def link_predictor(spark, sf_dir: str) -> DataFrame:
 @query()
 def link_perceptron(spark, sf_dir: str) -> DataFrame:
     """Mean reciprocal rank and hits at ten of test edges among twenty drawn ones, by a perceptron with either fusion."""
-    out = None
+    e, out = E.bip(spark, sf_dir), None
+    asked = predictor.asked_pairs(e)
     for fusion in predictor.FUSIONS:
-        scored = predictor.perceptron_scores(E.bip(spark, sf_dir), fusion)
+        scored = predictor.perceptron_scores(e, fusion, asked=asked)
         one = M.mrr_hits(scored.select("qid", "is_pos", "score")).withColumn("fusion", F.lit(fusion))
         out = one if out is None else out.union(one)
     return out
